@@ -279,3 +279,282 @@ SELECT CAST(min(tx_ts) AS DATE) AS date_min, CAST(max(tx_ts) AS DATE) AS date_ma
        min(amount) AS montant_min, max(amount) AS montant_max FROM transactions"""))
 
 _reg("preview20", with_tx(f"SELECT {TX9} FROM transactions ORDER BY op_num LIMIT 20"))
+
+# ----------------------------------------------------------------------------- features
+_FEAT = """
+feat AS (
+  SELECT *, CAST(hour(tx_ts) AS INTEGER) AS heure, CAST(isodow(tx_ts) - 1 AS INTEGER) AS jour_semaine,
+         CASE WHEN isodow(tx_ts) - 1 IN (5, 6) THEN 1 ELSE 0 END AS est_weekend,
+         CASE WHEN hour(tx_ts) >= 22 OR hour(tx_ts) < 6 THEN 1 ELSE 0 END AS est_nuit,
+         CASE WHEN amount > -1 THEN ln(1 + amount) END AS log_montant
+  FROM (SELECT * REPLACE (CASE WHEN location = 'Saint-Louis' THEN 'Saint Louis' ELSE location END AS location)
+        FROM transactions))"""
+
+_reg("features_base", with_tx("""
+SELECT operation_id, location, heure, jour_semaine, est_weekend, est_nuit, round(log_montant, 6) AS log_montant
+FROM feat""", _FEAT))
+
+_reg("date_parse", with_tx("""
+SELECT operation_id, ts_raw, tx_ts, CAST(hour(tx_ts) AS INTEGER) AS heure,
+       CAST(isodow(tx_ts) - 1 AS INTEGER) AS jour_semaine,
+       CASE WHEN isodow(tx_ts) - 1 IN (5, 6) THEN 1 ELSE 0 END AS est_weekend,
+       CASE WHEN hour(tx_ts) >= 22 OR hour(tx_ts) < 6 THEN 1 ELSE 0 END AS est_nuit
+FROM (SELECT operation_id, ts_raw,
+             coalesce(try_strptime(ts_raw, '%Y-%m-%d %H:%M:%S'), try_strptime(ts_raw, '%d/%m/%Y %H:%M:%S')) AS tx_ts
+      FROM (SELECT operation_id,
+                   CASE WHEN op_num % 17 = 0 THEN 'garbage' WHEN op_num % 23 = 0 THEN NULL
+                        WHEN op_num % 5 = 1 THEN strftime(tx_ts, '%d/%m/%Y %H:%M:%S')
+                        ELSE strftime(tx_ts, '%Y-%m-%d %H:%M:%S') END AS ts_raw
+            FROM transactions))"""))
+
+_reg("client_tx_count", with_tx("""
+SELECT t.operation_id, t.client_id, CAST(c.n AS BIGINT) AS nb_transactions_client
+FROM transactions t LEFT JOIN (SELECT client_id, count(operation_id) AS n FROM transactions
+                               WHERE client_id IS NOT NULL GROUP BY client_id) c ON t.client_id = c.client_id"""))
+
+_TOP15 = """
+top15 AS (SELECT location FROM (SELECT location, count(*) AS n FROM feat WHERE location IS NOT NULL GROUP BY location)
+          ORDER BY n DESC, location LIMIT 15),
+grp AS (SELECT f.*, CASE WHEN t.location IS NOT NULL THEN f.location ELSE 'Autre' END AS location_grp
+        FROM feat f LEFT JOIN top15 t ON f.location = t.location)"""
+
+_reg("location_grouping", with_tx("SELECT operation_id, location, location_grp FROM grp", _FEAT + "," + _TOP15))
+
+_reg("one_hot_features", with_tx("""
+SELECT l.operation_id, l.col || '_' || l.level AS feature, 1 AS value
+FROM (SELECT operation_id, 'tx_type' AS col, tx_type AS level FROM grp
+      UNION ALL SELECT operation_id, 'op_status', op_status FROM grp
+      UNION ALL SELECT operation_id, 'location_grp', location_grp FROM grp) l
+JOIN (SELECT 'tx_type' AS col, min(tx_type) AS first FROM grp
+      UNION ALL SELECT 'op_status', min(op_status) FROM grp
+      UNION ALL SELECT 'location_grp', min(location_grp) FROM grp) f ON l.col = f.col
+WHERE l.level IS NOT NULL AND l.level <> f.first""", _FEAT + "," + _TOP15))
+
+_reg("label_encode", with_tx("""
+SELECT operation_id, target,
+       CAST(CASE target WHEN 'Fraude' THEN 0 WHEN 'Normal' THEN 1 WHEN 'Suspect' THEN 2 END AS INTEGER) AS label,
+       target AS decoded
+FROM transactions"""))
+
+_reg("score_features_new_tx", with_tx("""
+SELECT n.operation_id, CASE WHEN t.location IS NOT NULL THEN n.location ELSE 'Autre' END AS location_grp,
+       CAST(coalesce(c.cnt, 1) AS BIGINT) AS nb_transactions_client, n.heure, n.jour_semaine, n.est_weekend,
+       n.est_nuit, round(n.log_montant, 6) AS log_montant
+FROM feat n
+LEFT JOIN (SELECT location FROM (SELECT location, count(*) AS k FROM feat
+                                 WHERE tx_ts < TIMESTAMP '2024-01-25 00:00:00' AND location IS NOT NULL GROUP BY location)
+           ORDER BY k DESC, location LIMIT 15) t ON n.location = t.location
+LEFT JOIN (SELECT client_id, count(operation_id) AS cnt FROM feat
+           WHERE tx_ts < TIMESTAMP '2024-01-25 00:00:00' AND client_id IS NOT NULL GROUP BY client_id) c
+       ON n.client_id = c.client_id
+WHERE n.tx_ts >= TIMESTAMP '2024-01-25 00:00:00'""", _FEAT))
+
+_reg("make_ts", with_tx("""
+SELECT operation_id, CAST(tx_ts AS DATE) AS jour,
+       make_timestamp(year(tx_ts), month(tx_ts), day(tx_ts), hour(tx_ts), minute(tx_ts), second(tx_ts)) AS tx_ts_combine
+FROM transactions"""))
+
+_reg("ts_format", with_tx("""
+SELECT operation_id, strftime(tx_ts, '%Y-%m-%d %H:%M:%S') AS horodatage_txt, strftime(tx_ts, '%d/%m/%y') AS periode
+FROM transactions"""))
+
+_reg("tx_json", with_tx("""
+SELECT t.operation_id,
+       to_json({'tx_type': coalesce(t.tx_type, 'None'), 'op_status': coalesce(t.op_status, 'None'),
+                'location': coalesce(t.location, 'None'),
+                'date': coalesce(strftime(t.tx_ts, '%Y-%m-%d %H:%M:%S'), 'None'),
+                'amount': coalesce(CAST(t.amount AS VARCHAR), 'None'),
+                'nb_transactions_client': coalesce(CAST(c.n AS VARCHAR), 'None')})::VARCHAR AS tx_json
+FROM transactions t LEFT JOIN (SELECT client_id, count(operation_id) AS n FROM transactions
+                               WHERE client_id IS NOT NULL GROUP BY client_id) c ON t.client_id = c.client_id"""))
+
+# ----------------------------------------------------------------------------- scores & metrics
+_PRED = """
+pred AS (SELECT *, CASE WHEN p_fraud >= 0.5 THEN 'Fraude' WHEN p_normal >= p_suspect THEN 'Normal'
+                        ELSE 'Suspect' END AS predicted_status FROM scored)"""
+
+_reg("verdict", with_tx("""
+SELECT operation_id, target, round(p_fraud, 6) AS p_fraud, round(p_normal, 6) AS p_normal,
+       round(p_suspect, 6) AS p_suspect, predicted_status FROM pred""", _PRED))
+
+_reg("risk_band", with_tx("""
+SELECT operation_id, round(p_fraud, 6) AS p_fraud,
+       CASE WHEN p_fraud IS NULL THEN NULL WHEN p_fraud * 100 < 33 THEN 'Normal'
+            WHEN p_fraud * 100 < 66 THEN 'Suspect' ELSE 'Fraude' END AS bande FROM scored"""))
+
+_CLASSES = "(VALUES ('Fraude'), ('Normal'), ('Suspect'))"
+
+_reg("confusion_matrix", with_tx(f"""
+SELECT a.c AS reel, p.c AS predit,
+       CAST((SELECT count(*) FROM pred WHERE target = a.c AND predicted_status = p.c) AS BIGINT) AS nombre
+FROM {_CLASSES} a(c), {_CLASSES} p(c)""", _PRED))
+
+_PER_CLASS = f"""
+cls AS (
+  SELECT c.c AS label,
+         count(*) FILTER (WHERE x.target = c.c AND x.predicted_status = c.c) AS tp,
+         count(*) FILTER (WHERE x.target = c.c AND x.predicted_status IN ('Fraude', 'Normal', 'Suspect')) AS support,
+         count(*) FILTER (WHERE x.predicted_status = c.c AND x.target IN ('Fraude', 'Normal', 'Suspect')) AS npred
+  FROM {_CLASSES} c(c) CROSS JOIN pred x GROUP BY c.c),
+pc AS (
+  SELECT label, support, tp,
+         CASE WHEN npred > 0 THEN CAST(tp AS DOUBLE) / npred ELSE 0 END AS p,
+         CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS r
+  FROM cls),
+pcf AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM pc)"""
+
+_reg("classification_report", with_tx("""
+SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_score,
+       round(CAST(support AS DOUBLE), 6) AS support FROM pcf
+UNION ALL
+SELECT 'accuracy', NULL, NULL, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6), round(CAST(sum(support) AS DOUBLE), 6) FROM pcf
+UNION ALL
+SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), round(CAST(sum(support) AS DOUBLE), 6) FROM pcf
+UNION ALL
+SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6),
+       round(sum(f * support) / sum(support), 6), round(CAST(sum(support) AS DOUBLE), 6) FROM pcf""",
+                                       _PRED + "," + _PER_CLASS))
+
+_reg("model_metrics", with_tx("""
+SELECT round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy, round(avg(p), 6) AS precision_macro,
+       round(avg(r), 6) AS recall_macro, round(avg(f), 6) AS f1_macro,
+       round(max(CASE WHEN label = 'Fraude' THEN r END), 6) AS recall_fraude FROM pcf""", _PRED + "," + _PER_CLASS))
+
+_BIN = """
+bin AS (SELECT count(*) FILTER (WHERE target = 'Fraude' AND p_fraud >= 0.5) AS tp,
+               count(*) FILTER (WHERE target IS DISTINCT FROM 'Fraude' AND p_fraud >= 0.5) AS fp,
+               count(*) FILTER (WHERE target = 'Fraude' AND NOT coalesce(p_fraud >= 0.5, false)) AS fn,
+               count(*) FILTER (WHERE target IS DISTINCT FROM 'Fraude' AND NOT coalesce(p_fraud >= 0.5, false)) AS tn
+        FROM scored)"""
+
+_reg("threshold_metrics", with_tx("""
+SELECT CAST(0.5 AS DOUBLE) AS seuil,
+       round(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END, 6) AS rappel,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1,
+       CAST(fn AS BIGINT) AS faux_negatifs, CAST(fp AS BIGINT) AS faux_positifs FROM bin""", _BIN))
+
+_reg("threshold_confusion", with_tx("""
+SELECT CAST(0 AS INTEGER) AS reel, CAST(0 AS INTEGER) AS predit, CAST(tn AS BIGINT) AS nombre FROM bin
+UNION ALL SELECT 0, 1, fp FROM bin UNION ALL SELECT 1, 0, fn FROM bin UNION ALL SELECT 1, 1, tp FROM bin""", _BIN))
+
+_CURVE = """
+pts AS (SELECT p_fraud AS score, count(*) FILTER (WHERE target = 'Fraude') AS pos,
+               count(*) FILTER (WHERE target IS DISTINCT FROM 'Fraude') AS neg
+        FROM scored WHERE p_fraud IS NOT NULL GROUP BY p_fraud),
+cum AS (SELECT score, pos, neg,
+               sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+               sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+               sum(pos) OVER () AS P, sum(neg) OVER () AS N
+        FROM pts)"""
+
+_reg("pr_curve", with_tx("""
+SELECT score AS seuil, round(CAST(tp AS DOUBLE) / (tp + fp), 6) AS precision,
+       round(CASE WHEN P > 0 THEN CAST(tp AS DOUBLE) / P ELSE 0 END, 6) AS rappel FROM cum
+UNION ALL SELECT NULL, 1.0, 0.0""", _CURVE))
+
+_reg("roc_curve", with_tx("""
+SELECT score AS seuil, round(CASE WHEN N > 0 THEN CAST(fp AS DOUBLE) / N END, 6) AS fpr,
+       round(CASE WHEN P > 0 THEN CAST(tp AS DOUBLE) / P END, 6) AS tpr FROM cum
+UNION ALL SELECT NULL, 0.0, 0.0""", _CURVE))
+
+_reg("roc_auc", with_tx("""
+SELECT round(sum(CAST(neg * (2 * (tp - pos) + pos) AS DOUBLE)) / (2.0 * max(P) * max(N)), 6) AS auc FROM cum""", _CURVE))
+
+_reg("best_f1_threshold", with_tx("""
+SELECT score AS seuil, round(f1, 6) AS f1, round(prec, 6) AS precision, round(rec, 6) AS rappel
+FROM (SELECT score, CAST(2 * tp AS DOUBLE) / (tp + fp + P) AS f1, CAST(tp AS DOUBLE) / (tp + fp) AS prec,
+             CAST(tp AS DOUBLE) / P AS rec FROM cum)
+ORDER BY f1 DESC, score ASC LIMIT 1""", _CURVE))
+
+# ----------------------------------------------------------------------------- split, weights, scaling
+_SPLIT = """
+spl AS (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(concat(operation_id, ':42')), operation_id)
+              <= floor(0.2 * count(*) OVER (PARTITION BY target)) AS is_test
+  FROM transactions WHERE target IS NOT NULL)"""
+
+_reg("stratified_split", with_tx("SELECT operation_id, target, is_test FROM spl", _SPLIT))
+
+_reg("class_weights", with_tx("""
+SELECT target, CAST(n AS BIGINT) AS n_train,
+       round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 6) AS weight
+FROM (SELECT target, count(*) AS n FROM spl WHERE NOT is_test GROUP BY target)""", _SPLIT))
+
+_reg("contamination_rate", with_tx("""
+SELECT round(avg(CASE WHEN target = 'Fraude' THEN 1.0 ELSE 0.0 END), 6) AS contamination FROM spl WHERE NOT is_test""",
+                                   _SPLIT))
+
+_NUM = ["log_montant", "heure", "jour_semaine", "est_weekend", "est_nuit", "nb_transactions_client"]
+
+
+def _std_sql() -> str:
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)), 0), 1) AS s_{c}"
+                      for c in _NUM)
+    cols = ", ".join(f"round((CAST(f.{c} AS DOUBLE) - s.m_{c}) / s.s_{c}, 6) AS {c}" for c in _NUM)
+    ctes = _FEAT.replace("FROM transactions))", "FROM spl))") + """,
+cc AS (SELECT client_id, count(operation_id) AS nb_transactions_client FROM transactions
+       WHERE client_id IS NOT NULL GROUP BY client_id),
+ff AS (SELECT feat.*, cc.nb_transactions_client FROM feat LEFT JOIN cc ON feat.client_id = cc.client_id),
+st AS (SELECT """ + stats + " FROM ff WHERE NOT is_test)"
+    return with_tx(f"SELECT f.operation_id, {cols} FROM ff f, st s", _SPLIT + "," + ctes)
+
+
+_reg("standardized_features", _std_sql())
+
+# ----------------------------------------------------------------------------- journal & runs
+_JOURNAL = """
+journal AS (
+  SELECT tx_ts AS scored_at, operation_id, tx_type, op_status, location, tx_ts, amount, client_id, target,
+         CAST(0.5 AS DOUBLE) AS threshold,
+         CASE WHEN p_fraud >= 0.5 THEN 'Fraude' WHEN p_normal >= p_suspect THEN 'Normal' ELSE 'Suspect' END
+           AS predicted_status,
+         round(p_fraud * 100, 6) AS p_fraude, round(p_normal * 100, 6) AS p_normal,
+         round(p_suspect * 100, 6) AS p_suspect
+  FROM scored)"""
+_JCOLS = ("scored_at, operation_id, tx_type, op_status, location, amount, threshold, predicted_status, "
+          "p_fraude, p_normal, p_suspect")
+
+_reg("journal_summary", with_tx("""
+SELECT CAST(count(*) AS BIGINT) AS n_predictions,
+       CAST(count(*) FILTER (WHERE predicted_status = 'Fraude') AS BIGINT) AS n_fraude,
+       round(coalesce(sum(amount), 0), 6) AS montant_total,
+       CAST(count(*) FILTER (WHERE predicted_status IN ('Fraude', 'Suspect')) AS BIGINT) AS n_predictions_filtre,
+       CAST(count(*) FILTER (WHERE predicted_status = 'Fraude') AS BIGINT) AS n_fraude_filtre,
+       round(coalesce(sum(amount) FILTER (WHERE predicted_status IN ('Fraude', 'Suspect')), 0), 6) AS montant_filtre
+FROM journal""", _JOURNAL))
+
+_reg("journal_filtered", with_tx(f"""
+SELECT {_JCOLS} FROM journal WHERE predicted_status IN ('Fraude', 'Suspect') ORDER BY scored_at DESC, operation_id""",
+                                  _JOURNAL))
+
+_reg("journal_union", with_tx(f"SELECT {_JCOLS} FROM journal", _JOURNAL))
+
+_RUNS = """
+runs AS (
+  SELECT CAST(CAST(scored_at AS DATE) AS TIMESTAMP) AS horodatage, 'pseudo_score' AS model_nom,
+         round(CAST(count(*) FILTER (WHERE predicted_status IS NOT DISTINCT FROM target) AS DOUBLE) / count(*), 6) AS accuracy,
+         round(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END, 6) AS precision_fraude,
+         round(CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END, 6) AS rappel_fraude,
+         round(CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1_fraude,
+         max(threshold) AS best_threshold_f1, CAST(count(*) AS BIGINT) AS n_test
+  FROM (SELECT *, count(*) FILTER (WHERE target = 'Fraude' AND predicted_status = 'Fraude')
+                    OVER (PARTITION BY CAST(scored_at AS DATE)) AS tp,
+                  count(*) FILTER (WHERE target IS DISTINCT FROM 'Fraude' AND predicted_status = 'Fraude')
+                    OVER (PARTITION BY CAST(scored_at AS DATE)) AS fp,
+                  count(*) FILTER (WHERE target = 'Fraude' AND predicted_status IS DISTINCT FROM 'Fraude')
+                    OVER (PARTITION BY CAST(scored_at AS DATE)) AS fn
+        FROM journal WHERE scored_at IS NOT NULL)
+  GROUP BY CAST(scored_at AS DATE), tp, fp, fn)"""
+
+_reg("run_history", with_tx("""
+SELECT horodatage, model_nom, accuracy, rappel_fraude, f1_fraude, best_threshold_f1, n_test FROM runs""",
+                            _JOURNAL + "," + _RUNS))
+
+_reg("run_deltas", with_tx("""
+SELECT horodatage, accuracy, rappel_fraude, f1_fraude,
+       round(accuracy - pa, 6) AS delta_accuracy, round(rappel_fraude - pr, 6) AS delta_rappel_fraude,
+       round(f1_fraude - pf, 6) AS delta_f1_fraude
+FROM (SELECT *, lag(accuracy) OVER (ORDER BY horodatage) AS pa, lag(rappel_fraude) OVER (ORDER BY horodatage) AS pr,
+             lag(f1_fraude) OVER (ORDER BY horodatage) AS pf FROM runs)
+WHERE pa IS NOT NULL""", _JOURNAL + "," + _RUNS))

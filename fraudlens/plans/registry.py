@@ -174,3 +174,250 @@ def q_filter_bounds(spark, sf_dir):
 @query("preview20")
 def q_preview20(spark, sf_dir):
     return eda.preview(_tx(spark, sf_dir), 20).select(*TX_COLUMNS)
+
+
+# ----------------------------------------------------------------------------- features
+from pyspark.sql import functions as F  # noqa: E402
+
+from fraudlens.functions.columns import r6, tolerant_timestamp  # noqa: E402
+from fraudlens.functions.scores import risk_band, verdict  # noqa: E402
+from fraudlens.operators import features as feats  # noqa: E402
+from fraudlens.operators import journal as jr  # noqa: E402
+from fraudlens.operators import metrics as mt  # noqa: E402
+from fraudlens.operators import split as sp  # noqa: E402
+from fraudlens.schema import LABEL_ORDER, NUMERIC_FEATURES  # noqa: E402
+
+# Fixed parameters mirrored in the oracle SQL.
+NEW_TX_CUTOFF = "2024-01-25 00:00:00"     # history before, "new" transactions from
+UNION_CUTOFF = "2024-01-15 00:00:00"      # journal batch boundary for journal_union
+THRESHOLD = 0.5
+JOURNAL_STATUSES = ["Fraude", "Suspect"]
+
+
+@query("features_base")
+def q_features_base(spark, sf_dir):
+    f = feats.base_features(_tx(spark, sf_dir))
+    return f.select("operation_id", "location", "heure", "jour_semaine", "est_weekend", "est_nuit",
+                    r6(F.col("log_montant")).alias("log_montant"))
+
+
+def _raw_dates(tx):
+    n = F.col("op_num")
+    raw = (F.when(n % 17 == 0, F.lit("garbage"))
+           .when(n % 23 == 0, F.lit(None).cast("string"))
+           .when(n % 5 == 1, F.date_format("tx_ts", "dd/MM/yyyy HH:mm:ss"))
+           .otherwise(F.date_format("tx_ts", "yyyy-MM-dd HH:mm:ss")))
+    return tx.select("operation_id", raw.alias("ts_raw"))
+
+
+@query("date_parse")
+def q_date_parse(spark, sf_dir):
+    d = _raw_dates(_tx(spark, sf_dir)).withColumn("tx_ts", tolerant_timestamp(F.col("ts_raw")))
+    f = feats.base_features(d.withColumns({"location": F.lit(None).cast("string"),
+                                           "amount": F.lit(None).cast("double")}))
+    return f.select("operation_id", "ts_raw", "tx_ts", "heure", "jour_semaine", "est_weekend", "est_nuit")
+
+
+@query("client_tx_count")
+def q_client_tx_count(spark, sf_dir):
+    return feats.with_client_tx_count(_tx(spark, sf_dir)).select("operation_id", "client_id", "nb_transactions_client")
+
+
+@query("location_grouping")
+def q_location_grouping(spark, sf_dir):
+    f = feats.base_features(_tx(spark, sf_dir))
+    return feats.group_locations(f, feats.top_location_frame(f)).select("operation_id", "location", "location_grp")
+
+
+@query("one_hot_features")
+def q_one_hot_features(spark, sf_dir):
+    f = feats.base_features(_tx(spark, sf_dir))
+    f = feats.group_locations(f, feats.top_location_frame(f))
+    return feats.one_hot_long(f)
+
+
+@query("label_encode")
+def q_label_encode(spark, sf_dir):
+    from pyspark.ml.feature import IndexToString, StringIndexerModel
+    tx = _tx(spark, sf_dir).select("operation_id", "target")
+    enc = StringIndexerModel.from_labels(LABEL_ORDER, inputCol="target", outputCol="__label", handleInvalid="error")
+    dec = IndexToString(inputCol="__label", outputCol="decoded", labels=LABEL_ORDER)
+    out = dec.transform(enc.transform(tx))
+    return out.select("operation_id", "target", F.col("__label").cast("int").alias("label"), "decoded")
+
+
+@query("score_features_new_tx")
+def q_score_features_new_tx(spark, sf_dir):
+    tx = _tx(spark, sf_dir)
+    cut = F.lit(NEW_TX_CUTOFF).cast("timestamp")
+    history = feats.base_features(tx.where(F.col("tx_ts") < cut))
+    new = feats.base_features(tx.where(F.col("tx_ts") >= cut))
+    new = feats.group_locations(new, feats.top_location_frame(history))
+    new = feats.with_client_tx_count(new, history=history, default=1)
+    return new.select("operation_id", "location_grp", "nb_transactions_client", "heure", "jour_semaine",
+                      "est_weekend", "est_nuit", r6(F.col("log_montant")).alias("log_montant"))
+
+
+@query("make_ts")
+def q_make_ts(spark, sf_dir):
+    tx = _tx(spark, sf_dir).select("operation_id", F.to_date("tx_ts").alias("jour"),
+                                   F.hour("tx_ts").alias("h"), F.minute("tx_ts").alias("m"),
+                                   F.second("tx_ts").alias("s"))
+    return tx.select("operation_id", "jour",
+                     F.make_timestamp(F.year("jour"), F.month("jour"), F.dayofmonth("jour"), F.col("h"), F.col("m"),
+                                      F.col("s")).alias("tx_ts_combine"))
+
+
+@query("ts_format")
+def q_ts_format(spark, sf_dir):
+    return _tx(spark, sf_dir).select("operation_id",
+                                     F.date_format("tx_ts", "yyyy-MM-dd HH:mm:ss").alias("horodatage_txt"),
+                                     F.date_format("tx_ts", "dd/MM/yy").alias("periode"))
+
+
+@query("tx_json")
+def q_tx_json(spark, sf_dir):
+    f = feats.with_client_tx_count(_tx(spark, sf_dir))
+
+    def s(c):
+        return F.coalesce(c.cast("string"), F.lit("None"))
+    st = F.struct(s(F.col("tx_type")).alias("tx_type"), s(F.col("op_status")).alias("op_status"),
+                  s(F.col("location")).alias("location"),
+                  s(F.date_format("tx_ts", "yyyy-MM-dd HH:mm:ss")).alias("date"),
+                  s(F.col("amount")).alias("amount"),
+                  s(F.col("nb_transactions_client")).alias("nb_transactions_client"))
+    return f.select("operation_id", F.to_json(st).alias("tx_json"))
+
+
+# ----------------------------------------------------------------------------- scores & metrics
+def _scored(spark, sf_dir):
+    return scored(spark, sf_dir)
+
+
+def _predicted(spark, sf_dir):
+    sc = _scored(spark, sf_dir)
+    return sc.withColumn("predicted_status", verdict(F.col("p_fraud"), F.col("p_normal"), F.col("p_suspect"), THRESHOLD))
+
+
+@query("verdict")
+def q_verdict(spark, sf_dir):
+    return _predicted(spark, sf_dir).select("operation_id", "target", r6(F.col("p_fraud")).alias("p_fraud"),
+                                            r6(F.col("p_normal")).alias("p_normal"),
+                                            r6(F.col("p_suspect")).alias("p_suspect"), "predicted_status")
+
+
+@query("risk_band")
+def q_risk_band(spark, sf_dir):
+    return _scored(spark, sf_dir).select("operation_id", r6(F.col("p_fraud")).alias("p_fraud"),
+                                         risk_band(F.col("p_fraud")).alias("bande"))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return mt.confusion_matrix(_predicted(spark, sf_dir))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return mt.classification_report(_predicted(spark, sf_dir))
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    return mt.model_metrics(_predicted(spark, sf_dir))
+
+
+@query("threshold_metrics")
+def q_threshold_metrics(spark, sf_dir):
+    return mt.threshold_metrics(_scored(spark, sf_dir), THRESHOLD)
+
+
+@query("threshold_confusion")
+def q_threshold_confusion(spark, sf_dir):
+    return mt.threshold_confusion(_scored(spark, sf_dir), THRESHOLD)
+
+
+@query("pr_curve")
+def q_pr_curve(spark, sf_dir):
+    return mt.pr_curve(_scored(spark, sf_dir))
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    return mt.roc_curve(_scored(spark, sf_dir))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return mt.roc_auc(_scored(spark, sf_dir))
+
+
+@query("best_f1_threshold")
+def q_best_f1_threshold(spark, sf_dir):
+    return mt.best_f1_threshold(_scored(spark, sf_dir))
+
+
+# ----------------------------------------------------------------------------- split, weights, scaling
+def _split(spark, sf_dir):
+    return sp.stratified_split(_tx(spark, sf_dir))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("operation_id", "target", "is_test")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    return sp.class_weights(_split(spark, sf_dir).where(~F.col("is_test")))
+
+
+@query("contamination_rate")
+def q_contamination_rate(spark, sf_dir):
+    return sp.contamination_rate(_split(spark, sf_dir).where(~F.col("is_test")))
+
+
+@query("standardized_features")
+def q_standardized_features(spark, sf_dir):
+    from fraudlens.operators.models import apply_scaler, fit_scaler
+    tx = sp.stratified_split(_tx(spark, sf_dir))
+    f = feats.with_client_tx_count(feats.base_features(tx))
+    scaler = fit_scaler(f.where(~F.col("is_test")), NUMERIC_FEATURES)
+    z = apply_scaler(f, scaler)
+    return z.select("operation_id", *[r6(F.col(c)).alias(c) for c in NUMERIC_FEATURES])
+
+
+# ----------------------------------------------------------------------------- journal & runs
+def _journal(spark, sf_dir):
+    return jr.journal_from_scored(_scored(spark, sf_dir), THRESHOLD)
+
+
+JOURNAL_COLUMNS = ["scored_at", "operation_id", "tx_type", "op_status", "location", "amount", "threshold",
+                   "predicted_status", "p_fraude", "p_normal", "p_suspect"]
+
+
+@query("journal_summary")
+def q_journal_summary(spark, sf_dir):
+    return jr.journal_summary(_journal(spark, sf_dir), JOURNAL_STATUSES)
+
+
+@query("journal_filtered")
+def q_journal_filtered(spark, sf_dir):
+    return jr.journal_filtered(_journal(spark, sf_dir), JOURNAL_STATUSES).select(*JOURNAL_COLUMNS)
+
+
+@query("journal_union")
+def q_journal_union(spark, sf_dir):
+    j = _journal(spark, sf_dir).select(*JOURNAL_COLUMNS)
+    early = F.coalesce(F.col("scored_at") < F.lit(UNION_CUTOFF).cast("timestamp"), F.lit(False))
+    return j.where(early).unionByName(j.where(~early))
+
+
+@query("run_history")
+def q_run_history(spark, sf_dir):
+    return jr.run_history(jr.daily_runs(_journal(spark, sf_dir)))
+
+
+@query("run_deltas")
+def q_run_deltas(spark, sf_dir):
+    return jr.run_deltas(jr.daily_runs(_journal(spark, sf_dir)))
