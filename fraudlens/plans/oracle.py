@@ -558,3 +558,25 @@ SELECT horodatage, accuracy, rappel_fraude, f1_fraude,
 FROM (SELECT *, lag(accuracy) OVER (ORDER BY horodatage) AS pa, lag(rappel_fraude) OVER (ORDER BY horodatage) AS pr,
              lag(f1_fraude) OVER (ORDER BY horodatage) AS pf FROM runs)
 WHERE pa IS NOT NULL""", _JOURNAL + "," + _RUNS))
+
+# ----------------------------------------------------------------------------- streaming
+_reg("streaming_scoring", with_tx(f"SELECT {_JCOLS} FROM journal", _JOURNAL))
+
+_reg("stream_static_client_count", with_tx("""
+SELECT t.operation_id, t.client_id, CAST(coalesce(c.n, 1) AS BIGINT) AS nb_transactions_client
+FROM transactions t LEFT JOIN (SELECT client_id, count(operation_id) AS n FROM transactions
+                               WHERE client_id IS NOT NULL GROUP BY client_id) c ON t.client_id = c.client_id"""))
+
+_reg("streaming_journal_kpis", with_tx("""
+SELECT predicted_status, CAST(count(*) AS BIGINT) AS n_predictions, round(sum(amount), 6) AS montant_total
+FROM journal GROUP BY predicted_status""", _JOURNAL))
+
+# Append mode emits a day once the watermark (max event time - 1 day) passes its end.
+_reg("streaming_daily_trend", with_tx("""
+SELECT CAST(tx_ts AS DATE) AS jour, target, CAST(count(*) AS BIGINT) AS nombre
+FROM transactions
+WHERE CAST(CAST(tx_ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
+      <= (SELECT max(tx_ts) FROM transactions) - INTERVAL 1 DAY
+GROUP BY CAST(tx_ts AS DATE), target"""))
+
+_reg("streaming_dedup", with_tx("SELECT DISTINCT operation_id, tx_ts, amount, target FROM transactions"))

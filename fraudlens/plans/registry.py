@@ -421,3 +421,32 @@ def q_run_history(spark, sf_dir):
 @query("run_deltas")
 def q_run_deltas(spark, sf_dir):
     return jr.run_deltas(jr.daily_runs(_journal(spark, sf_dir)))
+
+
+# ----------------------------------------------------------------------------- streaming
+from fraudlens.streaming import jobs as st  # noqa: E402
+
+
+@query("streaming_scoring")
+def q_streaming_scoring(spark, sf_dir):
+    return st.streaming_scoring(spark, sf_dir, THRESHOLD)
+
+
+@query("stream_static_client_count")
+def q_stream_static_client_count(spark, sf_dir):
+    return st.stream_static_client_count(spark, sf_dir)
+
+
+@query("streaming_journal_kpis")
+def q_streaming_journal_kpis(spark, sf_dir):
+    return st.streaming_journal_kpis(spark, sf_dir, THRESHOLD)
+
+
+@query("streaming_daily_trend")
+def q_streaming_daily_trend(spark, sf_dir):
+    return st.streaming_daily_trend(spark, sf_dir)
+
+
+@query("streaming_dedup")
+def q_streaming_dedup(spark, sf_dir):
+    return st.streaming_dedup(spark, sf_dir)

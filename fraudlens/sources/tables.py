@@ -37,7 +37,12 @@ def transactions(spark: SparkSession, sf_dir: str, with_oracle_cols: bool = True
     are never model features.
     """
     ev = read_table(spark, sf_dir, "events").select(*_EVENT_COLS)
-    loc = client_locations(spark, sf_dir)
+    return transactions_from_events(ev, client_locations(spark, sf_dir), with_oracle_cols)
+
+
+def transactions_from_events(ev: DataFrame, loc: DataFrame, with_oracle_cols: bool = True) -> DataFrame:
+    """The adapter body; ``ev`` may be a batch or a streaming DataFrame (the
+    location lookup is then a stream-static left join)."""
     j = ev.join(loc, ev.user_id == loc.c_custkey, "left")
 
     ts = F.col("ts").cast("timestamp")
