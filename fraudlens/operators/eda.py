@@ -27,8 +27,8 @@ def _count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
-def _class_counts(target: Column = F.col("target")) -> list[Column]:
-    return [_count_if(target == c).alias(f"__n_{c}") for c in TARGET_CLASSES]
+def _class_counts(target: str = "target") -> list[Column]:
+    return [_count_if(F.col(target) == c).alias(f"__n_{c}") for c in TARGET_CLASSES]
 
 
 # --------------------------------------------------------------------------- KPIs

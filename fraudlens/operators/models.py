@@ -34,3 +34,284 @@ def fit_scaler(train: DataFrame, columns: list[str]) -> Scaler:
 def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
     return df.withColumns({c: (F.col(c).cast("double") - F.lit(m)) / F.lit(s)
                            for c, m, s in zip(scaler.columns, scaler.means, scaler.scales)})
+
+
+# =========================================================================== MLlib training
+import json  # noqa: E402
+
+from pyspark import StorageLevel  # noqa: E402
+import time  # noqa: E402
+
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,  # noqa: E402
+                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.evaluation import Evaluator  # noqa: E402
+from pyspark.ml.feature import StandardScaler, VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder  # noqa: E402
+from pyspark.sql import Window  # noqa: E402
+
+from fraudlens.functions.columns import r6  # noqa: E402
+from fraudlens.functions.scores import verdict  # noqa: E402
+from fraudlens.operators.features import Vocabulary, enrich, feature_matrix, label_index  # noqa: E402
+from fraudlens.operators.split import split_hash, stratified_split, with_class_weights  # noqa: E402
+from fraudlens.schema import LABEL_ORDER, NUMERIC_FEATURES  # noqa: E402
+
+MODEL_NAMES = ["logistic_regression", "decision_tree", "random_forest", "gradient_boosting"]
+MAX_TREE_DEPTH = 30  # deepest tree MLlib builds; stands in for "unlimited"
+
+
+@dataclass
+class TrainingData:
+    train: DataFrame          # key, target, label, weight, feature columns
+    test: DataFrame
+    vocab: Vocabulary
+    feature_columns: list[str]
+    quarantined: int          # rows dropped from training for a null feature
+
+
+def prepare_training(tx: DataFrame, test_fraction: float = 0.2, seed: int = 42,
+                     key: str = "operation_id") -> TrainingData:
+    """Features (vocabulary fitted on the whole table, as the studied code does),
+    exact stratified split, label codes, balanced weights on the train rows."""
+    feat, vocab = enrich(tx)
+    feat = stratified_split(feat, key=key, test_fraction=test_fraction, seed=seed)
+    cols = vocab.feature_columns()
+    fm = feature_matrix(feat, vocab, keep=[key, "target", "is_test", "tx_ts", "amount"])
+    fm = fm.withColumn("label", label_index(F.col("target")).cast("double"))
+    complete = F.lit(True)
+    for c in cols + ["label"]:
+        complete = complete & F.col(c).isNotNull()
+    quarantined = fm.where(~complete).count()
+    fm = fm.where(complete)
+    # Reused by every fit, CV fold and evaluation; the lineage is deterministic
+    # (hash split), so a lost cached block is recomputed to the same rows.
+    train = with_class_weights(fm.where(~F.col("is_test")), "target", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    test = fm.where(F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    return TrainingData(train, test, vocab, cols, quarantined)
+
+
+def _assembler_stages(cols: list[str], invalid: str = "error"):
+    return [VectorAssembler(inputCols=cols, outputCol="__raw", handleInvalid=invalid),
+            StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)]
+
+
+def make_estimator(name: str, n_train: int | None = None, seed: int = 42, **params):
+    """Weighted MLlib estimator standing in for each compared model."""
+    if name == "logistic_regression":
+        c = params.get("C", 1.0)
+        # sklearn minimises C * sum(w * loss) + |b|^2 / 2; MLlib minimises
+        # sum(w * loss) / sum(w) + regParam * |b|^2 / 2 -> regParam = 1 / (C * sum(w)),
+        # and sum(w) = n_train under balanced weights.
+        reg = 1.0 / (c * max(1, n_train or 1))
+        return LogisticRegression(family="multinomial", maxIter=params.get("maxIter", 5000), regParam=reg,
+                                  elasticNetParam=0.0, standardization=False, weightCol="weight", tol=1e-6)
+    if name == "decision_tree":
+        return DecisionTreeClassifier(maxDepth=params.get("maxDepth", MAX_TREE_DEPTH), seed=seed, weightCol="weight",
+                                      minInstancesPerNode=params.get("minInstancesPerNode", 1),
+                                      cacheNodeIds=True, maxMemoryInMB=512)
+    if name == "random_forest":
+        return RandomForestClassifier(numTrees=params.get("numTrees", 100), maxDepth=params.get("maxDepth", MAX_TREE_DEPTH),
+                                      seed=seed, weightCol="weight", featureSubsetStrategy="sqrt",
+                                      minInstancesPerNode=params.get("minInstancesPerNode", 1),
+                                      # deep trees: keep node ids with the cached data and
+                                      # process more nodes per pass over it
+                                      cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
+    if name == "gradient_boosting":
+        # MLlib GBT is binary only: one-vs-rest over the 3 classes.
+        gbt = GBTClassifier(maxIter=params.get("maxIter", 100), maxDepth=params.get("maxDepth", 3),
+                            stepSize=params.get("stepSize", 0.1), seed=seed, weightCol="weight")
+        # the three binary problems are independent: fit them concurrently
+        return OneVsRest(classifier=gbt, weightCol="weight", parallelism=len(LABEL_ORDER))
+    raise ValueError(f"unknown model {name}")
+
+
+def fit_model(data: TrainingData, name: str, **params) -> PipelineModel:
+    n_train = params.pop("n_train", None)
+    if name == "logistic_regression" and n_train is None:
+        n_train = data.train.count()
+    est = make_estimator(name, n_train=n_train, **params)
+    return Pipeline(stages=_assembler_stages(data.feature_columns) + [est]).fit(data.train)
+
+
+def _classifier(model: PipelineModel):
+    return model.stages[-1]
+
+
+def class_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Adds p_fraude, p_normal, p_suspect (by label code, never by position of
+    a display order) and ``prediction_status`` (arg-max class)."""
+    clf = _classifier(model)
+    feats = df
+    for stage in model.stages[:-1]:
+        feats = stage.transform(feats)
+    if hasattr(clf, "models"):  # one-vs-rest: per-class binary probability, renormalised
+        cur = feats
+        for i, m in enumerate(clf.models):
+            m2 = m.copy()
+            m2.setProbabilityCol(f"__prob{i}").setRawPredictionCol(f"__raw{i}").setPredictionCol(f"__pred{i}")
+            cur = m2.transform(cur).withColumn(f"__p{i}", vector_to_array(F.col(f"__prob{i}"))[1]) \
+                .drop(f"__prob{i}", f"__raw{i}", f"__pred{i}")
+        tot = sum((F.col(f"__p{i}") for i in range(len(clf.models))), F.lit(0.0))
+        out = cur.withColumns({f"__q{i}": F.col(f"__p{i}") / tot for i in range(len(clf.models))})
+        probs = [F.col(f"__q{i}") for i in range(len(LABEL_ORDER))]
+    else:
+        out = clf.transform(feats).withColumn("__arr", vector_to_array(F.col("probability")))
+        probs = [F.col("__arr")[i] for i in range(len(LABEL_ORDER))]
+    best = F.greatest(*probs)
+    pred = F.when(probs[0] == best, LABEL_ORDER[0]).when(probs[1] == best, LABEL_ORDER[1]).otherwise(LABEL_ORDER[2])
+    out = out.withColumns({"p_fraude": probs[0], "p_normal": probs[1], "p_suspect": probs[2]})
+    out = out.withColumn("prediction_status", pred)
+    return out.select(*df.columns, "p_fraude", "p_normal", "p_suspect", "prediction_status")
+
+
+def score_with_threshold(model: PipelineModel, df: DataFrame, threshold: float) -> DataFrame:
+    """Class probabilities plus the thresholded verdict."""
+    p = class_probabilities(model, df)
+    return p.withColumn("predicted_status", verdict(F.col("p_fraude"), F.col("p_normal"), F.col("p_suspect"), threshold))
+
+
+def evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """Unweighted test metrics of the arg-max prediction (one row)."""
+    from fraudlens.operators.metrics import model_metrics
+    return model_metrics(class_probabilities(model, test), "target", "prediction_status")
+
+
+def compare_models(data: TrainingData, names: list[str] | None = None, params: dict | None = None) -> tuple[DataFrame, dict]:
+    """Fit every model with balanced weights and rank them by fraud recall
+    (ties keep fit order). Returns the comparison table and the fitted models."""
+    names = names or MODEL_NAMES
+    params = params or {}
+    spark = data.train.sparkSession
+    n_train = data.train.count()
+    fitted, rows = {}, []
+    for order, name in enumerate(names):
+        m = fit_model(data, name, n_train=n_train, **params.get(name, {}))
+        fitted[name] = m
+        r = evaluate(m, data.test).collect()[0].asDict()  # one row of 5 metrics
+        rows.append({"model": name, "fit_order": order, **r})
+    table = spark.createDataFrame(rows).select("model", "fit_order", "accuracy", "precision_macro", "recall_macro",
+                                               "f1_macro", "recall_fraude")
+    w = Window.orderBy(F.desc("recall_fraude"), F.asc("fit_order"))  # over <= 4 rows
+    return table.withColumn("rang", F.row_number().over(w)), fitted
+
+
+class MacroRecallEvaluator(Evaluator):
+    """Mean of per-class recall (the CV score of the studied code); computed by
+    one aggregation over (label, prediction)."""
+
+    def __init__(self, labelCol: str = "label", predictionCol: str = "prediction"):
+        super().__init__()
+        self.labelCol = labelCol
+        self.predictionCol = predictionCol
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        per = (dataset.groupBy(self.labelCol)
+               .agg(F.avg((F.col(self.predictionCol) == F.col(self.labelCol)).cast("double")).alias("r")))
+        v = per.agg(F.avg("r")).collect()[0][0]
+        return float(v or 0.0)
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+# Hyper-parameter grids of the studied code, translated to MLlib parameter names.
+FULL_GRIDS = {
+    "logistic_regression": {"C": [0.01, 0.1, 1, 10]},
+    "decision_tree": {"maxDepth": [MAX_TREE_DEPTH, 5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]},
+    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [MAX_TREE_DEPTH, 8, 12, 20]},
+    "gradient_boosting": {"maxIter": [100, 200, 300], "maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2]},
+}
+
+
+def fold_column(key: str = "operation_id", folds: int = 5, seed: int = 42):
+    return (F.conv(F.substring(split_hash(F.col(key), seed + 1), 1, 8), 16, 10).cast("long") % folds).cast("int")
+
+
+def grid_search(data: TrainingData, name: str, grid: dict | None = None, folds: int = 5, parallelism: int = 2):
+    """k-fold CV on the train rows scored by macro recall (weighted fit,
+    unweighted score); returns (best PipelineModel, table of grid results)."""
+    grid = grid if grid is not None else FULL_GRIDS[name]
+    n_train = data.train.count()
+    train = data.train.withColumn("fold", fold_column(folds=folds))
+    stages = _assembler_stages(data.feature_columns)
+    est = make_estimator(name, n_train=n_train)
+    builder = ParamGridBuilder()
+    clf_for_params = est.getClassifier() if isinstance(est, OneVsRest) else est
+    if name == "logistic_regression":
+        builder = builder.addGrid(est.regParam, [1.0 / (c * n_train) for c in grid.get("C", [1.0])])
+    else:
+        for p, values in grid.items():
+            builder = builder.addGrid(clf_for_params.getParam(p), values)
+    maps = builder.build()
+    pipe = Pipeline(stages=stages + [est])
+    # Grid maps refer to the classifier inside the pipeline; CrossValidator
+    # applies them to the pipeline copy.
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=MacroRecallEvaluator(),
+                        foldCol="fold", numFolds=folds, parallelism=parallelism, seed=42)
+    cvm = cv.fit(train)
+    spark = data.train.sparkSession
+    rows = []
+    for i, (pm, metric) in enumerate(zip(maps, cvm.avgMetrics)):
+        rows.append({"grid_point": i, "params": json.dumps({k.name: v for k, v in pm.items()}, sort_keys=True),
+                     "macro_recall_cv": float(metric)})
+    table = spark.createDataFrame(rows)
+    return cvm.bestModel, table
+
+
+def feature_importances(model: PipelineModel, feature_columns: list[str], top: int = 12) -> DataFrame | None:
+    """Top feature importances of a tree model; None when the model has none."""
+    clf = _classifier(model)
+    if not hasattr(clf, "featureImportances"):
+        return None
+    imp = clf.featureImportances.toArray().tolist()
+    spark = SparkSessionHolder.get()
+    rows = [{"feature": f, "importance": float(v)} for f, v in zip(feature_columns, imp)]
+    df = spark.createDataFrame(rows)
+    return df.orderBy(F.desc("importance"), F.asc("feature")).limit(top)
+
+
+class SparkSessionHolder:
+    @staticmethod
+    def get():
+        from pyspark.sql import SparkSession
+        return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+# --------------------------------------------------------------------------- artefacts
+def save_artefacts(path: str, model: PipelineModel, vocab: Vocabulary, meta: dict) -> None:
+    """PipelineModel + fitted vocabulary + metadata (JSON text table)."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSessionHolder.get()
+    doc = json.dumps({"vocab": vocab.to_dict(), "meta": meta}, sort_keys=True)
+    spark.createDataFrame([(doc,)], "doc string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_artefacts(path: str) -> tuple[PipelineModel, Vocabulary, dict]:
+    spark = SparkSessionHolder.get()
+    model = PipelineModel.load(f"{path}/model")
+    doc = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
+    return model, Vocabulary.from_dict(doc["vocab"]), doc["meta"]
+
+
+def artefacts_exist(path: str) -> bool:
+    spark = SparkSessionHolder.get()
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(hpath)
+
+
+def fit_or_load(path: str, tx: DataFrame, name: str = "random_forest") -> tuple[PipelineModel, Vocabulary, dict]:
+    """Load the saved artefacts, or train and save them when absent/unreadable."""
+    if artefacts_exist(path):
+        try:
+            return load_artefacts(path)
+        except Exception:  # noqa: BLE001 - unreadable artefacts are rebuilt
+            pass
+    t0 = time.time()
+    data = prepare_training(tx)
+    model = fit_model(data, name)
+    meta = {"model_nom": name, "feature_columns": data.feature_columns, "train_seconds": round(time.time() - t0, 1)}
+    save_artefacts(path, model, data.vocab, meta)
+    return model, data.vocab, meta

@@ -450,3 +450,186 @@ def q_streaming_daily_trend(spark, sf_dir):
 @query("streaming_dedup")
 def q_streaming_dedup(spark, sf_dir):
     return st.streaming_dedup(spark, sf_dir)
+
+
+# ----------------------------------------------------------------------------- machine learning
+# Fitted artefacts are small driver objects; they are cached per (session, input)
+# so the comparison, importance and scoring queries reuse one training.
+_ML_CACHE: dict = {}
+
+
+def _training(spark, sf_dir):
+    from fraudlens.operators.models import prepare_training
+    key = (id(spark), sf_dir, "data")
+    if key not in _ML_CACHE:
+        _ML_CACHE[key] = prepare_training(_tx(spark, sf_dir))
+    return _ML_CACHE[key]
+
+
+def _fitted(spark, sf_dir, name):
+    from fraudlens.operators.models import fit_model
+    key = (id(spark), sf_dir, name)
+    if key not in _ML_CACHE:
+        _ML_CACHE[key] = fit_model(_training(spark, sf_dir), name)
+    return _ML_CACHE[key]
+
+
+def _test_predictions(spark, sf_dir, name):
+    from fraudlens.operators.models import class_probabilities
+    d = _training(spark, sf_dir)
+    p = class_probabilities(_fitted(spark, sf_dir, name), d.test)
+    return p.select("operation_id", "target", "prediction_status", r6(F.col("p_fraude")).alias("p_fraude"),
+                    r6(F.col("p_normal")).alias("p_normal"), r6(F.col("p_suspect")).alias("p_suspect"))
+
+
+@query("train_lr")
+def q_train_lr(spark, sf_dir):
+    return _test_predictions(spark, sf_dir, "logistic_regression")
+
+
+@query("train_dt")
+def q_train_dt(spark, sf_dir):
+    return _test_predictions(spark, sf_dir, "decision_tree")
+
+
+@query("train_rf")
+def q_train_rf(spark, sf_dir):
+    return _test_predictions(spark, sf_dir, "random_forest")
+
+
+@query("train_gbt_ovr")
+def q_train_gbt_ovr(spark, sf_dir):
+    return _test_predictions(spark, sf_dir, "gradient_boosting")
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    from fraudlens.operators.models import MODEL_NAMES, evaluate
+    d = _training(spark, sf_dir)
+    parts = []
+    for order, name in enumerate(MODEL_NAMES):
+        m = evaluate(_fitted(spark, sf_dir, name), d.test)
+        parts.append(m.select(F.lit(name).alias("model"), F.lit(order).alias("fit_order"), "*"))
+    table = parts[0]
+    for p in parts[1:]:
+        table = table.unionByName(p)
+    from pyspark.sql import Window
+    w = Window.orderBy(F.desc("recall_fraude"), F.asc("fit_order"))  # 4 rows
+    return table.withColumn("rang", F.row_number().over(w))
+
+
+@query("grid_search")
+def q_grid_search(spark, sf_dir):
+    from fraudlens.operators.models import FULL_GRIDS, grid_search
+    _, table = grid_search(_training(spark, sf_dir), "logistic_regression", FULL_GRIDS["logistic_regression"])
+    return table
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    from fraudlens.operators.models import feature_importances
+    d = _training(spark, sf_dir)
+    return feature_importances(_fitted(spark, sf_dir, "decision_tree"), d.feature_columns, 12)
+
+
+@query("class_probabilities")
+def q_class_probabilities(spark, sf_dir):
+    from pyspark.sql import Window
+    p = _test_predictions(spark, sf_dir, "decision_tree")
+    long = p.select("operation_id", F.posexplode(F.array("p_fraude", "p_normal", "p_suspect")).alias("__i", "probabilite"))
+    names = F.array(*[F.lit(c) for c in LABEL_ORDER])
+    long = long.select("operation_id", F.element_at(names, F.col("__i") + 1).alias("statut"),
+                       (F.col("probabilite") * 100).alias("probabilite"))
+    w = Window.partitionBy("operation_id").orderBy(F.desc("probabilite"), F.asc("statut"))  # 3 rows per group
+    return long.withColumn("rang", F.row_number().over(w))
+
+
+def _model_threshold(spark, sf_dir, name):
+    """Best-F1 threshold of a fitted model's fraud probability on the test rows."""
+    d = _training(spark, sf_dir)
+    from fraudlens.operators.models import class_probabilities
+    p = class_probabilities(_fitted(spark, sf_dir, name), d.test)
+    row = mt.best_f1_threshold(p, score="p_fraude").collect()[0]  # one row
+    return float(row["seuil"])
+
+
+@query("model_best_threshold")
+def q_model_best_threshold(spark, sf_dir):
+    d = _training(spark, sf_dir)
+    from fraudlens.operators.models import class_probabilities
+    p = class_probabilities(_fitted(spark, sf_dir, "logistic_regression"), d.test)
+    return mt.best_f1_threshold(p, score="p_fraude")
+
+
+@query("batch_scoring")
+def q_batch_scoring(spark, sf_dir):
+    """Score every transaction with the fitted model and its calibrated threshold."""
+    from fraudlens.operators.models import score_with_threshold
+    name = "logistic_regression"
+    d = _training(spark, sf_dir)
+    t = _model_threshold(spark, sf_dir, name)
+    feat, _ = feats.enrich(_tx(spark, sf_dir), vocab=d.vocab)
+    fm = feats.feature_matrix(feat, d.vocab, keep=["operation_id", "target"])
+    s = score_with_threshold(_fitted(spark, sf_dir, name), fm, t)
+    return s.select("operation_id", "target", F.lit(t).alias("threshold"), "predicted_status",
+                    r6(F.col("p_fraude")).alias("p_fraude"), r6(F.col("p_normal")).alias("p_normal"),
+                    r6(F.col("p_suspect")).alias("p_suspect"))
+
+
+@query("streaming_model_scoring")
+def q_streaming_model_scoring(spark, sf_dir):
+    """ST1 with the fitted model: stream -> same feature transform (fitted
+    vocabulary, client counts from the static history, default 1) -> model ->
+    verdict -> journal sink."""
+    from fraudlens.operators.models import score_with_threshold
+    name = "logistic_regression"
+    d = _training(spark, sf_dir)
+    t = _model_threshold(spark, sf_dir, name)
+    stream = st.stream_transactions(spark, sf_dir)
+    feat = feats.group_locations(feats.base_features(stream), d.vocab.top_locations)
+    feat = feats.with_client_tx_count(feat, history=_tx(spark, sf_dir), default=1)
+    fm = feats.feature_matrix(feat, d.vocab, keep=["operation_id", "tx_ts", "amount", "target"])
+    s = score_with_threshold(_fitted(spark, sf_dir, name), fm, t)
+    s = s.select(F.col("tx_ts").alias("scored_at"), "operation_id", "amount", "target", F.lit(t).alias("threshold"),
+                 "predicted_status", (F.col("p_fraude") * 100).alias("p_fraude"),
+                 (F.col("p_normal") * 100).alias("p_normal"), (F.col("p_suspect") * 100).alias("p_suspect"))
+    return st.run_available(s, "model_scoring")
+
+
+def _iforest(spark, sf_dir):
+    from fraudlens.operators.iforest import fit_isolation_forest
+    key = (id(spark), sf_dir, "iforest")
+    if key not in _ML_CACHE:
+        d = _training(spark, sf_dir)
+        scaled = _scaled(d)
+        contamination = sp.contamination_rate(d.train).collect()[0][0]
+        _ML_CACHE[key] = (fit_isolation_forest(scaled[0], d.feature_columns, contamination=contamination),
+                          scaled, contamination)
+    return _ML_CACHE[key]
+
+
+def _scaled(d):
+    """Train / test standardised with the train statistics (fit without labels)."""
+    from fraudlens.operators.models import apply_scaler, fit_scaler
+    sc = fit_scaler(d.train, d.feature_columns)
+    return apply_scaler(d.train, sc), apply_scaler(d.test, sc)
+
+
+@query("isolation_forest_scores")
+def q_isolation_forest_scores(spark, sf_dir):
+    from fraudlens.operators.iforest import flag_anomalies
+    model, (train, test), _ = _iforest(spark, sf_dir)
+    both = train.select("operation_id", "target", "is_test", *model.features).unionByName(
+        test.select("operation_id", "target", "is_test", *model.features))
+    return flag_anomalies(model, both).select("operation_id", "target", "is_test",
+                                              r6(F.col("if_score")).alias("if_score"), "is_anomaly")
+
+
+@query("isolation_forest_metrics")
+def q_isolation_forest_metrics(spark, sf_dir):
+    from fraudlens.operators.iforest import flag_anomalies
+    model, (_, test), contamination = _iforest(spark, sf_dir)
+    flagged = flag_anomalies(model, test).withColumn("__s", F.col("is_anomaly").cast("double"))
+    m = mt.threshold_metrics(flagged, 0.5, score="__s")
+    return m.select(F.lit(float(contamination)).alias("contamination"), "precision", "rappel", "f1",
+                    "faux_negatifs", "faux_positifs")
