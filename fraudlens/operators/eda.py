@@ -206,25 +206,22 @@ def correlation_matrix(tx: DataFrame) -> DataFrame:
         is_fraud(F.col("target")).cast("double").alias("est_fraude"),
         is_suspect_or_fraud(F.col("target")).cast("double").alias("est_suspect_ou_fraude"),
     )
-    aggs = []
+    # Long form: every row emits the 36 (x, y) pairs of the upper triangle and
+    # one grouped aggregation (36 groups, map-side combined) computes them; a
+    # pair's statistics only use rows where both values are present.
     names = CORR_FEATURES
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            ca, cb = F.col(a), F.col(b)
-            a2 = F.when(cb.isNotNull(), ca)
-            b2 = F.when(ca.isNotNull(), cb)
-            r = F.try_divide(F.covar_pop(a2, b2), F.stddev_pop(a2) * F.stddev_pop(b2))
-            aggs.append(r.alias(f"{a}__{b}"))
-    wide = num.agg(*aggs)
-    pairs = []
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            pairs.append((a, b, f"{a}__{b}"))
-            if a != b:
-                pairs.append((b, a, f"{a}__{b}"))
-    stack = ", ".join(f"'{x}', '{y}', `{c}`" for x, y, c in pairs)
-    return wide.selectExpr(f"stack({len(pairs)}, {stack}) as (var_x, var_y, r)").select(
-        "var_x", "var_y", r6(F.col("r")).alias("r"))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in pairs}
+    arr = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
+                             F.when(both[(a, b)], F.col(a)).alias("va"),
+                             F.when(both[(a, b)], F.col(b)).alias("vb")) for a, b in pairs])
+    long = num.select(F.inline(arr))
+    agg = long.groupBy("x", "y").agg(
+        F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop("va") * F.stddev_pop("vb")).alias("r"))
+    upper = agg.select(F.col("x").alias("var_x"), F.col("y").alias("var_y"), r6(F.col("r")).alias("r"))
+    lower = upper.where(F.col("var_x") != F.col("var_y")).select(
+        F.col("var_y").alias("var_x"), F.col("var_x").alias("var_y"), "r")
+    return upper.unionByName(lower)
 
 
 # --------------------------------------------------------------------------- data quality

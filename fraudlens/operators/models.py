@@ -75,19 +75,22 @@ def prepare_training(tx: DataFrame, test_fraction: float = 0.2, seed: int = 42,
     """Features (vocabulary fitted on the whole table, as the studied code does),
     exact stratified split, label codes, balanced weights on the train rows."""
     feat, vocab = enrich(tx)
-    feat = stratified_split(feat, key=key, test_fraction=test_fraction, seed=seed)
+    feat = stratified_split(feat, key=key, test_fraction=test_fraction, seed=seed, classes=LABEL_ORDER)
     cols = vocab.feature_columns()
     fm = feature_matrix(feat, vocab, keep=[key, "target", "is_test", "tx_ts", "amount"])
     fm = fm.withColumn("label", label_index(F.col("target")).cast("double"))
     complete = F.lit(True)
     for c in cols + ["label"]:
         complete = complete & F.col(c).isNotNull()
-    quarantined = fm.where(~complete).count()
-    fm = fm.where(complete)
-    # Reused by every fit, CV fold and evaluation; the lineage is deterministic
-    # (hash split), so a lost cached block is recomputed to the same rows.
+    # One materialisation of the split feature matrix feeds the quarantine
+    # count, the class weights, every fit, CV fold and evaluation. The lineage
+    # is deterministic (hash split), so a lost cached block is recomputed to
+    # the same rows.
+    fm = fm.withColumn("__complete", complete).persist(StorageLevel.MEMORY_AND_DISK)
+    quarantined = fm.where(~F.col("__complete")).count()
+    fm = fm.where(F.col("__complete")).drop("__complete")
     train = with_class_weights(fm.where(~F.col("is_test")), "target", "weight").persist(StorageLevel.MEMORY_AND_DISK)
-    test = fm.where(F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
+    test = fm.where(F.col("is_test"))
     return TrainingData(train, test, vocab, cols, quarantined)
 
 
@@ -105,7 +108,8 @@ def make_estimator(name: str, n_train: int | None = None, seed: int = 42, **para
         # and sum(w) = n_train under balanced weights.
         reg = 1.0 / (c * max(1, n_train or 1))
         return LogisticRegression(family="multinomial", maxIter=params.get("maxIter", 5000), regParam=reg,
-                                  elasticNetParam=0.0, standardization=False, weightCol="weight", tol=1e-6)
+                                  elasticNetParam=0.0, standardization=False, weightCol="weight",
+                                  tol=params.get("tol", 1e-4))
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=params.get("maxDepth", MAX_TREE_DEPTH), seed=seed, weightCol="weight",
                                       minInstancesPerNode=params.get("minInstancesPerNode", 1),

@@ -26,11 +26,14 @@ def split_hash(key: Column, seed: int) -> Column:
 
 
 def stratified_split(df: DataFrame, key: str = "operation_id", label: str = "target", test_fraction: float = 0.2,
-                     seed: int = 42, out_col: str = "is_test") -> DataFrame:
+                     seed: int = 42, out_col: str = "is_test", classes: list[str] | None = None) -> DataFrame:
     """Add boolean ``is_test``; rows with a null label are left out (they cannot
-    be learned from)."""
+    be learned from). With ``classes`` (the label vocabulary) only those labels
+    are kept and the bucket table is bounded by len(classes) x 65,536 rows by
+    construction; without it the class count is checked first."""
     h = split_hash(F.col(key), seed)
-    work = (df.where(F.col(label).isNotNull())
+    keep = F.col(label).isNotNull() if classes is None else F.col(label).isin(list(classes))
+    work = (df.where(keep)
             .withColumn("__h", h)
             .withColumn("__b", F.conv(F.substring("__h", 1, HASH_PREFIX_HEX), 16, 10).cast("int")))
     counts = work.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -42,7 +45,8 @@ def stratified_split(df: DataFrame, key: str = "operation_id", label: str = "tar
                         .when(F.col("__before") >= F.col("__quota"), F.lit("train"))
                         .otherwise(F.lit("boundary")))
             .select(label, "__b", "__before", "__quota", "__state"))
-    n_classes = counts.select(label).distinct().limit(MAX_BROADCAST_CLASSES + 1).count()
+    n_classes = (len(classes) if classes is not None
+                 else counts.select(label).distinct().limit(MAX_BROADCAST_CLASSES + 1).count())
     info_side = F.broadcast(info) if n_classes <= MAX_BROADCAST_CLASSES else info
     tagged = work.join(info_side, [label, "__b"])
 

@@ -472,7 +472,7 @@ _SPLIT = """
 spl AS (
   SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(concat(operation_id, ':42')), operation_id)
               <= floor(0.2 * count(*) OVER (PARTITION BY target)) AS is_test
-  FROM transactions WHERE target IS NOT NULL)"""
+  FROM transactions WHERE target IN ('Fraude', 'Normal', 'Suspect'))"""
 
 _reg("stratified_split", with_tx("SELECT operation_id, target, is_test FROM spl", _SPLIT))
 

@@ -359,7 +359,7 @@ def q_best_f1_threshold(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- split, weights, scaling
 def _split(spark, sf_dir):
-    return sp.stratified_split(_tx(spark, sf_dir))
+    return sp.stratified_split(_tx(spark, sf_dir), classes=LABEL_ORDER)
 
 
 @query("stratified_split")
@@ -380,8 +380,8 @@ def q_contamination_rate(spark, sf_dir):
 @query("standardized_features")
 def q_standardized_features(spark, sf_dir):
     from fraudlens.operators.models import apply_scaler, fit_scaler
-    tx = sp.stratified_split(_tx(spark, sf_dir))
-    f = feats.with_client_tx_count(feats.base_features(tx))
+    tx = sp.stratified_split(_tx(spark, sf_dir), classes=LABEL_ORDER)
+    f = feats.with_client_tx_count(feats.base_features(tx), history=_tx(spark, sf_dir))
     scaler = fit_scaler(f.where(~F.col("is_test")), NUMERIC_FEATURES)
     z = apply_scaler(f, scaler)
     return z.select("operation_id", *[r6(F.col(c)).alias(c) for c in NUMERIC_FEATURES])
