@@ -292,21 +292,35 @@ def categorical_columns(tx: DataFrame) -> list[str]:
 
 def value_frequency(tx: DataFrame, top: int | None = UNIVARIATE_TOP, columns: list[str] | None = None) -> DataFrame:
     """Frequency of each value of each categorical column (nulls dropped), long
-    form (colonne, valeur, nombre, rang); ``top`` keeps the first values per
-    column by count desc then value."""
+    form (colonne, valeur, nombre). With ``top``: the first values per column by
+    count desc then value, with their rank - each column's top-k is a
+    distributed partial top-k, so no column is gathered into one task. Without
+    ``top``: every value, sorted by column, count desc, value (range-partitioned
+    global sort)."""
     cols = columns or categorical_columns(tx)
     long = tx.select(*cols).unpivot([], cols, "colonne", "valeur").where(F.col("valeur").isNotNull())
     freq = long.groupBy("colonne", "valeur").agg(F.count(F.lit(1)).alias("nombre"))
-    w = Window.partitionBy("colonne").orderBy(F.desc("nombre"), F.asc("valeur"))
-    ranked = freq.withColumn("rang", F.row_number().over(w).cast("long"))
-    return ranked.where(F.col("rang") <= top) if top else ranked
+    if not top:
+        return freq.orderBy("colonne", F.desc("nombre"), F.asc("valeur"))
+    parts = []
+    for c in cols:
+        k = freq.where(F.col("colonne") == c).orderBy(F.desc("nombre"), F.asc("valeur")).limit(top)
+        w = Window.orderBy(F.desc("nombre"), F.asc("valeur"))  # over <= top rows
+        parts.append(k.withColumn("rang", F.row_number().over(w).cast("long")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def amount_histogram(tx: DataFrame, bins: int = 20, col: str = "amount") -> DataFrame:
     """Equal-width histogram of ``col`` from its min to max, split by target."""
     base = tx.where(F.col(col).isNotNull() & F.col("target").isNotNull())
-    lo = base.select(F.min(col)).scalar()
-    hi = base.select(F.max(col)).scalar()
+    bounds = base.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).collect()[0]  # one row
+    if bounds["lo"] is None:
+        return base.select(F.lit(0).alias("bin"), F.lit(0.0).alias("bin_min"), F.lit(0.0).alias("bin_max"),
+                           "target", F.lit(0).cast("long").alias("nombre")).limit(0)
+    lo, hi = F.lit(float(bounds["lo"])), F.lit(float(bounds["hi"]))
     width = (hi - lo) / bins
     b = F.least(F.floor(F.try_divide(F.col(col) - lo, width)), F.lit(bins - 1))
     b = F.coalesce(b, F.lit(0)).cast("int")

@@ -7,6 +7,7 @@ threshold from per-score counts followed by a distributed running sum.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +135,10 @@ def score_counts(df: DataFrame, score: str = "p_fraud", label: str = "target") -
 def curve_table(df: DataFrame, score: str = "p_fraud", label: str = "target") -> DataFrame:
     """Per distinct score s: tp / fp = positives / negatives with score >= s,
     plus the totals P and N (scalar subqueries, evaluated once)."""
-    sc = score_counts(df, score, label)
+    # The per-score table (one row per distinct score) feeds the cut points,
+    # the bucket totals, the running sums and P / N: cached once instead of
+    # rescanning the input for each.
+    sc = score_counts(df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
     cum = running_sum(sc, "score", ["pos", "neg"], descending=True)
     tot_p = sc.select(F.sum("pos")).scalar()
     tot_n = sc.select(F.sum("neg")).scalar()

@@ -225,7 +225,7 @@ freq AS (
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY colonne ORDER BY nombre DESC, valeur) AS BIGINT) AS rang FROM freq)"""
 
 _reg("value_frequency_top30", with_tx("SELECT colonne, valeur, nombre, rang FROM rk WHERE rang <= 30", _FREQ))
-_reg("value_frequency_all", with_tx("SELECT colonne, valeur, nombre, rang FROM rk", _FREQ))
+_reg("value_frequency_all", with_tx("SELECT colonne, valeur, nombre FROM freq", _FREQ))
 
 _reg("amount_histogram", with_tx("""
 SELECT bin, round(lo + bin * w, 6) AS bin_min, round(lo + (bin + 1) * w, 6) AS bin_max, target,

@@ -587,7 +587,9 @@ def q_streaming_model_scoring(spark, sf_dir):
     t = _model_threshold(spark, sf_dir, name)
     stream = st.stream_transactions(spark, sf_dir)
     feat = feats.group_locations(feats.base_features(stream), d.vocab.top_locations)
-    feat = feats.with_client_tx_count(feat, history=_tx(spark, sf_dir), default=1)
+    counts = st.static_table(eda.client_counts(_tx(spark, sf_dir)), "client_counts")
+    feat = feat.join(counts, "client_id", "left").withColumn(
+        "nb_transactions_client", F.coalesce(F.col("nb_transactions_client"), F.lit(1).cast("long")))
     fm = feats.feature_matrix(feat, d.vocab, keep=["operation_id", "tx_ts", "amount", "target"])
     s = score_with_threshold(_fitted(spark, sf_dir, name), fm, t)
     s = s.select(F.col("tx_ts").alias("scored_at"), "operation_id", "amount", "target", F.lit(t).alias("threshold"),

@@ -33,8 +33,11 @@ def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int =
 
 
 def stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming transactions: events joined (stream-static) to client locations."""
-    return transactions_from_events(event_stream(spark, sf_dir), client_locations(spark, sf_dir))
+    """Streaming transactions: events joined (stream-static) to client
+    locations; the customer x nation lookup is written once, not re-joined in
+    every micro-batch."""
+    return transactions_from_events(event_stream(spark, sf_dir),
+                                    static_table(client_locations(spark, sf_dir), "client_locations"))
 
 
 def _dirs(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -67,6 +70,16 @@ def run_available(df: DataFrame, name: str, output_mode: str = "append", timeout
     return spark.read.schema(df.schema).parquet(out)
 
 
+def static_table(df: DataFrame, name: str) -> DataFrame:
+    """Write the static side of a stream-static join once to the shared folder
+    and read it back: micro-batches then scan a small table instead of
+    re-running its aggregation, and the lineage is cut."""
+    spark = df.sparkSession
+    out = shared_path(spark, f"static/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 JOURNAL_COLUMNS = ["scored_at", "operation_id", "tx_type", "op_status", "location", "amount", "threshold",
                    "predicted_status", "p_fraude", "p_normal", "p_suspect"]
 
@@ -80,7 +93,7 @@ def streaming_scoring(spark: SparkSession, sf_dir: str, threshold: float = 0.5)
 def stream_static_client_count(spark: SparkSession, sf_dir: str, default: int = 1) -> DataFrame:
     """ST2: each streamed transaction gets its client's history count from a
     static aggregate (stream-static left join); unknown client -> default."""
-    counts = client_counts(transactions(spark, sf_dir))
+    counts = static_table(client_counts(transactions(spark, sf_dir)), "client_counts")
     s = stream_transactions(spark, sf_dir).join(counts, "client_id", "left")
     s = s.select("operation_id", "client_id",
                  F.coalesce(F.col("nb_transactions_client"), F.lit(default).cast("long")).alias("nb_transactions_client"))
