@@ -635,3 +635,18 @@ def q_isolation_forest_metrics(spark, sf_dir):
     m = mt.threshold_metrics(flagged, 0.5, score="__s")
     return m.select(F.lit(float(contamination)).alias("contamination"), "precision", "rappel", "f1",
                     "faux_negatifs", "faux_positifs")
+
+
+@query("training_run")
+def q_training_run(spark, sf_dir):
+    """The whole training lifecycle; the winner's grid is limited to 4 points
+    here (the library default is the full grid)."""
+    from fraudlens.operators.models import MODEL_NAMES
+    from fraudlens.plans.training import run_training
+    from fraudlens.session import shared_path
+    import uuid
+    d = _training(spark, sf_dir)
+    fitted = {n: _fitted(spark, sf_dir, n) for n in MODEL_NAMES}
+    out = shared_path(spark, f"training/{uuid.uuid4().hex[:12]}")
+    return run_training(spark, _tx(spark, sf_dir), f"{out}/artefacts", f"{out}/runs", grid_points=4,
+                        data=d, fitted=fitted)
