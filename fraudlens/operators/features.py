@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,19 +95,29 @@ def dummy_name(col: str, level: str) -> str:
 
 
 def fit_vocabulary(tx: DataFrame, nb_locations: int = TOP_LOCATIONS) -> Vocabulary:
-    """Fit the top-location list and the categorical levels (bounded lists)."""
+    """Fit the top-location list and the categorical levels from one scan: a
+    per-(column, value) count table (map-side combined, one row per distinct
+    value) is cached, and the bounded lists are read from it."""
     feat = base_features(tx)
-    top = [r["location"] for r in top_location_frame(feat, nb_locations).collect()]
-    grouped = group_locations(feat, top)
-    levels = {}
-    long = grouped.select(*CATEGORICAL_FEATURES).unpivot([], CATEGORICAL_FEATURES, "col", "level") \
-        .where(F.col("level").isNotNull()).distinct()
-    rows = long.limit(MAX_LEVELS * len(CATEGORICAL_FEATURES) + 1).collect()
+    raw_cols = [c for c in CATEGORICAL_FEATURES if c != "location_grp"] + ["location"]
+    counts = (feat.select(*raw_cols).unpivot([], raw_cols, "col", "level")
+              .groupBy("col", "level").agg(F.count(F.lit(1)).alias("n"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    loc = counts.where(F.col("col") == "location")
+    top_rows = (loc.where(F.col("level").isNotNull()).orderBy(F.desc("n"), F.asc("level"))
+                .limit(nb_locations).collect())
+    top = [r["level"] for r in top_rows]
+    loc_total = loc.agg(F.sum("n")).collect()[0][0] or 0
+    rows = (counts.where((F.col("col") != "location") & F.col("level").isNotNull())
+            .limit(MAX_LEVELS * len(CATEGORICAL_FEATURES) + 1).collect())
+    counts.unpersist()
     if len(rows) > MAX_LEVELS * len(CATEGORICAL_FEATURES):
         raise ValueError("categorical vocabulary too large for one-hot encoding")
-    for c in CATEGORICAL_FEATURES:
-        levels[c] = sorted(r["level"] for r in rows if r["col"] == c)
-    return Vocabulary(top, levels)
+    levels = {c: sorted(r["level"] for r in rows if r["col"] == c) for c in CATEGORICAL_FEATURES if c != "location_grp"}
+    # grouped levels: the top locations, plus the fallback when any row falls outside them
+    grp = list(top) + ([OTHER_LOCATION] if loc_total > sum(r["n"] for r in top_rows) else [])
+    levels["location_grp"] = sorted(set(grp))
+    return Vocabulary(top, {c: levels[c] for c in CATEGORICAL_FEATURES})
 
 
 def enrich(tx: DataFrame, vocab: Vocabulary | None = None, nb_locations: int = TOP_LOCATIONS,
