@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import (clipped_log_amount, hour_of, is_fraud, is_suspect_or_fraud,
                                          r6, safe_ratio, weekday_label, weekday_of, weekend_flag)
+from fraudlens.functions.joins import broadcast_if_small
 from fraudlens.operators.cumulative import exact_quantiles
 from fraudlens.schema import (FRAUD, HIGH_CARDINALITY, NORMAL, SUSPECT, TARGET_CLASSES, TRANSACTION_SCHEMA,
                               UNIVARIATE_TOP)
@@ -338,11 +339,11 @@ def amount_box_by_target(tx: DataFrame, col: str = "amount") -> DataFrame:
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("mediane"),
         F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-    # One row per target: small side of the join.
+    # One row per target: broadcast after a size check.
     fences = wide.withColumns({"__lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                                "__hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     v = F.col(col)
-    wh = (base.join(F.broadcast(fences.select("target", "__lo", "__hi")), "target")
+    wh = (base.join(broadcast_if_small(fences.select("target", "__lo", "__hi")), "target")
           .groupBy("target").agg(F.min(F.when(v >= F.col("__lo"), v)).alias("moustache_basse"),
                                  F.max(F.when(v <= F.col("__hi"), v)).alias("moustache_haute")))
     return wide.join(wh, "target").select(

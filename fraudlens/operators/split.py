@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import r6
+from fraudlens.functions.joins import broadcast_if_small
 from fraudlens.schema import FRAUD
 
 HASH_PREFIX_HEX = 4          # 65,536 buckets per class
@@ -68,9 +69,10 @@ def class_weights(train: DataFrame, label: str = "target") -> DataFrame:
 
 
 def with_class_weights(train: DataFrame, label: str = "target", weight_col: str = "weight") -> DataFrame:
-    """Attach the balanced weight to each training row (k-row lookup, broadcast)."""
+    """Attach the balanced weight to each training row (k-row lookup, broadcast
+    after a size check)."""
     cw = class_weights(train, label).select(label, F.col("weight").alias(weight_col))
-    return train.join(F.broadcast(cw), label)
+    return train.join(broadcast_if_small(cw), label)
 
 
 def contamination_rate(train: DataFrame, label: str = "target") -> DataFrame:

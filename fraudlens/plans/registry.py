@@ -534,14 +534,15 @@ def q_feature_importance(spark, sf_dir):
 
 @query("class_probabilities")
 def q_class_probabilities(spark, sf_dir):
-    from pyspark.sql import Window
+    """Per test row, the three class probabilities (percent) sorted desc with
+    their rank; sorted inside each row (no window, so copies of one id are
+    never gathered)."""
     p = _test_predictions(spark, sf_dir, "decision_tree")
-    long = p.select("operation_id", F.posexplode(F.array("p_fraude", "p_normal", "p_suspect")).alias("__i", "probabilite"))
-    names = F.array(*[F.lit(c) for c in LABEL_ORDER])
-    long = long.select("operation_id", F.element_at(names, F.col("__i") + 1).alias("statut"),
-                       (F.col("probabilite") * 100).alias("probabilite"))
-    w = Window.partitionBy("operation_id").orderBy(F.desc("probabilite"), F.asc("statut"))  # 3 rows per group
-    return long.withColumn("rang", F.row_number().over(w))
+    items = F.array(*[F.struct((-F.col(c)).alias("k"), F.lit(n).alias("statut"), (F.col(c) * 100).alias("probabilite"))
+                      for c, n in (("p_fraude", "Fraude"), ("p_normal", "Normal"), ("p_suspect", "Suspect"))])
+    long = p.select("operation_id", F.posexplode(F.sort_array(items)).alias("__pos", "__it"))
+    return long.select("operation_id", F.col("__it.statut").alias("statut"), F.col("__it.probabilite").alias("probabilite"),
+                       (F.col("__pos") + 1).alias("rang"))
 
 
 def _model_threshold(spark, sf_dir, name):

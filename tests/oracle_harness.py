@@ -30,13 +30,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT = os.environ.get("ORACLE_EXACT") == "1"
+
+
 def _canon(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 5)
+        return v if EXACT else round(v, 5)
     if hasattr(v, "isoformat"):
         return pd.Timestamp(v).isoformat() if not isinstance(v, str) else v
     try:
