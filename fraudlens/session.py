@@ -49,7 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session without the setting (tests, laptops) gets a
     private scratch folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: no SparkContext
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        path = tempfile.mkdtemp(prefix="fraudlens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", path)
+        return path
     current = sc.getCheckpointDir()
     if current:
         return current
