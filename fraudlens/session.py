@@ -55,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             return configured
+        if not str(spark.conf.get("spark.master", "")).startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="fraudlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
         return path
