@@ -6,11 +6,26 @@ weight column; metrics are computed on the untouched test rows.
 
 from __future__ import annotations
 
+import json
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
+                                       RandomForestClassifier)
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fraudlens.functions.scores import verdict
+from fraudlens.operators.features import Vocabulary, enrich, feature_matrix, label_index
+from fraudlens.operators.split import split_hash, stratified_split, with_class_weights
+from fraudlens.schema import LABEL_ORDER
+
 
 @dataclass
 class Scaler:
@@ -37,25 +52,9 @@ def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
 
 
 # =========================================================================== MLlib training
-import json  # noqa: E402
-
-from pyspark import StorageLevel  # noqa: E402
-import time  # noqa: E402
-
-from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,  # noqa: E402
-                                       OneVsRest, RandomForestClassifier)
-from pyspark.ml.evaluation import Evaluator  # noqa: E402
-from pyspark.ml.feature import StandardScaler, VectorAssembler  # noqa: E402
-from pyspark.ml.functions import vector_to_array  # noqa: E402
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder  # noqa: E402
-from pyspark.sql import Window  # noqa: E402
-
-from fraudlens.functions.columns import r6  # noqa: E402
-from fraudlens.functions.scores import verdict  # noqa: E402
-from fraudlens.operators.features import Vocabulary, enrich, feature_matrix, label_index  # noqa: E402
-from fraudlens.operators.split import split_hash, stratified_split, with_class_weights  # noqa: E402
-from fraudlens.schema import LABEL_ORDER, NUMERIC_FEATURES  # noqa: E402
+
+
+
 
 MODEL_NAMES = ["logistic_regression", "decision_tree", "random_forest", "gradient_boosting"]
 MAX_TREE_DEPTH = 30  # deepest tree MLlib builds; stands in for "unlimited"
@@ -269,37 +268,34 @@ def feature_importances(model: PipelineModel, feature_columns: list[str], top: i
     if not hasattr(clf, "featureImportances"):
         return None
     imp = clf.featureImportances.toArray().tolist()
-    spark = SparkSessionHolder.get()
+    spark = _active_spark()
     rows = [{"feature": f, "importance": float(v)} for f, v in zip(feature_columns, imp)]
     df = spark.createDataFrame(rows)
     return df.orderBy(F.desc("importance"), F.asc("feature")).limit(top)
 
 
-class SparkSessionHolder:
-    @staticmethod
-    def get():
-        from pyspark.sql import SparkSession
-        return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+def _active_spark() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
 # --------------------------------------------------------------------------- artefacts
 def save_artefacts(path: str, model: PipelineModel, vocab: Vocabulary, meta: dict) -> None:
     """PipelineModel + fitted vocabulary + metadata (JSON text table)."""
     model.write().overwrite().save(f"{path}/model")
-    spark = SparkSessionHolder.get()
+    spark = _active_spark()
     doc = json.dumps({"vocab": vocab.to_dict(), "meta": meta}, sort_keys=True)
     spark.createDataFrame([(doc,)], "doc string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_artefacts(path: str) -> tuple[PipelineModel, Vocabulary, dict]:
-    spark = SparkSessionHolder.get()
+    spark = _active_spark()
     model = PipelineModel.load(f"{path}/model")
     doc = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
     return model, Vocabulary.from_dict(doc["vocab"]), doc["meta"]
 
 
 def artefacts_exist(path: str) -> bool:
-    spark = SparkSessionHolder.get()
+    spark = _active_spark()
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -11,10 +11,19 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fraudlens.functions.columns import r6, tolerant_timestamp
+from fraudlens.functions.scores import risk_band, verdict
 from fraudlens.operators import eda
+from fraudlens.operators import features as feats
+from fraudlens.operators import journal as jr
+from fraudlens.operators import metrics as mt
+from fraudlens.operators import split as sp
 from fraudlens.operators.eda import TX_COLUMNS, FilterSpec
+from fraudlens.schema import LABEL_ORDER, NUMERIC_FEATURES
 from fraudlens.sources.tables import scored, transactions
+from fraudlens.streaming import jobs as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -177,15 +186,7 @@ def q_preview20(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------- features
-from pyspark.sql import functions as F  # noqa: E402
 
-from fraudlens.functions.columns import r6, tolerant_timestamp  # noqa: E402
-from fraudlens.functions.scores import risk_band, verdict  # noqa: E402
-from fraudlens.operators import features as feats  # noqa: E402
-from fraudlens.operators import journal as jr  # noqa: E402
-from fraudlens.operators import metrics as mt  # noqa: E402
-from fraudlens.operators import split as sp  # noqa: E402
-from fraudlens.schema import LABEL_ORDER, NUMERIC_FEATURES  # noqa: E402
 
 # Fixed parameters mirrored in the oracle SQL.
 NEW_TX_CUTOFF = "2024-01-25 00:00:00"     # history before, "new" transactions from
@@ -424,7 +425,6 @@ def q_run_deltas(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------- streaming
-from fraudlens.streaming import jobs as st  # noqa: E402
 
 
 @query("streaming_scoring")
