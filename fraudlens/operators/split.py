@@ -3,14 +3,15 @@
 The split is exact and partition-independent: within each class, rows are
 ranked by ``md5(key || ':' || seed)`` and the first floor(fraction * n_class)
 go to test. Ranking a whole class in one window would put 76 % of the data in
-one task, so rows are first bucketed by the leading hex digits of the hash;
-a small (class x bucket) count table decides which buckets are wholly test or
-wholly train, and only the rows of the (at most one per class) boundary bucket
-are ranked.
+one task, so rows are bucketed by the leading hex digits of the hash; a small
+(class x bucket) count table decides which buckets are wholly test or wholly
+train. The one boundary bucket per class is bucketed again on the next hex
+digits, and only the rows of its boundary sub-bucket are ranked.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from fraudlens.functions.joins import broadcast_if_small
 from fraudlens.schema import FRAUD
 
 HASH_PREFIX_HEX = 4          # 65,536 buckets per class
+RANK_DIRECT_MAX = 2_000_000  # largest boundary bucket ranked without a second level
 MAX_BROADCAST_CLASSES = 64   # bucket table <= classes x 65,536 rows
 
 
@@ -26,38 +28,69 @@ def split_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
+def _bucket_states(counts: DataFrame, label: str, bucket: str) -> DataFrame:
+    """Per (class, bucket): rows before the bucket in hash order and whether
+    the bucket lies wholly in test, wholly in train, or across the quota."""
+    w_before = Window.partitionBy(label).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__start") + F.coalesce(F.sum("__n").over(w_before), F.lit(0))
+    return (counts.withColumn("__before", before)
+            .withColumn("__state", F.when(F.col("__before") + F.col("__n") <= F.col("__quota"), F.lit("test"))
+                        .when(F.col("__before") >= F.col("__quota"), F.lit("train"))
+                        .otherwise(F.lit("boundary")))
+            .select(label, bucket, "__before", "__quota", "__state"))
+
+
 def stratified_split(df: DataFrame, key: str = "operation_id", label: str = "target", test_fraction: float = 0.2,
-                     seed: int = 42, out_col: str = "is_test", classes: list[str] | None = None) -> DataFrame:
+                     seed: int = 42, out_col: str = "is_test", classes: list[str] | None = None,
+                     rank_direct_max: int = RANK_DIRECT_MAX) -> DataFrame:
     """Add boolean ``is_test``; rows with a null label are left out (they cannot
     be learned from). With ``classes`` (the label vocabulary) only those labels
-    are kept and the bucket table is bounded by len(classes) x 65,536 rows by
-    construction; without it the class count is checked first."""
+    are kept and each bucket table is bounded by len(classes) x 65,536 rows by
+    construction; without it the class count is checked first.
+
+    Level-1 buckets (hash hex digits 1-4) settle all rows but one bucket per
+    class. When such a boundary bucket holds more than ``rank_direct_max``
+    rows, it is bucketed again on hex digits 5-8 (about n_class / 2**32 rows
+    left); the remaining rows are ranked by (hash, key)."""
     h = split_hash(F.col(key), seed)
     keep = F.col(label).isNotNull() if classes is None else F.col(label).isin(list(classes))
-    work = (df.where(keep)
-            .withColumn("__h", h)
-            .withColumn("__b", F.conv(F.substring("__h", 1, HASH_PREFIX_HEX), 16, 10).cast("int")))
-    counts = work.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    w_before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    info = (counts
-            .withColumn("__before", F.coalesce(F.sum("__n").over(w_before), F.lit(0)))
-            .withColumn("__quota", F.floor(F.sum("__n").over(Window.partitionBy(label)) * F.lit(float(test_fraction))))
-            .withColumn("__state", F.when(F.col("__before") + F.col("__n") <= F.col("__quota"), F.lit("test"))
-                        .when(F.col("__before") >= F.col("__quota"), F.lit("train"))
-                        .otherwise(F.lit("boundary")))
-            .select(label, "__b", "__before", "__quota", "__state"))
+    work = (df.where(keep).withColumn("__h", h)
+            .withColumn("__b1", F.conv(F.substring("__h", 1, HASH_PREFIX_HEX), 16, 10).cast("int"))
+            .withColumn("__b2", F.conv(F.substring("__h", HASH_PREFIX_HEX + 1, HASH_PREFIX_HEX), 16, 10).cast("int")))
+    c1 = work.groupBy(label, "__b1").agg(F.count(F.lit(1)).alias("__n"))
+    c1 = (c1.withColumn("__quota", F.floor(F.sum("__n").over(Window.partitionBy(label)) * F.lit(float(test_fraction))))
+          .withColumn("__start", F.lit(0).cast("long")))
     n_classes = (len(classes) if classes is not None
-                 else counts.select(label).distinct().limit(MAX_BROADCAST_CLASSES + 1).count())
-    info_side = F.broadcast(info) if n_classes <= MAX_BROADCAST_CLASSES else info
-    tagged = work.join(info_side, [label, "__b"])
-
-    settled = (tagged.where(F.col("__state") != "boundary")
-               .withColumn(out_col, F.col("__state") == "test"))
-    w_rank = Window.partitionBy(label, "__b").orderBy("__h", key)
-    boundary = (tagged.where(F.col("__state") == "boundary")
-                .withColumn(out_col, F.col("__before") + F.row_number().over(w_rank) <= F.col("__quota")))
-    out = settled.unionByName(boundary)
-    return out.drop("__h", "__b", "__before", "__quota", "__state")
+                 else c1.select(label).distinct().limit(MAX_BROADCAST_CLASSES + 1).count())
+
+    def small(t: DataFrame) -> DataFrame:
+        return F.broadcast(t) if n_classes <= MAX_BROADCAST_CLASSES else t
+
+    # The level-1 table (<= classes x 65,536 rows) is cached: the join reads it
+    # and the sizes of the boundary buckets (one per class) decide whether a
+    # second level is needed before ranking.
+    c1 = c1.persist(StorageLevel.MEMORY_AND_DISK)
+    info1 = _bucket_states(c1, label, "__b1")
+    bsize = info1.where(F.col("__state") == "boundary").join(c1.select(label, "__b1", "__n"), [label, "__b1"])
+    sizes = bsize.agg(F.max("__n")).collect()[0][0] or 0
+    t1 = work.join(small(info1), [label, "__b1"])
+    settled1 = t1.where(F.col("__state") != "boundary").withColumn(out_col, F.col("__state") == "test")
+    r1 = t1.where(F.col("__state") == "boundary")
+    w_rank = Window.partitionBy(label).orderBy("__h", key)
+    if sizes <= rank_direct_max:
+        ranked = r1.withColumn(out_col, F.col("__before") + F.row_number().over(w_rank) <= F.col("__quota"))
+        out = settled1.unionByName(ranked)
+        return out.drop("__h", "__b1", "__b2", "__before", "__quota", "__state")
+    # level 2, inside the (at most one per class) boundary bucket of level 1
+    r1 = r1.drop("__state")
+    c2 = (r1.groupBy(label, "__b2", F.col("__before").alias("__start"), "__quota")
+          .agg(F.count(F.lit(1)).alias("__n")))
+    t2 = r1.drop("__before", "__quota").join(small(_bucket_states(c2, label, "__b2")), [label, "__b2"])
+    settled2 = t2.where(F.col("__state") != "boundary").withColumn(out_col, F.col("__state") == "test")
+    ranked = (t2.where(F.col("__state") == "boundary")
+              .withColumn(out_col, F.col("__before") + F.row_number().over(w_rank) <= F.col("__quota")))
+    out = settled1.unionByName(settled2).unionByName(ranked)
+    return out.drop("__h", "__b1", "__b2", "__before", "__quota", "__state")
 
 
 def class_weights(train: DataFrame, label: str = "target") -> DataFrame:

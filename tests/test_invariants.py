@@ -61,3 +61,11 @@ def test_running_sum_bucket_independent(spark, tx):
     a = {r["amount"]: r["n_cum"] for r in running_sum(vc, "amount", ["n"], buckets=1).collect()}
     b = {r["amount"]: r["n_cum"] for r in running_sum(vc, "amount", ["n"], buckets=37).collect()}
     assert a == b and max(a.values()) == tx.where(F.col("amount").isNotNull()).count()
+
+
+def test_split_two_level_equals_direct(spark, tx):
+    a = split.stratified_split(tx, classes=["Fraude", "Normal", "Suspect"])
+    b = split.stratified_split(tx, classes=["Fraude", "Normal", "Suspect"], rank_direct_max=0)
+    ka = {r[0] for r in a.where("is_test").select("operation_id").collect()}
+    kb = {r[0] for r in b.where("is_test").select("operation_id").collect()}
+    assert ka == kb and a.count() == b.count() == tx.count()
