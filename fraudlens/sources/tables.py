@@ -78,3 +78,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """transactions + deterministic pseudo-probabilities (same text as the oracle)."""
     from fraudlens.functions.scores import pseudo_probabilities
     return pseudo_probabilities(transactions(spark, sf_dir))
+
+
+def materialize_transactions(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Write the adapter output once as a Parquet table partitioned by day (in
+    a shared folder) and return it: many analytics over the same data then
+    scan one table instead of re-running the events x customer join, date
+    filters prune partitions, and the lineage is cut."""
+    tx = transactions(spark, sf_dir).withColumn("tx_day", F.to_date("tx_ts"))
+    tx.write.mode("overwrite").partitionBy("tx_day").parquet(path)
+    return spark.read.parquet(path)

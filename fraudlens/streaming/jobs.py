@@ -45,15 +45,20 @@ def _dirs(spark: SparkSession, name: str) -> tuple[str, str]:
     return shared_path(spark, f"streams/{run}/data"), shared_path(spark, f"streams/{run}/checkpoint")
 
 
-def run_available(df: DataFrame, name: str, output_mode: str = "append", timeout_s: int = 600) -> DataFrame:
+def run_available(df: DataFrame, name: str, output_mode: str = "append", timeout_s: int = 600,
+                  out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run a streaming DataFrame over all available input and return its sink.
 
     Append-mode queries write a Parquet file sink (exactly-once through the
     sink's commit log); complete/update-mode aggregates are written per batch
-    with ``foreachBatch`` (the batch's full result replaces the table).
+    with ``foreachBatch`` (the batch's full result replaces the table). Passing
+    the same ``out`` / ``checkpoint`` again resumes after the last committed
+    batch (a restarted job neither loses nor repeats input).
     """
     spark = df.sparkSession
-    out, ckpt = _dirs(spark, name)
+    if out is None or checkpoint is None:
+        out, checkpoint = _dirs(spark, name)
+    ckpt = checkpoint
     writer = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if output_mode == "append":
         q = writer.outputMode("append").format("parquet").start(out)
