@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudlens.functions.joins import MAX_BROADCAST_ROWS
+
 # Columns each table contributes (column pruning starts at the scan).
 _EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
 
@@ -18,14 +20,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_ROW_COUNTS: dict = {}
+
+
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of a driver table (Parquet footers only), once per session."""
+    key = (id(spark), sf_dir.rstrip("/"), name)
+    if key not in _ROW_COUNTS:
+        _ROW_COUNTS[key] = read_table(spark, sf_dir, name).count()
+    return _ROW_COUNTS[key]
+
+
 def client_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer -> nation name. nation is a fixed 25-row dimension, so the
-    broadcast has a proven size bound; customer grows with the data and is left
-    to the planner (sort-merge join at scale)."""
+    broadcast has a proven size bound. customer grows with the data: it is
+    marked for broadcast only when its row count is within
+    ``MAX_BROADCAST_ROWS``; beyond that the planner shuffles both sides
+    (sort-merge join, with AQE splitting a hot client)."""
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return (cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey, "left")
-            .select(F.col("c_custkey"), F.col("n_name").alias("location")))
+    loc = (cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey, "left")
+           .select(F.col("c_custkey"), F.col("n_name").alias("location")))
+    return F.broadcast(loc) if table_rows(spark, sf_dir, "customer") <= MAX_BROADCAST_ROWS else loc
 
 
 def transactions(spark: SparkSession, sf_dir: str, with_oracle_cols: bool = True) -> DataFrame:
