@@ -169,6 +169,27 @@ def status_rate_by_weekday(tx: DataFrame) -> DataFrame:
             .select(weekday_label(F.col("jour_num")).alias("jour"), "jour_num", *_rate_columns()))
 
 
+def target_crosstabs(tx: DataFrame) -> DataFrame:
+    """Counts per target along five dimensions (type, operation status, hour,
+    weekday, day) from ONE scan with GROUPING SETS, long form
+    (dimension, valeur, target, nombre); rows with a null dimension value or a
+    null target are left out, as in each single cross-tab."""
+    ts = F.col("tx_ts")
+    dims = {"tx_type": F.col("tx_type"), "op_status": F.col("op_status"),
+            "heure": hour_of(ts).cast("string"), "jour_semaine": weekday_of(ts).cast("string"),
+            "jour": F.to_date(ts).cast("string")}
+    base = tx.where(F.col("target").isNotNull()).select("target", *[v.alias(k) for k, v in dims.items()])
+    g = base.groupingSets([[k, "target"] for k in dims], *dims.keys(), "target").agg(
+        F.count(F.lit(1)).alias("nombre"), *[F.grouping(k).alias(f"__g_{k}") for k in dims])
+    name = F.lit(None).cast("string")
+    value = F.lit(None).cast("string")
+    for k in dims:
+        name = F.when(F.col(f"__g_{k}") == 0, F.lit(k)).otherwise(name)
+        value = F.when(F.col(f"__g_{k}") == 0, F.col(k)).otherwise(value)
+    return g.select(name.alias("dimension"), value.alias("valeur"), "target", "nombre").where(
+        F.col("valeur").isNotNull())
+
+
 def daily_trend(tx: DataFrame) -> DataFrame:
     return (tx.withColumn("jour", F.to_date("tx_ts"))
             .where(F.col("jour").isNotNull() & F.col("target").isNotNull())

@@ -580,3 +580,52 @@ WHERE CAST(CAST(tx_ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
 GROUP BY CAST(tx_ts AS DATE), target"""))
 
 _reg("streaming_dedup", with_tx("SELECT DISTINCT operation_id, tx_ts, amount, target FROM transactions"))
+
+
+# ----------------------------------------------------------------------------- composed / single-scan EDA
+_reg("target_crosstabs", with_tx("""
+SELECT dimension, valeur, target, CAST(nombre AS BIGINT) AS nombre FROM (
+  SELECT 'tx_type' AS dimension, tx_type AS valeur, target, count(*) AS nombre FROM transactions
+  WHERE target IS NOT NULL GROUP BY tx_type, target
+  UNION ALL SELECT 'op_status', op_status, target, count(*) FROM transactions
+  WHERE target IS NOT NULL GROUP BY op_status, target
+  UNION ALL SELECT 'heure', CAST(hour(tx_ts) AS VARCHAR), target, count(*) FROM transactions
+  WHERE target IS NOT NULL GROUP BY hour(tx_ts), target
+  UNION ALL SELECT 'jour_semaine', CAST(isodow(tx_ts) - 1 AS VARCHAR), target, count(*) FROM transactions
+  WHERE target IS NOT NULL GROUP BY isodow(tx_ts), target
+  UNION ALL SELECT 'jour', CAST(CAST(tx_ts AS DATE) AS VARCHAR), target, count(*) FROM transactions
+  WHERE target IS NOT NULL GROUP BY CAST(tx_ts AS DATE), target)
+WHERE valeur IS NOT NULL"""))
+
+_reg("filtered_kpis", with_tx(f"""
+SELECT CAST(count(*) AS BIGINT) AS n_transactions,
+       round(coalesce(avg(CASE WHEN target IS NOT DISTINCT FROM 'Fraude' THEN 1 ELSE 0 END) * 100, 0), 6) AS taux_fraude,
+       round(coalesce(avg(CASE WHEN target IS NOT DISTINCT FROM 'Suspect' THEN 1 ELSE 0 END) * 100, 0), 6) AS taux_suspect,
+       round(coalesce(sum(amount), 0), 6) AS montant_total,
+       min(tx_ts) AS date_min, max(tx_ts) AS date_max
+FROM transactions WHERE {_FILTER_SQL}"""))
+
+_reg("filtered_location_status_rate", with_tx("""
+SELECT location, CAST(rang AS BIGINT) AS rang,
+       round(CASE WHEN nt > 0 THEN CAST(nn AS DOUBLE) / nt END * 100, 6) AS pct_normal,
+       round(CASE WHEN nt > 0 THEN CAST(ns AS DOUBLE) / nt END * 100, 6) AS pct_suspect,
+       round(CASE WHEN nt > 0 THEN CAST(nf AS DOUBLE) / nt END * 100, 6) AS pct_fraude
+FROM ranked WHERE rang <= 10""", _LOC_AGG.replace("FROM transactions WHERE location IS NOT NULL",
+                                                  f"FROM transactions WHERE location IS NOT NULL AND {_FILTER_SQL}")))
+
+_reg("client_id_histogram", with_tx("""
+SELECT bin, round(lo + bin * w, 6) AS bin_min, round(lo + (bin + 1) * w, 6) AS bin_max, target,
+       CAST(count(*) AS BIGINT) AS nombre
+FROM (
+  SELECT t.target, s.lo, s.w,
+         CAST(coalesce(least(floor(CASE WHEN s.w <> 0 THEN (CAST(t.client_id AS DOUBLE) - s.lo) / s.w END), 19), 0)
+              AS INTEGER) AS bin
+  FROM transactions t,
+       (SELECT CAST(min(client_id) AS DOUBLE) AS lo, CAST(max(client_id) - min(client_id) AS DOUBLE) / 20 AS w
+        FROM transactions WHERE client_id IS NOT NULL AND target IS NOT NULL) s
+  WHERE t.client_id IS NOT NULL AND t.target IS NOT NULL) x
+GROUP BY bin, lo, w, target"""))
+
+_reg("ts_histogram", with_tx("""
+SELECT date_trunc('day', tx_ts) AS bin_debut, target, CAST(count(*) AS BIGINT) AS nombre
+FROM transactions WHERE tx_ts IS NOT NULL AND target IS NOT NULL GROUP BY date_trunc('day', tx_ts), target"""))

@@ -651,3 +651,34 @@ def q_training_run(spark, sf_dir):
     out = shared_path(spark, f"training/{uuid.uuid4().hex[:12]}")
     return run_training(spark, _tx(spark, sf_dir), f"{out}/artefacts", f"{out}/runs", grid_points=4,
                         data=d, fitted=fitted)
+
+
+# ----------------------------------------------------------------------------- composed / single-scan EDA
+@query("target_crosstabs")
+def q_target_crosstabs(spark, sf_dir):
+    return eda.target_crosstabs(_tx(spark, sf_dir))
+
+
+@query("filtered_kpis")
+def q_filtered_kpis(spark, sf_dir):
+    """KPIs of the filtered view (the EDA page computes every widget on it)."""
+    return eda.kpis(eda.filtered_transactions(_tx(spark, sf_dir), DEFAULT_FILTER))
+
+
+@query("filtered_location_status_rate")
+def q_filtered_location_status_rate(spark, sf_dir):
+    return eda.location_status_rate(eda.filtered_transactions(_tx(spark, sf_dir), DEFAULT_FILTER), 10)
+
+
+@query("client_id_histogram")
+def q_client_id_histogram(spark, sf_dir):
+    return eda.amount_histogram(_tx(spark, sf_dir).withColumn("client_id", F.col("client_id").cast("double")),
+                                20, col="client_id")
+
+
+@query("ts_histogram")
+def q_ts_histogram(spark, sf_dir):
+    """Datetime column split by target, one bin per calendar day."""
+    return (_tx(spark, sf_dir).where(F.col("tx_ts").isNotNull() & F.col("target").isNotNull())
+            .groupBy(F.date_trunc("day", "tx_ts").alias("bin_debut"), "target")
+            .agg(F.count(F.lit(1)).alias("nombre")))
