@@ -364,10 +364,12 @@ def amount_box_by_target(tx: DataFrame, col: str = "amount") -> DataFrame:
     fences = wide.withColumns({"__lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                                "__hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     v = F.col(col)
-    wh = (base.join(broadcast_if_small(fences.select("target", "__lo", "__hi")), "target")
+    # cached once (one row per target): read by the whisker join and the output
+    fences = broadcast_if_small(fences)
+    wh = (base.join(fences.select("target", "__lo", "__hi"), "target")
           .groupBy("target").agg(F.min(F.when(v >= F.col("__lo"), v)).alias("moustache_basse"),
                                  F.max(F.when(v <= F.col("__hi"), v)).alias("moustache_haute")))
-    return wide.join(wh, "target").select(
+    return fences.join(wh, "target").select(
         "target", r6(F.col("q1")).alias("q1"), r6(F.col("mediane")).alias("mediane"), r6(F.col("q3")).alias("q3"),
         r6(F.col("moustache_basse")).alias("moustache_basse"), r6(F.col("moustache_haute")).alias("moustache_haute"))
 

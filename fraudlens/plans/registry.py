@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -383,6 +384,8 @@ def q_standardized_features(spark, sf_dir):
     from fraudlens.operators.models import apply_scaler, fit_scaler
     tx = sp.stratified_split(_tx(spark, sf_dir), classes=LABEL_ORDER)
     f = feats.with_client_tx_count(feats.base_features(tx), history=_tx(spark, sf_dir))
+    # the split feature frame feeds the fit and the transform: computed once
+    f = f.select("operation_id", "is_test", *NUMERIC_FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
     scaler = fit_scaler(f.where(~F.col("is_test")), NUMERIC_FEATURES)
     z = apply_scaler(f, scaler)
     return z.select("operation_id", *[r6(F.col(c)).alias(c) for c in NUMERIC_FEATURES])
