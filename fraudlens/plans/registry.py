@@ -23,6 +23,7 @@ from fraudlens.operators import metrics as mt
 from fraudlens.operators import split as sp
 from fraudlens.operators.eda import TX_COLUMNS, FilterSpec
 from fraudlens.schema import LABEL_ORDER, NUMERIC_FEATURES
+from fraudlens.session import session_key
 from fraudlens.sources.tables import scored, transactions
 from fraudlens.streaming import jobs as st
 
@@ -463,7 +464,7 @@ _ML_CACHE: dict = {}
 
 def _training(spark, sf_dir):
     from fraudlens.operators.models import prepare_training
-    key = (id(spark), sf_dir, "data")
+    key = (session_key(spark), sf_dir, "data")
     if key not in _ML_CACHE:
         _ML_CACHE[key] = prepare_training(_tx(spark, sf_dir))
     return _ML_CACHE[key]
@@ -471,7 +472,7 @@ def _training(spark, sf_dir):
 
 def _fitted(spark, sf_dir, name):
     from fraudlens.operators.models import fit_model
-    key = (id(spark), sf_dir, name)
+    key = (session_key(spark), sf_dir, name)
     if key not in _ML_CACHE:
         _ML_CACHE[key] = fit_model(_training(spark, sf_dir), name)
     return _ML_CACHE[key]
@@ -604,7 +605,7 @@ def q_streaming_model_scoring(spark, sf_dir):
 
 def _iforest(spark, sf_dir):
     from fraudlens.operators.iforest import fit_isolation_forest
-    key = (id(spark), sf_dir, "iforest")
+    key = (session_key(spark), sf_dir, "iforest")
     if key not in _ML_CACHE:
         d = _training(spark, sf_dir)
         scaled = _scaled(d)

@@ -79,3 +79,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint directory for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base.replace("file:", "", 1) if base.startswith("file:") else base, name)
+
+
+def session_key(spark: SparkSession) -> str:
+    """Identity of the running application (unlike ``id(spark)``, never reused
+    by a later session in the same process)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext
+        return f"session-{id(spark)}"

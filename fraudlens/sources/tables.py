@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudlens.functions.joins import MAX_BROADCAST_ROWS
+from fraudlens.session import session_key
 
 # Columns each table contributes (column pruning starts at the scan).
 _EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value"]
@@ -25,7 +26,7 @@ _ROW_COUNTS: dict = {}
 
 def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
     """Row count of a driver table (Parquet footers only), once per session."""
-    key = (id(spark), sf_dir.rstrip("/"), name)
+    key = (session_key(spark), sf_dir.rstrip("/"), name)
     if key not in _ROW_COUNTS:
         _ROW_COUNTS[key] = read_table(spark, sf_dir, name).count()
     return _ROW_COUNTS[key]
