@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,8 +116,10 @@ def location_status_rate(tx: DataFrame, nb_top: int = 10) -> DataFrame:
 
 def location_type_volume(tx: DataFrame, nb_top: int = 10) -> DataFrame:
     """Volume per (location, type) for the nb_top busiest locations (one scan)."""
+    # one row per (location, type): cached, read by the top-N and the result
     pair = (tx.where(F.col("location").isNotNull())
-            .groupBy("location", "tx_type").agg(F.count(F.lit(1)).alias("nombre")))
+            .groupBy("location", "tx_type").agg(F.count(F.lit(1)).alias("nombre"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     vol = pair.groupBy("location").agg(F.sum("nombre").alias("__vol"))
     top = _top_by_volume(vol, nb_top).select("location")
     # top holds at most nb_top rows: broadcast size is bounded by the parameter.
@@ -240,10 +243,12 @@ def correlation_matrix(tx: DataFrame) -> DataFrame:
     long = num.select(F.inline(arr))
     agg = long.groupBy("x", "y").agg(
         F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop("va") * F.stddev_pop("vb")).alias("r"))
-    upper = agg.select(F.col("x").alias("var_x"), F.col("y").alias("var_y"), r6(F.col("r")).alias("r"))
-    lower = upper.where(F.col("var_x") != F.col("var_y")).select(
-        F.col("var_y").alias("var_x"), F.col("var_x").alias("var_y"), "r")
-    return upper.unionByName(lower)
+    # mirror (x, y) -> (y, x) on the 36 aggregated rows (one pipeline, no union)
+    both_ways = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")))) \
+        .otherwise(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")),
+                           F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
+    out = agg.select(F.explode(both_ways).alias("p"), "r")
+    return out.select(F.col("p.a").alias("var_x"), F.col("p.b").alias("var_y"), r6(F.col("r")).alias("r"))
 
 
 # --------------------------------------------------------------------------- data quality
@@ -324,6 +329,9 @@ def value_frequency(tx: DataFrame, top: int | None = UNIVARIATE_TOP, columns: li
     freq = long.groupBy("colonne", "valeur").agg(F.count(F.lit(1)).alias("nombre"))
     if not top:
         return freq.orderBy("colonne", F.desc("nombre"), F.asc("valeur"))
+    # one row per distinct (column, value): cached so every per-column top-k
+    # reads it instead of rescanning the input
+    freq = freq.persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     for c in cols:
         k = freq.where(F.col("colonne") == c).orderBy(F.desc("nombre"), F.asc("valeur")).limit(top)
