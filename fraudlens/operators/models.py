@@ -112,14 +112,15 @@ def make_estimator(name: str, n_train: int | None = None, seed: int = 42, **para
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=params.get("maxDepth", MAX_TREE_DEPTH), seed=seed, weightCol="weight",
                                       minInstancesPerNode=params.get("minInstancesPerNode", 1),
-                                      cacheNodeIds=True, maxMemoryInMB=512)
+                                      cacheNodeIds=True)
     if name == "random_forest":
         return RandomForestClassifier(numTrees=params.get("numTrees", 100), maxDepth=params.get("maxDepth", MAX_TREE_DEPTH),
                                       seed=seed, weightCol="weight", featureSubsetStrategy="sqrt",
                                       minInstancesPerNode=params.get("minInstancesPerNode", 1),
-                                      # deep trees: keep node ids with the cached data and
-                                      # process more nodes per pass over it
-                                      cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10)
+                                      # deep trees: keep node ids with the cached data (the
+                                      # split-statistics buffer stays at the MLlib default,
+                                      # which fits a small executor heap)
+                                      cacheNodeIds=True, checkpointInterval=10)
     if name == "gradient_boosting":
         # MLlib GBT is binary only: one-vs-rest over the 3 classes.
         gbt = GBTClassifier(maxIter=params.get("maxIter", 100), maxDepth=params.get("maxDepth", 3),
@@ -180,9 +181,12 @@ def evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
     return model_metrics(class_probabilities(model, test), "target", "prediction_status")
 
 
-def compare_models(data: TrainingData, names: list[str] | None = None, params: dict | None = None) -> tuple[DataFrame, dict]:
+def compare_models(data: TrainingData, names: list[str] | None = None, params: dict | None = None,
+                   keep_models: bool = False) -> tuple[DataFrame, dict]:
     """Fit every model with balanced weights and rank them by fraud recall
-    (ties keep fit order). Returns the comparison table and the fitted models."""
+    (ties keep fit order). Returns the comparison table and, with
+    ``keep_models``, the fitted models (otherwise each is released after its
+    evaluation, so large forests never coexist in the heap)."""
     names = names or MODEL_NAMES
     params = params or {}
     spark = data.train.sparkSession
@@ -190,8 +194,10 @@ def compare_models(data: TrainingData, names: list[str] | None = None, params: d
     fitted, rows = {}, []
     for order, name in enumerate(names):
         m = fit_model(data, name, n_train=n_train, **params.get(name, {}))
-        fitted[name] = m
         r = evaluate(m, data.test).collect()[0].asDict()  # one row of 5 metrics
+        if keep_models:
+            fitted[name] = m
+        del m
         rows.append({"model": name, "fit_order": order, **r})
     table = spark.createDataFrame(rows).select("model", "fit_order", "accuracy", "precision_macro", "recall_macro",
                                                "f1_macro", "recall_fraude")

@@ -470,22 +470,57 @@ def _training(spark, sf_dir):
     return _ML_CACHE[key]
 
 
+# Models whose fitted object stays cached (small; used for scoring and
+# importances). The forest and boosting models are released once their test
+# predictions are written: a deep 100-tree forest alone can take a large share
+# of a small executor heap.
+_KEEP_MODELS = {"logistic_regression", "decision_tree"}
+
+
 def _fitted(spark, sf_dir, name):
     from fraudlens.operators.models import fit_model
     key = (session_key(spark), sf_dir, name)
+    if key in _ML_CACHE:
+        return _ML_CACHE[key]
+    model = fit_model(_training(spark, sf_dir), name)
+    if name in _KEEP_MODELS:
+        _ML_CACHE[key] = model
+    return model
+
+
+def _predictions_table(spark, sf_dir, name):
+    """Test-row probabilities and arg-max class of a model, written once to the
+    shared folder and read back (lineage cut, model object released)."""
+    import gc
+    from fraudlens.operators.models import class_probabilities
+    key = (session_key(spark), sf_dir, "pred", name)
     if key not in _ML_CACHE:
-        _ML_CACHE[key] = fit_model(_training(spark, sf_dir), name)
+        d = _training(spark, sf_dir)
+        model = _fitted(spark, sf_dir, name)
+        p = class_probabilities(model, d.test).select("operation_id", "target", "prediction_status",
+                                                      "p_fraude", "p_normal", "p_suspect")
+        _ML_CACHE[key] = st.static_table(p, f"predictions_{name}")
+        del model
+        gc.collect()
     return _ML_CACHE[key]
 
 
 def _test_predictions(spark, sf_dir, name):
-    from fraudlens.operators.models import class_probabilities
-    d = _training(spark, sf_dir)
-    p = class_probabilities(_fitted(spark, sf_dir, name), d.test)
+    p = _predictions_table(spark, sf_dir, name)
     return p.select("operation_id", "target", "prediction_status", r6(F.col("p_fraude")).alias("p_fraude"),
                     r6(F.col("p_normal")).alias("p_normal"), r6(F.col("p_suspect")).alias("p_suspect"))
 
 
+def _comparison_rows(spark, sf_dir):
+    """Unweighted test metrics of every compared model, in fit order (one small row each)."""
+    from fraudlens.operators.models import MODEL_NAMES
+    rows = []
+    for order, name in enumerate(MODEL_NAMES):
+        m = mt.model_metrics(_predictions_table(spark, sf_dir, name), "target", "prediction_status").collect()[0]
+        rows.append({"model": name, "fit_order": order, **m.asDict()})
+    return rows
+
+
 @query("train_lr")
 def q_train_lr(spark, sf_dir):
     return _test_predictions(spark, sf_dir, "logistic_regression")
@@ -508,11 +543,10 @@ def q_train_gbt_ovr(spark, sf_dir):
 
 @query("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    from fraudlens.operators.models import MODEL_NAMES, evaluate
-    d = _training(spark, sf_dir)
+    from fraudlens.operators.models import MODEL_NAMES
     parts = []
     for order, name in enumerate(MODEL_NAMES):
-        m = evaluate(_fitted(spark, sf_dir, name), d.test)
+        m = mt.model_metrics(_predictions_table(spark, sf_dir, name), "target", "prediction_status")
         parts.append(m.select(F.lit(name).alias("model"), F.lit(order).alias("fit_order"), "*"))
     table = parts[0]
     for p in parts[1:]:
@@ -646,15 +680,14 @@ def q_isolation_forest_metrics(spark, sf_dir):
 def q_training_run(spark, sf_dir):
     """The whole training lifecycle; the winner's grid is limited to 4 points
     here (the library default is the full grid)."""
-    from fraudlens.operators.models import MODEL_NAMES
     from fraudlens.plans.training import run_training
     from fraudlens.session import shared_path
     import uuid
     d = _training(spark, sf_dir)
-    fitted = {n: _fitted(spark, sf_dir, n) for n in MODEL_NAMES}
+    rows = _comparison_rows(spark, sf_dir)
     out = shared_path(spark, f"training/{uuid.uuid4().hex[:12]}")
     return run_training(spark, _tx(spark, sf_dir), f"{out}/artefacts", f"{out}/runs", grid_points=4,
-                        data=d, fitted=fitted)
+                        data=d, comparison=rows)
 
 
 # ----------------------------------------------------------------------------- composed / single-scan EDA
