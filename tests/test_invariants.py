@@ -9,7 +9,10 @@ from fraudlens.sources.tables import scored, transactions
 
 @pytest.fixture(scope="module")
 def tx(spark):
-    return transactions(spark, SF001).persist()
+    df = transactions(spark, SF001).persist()
+    yield df
+    # a cached copy would answer later plan tests' scans from memory
+    df.unpersist(blocking=True)
 
 
 def test_shares_sum_to_100(tx):

@@ -22,7 +22,7 @@ def q():
 def test_filters_and_pruning_reach_the_scan(spark, q):
     text = formatted(q["filtered_transactions"](spark, SF001))
     events_scan = [b for b in text.split("\n\n") if "events.parquet" in b][0]
-    assert "GreaterThanOrEqual(ts" in events_scan and "LessThan(ts" in events_scan
+    assert "GreaterThanOrEqual(ts" in events_scan and "LessThan(ts" in events_scan, events_scan
     assert "GreaterThanOrEqual(value" in events_scan and "In(event_type" in events_scan
     assert "props" not in events_scan.split("ReadSchema")[1]        # unused column not read
 
