@@ -298,11 +298,22 @@ def duplicate_rows(tx: DataFrame, columns: list[str] | None = None) -> DataFrame
 DESCRIBE_PROBS = [0.25, 0.5, 0.75]
 
 
-def describe(tx: DataFrame, col: str = "amount") -> DataFrame:
+def describe(tx: DataFrame, col: str = "amount", exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """pandas-style describe(): count, mean, std (n-1), min, 25%, 50%, 75%, max,
     long form (statistique, valeur). Quartiles are exact (linear interpolation)
-    and computed without gathering the column into one task."""
+    and computed without gathering the column into one task; ``exact=False``
+    takes them from ``percentile_approx`` in the same single aggregation pass
+    (rank error <= n / accuracy, no interpolation)."""
     base = tx.where(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
+    if not exact:
+        qs = F.percentile_approx(F.col(col).cast("double"), DESCRIBE_PROBS, accuracy)
+        row = base.agg(F.count(F.lit(1)).cast("double").alias("count"), F.avg(col).alias("mean"),
+                       F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"),
+                       qs.alias("__q"), F.max(col).cast("double").alias("max"))
+        row = row.select("count", "mean", "std", "min", *[F.col("__q")[i].alias(f"{int(p * 100)}%")
+                                                            for i, p in enumerate(DESCRIBE_PROBS)], "max")
+        names = ["count", "mean", "std", "min"] + [f"{int(p * 100)}%" for p in DESCRIBE_PROBS] + ["max"]
+        return row.unpivot([], names, "statistique", "valeur").select("statistique", r6(F.col("valeur")).alias("valeur"))
     m = base.agg(F.count(F.lit(1)).cast("double").alias("count"), F.avg(col).alias("mean"),
                  F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"),
                  F.max(col).cast("double").alias("max"))

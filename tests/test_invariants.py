@@ -72,3 +72,16 @@ def test_split_two_level_equals_direct(spark, tx):
     ka = {r[0] for r in a.where("is_test").select("operation_id").collect()}
     kb = {r[0] for r in b.where("is_test").select("operation_id").collect()}
     assert ka == kb and a.count() == b.count() == tx.count()
+
+
+def test_describe_approx_close_to_exact(tx):
+    exact = {r["statistique"]: r["valeur"] for r in eda.describe(tx).collect()}
+    approx = {r["statistique"]: r["valeur"] for r in eda.describe(tx, exact=False).collect()}
+    assert set(exact) == set(approx)
+    for k in ("count", "mean", "std", "min", "max"):
+        assert approx[k] == pytest.approx(exact[k])
+    n = exact["count"]
+    col = sorted(r[0] for r in tx.select("amount").where("amount is not null").collect())
+    for k, p in (("25%", 0.25), ("50%", 0.5), ("75%", 0.75)):
+        lo, hi = col[max(0, int(p * n) - int(n / 10_000) - 2)], col[min(len(col) - 1, int(p * n) + int(n / 10_000) + 2)]
+        assert lo <= approx[k] <= hi
