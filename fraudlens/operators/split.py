@@ -40,6 +40,46 @@ def _bucket_states(counts: DataFrame, label: str, bucket: str) -> DataFrame:
             .select(label, bucket, "__before", "__quota", "__state"))
 
 
+def _rank_boundary(rows: DataFrame, label: str, key: str, out_col: str, direct_max: int) -> DataFrame:
+    """Assign the boundary rows (columns __h, __before, __quota) to test/train.
+
+    Copies of one key share its hash, so keys are ranked instead of rows:
+    copies collapse map-side into one row per key, a window over the distinct
+    keys gives each key its share m of test rows (all, none, or - for at most
+    one straddling key per class - part of its copies). The copies of a
+    straddling key are numbered within groups of bounded size: directly when
+    few, otherwise after a reliable checkpoint by their position inside each
+    partition plus per-partition offsets, so no task holds the whole group."""
+    keys = (rows.groupBy(label, "__h", key)
+            .agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__b0"), F.first("__quota").alias("__q0")))
+    w = Window.partitionBy(label).orderBy("__h", key).rowsBetween(Window.unboundedPreceding, -1)
+    keys = keys.withColumn("__start", F.col("__b0") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
+    keys = keys.withColumn("__m", F.greatest(F.lit(0), F.least(F.col("__c"), F.col("__q0") - F.col("__start"))))
+    keys = keys.select(label, "__h", key, "__c", "__m").persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = rows.join(keys, [label, "__h", key])
+    whole = (tagged.where((F.col("__m") == 0) | (F.col("__m") == F.col("__c")))
+             .withColumn(out_col, F.col("__m") > 0))
+    part = tagged.where((F.col("__m") > 0) & (F.col("__m") < F.col("__c")))
+    biggest = keys.where((F.col("__m") > 0) & (F.col("__m") < F.col("__c"))).agg(F.max("__c")).collect()[0][0] or 0
+    grp = [label, "__h", key]
+    if biggest <= direct_max:
+        order = F.xxhash64(*[F.col(c) for c in rows.columns])
+        part = part.withColumn(out_col, F.row_number().over(Window.partitionBy(*grp).orderBy(order)) <= F.col("__m"))
+    else:
+        cp = part.checkpoint()  # fixed partition layout in the shared folder
+        cp = (cp.withColumn("__mid", F.monotonically_increasing_id())
+              .withColumn("__pid", F.shiftright("__mid", 33)))
+        local = F.row_number().over(Window.partitionBy(*grp, "__pid").orderBy("__mid"))
+        cp = cp.withColumn("__local", local)
+        per = cp.groupBy(*grp, "__pid").agg(F.count(F.lit(1)).alias("__k"))   # keys x partitions rows
+        wo = Window.partitionBy(*grp).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.withColumn("__off", F.coalesce(F.sum("__k").over(wo), F.lit(0))).drop("__k")
+        cp = cp.join(F.broadcast(per), [*grp, "__pid"])
+        part = (cp.withColumn(out_col, F.col("__off") + F.col("__local") <= F.col("__m"))
+                .drop("__mid", "__pid", "__local", "__off"))
+    return whole.unionByName(part).drop("__c", "__m")
+
+
 def stratified_split(df: DataFrame, key: str = "operation_id", label: str = "target", test_fraction: float = 0.2,
                      seed: int = 42, out_col: str = "is_test", classes: list[str] | None = None,
                      rank_direct_max: int = RANK_DIRECT_MAX) -> DataFrame:
@@ -74,11 +114,11 @@ def stratified_split(df: DataFrame, key: str = "operation_id", label: str = "tar
     bsize = info1.where(F.col("__state") == "boundary").join(c1.select(label, "__b1", "__n"), [label, "__b1"])
     sizes = bsize.agg(F.max("__n")).collect()[0][0] or 0
     t1 = work.join(small(info1), [label, "__b1"])
-    settled1 = t1.where(F.col("__state") != "boundary").withColumn(out_col, F.col("__state") == "test")
+    settled1 = (t1.where(F.col("__state") != "boundary").withColumn(out_col, F.col("__state") == "test")
+                .drop("__state"))
     r1 = t1.where(F.col("__state") == "boundary")
-    w_rank = Window.partitionBy(label).orderBy("__h", key)
     if sizes <= rank_direct_max:
-        ranked = r1.withColumn(out_col, F.col("__before") + F.row_number().over(w_rank) <= F.col("__quota"))
+        ranked = _rank_boundary(r1.drop("__state"), label, key, out_col, rank_direct_max)
         out = settled1.unionByName(ranked)
         return out.drop("__h", "__b1", "__b2", "__before", "__quota", "__state")
     # level 2, inside the (at most one per class) boundary bucket of level 1
@@ -86,9 +126,10 @@ def stratified_split(df: DataFrame, key: str = "operation_id", label: str = "tar
     c2 = (r1.groupBy(label, "__b2", F.col("__before").alias("__start"), "__quota")
           .agg(F.count(F.lit(1)).alias("__n")))
     t2 = r1.drop("__before", "__quota").join(small(_bucket_states(c2, label, "__b2")), [label, "__b2"])
-    settled2 = t2.where(F.col("__state") != "boundary").withColumn(out_col, F.col("__state") == "test")
-    ranked = (t2.where(F.col("__state") == "boundary")
-              .withColumn(out_col, F.col("__before") + F.row_number().over(w_rank) <= F.col("__quota")))
+    settled2 = (t2.where(F.col("__state") != "boundary").withColumn(out_col, F.col("__state") == "test")
+                .drop("__state"))
+    ranked = _rank_boundary(t2.where(F.col("__state") == "boundary").drop("__state"), label, key, out_col,
+                            rank_direct_max)
     out = settled1.unionByName(settled2).unionByName(ranked)
     return out.drop("__h", "__b1", "__b2", "__before", "__quota", "__state")
 

@@ -46,3 +46,20 @@ def test_quartiles_per_hot_group(skewed):
 def test_location_rates_under_skew(skewed):
     got = eda.location_status_rate(skewed, 5).toPandas()
     assert len(got) == 5 and ((got["pct_normal"] + got["pct_suspect"] + got["pct_fraude"]).round(3) == 100.0).all()
+
+
+@pytest.mark.parametrize("direct_max", [10**9, 0])
+def test_split_with_hot_copies_at_the_quota(spark, direct_max):
+    """5,000 copies of one id among 1,000 unique ids: the copies straddle the
+    20 % quota; both numbering paths give exactly the quota and the same
+    assignment of the unique ids."""
+    rows = [(f"u{i}", "Normal", float(i)) for i in range(1000)] + [("HOT", "Normal", float(j)) for j in range(5000)]
+    df = spark.createDataFrame(rows, "operation_id string, target string, amount double").repartition(7)
+    out = split.stratified_split(df, classes=["Normal"], rank_direct_max=direct_max).toPandas()
+    assert len(out) == 6000 and out["is_test"].sum() == 1200
+    # unique ids: test exactly when their hash sorts before the hot id's hash
+    import hashlib
+    h = {k: hashlib.md5(f"{k}:42".encode()).hexdigest() for k in out["operation_id"].unique()}
+    uniq = out[out["operation_id"] != "HOT"]
+    assert (uniq["is_test"] == uniq["operation_id"].map(lambda k: h[k] < h["HOT"])).all()
+    assert out[out["operation_id"] == "HOT"]["is_test"].sum() == 1200 - uniq["is_test"].sum()
