@@ -482,6 +482,14 @@ def _fitted(spark, sf_dir, name):
     key = (session_key(spark), sf_dir, name)
     if key in _ML_CACHE:
         return _ML_CACHE[key]
+    if name not in _KEEP_MODELS:
+        # a deep forest needs most of a small heap: drop cached intermediates of
+        # earlier queries first (deterministic lineage: recomputed if used again)
+        spark.catalog.clearCache()
+        try:
+            spark.sparkContext._jvm.System.gc()
+        except Exception:  # noqa: BLE001 - sessions without a JVM gateway
+            pass
     model = fit_model(_training(spark, sf_dir), name)
     if name in _KEEP_MODELS:
         _ML_CACHE[key] = model
