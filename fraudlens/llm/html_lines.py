@@ -35,6 +35,9 @@ _CHROME_WORDS = frozenset(
 _LAYOUT_WORDS = frozenset("with has no without content main article post page wrapper layout container".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>""")
+_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: Characters of a tag within which its quotes are heeded: bounds the work on broken markup.
+MAX_TAG = 4096
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
@@ -66,7 +69,7 @@ def _lines(html: str) -> Iterator[tuple[str, str]]:
     stack: list[tuple[str, str]] = []  # open elements, and the zone outside each
     opened: Counter = Counter()
     held: list[str] = []
-    at, end = 0, len(html)
+    at, end, last_tag_end = 0, len(html), html.rfind(">")
 
     def line() -> str:
         text = " ".join("".join(held).split())
@@ -93,11 +96,14 @@ def _lines(html: str) -> Iterator[tuple[str, str]]:
             stop = html.find("-->", lt + 4)
             at = end if stop < 0 else stop + 3
             continue
-        m = _TAG.match(html, lt)
+        if lt > last_tag_end:  # no tag ends any more
+            held.append(unescape(html[lt:]))
+            break
+        # Quotes may hold the tag's end mark; where they are too long or never close, the next mark is the end.
+        m = _TAG.match(html, lt, lt + MAX_TAG) or _OPEN_TAG.match(html, lt)
         if not m:
             if html[lt + 1:lt + 2] in ("!", "?", "/"):  # a declaration, or an end tag without a name
-                stop = html.find(">", lt)
-                at = end if stop < 0 else stop + 1
+                at = html.find(">", lt) + 1
             else:
                 held.append("<")
                 at = lt + 1

@@ -133,7 +133,9 @@ def quotas(t: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     Whole epochs come first. In the last one, slots hold ``block`` words each,
     except the slot that the short last block falls to."""
     n, size, want = F.col("blocks"), F.col("source_size"), F.col("want")
-    t = t.filter("source_size > 0").withColumn("want", F.round("target").cast("long")) \
+    # The optimizer may move the filter behind what follows: a source without words must not divide by zero there.
+    t = t.filter("source_size > 0").withColumn("source_size", F.greatest("source_size", F.lit(1).cast("long"))) \
+        .withColumn("want", F.round("target").cast("long")) \
         .withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}")) \
         .withColumn("key", F.xxhash64(F.lit(seed), F.col("source"), F.col("source").isNull())) \
         .withColumn("whole", F.expr("want div source_size")) \
@@ -258,8 +260,9 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     if rows.count() > rows.select("row").distinct().count():
         texts = texts.dropDuplicates([key])  # equal rows: one text, a row of ``takes`` for each
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform(F.col(spans), lambda s: F.slice(
-        words, (s["at"] + 1).cast("int"), s["n"].cast("int")))), "")
+    # the words as a lambda's argument: split once a text, not once a span
+    cut = F.transform(F.array(words), lambda ws: F.array_join(F.flatten(F.transform(
+        F.col(spans), lambda s: F.slice(ws, (s["at"] + 1).cast("int"), s["n"].cast("int")))), ""))[0]
     out = texts.join(takes, key).withColumn(text_col, cut)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

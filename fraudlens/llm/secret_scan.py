@@ -3,10 +3,9 @@
 The *base* patterns find assignments to password-like names, access keys and
 long hexadecimal strings. The *method* looks at every other string of 16 or more
 characters of ``[A-Za-z0-9+/_.=-]`` that stands in a sensitive context (a
-credential word within the 48 characters before it): its marginal cost is the
-compressed size of the surrounding text with the string, less that of the
-surrounding text alone, both by a zstandard compressor primed with a dictionary
-of common identifiers and words of credentials. Names, paths, version numbers
+credential word within the 48 characters before it): its marginal cost is what it
+adds to the output of a zstandard compressor that is primed with a dictionary of
+common identifiers and with the text around the string. Names, paths, version numbers
 and words repeat what the dictionary or the surroundings hold and cost little;
 keys do not compress. A string that costs ``MIN_NOVELTY`` of its length or more
 and mixes letters and digits is reported as kind ``novel``.
@@ -42,7 +41,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE_LEN = 16
 CONTEXT = 48
 SURROUND = 256
-MIN_NOVELTY = 0.7
+MIN_NOVELTY = 0.95
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE_LEN)
 # Words that make a context sensitive.
 _SENSITIVE = re.compile(
@@ -72,18 +71,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Novelty:
-    """Marginal compressed size under the identifier dictionary."""
+    """Marginal compressed size under identifiers and surroundings."""
 
-    def __init__(self, dictionary: bytes = IDENTIFIERS):
-        primer = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self._zstd = zstandard.ZstdCompressor(level=19, dict_data=primer, write_content_size=False,
-                                              write_checksum=False)
+    def __init__(self, identifiers: bytes = IDENTIFIERS):
+        self._identifiers = identifiers
+        self._frame = len(self._compress(b"", b""))
+
+    def _compress(self, surroundings: bytes, own: bytes) -> bytes:
+        primer = zstandard.ZstdCompressionDict(self._identifiers + b"\n" + surroundings,
+                                               dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return zstandard.ZstdCompressor(level=19, dict_data=primer, write_content_size=False, write_checksum=False,
+                                        write_dict_id=False).compress(own)
 
     def of(self, text: str, start: int, end: int) -> float:
-        """Bytes that text[start:end] adds to its surroundings, per byte of it."""
-        around = (text[max(0, start - SURROUND):start] + "\n" + text[end:end + SURROUND]).encode("utf-8", "replace")
+        """Bytes that text[start:end] adds to a compressor that has seen what
+        surrounds it, per byte of it."""
+        around = text[max(0, start - SURROUND):start] + "\n" + text[end:end + SURROUND]
         own = text[start:end].encode()
-        return (len(self._zstd.compress(around + b"\n" + own)) - len(self._zstd.compress(around))) / len(own)
+        return (len(self._compress(around.encode("utf-8", "replace"), own)) - self._frame) / len(own)
 
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty) -> list[tuple[str, int, int]]:
