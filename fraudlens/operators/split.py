@@ -1,17 +1,21 @@
 """Deterministic stratified train/test split, class weights, contamination.
 
-The split is exact and partition-independent: within each class, rows are
-ranked by ``md5(key || ':' || seed)`` and the first floor(fraction * n_class)
-go to test. Ranking a whole class in one window would put 76 % of the data in
-one task, so rows are bucketed by the leading hex digits of the hash; a small
-(class x bucket) count table decides which buckets are wholly test or wholly
-train. The one boundary bucket per class is bucketed again on the next hex
-digits, and only the rows of its boundary sub-bucket are ranked.
+The test set has ceil(fraction * n) rows; each class gets its proportional share,
+and the rows that flooring leaves go to the classes with the largest remainders
+(ties by class name). Within a class, rows are ordered by ``md5(key || ':' || seed)``,
+then key, then a hash of the whole row, and the first ones go to test: the split
+does not depend on the number of rows or on their partitions.
+
+The order is never computed by sorting a class. Counts per (class, leading hash
+digits) find the bucket that the quota falls into, counts of the next digits find
+the bucket inside it, and the few rows there give the cut point. One row per class
+reaches the driver, and one scan compares each row with its class's cut point.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,135 +23,137 @@ from fraudlens.functions.columns import r6
 from fraudlens.functions.joins import broadcast_if_small
 from fraudlens.schema import FRAUD
 
-HASH_PREFIX_HEX = 4          # 65,536 buckets per class
-RANK_DIRECT_MAX = 2_000_000  # largest boundary bucket ranked without a second level
-MAX_BROADCAST_CLASSES = 64   # bucket table <= classes x 65,536 rows
+HASH_PREFIX_HEX = 4     # 65,536 buckets per class and level
+COPIES_PER_ROW = 10_000  # copies of one row that one generated row unfolds to
+
+
+class UnknownLabelError(ValueError):
+    """Rows carry labels outside the given vocabulary."""
 
 
 def split_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
-def _bucket_states(counts: DataFrame, label: str, bucket: str) -> DataFrame:
-    """Per (class, bucket): rows before the bucket in hash order and whether
-    the bucket lies wholly in test, wholly in train, or across the quota."""
-    w_before = Window.partitionBy(label).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("__start") + F.coalesce(F.sum("__n").over(w_before), F.lit(0))
-    return (counts.withColumn("__before", before)
-            .withColumn("__state", F.when(F.col("__before") + F.col("__n") <= F.col("__quota"), F.lit("test"))
-                        .when(F.col("__before") >= F.col("__quota"), F.lit("train"))
-                        .otherwise(F.lit("boundary")))
-            .select(label, bucket, "__before", "__quota", "__state"))
-
-
-def _rank_boundary(rows: DataFrame, label: str, key: str, out_col: str, direct_max: int) -> DataFrame:
-    """Assign the boundary rows (columns __h, __before, __quota) to test/train.
-
-    Copies of one key share its hash, so keys are ranked instead of rows:
-    copies collapse map-side into one row per key, a window over the distinct
-    keys gives each key its share m of test rows (all, none, or - for at most
-    one straddling key per class - part of its copies). The copies of a
-    straddling key are numbered within groups of bounded size: directly when
-    few, otherwise after a reliable checkpoint by their position inside each
-    partition plus per-partition offsets, so no task holds the whole group."""
-    keys = (rows.groupBy(label, "__h", key)
-            .agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__b0"), F.first("__quota").alias("__q0")))
-    w = Window.partitionBy(label).orderBy("__h", key).rowsBetween(Window.unboundedPreceding, -1)
-    keys = keys.withColumn("__start", F.col("__b0") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
-    keys = keys.withColumn("__m", F.greatest(F.lit(0), F.least(F.col("__c"), F.col("__q0") - F.col("__start"))))
-    keys = keys.select(label, "__h", key, "__c", "__m").persist(StorageLevel.MEMORY_AND_DISK)
-    tagged = rows.join(keys, [label, "__h", key])
-    whole = (tagged.where((F.col("__m") == 0) | (F.col("__m") == F.col("__c")))
-             .withColumn(out_col, F.col("__m") > 0))
-    part = tagged.where((F.col("__m") > 0) & (F.col("__m") < F.col("__c")))
-    biggest = keys.where((F.col("__m") > 0) & (F.col("__m") < F.col("__c"))).agg(F.max("__c")).collect()[0][0] or 0
-    grp = [label, "__h", key]
-    if biggest <= direct_max:
-        order = F.xxhash64(*[F.col(c) for c in rows.columns])
-        part = part.withColumn(out_col, F.row_number().over(Window.partitionBy(*grp).orderBy(order)) <= F.col("__m"))
-    else:
-        cp = part.checkpoint()  # fixed partition layout in the shared folder
-        cp = (cp.withColumn("__mid", F.monotonically_increasing_id())
-              .withColumn("__pid", F.shiftright("__mid", 33)))
-        local = F.row_number().over(Window.partitionBy(*grp, "__pid").orderBy("__mid"))
-        cp = cp.withColumn("__local", local)
-        per = cp.groupBy(*grp, "__pid").agg(F.count(F.lit(1)).alias("__k"))   # keys x partitions rows
-        wo = Window.partitionBy(*grp).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-        per = per.withColumn("__off", F.coalesce(F.sum("__k").over(wo), F.lit(0))).drop("__k")
-        cp = cp.join(F.broadcast(per), [*grp, "__pid"])
-        part = (cp.withColumn(out_col, F.col("__off") + F.col("__local") <= F.col("__m"))
-                .drop("__mid", "__pid", "__local", "__off"))
-    return whole.unionByName(part).drop("__c", "__m")
+def class_quotas(counts: dict[str, int], test_fraction: float) -> dict[str, int]:
+    """Test rows per class: ceil(fraction * n) in total, by largest remainder."""
+    n = sum(counts.values())
+    total = math.ceil(test_fraction * n)
+    quotas = {c: k * total // n for c, k in counts.items()} if n else {}
+    by_remainder = sorted(counts, key=lambda c: (-(counts[c] * total % n) if n else 0, c))
+    for c in by_remainder[:total - sum(quotas.values())]:
+        quotas[c] += 1
+    return quotas
+
+
+def _bucket(level: int) -> Column:
+    digits = F.substring("__h", 1 + level * HASH_PREFIX_HEX, HASH_PREFIX_HEX)
+    return F.conv(digits, 16, 10).cast("int")
+
+
+def _crossing(counts: DataFrame, label: str, order: list[str], quotas: dict[str, int]) -> dict[str, dict]:
+    """Per class: the first entry of ``counts`` (label, *order, n) whose running
+    count reaches the quota, as a dict with ``before``, the count up to it."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(label).orderBy(*order)
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quota = F.create_map(*[x for c, q in quotas.items() for x in (F.lit(c), F.lit(q))])[F.col(label)]
+    rows = (counts.withColumn("before", before).withColumn("quota", quota)
+            .where((F.col("before") < F.col("quota")) & (F.col("before") + F.col("n") >= F.col("quota"))).collect())
+    return {r[label]: r.asDict() for r in rows}  # at most one row per class
+
+
+def _in_cells(label: str, cells: dict[str, tuple]) -> Column:
+    """Rows whose buckets are their class's cell."""
+    cond = F.lit(False)
+    for c, cell in cells.items():
+        here = F.col(label) == c
+        for level, b in enumerate(cell):
+            here = here & (_bucket(level) == b)
+        cond = cond | here
+    return cond
 
 
 def stratified_split(df: DataFrame, key: str = "operation_id", label: str = "target", test_fraction: float = 0.2,
-                     seed: int = 42, out_col: str = "is_test", classes: list[str] | None = None,
-                     rank_direct_max: int = RANK_DIRECT_MAX) -> DataFrame:
+                     seed: int = 42, out_col: str = "is_test", classes: list[str] | None = None) -> DataFrame:
     """Add boolean ``is_test``; rows with a null label are left out (they cannot
-    be learned from). With ``classes`` (the label vocabulary) only those labels
-    are kept and each bucket table is bounded by len(classes) x 65,536 rows by
-    construction; without it the class count is checked first.
-
-    Level-1 buckets (hash hex digits 1-4) settle all rows but one bucket per
-    class. When such a boundary bucket holds more than ``rank_direct_max``
-    rows, it is bucketed again on hex digits 5-8 (about n_class / 2**32 rows
-    left); the remaining rows are ranked by (hash, key)."""
-    h = split_hash(F.col(key), seed)
-    keep = F.col(label).isNotNull() if classes is None else F.col(label).isin(list(classes))
-    work = (df.where(keep).withColumn("__h", h)
-            .withColumn("__b1", F.conv(F.substring("__h", 1, HASH_PREFIX_HEX), 16, 10).cast("int"))
-            .withColumn("__b2", F.conv(F.substring("__h", HASH_PREFIX_HEX + 1, HASH_PREFIX_HEX), 16, 10).cast("int")))
-    c1 = work.groupBy(label, "__b1").agg(F.count(F.lit(1)).alias("__n"))
-    c1 = (c1.withColumn("__quota", F.floor(F.sum("__n").over(Window.partitionBy(label)) * F.lit(float(test_fraction))))
-          .withColumn("__start", F.lit(0).cast("long")))
-    n_classes = (len(classes) if classes is not None
-                 else c1.select(label).distinct().limit(MAX_BROADCAST_CLASSES + 1).count())
-
-    def small(t: DataFrame) -> DataFrame:
-        return F.broadcast(t) if n_classes <= MAX_BROADCAST_CLASSES else t
-
-    # The level-1 table (<= classes x 65,536 rows) is cached: the join reads it
-    # and the sizes of the boundary buckets (one per class) decide whether a
-    # second level is needed before ranking.
-    c1 = c1.persist(StorageLevel.MEMORY_AND_DISK)
-    info1 = _bucket_states(c1, label, "__b1")
-    bsize = info1.where(F.col("__state") == "boundary").join(c1.select(label, "__b1", "__n"), [label, "__b1"])
-    sizes = bsize.agg(F.max("__n")).collect()[0][0] or 0
-    t1 = work.join(small(info1), [label, "__b1"])
-    settled1 = (t1.where(F.col("__state") != "boundary").withColumn(out_col, F.col("__state") == "test")
-                .drop("__state"))
-    r1 = t1.where(F.col("__state") == "boundary")
-    if sizes <= rank_direct_max:
-        ranked = _rank_boundary(r1.drop("__state"), label, key, out_col, rank_direct_max)
-        out = settled1.unionByName(ranked)
-        return out.drop("__h", "__b1", "__b2", "__before", "__quota", "__state")
-    # level 2, inside the (at most one per class) boundary bucket of level 1
-    r1 = r1.drop("__state")
-    c2 = (r1.groupBy(label, "__b2", F.col("__before").alias("__start"), "__quota")
-          .agg(F.count(F.lit(1)).alias("__n")))
-    t2 = r1.drop("__before", "__quota").join(small(_bucket_states(c2, label, "__b2")), [label, "__b2"])
-    settled2 = (t2.where(F.col("__state") != "boundary").withColumn(out_col, F.col("__state") == "test")
-                .drop("__state"))
-    ranked = _rank_boundary(t2.where(F.col("__state") == "boundary").drop("__state"), label, key, out_col,
-                            rank_direct_max)
-    out = settled1.unionByName(settled2).unionByName(ranked)
-    return out.drop("__h", "__b1", "__b2", "__before", "__quota", "__state")
+    be learned from). With ``classes`` (the label vocabulary) a row with another
+    label raises, as the label encoder of a model would."""
+    order = ["__h", "__k", "__r"]
+    work = (df.where(F.col(label).isNotNull()).withColumn("__h", F.coalesce(split_hash(F.col(key), seed), F.lit("")))
+            .withColumn("__k", F.coalesce(F.col(key).cast("string"), F.lit("")))
+            .withColumn("__r", F.xxhash64(*[F.col(c) for c in df.columns])))
+    c1 = work.groupBy(label, _bucket(0).alias("b")).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        counts = {r[label]: r["n"] for r in c1.groupBy(label).agg(F.sum("n").alias("n")).collect()}  # one row per class
+        unknown = {c: n for c, n in counts.items() if classes is not None and c not in classes}
+        if unknown:
+            raise UnknownLabelError(f"labels outside the vocabulary: {unknown}")
+        quotas = {c: q for c, q in class_quotas(counts, test_fraction).items() if q > 0}
+        if not quotas:
+            return df.where(F.col(label).isNotNull()).withColumn(out_col, F.lit(False))
+        at = _crossing(c1, label, ["b"], quotas)
+    finally:
+        c1.unpersist()
+    cells = {c: (r["b"],) for c, r in at.items()}
+    left = {c: quotas[c] - r["before"] for c, r in at.items()}
+    c2 = (work.where(_in_cells(label, cells)).groupBy(label, _bucket(1).alias("b"))
+          .agg(F.count(F.lit(1)).alias("n")))
+    at = _crossing(c2, label, ["b"], left)
+    cells = {c: (*cells[c], r["b"]) for c, r in at.items()}
+    left = {c: left[c] - r["before"] for c, r in at.items()}
+    # copies of a row are one entry; copies of a key with other values differ in the row's hash
+    c3 = work.where(_in_cells(label, cells)).groupBy(label, *order).agg(F.count(F.lit(1)).alias("n"))
+    cuts = _crossing(c3, label, order, left)
+
+    is_test, straddles = F.lit(False), F.lit(False)
+    for c, r in cuts.items():
+        here, point = F.col(label) == c, F.struct(*[F.lit(r[o]).alias(o) for o in order])
+        is_test = is_test | (here & (F.struct(*order) <= point))
+        if left[c] - r["before"] < r["n"]:
+            straddles = straddles | (here & (F.struct(*order) == point))
+    out = work.withColumn(out_col, is_test)
+    if not any(left[c] - r["before"] < r["n"] for c, r in cuts.items()):
+        return out.select(*df.columns, out_col)
+    # Equal rows across the cut cannot be told apart: one of them is unfolded to as many test and train copies.
+    one = work.where(straddles).dropDuplicates([label, *order])
+    taken = {c: left[c] - r["before"] for c, r in cuts.items()}
+    runs = F.create_map(*[x for c, r in cuts.items() for x in (F.lit(c), F.array(*[
+        F.struct(F.lit(n).cast("long").alias("n"), F.lit(t).alias("t"))
+        for n, t in ((taken[c], True), (r["n"] - taken[c], False))]))])[F.col(label)]
+    one = one.select(*df.columns, F.explode(runs).alias("__run"))
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__run.n"), F.lit(COPIES_PER_ROW).cast("long")))
+    one = one.withColumn("__from", step).where(F.col("__from") < F.col("__run.n"))
+    one = one.withColumn("__copy", F.explode(F.sequence(
+        F.col("__from"), F.least(F.col("__from") + COPIES_PER_ROW, F.col("__run.n")) - 1)))
+    copies = one.select(*df.columns, F.col("__run.t").alias(out_col))
+    return out.where(~straddles).select(*df.columns, out_col).unionByName(copies)
+
+
+def balanced_weights(train: DataFrame, label: str = "target") -> DataFrame:
+    """'balanced' weights n / (k * n_c) over the training rows, unrounded."""
+    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_train"))
+    w = Window.partitionBy()  # over k rows (one per class)
+    return counts.select(label, "n_train", (F.sum("n_train").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_train")))
+                         .alias("weight"))
 
 
 def class_weights(train: DataFrame, label: str = "target") -> DataFrame:
-    """'balanced' weights n / (k * n_c) over the training rows."""
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_train"))
-    w = Window.partitionBy()  # over k rows (one per class)
-    return counts.select(label, "n_train",
-                         r6(F.sum("n_train").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_train"))).alias("weight"))
+    """The balanced weights for display, rounded."""
+    return balanced_weights(train, label).withColumn("weight", r6(F.col("weight")))
 
 
 def with_class_weights(train: DataFrame, label: str = "target", weight_col: str = "weight") -> DataFrame:
     """Attach the balanced weight to each training row (k-row lookup, broadcast
     after a size check)."""
-    cw = class_weights(train, label).select(label, F.col("weight").alias(weight_col))
+    cw = balanced_weights(train, label).select(label, F.col("weight").alias(weight_col))
     return train.join(broadcast_if_small(cw), label)
 
 
+def fraud_share(train: DataFrame, label: str = "target") -> DataFrame:
+    """Share of fraud rows, unrounded: what the anomaly detector receives."""
+    return train.agg(F.avg(F.col(label).eqNullSafe(FRAUD).cast("double")).alias("contamination"))
+
+
 def contamination_rate(train: DataFrame, label: str = "target") -> DataFrame:
-    return train.agg(r6(F.avg(F.col(label).eqNullSafe(FRAUD).cast("double"))).alias("contamination"))
+    """The fraud share for display, rounded."""
+    return fraud_share(train, label).withColumn("contamination", r6(F.col("contamination")))

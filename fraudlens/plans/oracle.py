@@ -468,11 +468,20 @@ FROM (SELECT score, CAST(2 * tp AS DOUBLE) / (tp + fp + P) AS f1, CAST(tp AS DOU
 ORDER BY f1 DESC, score ASC LIMIT 1""", _CURVE))
 
 # ----------------------------------------------------------------------------- split, weights, scaling
+# ceil(20 %) of all rows; classes get their share, rounded by the largest remainder (ties by name)
 _SPLIT = """
+cls AS (
+  SELECT target, count(*) AS nc, sum(count(*)) OVER () AS nt, ceil(0.2 * sum(count(*)) OVER ()) AS tt
+  FROM transactions WHERE target IN ('Fraude', 'Normal', 'Suspect') GROUP BY target),
+quota AS (
+  SELECT target, floor(nc * tt / nt)
+                 + CASE WHEN row_number() OVER (ORDER BY (nc * tt) % nt DESC, target)
+                             <= max(tt) OVER () - sum(floor(nc * tt / nt)) OVER () THEN 1 ELSE 0 END AS q
+  FROM cls),
 spl AS (
-  SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(concat(operation_id, ':42')), operation_id)
-              <= floor(0.2 * count(*) OVER (PARTITION BY target)) AS is_test
-  FROM transactions WHERE target IN ('Fraude', 'Normal', 'Suspect'))"""
+  SELECT t.*, row_number() OVER (PARTITION BY t.target ORDER BY md5(concat(operation_id, ':42')), operation_id)
+              <= quota.q AS is_test
+  FROM transactions t JOIN quota ON t.target = quota.target)"""
 
 _reg("stratified_split", with_tx("SELECT operation_id, target, is_test FROM spl", _SPLIT))
 
@@ -571,13 +580,9 @@ _reg("streaming_journal_kpis", with_tx("""
 SELECT predicted_status, CAST(count(*) AS BIGINT) AS n_predictions, round(sum(amount), 6) AS montant_total
 FROM journal GROUP BY predicted_status""", _JOURNAL))
 
-# Append mode emits a day once the watermark (max event time - 1 day) passes its end.
 _reg("streaming_daily_trend", with_tx("""
 SELECT CAST(tx_ts AS DATE) AS jour, target, CAST(count(*) AS BIGINT) AS nombre
-FROM transactions
-WHERE CAST(CAST(tx_ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
-      <= (SELECT max(tx_ts) FROM transactions) - INTERVAL 1 DAY
-GROUP BY CAST(tx_ts AS DATE), target"""))
+FROM transactions GROUP BY CAST(tx_ts AS DATE), target"""))
 
 _reg("streaming_dedup", with_tx("SELECT DISTINCT operation_id, tx_ts, amount, target FROM transactions"))
 

@@ -651,7 +651,7 @@ def _iforest(spark, sf_dir):
     if key not in _ML_CACHE:
         d = _training(spark, sf_dir)
         scaled = _scaled(d)
-        contamination = sp.contamination_rate(d.train).collect()[0][0]
+        contamination = sp.fraud_share(d.train).collect()[0][0]
         _ML_CACHE[key] = (fit_isolation_forest(scaled[0], d.feature_columns, contamination=contamination),
                           scaled, contamination)
     return _ML_CACHE[key]

@@ -24,12 +24,17 @@ from fraudlens.sources.tables import _EVENT_COLS, client_locations, read_table,
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 64) -> DataFrame:
-    """File stream over the event table (schema taken from the table, never inferred per file)."""
+    """File stream over the event table (schema taken from the table, never
+    inferred per file). A table that is a folder of part files is streamed as
+    that folder; only a table that is one file is picked out of its parent by name."""
     schema = read_table(spark, sf_dir, "events").select(*_EVENT_COLS).schema
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(sf_dir.rstrip("/")))
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    table = f"{sf_dir.rstrip('/')}/events.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(path).isDirectory():
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir.rstrip("/"))
 
 
 def stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,34 +50,41 @@ def _dirs(spark: SparkSession, name: str) -> tuple[str, str]:
     return shared_path(spark, f"streams/{run}/data"), shared_path(spark, f"streams/{run}/checkpoint")
 
 
-def run_available(df: DataFrame, name: str, output_mode: str = "append", timeout_s: int = 600,
+def run_available(df: DataFrame, name: str, output_mode: str = "append", keys: list[str] | None = None,
                   out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run a streaming DataFrame over all available input and return its sink.
 
-    Append-mode queries write a Parquet file sink (exactly-once through the
-    sink's commit log); complete/update-mode aggregates are written per batch
-    with ``foreachBatch`` (the batch's full result replaces the table). Passing
-    the same ``out`` / ``checkpoint`` again resumes after the last committed
-    batch (a restarted job neither loses nor repeats input).
+    It waits as long as the input takes. Append-mode queries write a Parquet file
+    sink (exactly-once through the sink's commit log). Complete- and update-mode
+    aggregates write one folder per epoch (a repeated epoch replaces its own
+    folder only, so an earlier result is never lost half-way): the last epoch is
+    the table in complete mode; in update mode it is each key's latest row, which
+    includes groups that the watermark has not closed yet. Passing the same
+    ``out`` / ``checkpoint`` again resumes after the last committed batch (a
+    restarted job neither loses nor repeats input).
     """
     spark = df.sparkSession
     if out is None or checkpoint is None:
         out, checkpoint = _dirs(spark, name)
-    ckpt = checkpoint
-    writer = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
+    writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if output_mode == "append":
         q = writer.outputMode("append").format("parquet").start(out)
     else:
-        def write_batch(batch: DataFrame, epoch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-        q = writer.outputMode(output_mode).foreachBatch(write_batch).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"streaming query {name} did not finish in {timeout_s}s")
+        def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
+        q = writer.outputMode(output_mode).foreachBatch(write_epoch).start()
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.schema(df.schema).parquet(out)
+    if output_mode == "append":
+        return spark.read.schema(df.schema).parquet(out)
+    epochs = spark.read.schema(df.schema.add("epoch", "long")).parquet(out)
+    if output_mode == "complete":
+        last = epochs.agg(F.max("epoch")).collect()[0][0]
+        return epochs.where(F.col("epoch") == F.lit(last)).drop("epoch")
+    values = [c for c in df.columns if c not in keys]
+    latest = epochs.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v"))
+    return latest.select(*keys, "v.*")
 
 
 def static_table(df: DataFrame, name: str) -> DataFrame:
@@ -115,12 +127,13 @@ def streaming_journal_kpis(spark: SparkSession, sf_dir: str, threshold: float =
 
 
 def streaming_daily_trend(spark: SparkSession, sf_dir: str, lateness: str = "1 day") -> DataFrame:
-    """ST4: daily counts per target with a watermark; append mode emits a day
-    once the watermark passes its end, so only closed days appear."""
+    """ST4: daily counts per target; the watermark bounds the state, and update
+    mode delivers every day, the last ones included while they are still open."""
     s = stream_transactions(spark, sf_dir).withWatermark("tx_ts", lateness)
     agg = s.groupBy(F.window("tx_ts", "1 day"), "target").agg(F.count(F.lit(1)).alias("nombre"))
-    out = run_available(agg, "daily_trend")
-    return out.select(F.to_date(F.col("window.start")).alias("jour"), "target", "nombre")
+    agg = agg.select(F.col("window.start").alias("jour"), "target", "nombre")
+    out = run_available(agg, "daily_trend", output_mode="update", keys=["jour", "target"])
+    return out.select(F.to_date("jour").alias("jour"), "target", "nombre")
 
 
 def streaming_dedup(spark: SparkSession, sf_dir: str, lateness: str = "1 day") -> DataFrame:
@@ -129,17 +142,5 @@ def streaming_dedup(spark: SparkSession, sf_dir: str, lateness: str = "1 day") -
     a = stream_transactions(spark, sf_dir)
     b = stream_transactions(spark, sf_dir)
     s = a.unionByName(b).select("operation_id", "tx_ts", "amount", "target")
-    s = (local_dedup(s, ["operation_id"]).withWatermark("tx_ts", lateness)
-         .dropDuplicatesWithinWatermark(["operation_id"]))
+    s = s.withWatermark("tx_ts", lateness).dropDuplicatesWithinWatermark(["operation_id"])
     return run_available(s, "dedup")
-
-
-def local_dedup(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Stateless pre-deduplication inside each Arrow batch before the stateful
-    operator: the streaming deduplicator has no map-side combine, so without
-    it every copy of a replayed key would be shuffled to one task. Semantics
-    are unchanged (the stateful step still keeps one row per key)."""
-    def run(batches):
-        for pdf in batches:
-            yield pdf.drop_duplicates(subset=keys, keep="first")
-    return df.mapInPandas(run, df.schema)

@@ -30,8 +30,9 @@ def test_client_counts_under_skew(skewed):
 
 def test_split_quota_under_skew(skewed):
     s = split.stratified_split(skewed, classes=["Fraude", "Normal", "Suspect"]).toPandas()
+    assert s["is_test"].sum() == int(np.ceil(0.2 * len(s)))
     for _, g in s.groupby("target"):
-        assert g["is_test"].sum() == int(len(g) * 0.2)
+        assert abs(g["is_test"].sum() - 0.2 * len(g)) < 1
 
 
 def test_quartiles_per_hot_group(skewed):
@@ -48,18 +49,32 @@ def test_location_rates_under_skew(skewed):
     assert len(got) == 5 and ((got["pct_normal"] + got["pct_suspect"] + got["pct_fraude"]).round(3) == 100.0).all()
 
 
-@pytest.mark.parametrize("direct_max", [10**9, 0])
-def test_split_with_hot_copies_at_the_quota(spark, direct_max):
-    """5,000 copies of one id among 1,000 unique ids: the copies straddle the
-    20 % quota; both numbering paths give exactly the quota and the same
-    assignment of the unique ids."""
+def hot_split(spark, rows, partitions):
+    df = spark.createDataFrame(rows, "operation_id string, target string, amount double").repartition(partitions)
+    return split.stratified_split(df, classes=["Normal"]).toPandas()
+
+
+def test_split_with_hot_copies_at_the_quota(spark):
+    """5,000 rows of one id among 1,000 unique ids straddle the 20 % quota: the
+    quota is exact, and the same rows are chosen at any number of partitions."""
     rows = [(f"u{i}", "Normal", float(i)) for i in range(1000)] + [("HOT", "Normal", float(j)) for j in range(5000)]
-    df = spark.createDataFrame(rows, "operation_id string, target string, amount double").repartition(7)
-    out = split.stratified_split(df, classes=["Normal"], rank_direct_max=direct_max).toPandas()
-    assert len(out) == 6000 and out["is_test"].sum() == 1200
+    chosen = []
+    for partitions in (1, 3, 7):
+        out = hot_split(spark, rows, partitions)
+        assert len(out) == 6000 and out["is_test"].sum() == 1200
+        chosen.append(set(map(tuple, out.loc[out["is_test"], ["operation_id", "amount"]].values)))
+    assert chosen[0] == chosen[1] == chosen[2]
     # unique ids: test exactly when their hash sorts before the hot id's hash
     import hashlib
     h = {k: hashlib.md5(f"{k}:42".encode()).hexdigest() for k in out["operation_id"].unique()}
     uniq = out[out["operation_id"] != "HOT"]
     assert (uniq["is_test"] == uniq["operation_id"].map(lambda k: h[k] < h["HOT"])).all()
-    assert out[out["operation_id"] == "HOT"]["is_test"].sum() == 1200 - uniq["is_test"].sum()
+
+
+@pytest.mark.parametrize("step", [10_000, 7])
+def test_split_with_equal_rows_at_the_quota(spark, monkeypatch, step):
+    monkeypatch.setattr(split, "COPIES_PER_ROW", step)
+    rows = [(f"u{i}", "Normal", float(i)) for i in range(1000)] + [("HOT", "Normal", 1.0)] * 5000
+    out = hot_split(spark, rows, 5)
+    assert len(out) == 6000 and out["is_test"].sum() == 1200
+    assert (out["operation_id"] == "HOT").sum() == 5000 and out["operation_id"].nunique() == 1001
