@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from fraudlens.schema import FRAUD, LOCATION_VARIANTS, SUSPECT, WEEKDAY_NAMES
 
 # Accepted timestamp layouts for tolerant parsing, tried in order.
-DEFAULT_TS_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+DEFAULT_TS_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd",
+                      "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+                      "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "dd/MM/yyyy HH:mm",
+                      "dd/MM/yyyy")
 
 
 def tolerant_timestamp(raw: Column, formats=DEFAULT_TS_FORMATS) -> Column:
@@ -66,7 +69,7 @@ def is_suspect_or_fraud(target: Column) -> Column:
 
 def weekday_label(weekday: Column) -> Column:
     names = F.array(*[F.lit(n) for n in WEEKDAY_NAMES])
-    return F.when(weekday.between(0, 6), F.element_at(names, weekday + 1)).otherwise(weekday.cast("string"))
+    return F.element_at(names, weekday + 1)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
@@ -77,3 +80,12 @@ def safe_ratio(num: Column, den: Column) -> Column:
 def r6(c: Column) -> Column:
     """Round to 6 decimals: stabilises float results across engines."""
     return F.round(c, 6)
+
+
+def plain_number(c: Column) -> Column:
+    """A double as text without an exponent from 1e-4 up to 1e16 (shortest digits
+    that give the number back, at least one after the point)."""
+    digits = F.regexp_replace(c.cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    size = F.abs(c)
+    return F.when(((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3)), plain).otherwise(c.cast("string"))

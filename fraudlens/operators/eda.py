@@ -231,30 +231,26 @@ def correlation_matrix(tx: DataFrame) -> DataFrame:
         is_fraud(F.col("target")).cast("double").alias("est_fraude"),
         is_suspect_or_fraud(F.col("target")).cast("double").alias("est_suspect_ou_fraude"),
     )
-    # Long form: every row emits the 36 (x, y) pairs of the upper triangle and
-    # one grouped aggregation (36 groups, map-side combined) computes them; a
-    # pair's statistics only use rows where both values are present.
+    # One global aggregate of the pairs' statistics; a pair uses the rows where both values are present. The
+    # matrix is unfolded from the single aggregated row.
     names = CORR_FEATURES
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in pairs}
-    arr = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"),
-                             F.when(both[(a, b)], F.col(a)).alias("va"),
-                             F.when(both[(a, b)], F.col(b)).alias("vb")) for a, b in pairs])
-    long = num.select(F.inline(arr))
-    agg = long.groupBy("x", "y").agg(
-        F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop("va") * F.stddev_pop("vb")).alias("r"))
-    # mirror (x, y) -> (y, x) on the 36 aggregated rows (one pipeline, no union)
-    both_ways = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")))) \
-        .otherwise(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")),
-                           F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
-    out = agg.select(F.explode(both_ways).alias("p"), "r")
-    return out.select(F.col("p.a").alias("var_x"), F.col("p.b").alias("var_y"), r6(F.col("r")).alias("r"))
+
+    def spread(p, c):
+        return F.stddev_pop(F.when(both[p], F.col(c)))
+
+    one = num.agg(*[F.try_divide(F.covar_pop(a, b), spread((a, b), a) * spread((a, b), b)).alias(f"{a}|{b}")
+                    for a, b in pairs])
+    cells = F.array(*[F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), r6(F.col(f"{a}|{b}")).alias("r"))
+                      for a, b in pairs for x, y in dict.fromkeys([(a, b), (b, a)])])
+    return one.select(F.inline(cells))
 
 
 # --------------------------------------------------------------------------- data quality
 def data_quality_profile(tx: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """rows, columns, null cells (NaN counts as missing), duplicate rows (nulls
-    compare equal) - in one aggregation pass over the grouped rows."""
+    compare equal). Only a 128-bit digest of each row is shuffled."""
     cols = columns or TX_COLUMNS
     dtypes = dict(tx.dtypes)
 
@@ -265,13 +261,28 @@ def data_quality_profile(tx: DataFrame, columns: list[str] | None = None) -> Dat
         return m.cast("long")
 
     per_row_missing = sum((missing(c) for c in cols), F.lit(0).cast("long"))
-    grouped = tx.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    return grouped.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("n_lignes"),
-        F.lit(len(cols)).cast("long").alias("n_colonnes"),
-        F.coalesce(F.sum(F.col("__n") * per_row_missing), F.lit(0)).cast("long").alias("valeurs_manquantes"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("doublons"),
-    )
+    whole = tx.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(per_row_missing), F.lit(0)).alias("m"))
+    different = tx.select(*_digest(cols)).distinct().agg(F.count(F.lit(1)).alias("d"))
+    # one row each
+    return whole.join(F.broadcast(different)).select(
+        F.col("n").cast("long").alias("n_lignes"), F.lit(len(cols)).cast("long").alias("n_colonnes"),
+        F.col("m").cast("long").alias("valeurs_manquantes"), (F.col("n") - F.col("d")).cast("long").alias("doublons"))
+
+
+def _digest(cols: list[str]) -> list[Column]:
+    """128 bits of a row's values and of where its nulls are: equal rows share them."""
+    values = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(1), *values).alias("__d1"), F.xxhash64(F.lit(2), *values).alias("__d2")]
+
+
+def column_types(tx: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Per column: its type, as a name that SQL engines share, and its values that are not missing."""
+    cols = columns or TX_COLUMNS
+    names = {"bigint": "entier", "int": "entier", "double": "decimal", "string": "texte", "timestamp": "horodatage"}
+    dtypes = dict(tx.dtypes)
+    nulls = null_counts_by_column(tx, cols)
+    types = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(names.get(dtypes[c], dtypes[c])))])
+    return nulls.select("colonne", F.element_at(types, F.col("colonne")).alias("type"), "nulls")
 
 
 def null_counts_by_column(tx: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -288,10 +299,13 @@ def null_counts_by_column(tx: DataFrame, columns: list[str] | None = None) -> Da
 
 
 def duplicate_rows(tx: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Distinct rows that occur more than once, with their multiplicity."""
+    """Distinct rows that occur more than once, with their multiplicity. Digests
+    are counted first; only rows of repeated digests are grouped in full."""
     cols = columns or TX_COLUMNS
-    return (tx.select(*cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("occurrences"))
-            .where(F.col("occurrences") > 1))
+    rows = tx.select(*cols, *_digest(cols))
+    repeated = rows.groupBy("__d1", "__d2").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).drop("__n")
+    return (rows.join(repeated, ["__d1", "__d2"], "left_semi").groupBy(*cols)
+            .agg(F.count(F.lit(1)).alias("occurrences")).where(F.col("occurrences") > 1))
 
 
 # --------------------------------------------------------------------------- distributions
@@ -318,9 +332,10 @@ def describe(tx: DataFrame, col: str = "amount", exact: bool = True, accuracy: i
                  F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"),
                  F.max(col).cast("double").alias("max"))
     moments = m.unpivot([], ["count", "mean", "std", "min", "max"], "statistique", "valeur")
-    q = exact_quantiles(base, col, DESCRIBE_PROBS).select(
-        F.concat((F.col("p") * 100).cast("int").cast("string"), F.lit("%")).alias("statistique"),
-        F.col("q").alias("valeur"))
+    # a row for each quartile, also of an empty column
+    q = exact_quantiles(base, col, DESCRIBE_PROBS).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"{int(p * 100)}%") for p in DESCRIBE_PROBS])
+    q = q.unpivot([], [f"{int(p * 100)}%" for p in DESCRIBE_PROBS], "statistique", "valeur")
     return moments.unionByName(q).select("statistique", r6(F.col("valeur")).alias("valeur"))
 
 
@@ -458,7 +473,8 @@ def filter_summary(tx: DataFrame, spec: FilterSpec) -> DataFrame:
         F.count_if(filter_predicate(spec)).alias("n_affichees"),
         F.min(d).alias("__dmin"), F.max(d).alias("__dmax"),
         F.min("amount").alias("__amin"), F.max("amount").alias("__amax"),
-        F.countDistinct("tx_type").alias("__ntypes"), F.countDistinct("target").alias("__ntargets"),
+        # columns of few values: a set in one pass, where two distinct counts would copy every row
+        F.size(F.collect_set("tx_type")).alias("__ntypes"), F.size(F.collect_set("target")).alias("__ntargets"),
     )
     active = F.lit(0)
     if spec.date_from is not None or spec.date_to is not None:

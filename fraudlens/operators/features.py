@@ -17,10 +17,6 @@ from fraudlens.functions.columns import (hour_of, log_amount, night_flag, normal
 from fraudlens.operators.eda import client_counts
 from fraudlens.schema import CATEGORICAL_FEATURES, LABEL_ORDER, NUMERIC_FEATURES, OTHER_LOCATION, TOP_LOCATIONS
 
-# Largest categorical vocabulary accepted for one-hot encoding; beyond it the
-# column is not categorical in the sense of this model.
-MAX_LEVELS = 10_000
-
 
 def base_features(tx: DataFrame) -> DataFrame:
     """Normalised location, hour, weekday (Mon=0), weekend/night flags, log amount."""
@@ -97,7 +93,8 @@ def dummy_name(col: str, level: str) -> str:
 def fit_vocabulary(tx: DataFrame, nb_locations: int = TOP_LOCATIONS) -> Vocabulary:
     """Fit the top-location list and the categorical levels from one scan: a
     per-(column, value) count table (map-side combined, one row per distinct
-    value) is cached, and the bounded lists are read from it."""
+    value) is cached, and the lists are read from it. The levels of the model's
+    categorical columns reach the driver, as each of them is a model column."""
     feat = base_features(tx)
     raw_cols = [c for c in CATEGORICAL_FEATURES if c != "location_grp"] + ["location"]
     counts = (feat.select(*raw_cols).unpivot([], raw_cols, "col", "level")
@@ -108,11 +105,8 @@ def fit_vocabulary(tx: DataFrame, nb_locations: int = TOP_LOCATIONS) -> Vocabula
                 .limit(nb_locations).collect())
     top = [r["level"] for r in top_rows]
     loc_total = loc.agg(F.sum("n")).collect()[0][0] or 0
-    rows = (counts.where((F.col("col") != "location") & F.col("level").isNotNull())
-            .limit(MAX_LEVELS * len(CATEGORICAL_FEATURES) + 1).collect())
+    rows = counts.where((F.col("col") != "location") & F.col("level").isNotNull()).select("col", "level").collect()
     counts.unpersist()
-    if len(rows) > MAX_LEVELS * len(CATEGORICAL_FEATURES):
-        raise ValueError("categorical vocabulary too large for one-hot encoding")
     levels = {c: sorted(r["level"] for r in rows if r["col"] == c) for c in CATEGORICAL_FEATURES if c != "location_grp"}
     # grouped levels: the top locations, plus the fallback when any row falls outside them
     grp = list(top) + ([OTHER_LOCATION] if loc_total > sum(r["n"] for r in top_rows) else [])
@@ -147,15 +141,13 @@ def feature_matrix(feat: DataFrame, vocab: Vocabulary, keep: list[str] | None =
     return feat.select(*keep, *[F.col(c) for c in NUMERIC_FEATURES], *one_hot_columns(vocab))
 
 
-def one_hot_long(feat: DataFrame, key: str = "operation_id") -> DataFrame:
-    """Sparse (COO) one-hot: (key, feature, 1) for each non-null level that is
-    not the alphabetically first observed level of its column. The first level
-    comes from a tiny aggregate (one row per column), not from the driver."""
-    long = feat.select(key, *CATEGORICAL_FEATURES).unpivot([key], CATEGORICAL_FEATURES, "col", "level") \
-        .where(F.col("level").isNotNull())
-    firsts = long.groupBy("col").agg(F.min("level").alias("__first"))  # <= 3 rows
-    return (long.join(F.broadcast(firsts), "col")
-            .where(F.col("level") != F.col("__first"))
+def one_hot_long(feat: DataFrame, vocab: Vocabulary, key: str = "operation_id") -> DataFrame:
+    """Sparse (COO) one-hot of grouped features: (key, feature, 1) for each
+    non-null level that is not the alphabetically first of its column."""
+    long = feat.select(key, *CATEGORICAL_FEATURES).unpivot([key], CATEGORICAL_FEATURES, "col", "level")
+    first = F.create_map(*[x for c in CATEGORICAL_FEATURES
+                           for x in (F.lit(c), F.lit(min(vocab.levels[c], default=None)))])
+    return (long.where(F.col("level") != F.try_element_at(first, F.col("col")))
             .select(key, F.concat(F.col("col"), F.lit("_"), F.col("level")).alias("feature"),
                     F.lit(1).alias("value")))
 

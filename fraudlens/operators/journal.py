@@ -7,7 +7,7 @@ scored journal so the run history grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import r6
@@ -26,6 +26,25 @@ def journal_from_scored(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
         r6(F.col("p_suspect") * 100).alias("p_suspect"))
 
 
+def percent(p: Column) -> Column:
+    """A probability in percent at two decimals (rounded from its decimal digits, half up)."""
+    return F.round((p * 100).cast("decimal(12,6)"), 2).cast("double")
+
+
+def scoring_run(scored: DataFrame, threshold: float = 0.5, scored_at: Column | None = None) -> DataFrame:
+    """Journal rows of one scoring run of transactions with probabilities and
+    ``nb_transactions_client``: when they were scored, the client's count, the
+    verdict and the probabilities in percent. Batch jobs append them with
+    ``append_journal``."""
+    return scored.select(
+        (F.current_timestamp() if scored_at is None else scored_at).alias("scored_at"), "operation_id", "tx_type",
+        "op_status", "location", "tx_ts", "amount", F.col("nb_transactions_client").alias("client_tx_count"),
+        F.lit(float(threshold)).alias("threshold"),
+        verdict(F.col("p_fraud"), F.col("p_normal"), F.col("p_suspect"), threshold).alias("predicted_status"),
+        percent(F.col("p_fraud")).alias("p_fraude"), percent(F.col("p_normal")).alias("p_normal"),
+        percent(F.col("p_suspect")).alias("p_suspect"))
+
+
 def journal_summary(journal: DataFrame, statuses: list[str]) -> DataFrame:
     """n, fraud verdicts and total amount, for the whole journal and for the
     status-filtered view, in one pass."""
@@ -65,11 +84,14 @@ def daily_runs(journal: DataFrame, model_name: str = "pseudo_score") -> DataFram
                     r6(rec).alias("rappel_fraude"), r6(f1).alias("f1_fraude"), "best_threshold_f1", "n_test")
 
 
-RUN_HISTORY_COLUMNS = ["horodatage", "model_nom", "accuracy", "rappel_fraude", "f1_fraude", "best_threshold_f1", "n_test"]
+RUN_HISTORY_COLUMNS = ["horodatage", "model_nom", "accuracy", "rappel_fraude", "f1_fraude", "best_threshold_f1", "n_test",
+                       "duree_entrainement_sec"]
 
 
 def run_history(runs: DataFrame) -> DataFrame:
-    return runs.select(*RUN_HISTORY_COLUMNS).orderBy("horodatage")
+    """The runs, newest first; a run without a figure (monitoring runs have no training time) shows null."""
+    cols = [F.col(c) if c in runs.columns else F.lit(None).cast("double").alias(c) for c in RUN_HISTORY_COLUMNS]
+    return runs.select(*cols).orderBy(F.desc("horodatage"))
 
 
 def run_deltas(runs: DataFrame, metrics=("accuracy", "rappel_fraude", "f1_fraude")) -> DataFrame:

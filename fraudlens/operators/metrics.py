@@ -181,7 +181,8 @@ def roc_auc(df: DataFrame, score: str = "p_fraud", label: str = "target") -> Dat
 def best_f1_threshold(df: DataFrame, score: str = "p_fraud", label: str = "target",
                       default: float = 0.5) -> DataFrame:
     """Threshold with the highest F1 among the distinct scores; ties go to the
-    lowest threshold. With no positive class the default threshold is returned."""
+    lowest threshold. Without positive rows every F1 is 0 and the lowest score is
+    returned; only without any score is it the default threshold."""
     ct = curve_table(df, score, label)
     f1 = F.try_divide((2 * F.col("tp")).cast("double"), (F.col("tp") + F.col("fp") + F.col("P")).cast("double"))
     pts = ct.select("score", f1.alias("f1"),

@@ -7,24 +7,27 @@ weight column; metrics are computed on the untouched test rows.
 from __future__ import annotations
 
 import json
+import logging
 import time
 from dataclasses import dataclass
+from itertools import product
 
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fraudlens.functions.scores import verdict
 from fraudlens.operators.features import Vocabulary, enrich, feature_matrix, label_index
-from fraudlens.operators.split import split_hash, stratified_split, with_class_weights
+from fraudlens.operators.split import stratified_folds, stratified_split, with_class_weights
 from fraudlens.schema import LABEL_ORDER
+from fraudlens.session import written_once
 
 
 @dataclass
@@ -81,14 +84,13 @@ def prepare_training(tx: DataFrame, test_fraction: float = 0.2, seed: int = 42,
     complete = F.lit(True)
     for c in cols + ["label"]:
         complete = complete & F.col(c).isNotNull()
-    # One materialisation of the split feature matrix feeds the quarantine
-    # count, the class weights, every fit, CV fold and evaluation. The lineage
-    # is deterministic (hash split), so a lost cached block is recomputed to
-    # the same rows.
-    fm = fm.withColumn("__complete", complete).persist(StorageLevel.MEMORY_AND_DISK)
+    # The split feature matrix is written once to the shared folder and feeds the
+    # quarantine count, the class weights, every fit, CV fold and evaluation; it
+    # holds no executor memory between them.
+    fm = written_once(fm.withColumn("__complete", complete), "feature_matrix")
     quarantined = fm.where(~F.col("__complete")).count()
     fm = fm.where(F.col("__complete")).drop("__complete")
-    train = with_class_weights(fm.where(~F.col("is_test")), "target", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    train = with_class_weights(fm.where(~F.col("is_test")), "target", "weight")
     test = fm.where(F.col("is_test"))
     return TrainingData(train, test, vocab, cols, quarantined)
 
@@ -98,6 +100,11 @@ def _assembler_stages(cols: list[str], invalid: str = "error"):
             StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)]
 
 
+# Split candidates of a continuous feature: far above MLlib's 32, which would leave
+# amounts and client counts 31 cut points.
+MAX_BINS = 256
+
+
 def make_estimator(name: str, n_train: int | None = None, seed: int = 42, **params):
     """Weighted MLlib estimator standing in for each compared model."""
     if name == "logistic_regression":
@@ -112,10 +119,10 @@ def make_estimator(name: str, n_train: int | None = None, seed: int = 42, **para
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=params.get("maxDepth", MAX_TREE_DEPTH), seed=seed, weightCol="weight",
                                       minInstancesPerNode=params.get("minInstancesPerNode", 1),
-                                      cacheNodeIds=True)
+                                      maxBins=MAX_BINS, cacheNodeIds=True)
     if name == "random_forest":
         return RandomForestClassifier(numTrees=params.get("numTrees", 100), maxDepth=params.get("maxDepth", MAX_TREE_DEPTH),
-                                      seed=seed, weightCol="weight", featureSubsetStrategy="sqrt",
+                                      seed=seed, weightCol="weight", featureSubsetStrategy="sqrt", maxBins=MAX_BINS,
                                       minInstancesPerNode=params.get("minInstancesPerNode", 1),
                                       # deep trees: keep node ids with the cached data (the
                                       # split-statistics buffer stays at the MLlib default,
@@ -124,7 +131,7 @@ def make_estimator(name: str, n_train: int | None = None, seed: int = 42, **para
     if name == "gradient_boosting":
         # MLlib GBT is binary only: one-vs-rest over the 3 classes.
         gbt = GBTClassifier(maxIter=params.get("maxIter", 100), maxDepth=params.get("maxDepth", 3),
-                            stepSize=params.get("stepSize", 0.1), seed=seed, weightCol="weight")
+                            stepSize=params.get("stepSize", 0.1), seed=seed, weightCol="weight", maxBins=MAX_BINS)
         # the three binary problems are independent: fit them concurrently
         return OneVsRest(classifier=gbt, weightCol="weight", parallelism=len(LABEL_ORDER))
     raise ValueError(f"unknown model {name}")
@@ -181,10 +188,14 @@ def evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
     return model_metrics(class_probabilities(model, test), "target", "prediction_status")
 
 
+#: Metrics are compared at this precision, so near-ties keep the fit order.
+RANK_DECIMALS = 4
+
+
 def compare_models(data: TrainingData, names: list[str] | None = None, params: dict | None = None,
                    keep_models: bool = False) -> tuple[DataFrame, dict]:
-    """Fit every model with balanced weights and rank them by fraud recall
-    (ties keep fit order). Returns the comparison table and, with
+    """Fit every model with balanced weights and rank them by fraud recall at
+    four decimals (ties keep fit order). Returns the comparison table and, with
     ``keep_models``, the fitted models (otherwise each is released after its
     evaluation, so large forests never coexist in the heap)."""
     names = names or MODEL_NAMES
@@ -201,7 +212,7 @@ def compare_models(data: TrainingData, names: list[str] | None = None, params: d
         rows.append({"model": name, "fit_order": order, **r})
     table = spark.createDataFrame(rows).select("model", "fit_order", "accuracy", "precision_macro", "recall_macro",
                                                "f1_macro", "recall_fraude")
-    w = Window.orderBy(F.desc("recall_fraude"), F.asc("fit_order"))  # over <= 4 rows
+    w = Window.orderBy(F.round("recall_fraude", RANK_DECIMALS).desc(), F.asc("fit_order"))  # over <= 4 rows
     return table.withColumn("rang", F.row_number().over(w)), fitted
 
 
@@ -224,7 +235,8 @@ class MacroRecallEvaluator(Evaluator):
         return True
 
 
-# Hyper-parameter grids of the studied code, translated to MLlib parameter names.
+# Hyper-parameter grids, under MLlib's parameter names. The axis that sets the least rows of a
+# node to split has no MLlib parameter; trees search without it (see the README).
 FULL_GRIDS = {
     "logistic_regression": {"C": [0.01, 0.1, 1, 10]},
     "decision_tree": {"maxDepth": [MAX_TREE_DEPTH, 5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]},
@@ -233,39 +245,35 @@ FULL_GRIDS = {
 }
 
 
-def fold_column(key: str = "operation_id", folds: int = 5, seed: int = 42):
-    return (F.conv(F.substring(split_hash(F.col(key), seed + 1), 1, 8), 16, 10).cast("long") % folds).cast("int")
-
-
 def grid_search(data: TrainingData, name: str, grid: dict | None = None, folds: int = 5, parallelism: int = 2):
-    """k-fold CV on the train rows scored by macro recall (weighted fit,
-    unweighted score); returns (best PipelineModel, table of grid results)."""
+    """k-fold CV on the train rows in class-stratified folds, scored by macro
+    recall (weighted fit, unweighted score); returns (model refitted on all train
+    rows at the best point, table of grid results)."""
     grid = grid if grid is not None else FULL_GRIDS[name]
     n_train = data.train.count()
-    train = data.train.withColumn("fold", fold_column(folds=folds))
+    # what a fold's fit sees: the penalty of a given C depends on its weight sum
+    n_fold = n_train * (folds - 1) // folds
+    train = written_once(stratified_folds(data.train, folds), "folds")
     stages = _assembler_stages(data.feature_columns)
-    est = make_estimator(name, n_train=n_train)
-    builder = ParamGridBuilder()
-    clf_for_params = est.getClassifier() if isinstance(est, OneVsRest) else est
-    if name == "logistic_regression":
-        builder = builder.addGrid(est.regParam, [1.0 / (c * n_train) for c in grid.get("C", [1.0])])
-    else:
-        for p, values in grid.items():
-            builder = builder.addGrid(clf_for_params.getParam(p), values)
-    maps = builder.build()
-    pipe = Pipeline(stages=stages + [est])
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    est = make_estimator(name, n_train=n_fold)
+    clf = est.getClassifier() if isinstance(est, OneVsRest) else est
+
+    def param_map(point: dict) -> dict:
+        if name == "logistic_regression":
+            return {est.regParam: 1.0 / (point["C"] * max(1, n_fold))}
+        return {clf.getParam(p): v for p, v in point.items()}
+
     # Grid maps refer to the classifier inside the pipeline; CrossValidator
     # applies them to the pipeline copy.
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=MacroRecallEvaluator(),
-                        foldCol="fold", numFolds=folds, parallelism=parallelism, seed=42)
-    cvm = cv.fit(train)
-    spark = data.train.sparkSession
-    rows = []
-    for i, (pm, metric) in enumerate(zip(maps, cvm.avgMetrics)):
-        rows.append({"grid_point": i, "params": json.dumps({k.name: v for k, v in pm.items()}, sort_keys=True),
-                     "macro_recall_cv": float(metric)})
-    table = spark.createDataFrame(rows)
-    return cvm.bestModel, table
+    cv = CrossValidator(estimator=Pipeline(stages=stages + [est]), estimatorParamMaps=[param_map(p) for p in points],
+                        evaluator=MacroRecallEvaluator(), foldCol="fold", numFolds=folds, parallelism=parallelism,
+                        seed=42)
+    metrics = [float(m) for m in cv.fit(train).avgMetrics]
+    rows = [{"grid_point": i, "params": json.dumps(p, sort_keys=True), "macro_recall_cv": m}
+            for i, (p, m) in enumerate(zip(points, metrics))]
+    best = max(range(len(points)), key=lambda i: (metrics[i], -i))
+    return fit_model(data, name, n_train=n_train, **points[best]), data.train.sparkSession.createDataFrame(rows)
 
 
 def feature_importances(model: PipelineModel, feature_columns: list[str], top: int = 12) -> DataFrame | None:
@@ -309,12 +317,13 @@ def artefacts_exist(path: str) -> bool:
 
 
 def fit_or_load(path: str, tx: DataFrame, name: str = "random_forest") -> tuple[PipelineModel, Vocabulary, dict]:
-    """Load the saved artefacts, or train and save them when absent/unreadable."""
+    """Load the saved artefacts, or train and save them where they are absent or
+    incomplete. Any other error (access, a failing store) is the caller's."""
     if artefacts_exist(path):
         try:
             return load_artefacts(path)
-        except Exception:  # noqa: BLE001 - unreadable artefacts are rebuilt
-            pass
+        except (ValueError, KeyError, AnalysisException) as e:
+            logging.getLogger(__name__).warning("artefacts in %s are incomplete, training again: %s", path, e)
     t0 = time.time()
     data = prepare_training(tx)
     model = fit_model(data, name)

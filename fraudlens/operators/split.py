@@ -24,6 +24,7 @@ from fraudlens.functions.joins import broadcast_if_small
 from fraudlens.schema import FRAUD
 
 HASH_PREFIX_HEX = 4     # 65,536 buckets per class and level
+ORDER = ["__h", "__k", "__r"]  # hash, key, hash of the whole row
 COPIES_PER_ROW = 10_000  # copies of one row that one generated row unfolds to
 
 
@@ -73,49 +74,86 @@ def _in_cells(label: str, cells: dict[str, tuple]) -> Column:
     return cond
 
 
+def _ordered(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with the columns of the split's order."""
+    return (df.withColumn("__h", F.coalesce(split_hash(F.col(key), seed), F.lit("")))
+            .withColumn("__k", F.coalesce(F.col(key).cast("string"), F.lit("")))
+            .withColumn("__r", F.xxhash64(*[F.col(c) for c in df.columns])))
+
+
+def _class_counts(c1: DataFrame, label: str) -> dict[str, int]:
+    return {r[label]: r["n"] for r in c1.groupBy(label).agg(F.sum("n").alias("n")).collect()}  # one row per class
+
+
+def _cut_points(work: DataFrame, c1: DataFrame, label: str, quotas: dict[str, int]) -> tuple[dict, dict]:
+    """Per class: the entry of the order at which its quota is reached, and the
+    rows of the quota that its last cell has to give."""
+    at = _crossing(c1, label, ["b"], quotas)
+    cells = {c: (r["b"],) for c, r in at.items()}
+    left = {c: quotas[c] - r["before"] for c, r in at.items()}
+    c2 = (work.where(_in_cells(label, cells)).groupBy(label, _bucket(1).alias("b"))
+          .agg(F.count(F.lit(1)).alias("n")))
+    at = _crossing(c2, label, ["b"], left)
+    cells = {c: (*cells[c], r["b"]) for c, r in at.items()}
+    left = {c: left[c] - r["before"] for c, r in at.items()}
+    # copies of a row are one entry; copies of a key with other values differ in the row's hash
+    c3 = work.where(_in_cells(label, cells)).groupBy(label, *ORDER).agg(F.count(F.lit(1)).alias("n"))
+    return _crossing(c3, label, ORDER, left), left
+
+
+def stratified_folds(df: DataFrame, folds: int = 5, key: str = "operation_id", label: str = "target", seed: int = 42,
+                     out_col: str = "fold") -> DataFrame:
+    """Add ``fold`` 0..folds-1: every class is cut into equal parts of its hash
+    order (equal rows stay together)."""
+    work = _ordered(df.where(F.col(label).isNotNull()), key, seed + 1)
+    c1 = work.groupBy(label, _bucket(0).alias("b")).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        counts = _class_counts(c1, label)
+        fold = F.lit(0)
+        for i in range(1, folds):
+            quotas = {c: n * i // folds for c, n in counts.items() if n * i // folds}
+            beyond = {c: F.lit(True) for c in counts if c not in quotas}
+            for c, r in (_cut_points(work, c1, label, quotas)[0] if quotas else {}).items():
+                beyond[c] = F.struct(*ORDER) > F.struct(*[F.lit(r[o]).alias(o) for o in ORDER])
+            after = F.lit(False)
+            for c, cond in beyond.items():
+                after = after | ((F.col(label) == c) & cond)
+            fold = fold + after.cast("int")
+    finally:
+        c1.unpersist()
+    return work.withColumn(out_col, fold).select(*df.columns, out_col)
+
+
 def stratified_split(df: DataFrame, key: str = "operation_id", label: str = "target", test_fraction: float = 0.2,
                      seed: int = 42, out_col: str = "is_test", classes: list[str] | None = None) -> DataFrame:
     """Add boolean ``is_test``; rows with a null label are left out (they cannot
     be learned from). With ``classes`` (the label vocabulary) a row with another
     label raises, as the label encoder of a model would."""
-    order = ["__h", "__k", "__r"]
-    work = (df.where(F.col(label).isNotNull()).withColumn("__h", F.coalesce(split_hash(F.col(key), seed), F.lit("")))
-            .withColumn("__k", F.coalesce(F.col(key).cast("string"), F.lit("")))
-            .withColumn("__r", F.xxhash64(*[F.col(c) for c in df.columns])))
+    work = _ordered(df.where(F.col(label).isNotNull()), key, seed)
     c1 = work.groupBy(label, _bucket(0).alias("b")).agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        counts = {r[label]: r["n"] for r in c1.groupBy(label).agg(F.sum("n").alias("n")).collect()}  # one row per class
+        counts = _class_counts(c1, label)
         unknown = {c: n for c, n in counts.items() if classes is not None and c not in classes}
         if unknown:
             raise UnknownLabelError(f"labels outside the vocabulary: {unknown}")
         quotas = {c: q for c, q in class_quotas(counts, test_fraction).items() if q > 0}
         if not quotas:
             return df.where(F.col(label).isNotNull()).withColumn(out_col, F.lit(False))
-        at = _crossing(c1, label, ["b"], quotas)
+        cuts, left = _cut_points(work, c1, label, quotas)
     finally:
         c1.unpersist()
-    cells = {c: (r["b"],) for c, r in at.items()}
-    left = {c: quotas[c] - r["before"] for c, r in at.items()}
-    c2 = (work.where(_in_cells(label, cells)).groupBy(label, _bucket(1).alias("b"))
-          .agg(F.count(F.lit(1)).alias("n")))
-    at = _crossing(c2, label, ["b"], left)
-    cells = {c: (*cells[c], r["b"]) for c, r in at.items()}
-    left = {c: left[c] - r["before"] for c, r in at.items()}
-    # copies of a row are one entry; copies of a key with other values differ in the row's hash
-    c3 = work.where(_in_cells(label, cells)).groupBy(label, *order).agg(F.count(F.lit(1)).alias("n"))
-    cuts = _crossing(c3, label, order, left)
 
     is_test, straddles = F.lit(False), F.lit(False)
     for c, r in cuts.items():
-        here, point = F.col(label) == c, F.struct(*[F.lit(r[o]).alias(o) for o in order])
-        is_test = is_test | (here & (F.struct(*order) <= point))
+        here, point = F.col(label) == c, F.struct(*[F.lit(r[o]).alias(o) for o in ORDER])
+        is_test = is_test | (here & (F.struct(*ORDER) <= point))
         if left[c] - r["before"] < r["n"]:
-            straddles = straddles | (here & (F.struct(*order) == point))
+            straddles = straddles | (here & (F.struct(*ORDER) == point))
     out = work.withColumn(out_col, is_test)
     if not any(left[c] - r["before"] < r["n"] for c, r in cuts.items()):
         return out.select(*df.columns, out_col)
     # Equal rows across the cut cannot be told apart: one of them is unfolded to as many test and train copies.
-    one = work.where(straddles).dropDuplicates([label, *order])
+    one = work.where(straddles).dropDuplicates([label, *ORDER])
     taken = {c: left[c] - r["before"] for c, r in cuts.items()}
     runs = F.create_map(*[x for c, r in cuts.items() for x in (F.lit(c), F.array(*[
         F.struct(F.lit(n).cast("long").alias("n"), F.lit(t).alias("t"))

@@ -274,6 +274,12 @@ SELECT DISTINCT colonne, valeur FROM (
   UNION ALL SELECT 'location', location FROM transactions
   UNION ALL SELECT 'target', target FROM transactions) WHERE valeur IS NOT NULL"""))
 
+_reg("column_types", with_tx("SELECT colonne, type, CAST(nulls AS BIGINT) AS nulls FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS colonne, '{t}' AS type, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM transactions"
+    for c, t in (("client_id", "entier"), ("account_no", "entier"), ("operation_id", "texte"), ("tx_type", "texte"),
+                 ("op_status", "texte"), ("location", "texte"), ("tx_ts", "horodatage"), ("amount", "decimal"),
+                 ("target", "texte"))) + ")"))
+
 _reg("filter_bounds", with_tx("""
 SELECT CAST(min(tx_ts) AS DATE) AS date_min, CAST(max(tx_ts) AS DATE) AS date_max,
        min(amount) AS montant_min, max(amount) AS montant_max FROM transactions"""))
@@ -330,6 +336,24 @@ JOIN (SELECT 'tx_type' AS col, min(tx_type) AS first FROM grp
       UNION ALL SELECT 'location_grp', min(location_grp) FROM grp) f ON l.col = f.col
 WHERE l.level IS NOT NULL AND l.level <> f.first""", _FEAT + "," + _TOP15))
 
+# every row has every feature of the matrix: the numbers, and 0/1 for each level but its column's first
+_reg("wide_feature_matrix", with_tx("""
+SELECT operation_id, 'log_montant' AS feature, round(log_montant, 6) AS valeur FROM grp
+UNION ALL SELECT operation_id, 'heure', CAST(heure AS DOUBLE) FROM grp
+UNION ALL SELECT operation_id, 'jour_semaine', CAST(jour_semaine AS DOUBLE) FROM grp
+UNION ALL SELECT operation_id, 'est_weekend', CAST(est_weekend AS DOUBLE) FROM grp
+UNION ALL SELECT operation_id, 'est_nuit', CAST(est_nuit AS DOUBLE) FROM grp
+UNION ALL SELECT g.operation_id, 'nb_transactions_client', CAST(c.n AS DOUBLE) FROM grp g
+          LEFT JOIN (SELECT client_id, count(operation_id) AS n FROM transactions
+                     WHERE client_id IS NOT NULL GROUP BY client_id) c ON g.client_id = c.client_id
+UNION ALL SELECT operation_id, 'tx_type_' || v, CASE WHEN tx_type IS NOT DISTINCT FROM v THEN 1.0 ELSE 0.0 END
+          FROM grp, (SELECT DISTINCT tx_type AS v FROM grp WHERE tx_type > (SELECT min(tx_type) FROM grp))
+UNION ALL SELECT operation_id, 'op_status_' || v, CASE WHEN op_status IS NOT DISTINCT FROM v THEN 1.0 ELSE 0.0 END
+          FROM grp, (SELECT DISTINCT op_status AS v FROM grp WHERE op_status > (SELECT min(op_status) FROM grp))
+UNION ALL SELECT operation_id, 'location_grp_' || v, CASE WHEN location_grp IS NOT DISTINCT FROM v THEN 1.0 ELSE 0.0 END
+          FROM grp, (SELECT DISTINCT location_grp AS v FROM grp WHERE location_grp > (SELECT min(location_grp) FROM grp))""",
+                                    _FEAT + "," + _TOP15))
+
 _reg("label_encode", with_tx("""
 SELECT operation_id, target,
        CAST(CASE target WHEN 'Fraude' THEN 0 WHEN 'Normal' THEN 1 WHEN 'Suspect' THEN 2 END AS INTEGER) AS label,
@@ -485,6 +509,13 @@ spl AS (
 
 _reg("stratified_split", with_tx("SELECT operation_id, target, is_test FROM spl", _SPLIT))
 
+_reg("cv_folds", with_tx("""
+SELECT operation_id, target, CAST((rn > n * 1 // 5)::INT + (rn > n * 2 // 5)::INT + (rn > n * 3 // 5)::INT
+                                  + (rn > n * 4 // 5)::INT AS INTEGER) AS fold
+FROM (SELECT operation_id, target, count(*) OVER (PARTITION BY target) AS n,
+             row_number() OVER (PARTITION BY target ORDER BY md5(concat(operation_id, ':43')), operation_id) AS rn
+      FROM spl WHERE NOT is_test)""", _SPLIT))
+
 _reg("class_weights", with_tx("""
 SELECT target, CAST(n AS BIGINT) AS n_train,
        round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 6) AS weight
@@ -537,7 +568,33 @@ _reg("journal_filtered", with_tx(f"""
 SELECT {_JCOLS} FROM journal WHERE predicted_status IN ('Fraude', 'Suspect') ORDER BY scored_at DESC, operation_id""",
                                   _JOURNAL))
 
-_reg("journal_union", with_tx(f"SELECT {_JCOLS} FROM journal", _JOURNAL))
+# percentages have four decimals at most: exact as decimals, rounded half up
+_reg("journal_roundtrip", with_tx("""
+SELECT CASE WHEN tx_ts < TIMESTAMP '2024-01-15 00:00:00' THEN TIMESTAMP '2024-02-01 08:00:00'
+            ELSE TIMESTAMP '2024-02-02 08:00:00' END AS scored_at,
+       operation_id, tx_type, op_status, location, tx_ts, amount, cc.n AS client_tx_count, threshold, predicted_status,
+       CAST(round(CAST(s10k AS DECIMAL(18,4)) / 100, 2) AS DOUBLE) AS p_fraude,
+       CAST(round(CAST(CAST((10000 - s10k) * (100 - k) AS DECIMAL(18,4)) * 0.0001 AS DECIMAL(18,4)), 2) AS DOUBLE) AS p_normal,
+       CAST(round(CAST(CAST((10000 - s10k) * k AS DECIMAL(18,4)) * 0.0001 AS DECIMAL(18,4)), 2) AS DOUBLE) AS p_suspect
+FROM (SELECT *, CAST(0.5 AS DOUBLE) AS threshold,
+             CASE WHEN p_fraud >= 0.5 THEN 'Fraude' WHEN p_normal >= p_suspect THEN 'Normal' ELSE 'Suspect' END
+               AS predicted_status FROM scored)
+LEFT JOIN (SELECT client_id, count(operation_id) AS n FROM transactions
+           WHERE client_id IS NOT NULL GROUP BY client_id) cc USING (client_id)"""))
+
+_CSV_SQL = """
+SELECT client_id, account_no, operation_id, tx_type, op_status, location,
+       CASE WHEN op_num % 19 <> 0 THEN date_trunc('second', tx_ts) END AS tx_ts,
+       CASE WHEN op_num % 13 <> 0 AND op_num % 17 <> 0 AND op_num % 29 <> 0 THEN amount END AS amount, target
+FROM transactions"""
+_reg("csv_roundtrip_semicolon", with_tx(_CSV_SQL))
+_reg("csv_roundtrip_comma", with_tx(_CSV_SQL))
+_reg("csv_quality", with_tx("""
+SELECT CAST(count(*) AS BIGINT) AS n_lignes, CAST(0 AS BIGINT) AS lignes_mal_formees,
+       CAST(count(*) FILTER (WHERE op_num % 29 = 0 AND op_num % 13 <> 0 AND op_num % 17 <> 0) AS BIGINT) AS nombres_illisibles,
+       CAST(count(*) FILTER (WHERE op_num % 19 = 0) AS BIGINT) AS dates_illisibles
+FROM transactions"""))
+_reg("export_csv_roundtrip", ORACLE["filtered_transactions"])
 
 _RUNS = """
 runs AS (
@@ -557,9 +614,15 @@ runs AS (
   GROUP BY CAST(scored_at AS DATE), tp, fp, fn)"""
 
 _reg("run_history", with_tx("""
-SELECT horodatage, model_nom, accuracy, rappel_fraude, f1_fraude, best_threshold_f1, n_test FROM runs""",
+SELECT horodatage, model_nom, accuracy, rappel_fraude, f1_fraude, best_threshold_f1, n_test,
+       CAST(NULL AS DOUBLE) AS duree_entrainement_sec FROM runs""",
                             _JOURNAL + "," + _RUNS))
 
+_reg("runs_roundtrip", with_tx("""
+SELECT horodatage, model_nom, accuracy, precision_fraude, rappel_fraude, f1_fraude, CAST(NULL AS DOUBLE) AS rappel_macro,
+       CAST(NULL AS DOUBLE) AS f1_macro, best_threshold_f1, CAST(NULL AS VARCHAR) AS grid_search_best_params, n_test,
+       CAST(NULL AS DOUBLE) AS duree_entrainement_sec FROM runs""", _JOURNAL + "," + _RUNS))
+
 _reg("run_deltas", with_tx("""
 SELECT horodatage, accuracy, rappel_fraude, f1_fraude,
        round(accuracy - pa, 6) AS delta_accuracy, round(rappel_fraude - pr, 6) AS delta_rappel_fraude,

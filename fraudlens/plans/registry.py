@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlens.functions.columns import r6, tolerant_timestamp
+from fraudlens.functions.columns import plain_number, r6, tolerant_timestamp
 from fraudlens.functions.scores import risk_band, verdict
 from fraudlens.operators import eda
 from fraudlens.operators import features as feats
@@ -22,8 +22,9 @@ from fraudlens.operators import journal as jr
 from fraudlens.operators import metrics as mt
 from fraudlens.operators import split as sp
 from fraudlens.operators.eda import TX_COLUMNS, FilterSpec
-from fraudlens.schema import LABEL_ORDER, NUMERIC_FEATURES
-from fraudlens.session import session_key
+from fraudlens.schema import JOURNAL_SCHEMA, LABEL_ORDER, NUMERIC_FEATURES, RAW_TO_COLUMN
+from fraudlens.session import files_identity, scratch_path, session_key
+from fraudlens.sources import files
 from fraudlens.sources.tables import scored, transactions
 from fraudlens.streaming import jobs as st
 
@@ -192,7 +193,8 @@ def q_preview20(spark, sf_dir):
 
 # Fixed parameters mirrored in the oracle SQL.
 NEW_TX_CUTOFF = "2024-01-25 00:00:00"     # history before, "new" transactions from
-UNION_CUTOFF = "2024-01-15 00:00:00"      # journal batch boundary for journal_union
+JOURNAL_CUTOFF = "2024-01-15 00:00:00"    # between the two scoring runs of journal_roundtrip
+SCORED_AT = ("2024-02-01 08:00:00", "2024-02-02 08:00:00")
 THRESHOLD = 0.5
 JOURNAL_STATUSES = ["Fraude", "Suspect"]
 
@@ -234,9 +236,9 @@ def q_location_grouping(spark, sf_dir):
 
 @query("one_hot_features")
 def q_one_hot_features(spark, sf_dir):
-    f = feats.base_features(_tx(spark, sf_dir))
-    f = feats.group_locations(f, feats.top_location_frame(f))
-    return feats.one_hot_long(f)
+    tx = _tx(spark, sf_dir)
+    vocab = feats.fit_vocabulary(tx)
+    return feats.one_hot_long(feats.group_locations(feats.base_features(tx), vocab.top_locations), vocab)
 
 
 @query("label_encode")
@@ -287,7 +289,7 @@ def q_tx_json(spark, sf_dir):
     st = F.struct(s(F.col("tx_type")).alias("tx_type"), s(F.col("op_status")).alias("op_status"),
                   s(F.col("location")).alias("location"),
                   s(F.date_format("tx_ts", "yyyy-MM-dd HH:mm:ss")).alias("date"),
-                  s(F.col("amount")).alias("amount"),
+                  s(plain_number(F.col("amount"))).alias("amount"),
                   s(F.col("nb_transactions_client")).alias("nb_transactions_client"))
     return f.select("operation_id", F.to_json(st).alias("tx_json"))
 
@@ -370,6 +372,23 @@ def q_stratified_split(spark, sf_dir):
     return _split(spark, sf_dir).select("operation_id", "target", "is_test")
 
 
+@query("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    """Class-stratified folds of the train rows."""
+    train = _split(spark, sf_dir).where(~F.col("is_test"))
+    return sp.stratified_folds(train).select("operation_id", "target", "fold")
+
+
+@query("wide_feature_matrix")
+def q_wide_feature_matrix(spark, sf_dir):
+    """The model's feature matrix (numbers and 0/1 columns in the fitted order), a row for each of its cells."""
+    feat, vocab = feats.enrich(_tx(spark, sf_dir))
+    cols = vocab.feature_columns()
+    fm = feats.feature_matrix(feat, vocab, keep=["operation_id"])
+    fm = fm.select("operation_id", *[r6(F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
+    return fm.unpivot(["operation_id"], [F.col(f"`{c}`") for c in cols], "feature", "valeur")
+
+
 @query("class_weights")
 def q_class_weights(spark, sf_dir):
     return sp.class_weights(_split(spark, sf_dir).where(~F.col("is_test")))
@@ -411,11 +430,73 @@ def q_journal_filtered(spark, sf_dir):
     return jr.journal_filtered(_journal(spark, sf_dir), JOURNAL_STATUSES).select(*JOURNAL_COLUMNS)
 
 
-@query("journal_union")
-def q_journal_union(spark, sf_dir):
-    j = _journal(spark, sf_dir).select(*JOURNAL_COLUMNS)
-    early = F.coalesce(F.col("scored_at") < F.lit(UNION_CUTOFF).cast("timestamp"), F.lit(False))
-    return j.where(early).unionByName(j.where(~early))
+@query("journal_roundtrip")
+def q_journal_roundtrip(spark, sf_dir):
+    """Two scoring runs append to one journal, which is loaded again."""
+    path = scratch_path(spark, "journal")
+    sc = feats.with_client_tx_count(_scored(spark, sf_dir))
+    early = F.coalesce(F.col("tx_ts") < F.lit(JOURNAL_CUTOFF).cast("timestamp"), F.lit(False))
+    for at, part in zip(SCORED_AT, (early, ~early)):
+        files.append_journal(jr.scoring_run(sc.where(part), THRESHOLD, F.lit(at).cast("timestamp")), path)
+    return files.load_journal(spark, path).select(*[f.name for f in JOURNAL_SCHEMA.fields])
+
+
+def _raw_csv(spark, sf_dir):
+    """The transactions in the reference's file format, with missing and unreadable values."""
+    n = F.col("op_num")
+    tx = _tx(spark, sf_dir)
+    text = {
+        "Montant": F.when(n % 13 == 0, F.lit("NaN")).when(n % 17 == 0, F.lit("NA"))
+        .when(n % 29 == 0, F.lit("abc")).otherwise(F.col("amount").cast("string")),
+        "Date": F.when(n % 19 == 0, F.lit("garbage")).otherwise(F.date_format("tx_ts", "yyyy-MM-dd HH:mm:ss")),
+    }
+    return tx.select(*[text.get(c, F.col(name).cast("string")).alias(c) for c, name in RAW_TO_COLUMN.items()])
+
+
+def _csv_roundtrip(spark, sf_dir, sep):
+    path = scratch_path(spark, "csv")
+    files.export_csv(_raw_csv(spark, sf_dir), path, sep)
+    return files.read_transactions_csv(spark, path)
+
+
+@query("csv_roundtrip_semicolon")
+def q_csv_roundtrip_semicolon(spark, sf_dir):
+    return _csv_roundtrip(spark, sf_dir, ";")
+
+
+@query("csv_roundtrip_comma")
+def q_csv_roundtrip_comma(spark, sf_dir):
+    return _csv_roundtrip(spark, sf_dir, ",")
+
+
+@query("csv_quality")
+def q_csv_quality(spark, sf_dir):
+    path = scratch_path(spark, "csv")
+    files.export_csv(_raw_csv(spark, sf_dir), path, ";")
+    return files.csv_quality(spark, path)
+
+
+@query("export_csv_roundtrip")
+def q_export_csv_roundtrip(spark, sf_dir):
+    """The filtered view, exported and read again."""
+    path = scratch_path(spark, "export")
+    tx = eda.filtered_transactions(_tx(spark, sf_dir), DEFAULT_FILTER).select(*TX_COLUMNS)
+    files.export_csv(tx, path)
+    return spark.read.schema(tx.schema).option("header", True) \
+        .option("timestampFormat", files.EXPORT_TS_FORMAT).csv(path)
+
+
+@query("runs_roundtrip")
+def q_runs_roundtrip(spark, sf_dir):
+    """The runs appended to the run journal, loaded again; figures a run does not have are null."""
+    path = scratch_path(spark, "runs")
+    files.append_run(jr.daily_runs(_journal(spark, sf_dir)), path)
+    return files.load_runs(spark, path)
+
+
+@query("column_types")
+def q_column_types(spark, sf_dir):
+    return eda.column_types(_tx(spark, sf_dir))
 
 
 @query("run_history")
@@ -457,14 +538,20 @@ def q_streaming_dedup(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------- machine learning
-# Fitted artefacts are small driver objects; they are cached per (session, input)
-# so the comparison, importance and scoring queries reuse one training.
+# Fitted artefacts are small driver objects; they are cached per session and state
+# of the input files, so the comparison, importance and scoring queries reuse one
+# training, and changed tables are trained on again.
 _ML_CACHE: dict = {}
 
 
+def _input_key(spark, sf_dir):
+    tables = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("events", "customer", "nation")]
+    return session_key(spark), files_identity(spark, *tables)
+
+
 def _training(spark, sf_dir):
     from fraudlens.operators.models import prepare_training
-    key = (session_key(spark), sf_dir, "data")
+    key = (*_input_key(spark, sf_dir), "data")
     if key not in _ML_CACHE:
         _ML_CACHE[key] = prepare_training(_tx(spark, sf_dir))
     return _ML_CACHE[key]
@@ -479,17 +566,9 @@ _KEEP_MODELS = {"logistic_regression", "decision_tree"}
 
 def _fitted(spark, sf_dir, name):
     from fraudlens.operators.models import fit_model
-    key = (session_key(spark), sf_dir, name)
+    key = (*_input_key(spark, sf_dir), name)
     if key in _ML_CACHE:
         return _ML_CACHE[key]
-    if name not in _KEEP_MODELS:
-        # a deep forest needs most of a small heap: drop cached intermediates of
-        # earlier queries first (deterministic lineage: recomputed if used again)
-        spark.catalog.clearCache()
-        try:
-            spark.sparkContext._jvm.System.gc()
-        except Exception:  # noqa: BLE001 - sessions without a JVM gateway
-            pass
     model = fit_model(_training(spark, sf_dir), name)
     if name in _KEEP_MODELS:
         _ML_CACHE[key] = model
@@ -501,7 +580,7 @@ def _predictions_table(spark, sf_dir, name):
     shared folder and read back (lineage cut, model object released)."""
     import gc
     from fraudlens.operators.models import class_probabilities
-    key = (session_key(spark), sf_dir, "pred", name)
+    key = (*_input_key(spark, sf_dir), "pred", name)
     if key not in _ML_CACHE:
         d = _training(spark, sf_dir)
         model = _fitted(spark, sf_dir, name)
@@ -551,7 +630,7 @@ def q_train_gbt_ovr(spark, sf_dir):
 
 @query("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    from fraudlens.operators.models import MODEL_NAMES
+    from fraudlens.operators.models import MODEL_NAMES, RANK_DECIMALS
     parts = []
     for order, name in enumerate(MODEL_NAMES):
         m = mt.model_metrics(_predictions_table(spark, sf_dir, name), "target", "prediction_status")
@@ -560,7 +639,7 @@ def q_model_comparison(spark, sf_dir):
     for p in parts[1:]:
         table = table.unionByName(p)
     from pyspark.sql import Window
-    w = Window.orderBy(F.desc("recall_fraude"), F.asc("fit_order"))  # 4 rows
+    w = Window.orderBy(F.round("recall_fraude", RANK_DECIMALS).desc(), F.asc("fit_order"))  # 4 rows
     return table.withColumn("rang", F.row_number().over(w))
 
 
@@ -647,7 +726,7 @@ def q_streaming_model_scoring(spark, sf_dir):
 
 def _iforest(spark, sf_dir):
     from fraudlens.operators.iforest import fit_isolation_forest
-    key = (session_key(spark), sf_dir, "iforest")
+    key = (*_input_key(spark, sf_dir), "iforest")
     if key not in _ML_CACHE:
         d = _training(spark, sf_dir)
         scaled = _scaled(d)
@@ -686,16 +765,11 @@ def q_isolation_forest_metrics(spark, sf_dir):
 
 @query("training_run")
 def q_training_run(spark, sf_dir):
-    """The whole training lifecycle; the winner's grid is limited to 4 points
-    here (the library default is the full grid)."""
+    """The whole training lifecycle, the winner tuned over its whole grid."""
     from fraudlens.plans.training import run_training
-    from fraudlens.session import shared_path
-    import uuid
-    d = _training(spark, sf_dir)
-    rows = _comparison_rows(spark, sf_dir)
-    out = shared_path(spark, f"training/{uuid.uuid4().hex[:12]}")
-    return run_training(spark, _tx(spark, sf_dir), f"{out}/artefacts", f"{out}/runs", grid_points=4,
-                        data=d, comparison=rows)
+    out = scratch_path(spark, "training")
+    return run_training(spark, _tx(spark, sf_dir), f"{out}/artefacts", f"{out}/runs",
+                        data=_training(spark, sf_dir), comparison=_comparison_rows(spark, sf_dir))
 
 
 # ----------------------------------------------------------------------------- composed / single-scan EDA

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC wall clock (oracle parity), AQE for runtime
 # re-planning (coalescing, skew-join splitting, broadcast switch), no web UI.
@@ -88,3 +89,33 @@ def session_key(spark: SparkSession) -> str:
         return spark.sparkContext.applicationId
     except Exception:  # noqa: BLE001 - sessions without a SparkContext
         return f"session-{id(spark)}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared checkpoint directory, deleted when
+    the driver's JVM ends."""
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and return a scan of it:
+    it is computed once, holds no executor memory, and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"static/{name}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def files_identity(spark: SparkSession, *paths: str) -> tuple:
+    """Names, lengths and change times of the files of the given tables: a new
+    value means the tables have changed."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        for f in path.getFileSystem(conf).listStatus(path):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))

@@ -11,15 +11,13 @@ batch DataFrame.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudlens.functions.scores import pseudo_probabilities
 from fraudlens.operators.eda import client_counts
 from fraudlens.operators.journal import journal_from_scored
-from fraudlens.session import shared_path
+from fraudlens.session import scratch_path, written_once
 from fraudlens.sources.tables import _EVENT_COLS, client_locations, read_table, transactions, transactions_from_events
 
 
@@ -46,8 +44,8 @@ def stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dirs(spark: SparkSession, name: str) -> tuple[str, str]:
-    run = f"{name}-{uuid.uuid4().hex[:12]}"
-    return shared_path(spark, f"streams/{run}/data"), shared_path(spark, f"streams/{run}/checkpoint")
+    run = scratch_path(spark, f"streams/{name}")
+    return f"{run}/data", f"{run}/checkpoint"
 
 
 def run_available(df: DataFrame, name: str, output_mode: str = "append", keys: list[str] | None = None,
@@ -91,20 +89,19 @@ def static_table(df: DataFrame, name: str) -> DataFrame:
     """Write the static side of a stream-static join once to the shared folder
     and read it back: micro-batches then scan a small table instead of
     re-running its aggregation, and the lineage is cut."""
-    spark = df.sparkSession
-    out = shared_path(spark, f"static/{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    return written_once(df, name)
 
 
 JOURNAL_COLUMNS = ["scored_at", "operation_id", "tx_type", "op_status", "location", "amount", "threshold",
                    "predicted_status", "p_fraude", "p_normal", "p_suspect"]
 
 
-def streaming_scoring(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """ST1: stream -> features/scores -> verdict -> append-only journal."""
+def streaming_scoring(spark: SparkSession, sf_dir: str, threshold: float = 0.5, out: str | None = None,
+                      checkpoint: str | None = None) -> DataFrame:
+    """ST1: stream -> features/scores -> verdict -> append-only journal. With a
+    journal path and its checkpoint, the next call appends what is new."""
     j = journal_from_scored(pseudo_probabilities(stream_transactions(spark, sf_dir)), threshold)
-    return run_available(j.select(*JOURNAL_COLUMNS), "scoring")
+    return run_available(j.select(*JOURNAL_COLUMNS), "scoring", out=out, checkpoint=checkpoint)
 
 
 def stream_static_client_count(spark: SparkSession, sf_dir: str, default: int = 1) -> DataFrame:

@@ -73,7 +73,7 @@ def test_one_hot(spark):
     assert [r["tx_type_b"] for r in wide] == [1, 0, 0, 0]
     assert [r["tx_type_c"] for r in wide] == [0, 0, 0, 1]
     assert "tx_type_a" not in wide[0].asDict()
-    long = features.one_hot_long(df).where(F.col("feature").startswith("tx_type")).collect()
+    long = features.one_hot_long(df, vocab).where(F.col("feature").startswith("tx_type")).collect()
     assert sorted((r["operation_id"], r["feature"]) for r in long) == [("1", "tx_type_b"), ("4", "tx_type_c")]
 
 

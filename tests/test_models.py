@@ -9,7 +9,6 @@ import pytest
 
 from conftest import SF0001
 from fraudlens.operators import models as M
-from fraudlens.plans.training import limit_grid
 from fraudlens.sources import files
 from fraudlens.sources.tables import transactions
 
@@ -72,8 +71,28 @@ def test_export_csv(spark):
     assert list(df.columns) == ["operation_id", "amount"] and len(df) == transactions(spark, SF0001).count()
 
 
-def test_limit_grid():
-    g = {"a": [1, 2, 3], "b": [4, 5, 6]}
-    small = limit_grid(g, 4)
-    assert len(small["a"]) * len(small["b"]) <= 4 and small["a"][0] == 1 and small["b"][0] == 4
-    assert limit_grid(g, None) == g
+def test_fit_or_load_trains_again_only_when_artefacts_are_incomplete(spark, lr, data):
+    path = tempfile.mkdtemp(prefix="fraudlens-fol-")
+    M.save_artefacts(path, lr, data.vocab, {"model_nom": "logistic_regression"})
+    spark.createDataFrame([("{}",)], "doc string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    _, _, meta = M.fit_or_load(path, transactions(spark, SF0001), "decision_tree")
+    assert meta["model_nom"] == "decision_tree"
+
+
+def test_folds_are_stratified_and_whole(data):
+    from fraudlens.operators.split import stratified_folds
+    pdf = stratified_folds(data.train).select("operation_id", "target", "fold").toPandas()
+    assert len(pdf) == data.train.count() and set(pdf["fold"]) == {0, 1, 2, 3, 4}
+    for _, g in pdf.groupby("target"):
+        per = g["fold"].value_counts()
+        assert per.max() - per.min() <= 1
+
+
+def test_grid_search_runs_the_whole_grid(data):
+    model, table = M.grid_search(data, "logistic_regression", {"C": [0.1, 1]}, folds=3)
+    rows = table.orderBy("grid_point").collect()
+    assert [r["params"] for r in rows] == ['{"C": 0.1}', '{"C": 1}']
+    assert all(0 < r["macro_recall_cv"] <= 1 for r in rows)
+    best = max(rows, key=lambda r: (r["macro_recall_cv"], -r["grid_point"]))
+    c = {0: 0.1, 1: 1}[best["grid_point"]]
+    assert model.stages[-1].getRegParam() == pytest.approx(1 / (c * data.train.count()))

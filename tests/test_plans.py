@@ -64,3 +64,18 @@ def test_iforest_sampling_forms_few_pairs(spark):
     for n in (10_000, 80_000, 10**9, 10**12):
         j, cut = pick_plan(n, 300, 256)
         assert n * j <= 4 * 256 * 300 + n and n * j * cut == pytest.approx(4 * 256 * 300)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profiles_scan_events_without_copying_rows(spark):
+    from fraudlens.plans.registry import QUERIES
+    for name, scans in (("correlation_matrix", 2), ("filter_summary", 1), ("data_quality_profile", 2)):
+        plan = _plan(QUERIES[name](spark, SF001))
+        assert "Expand" not in plan, name
+        assert plan.count("event_id#") and plan.lower().count("relation [") >= scans, name
+    # the matrix is unfolded above the aggregate, from its one row
+    plan = _plan(QUERIES["correlation_matrix"](spark, SF001))
+    assert plan.index("Generate") < plan.index("Aggregate")
