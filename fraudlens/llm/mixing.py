@@ -44,6 +44,8 @@ EPOCHS = 2
 BLOCK = 64
 SHARD_BLOCKS = 4096
 SEED = 17
+#: Slots that one task unfolds, about.
+SLOTS_A_TASK = 200_000
 #: Rounds of the swap-or-not shuffle.
 ROUNDS = 24
 #: Equal cells of [0, 1) that a drawn number is looked up by.
@@ -178,7 +180,8 @@ def slots(q: DataFrame, total: int, block: int = BLOCK, shard_blocks: int = SHAR
     shards = -(-total // shard_blocks)
     counts = staged(drawn(q, total, shard_blocks, seed), "drawn")
     ahead = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    runs = counts.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(q, "rank")
+    runs = counts.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0))) \
+        .repartition(-(-total // SLOTS_A_TASK), "rank", "shard").join(q, "rank")  # a row here is many slots
     kept = F.least(F.col("first") + F.col("n"), F.col("slots")) - F.col("first")
     cut = runs.withColumn("n", kept).filter("n > 0").withColumn(
         "slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).drop("first", "n")

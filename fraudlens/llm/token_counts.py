@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fraudlens.llm.common import bounded_batches, staged
-from fraudlens.llm.tokenize import WordEncoder, tokenizer_path
+from fraudlens.llm.tokenize import shared_encoder, tokenizer_path
 
 #: Lengths of one block of the running sums: a block is summed in one task.
 BLOCK = 4096
@@ -33,7 +33,7 @@ def token_length(tokenizer: str | None = None):
 
     @F.pandas_udf(T.LongType())
     def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = WordEncoder(path)
+        encoder = shared_encoder(path)
         for texts in batches:
             yield pd.Series([len(encoder.encode(t)) // 4 for t in texts], dtype="int64")
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from fraudlens.llm.common import bounded_batches, shared_folder, staged
 from fraudlens.llm.files import new_file, open_file, partition_id
-from fraudlens.llm.tokenize import WordEncoder, tokenizer_path
+from fraudlens.llm.tokenize import shared_encoder, tokenizer_path
 
 END_ID = 1
 LEVEL = 3
@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             return
         part = partition_id()
         file = f"{folder}/tokens-{part:06d}.zst"
-        encoder, n_docs, n_tokens = WordEncoder(path), 0, 0
+        encoder, n_docs, n_tokens = shared_encoder(path), 0, 0
         with new_file(file) as out:
             frames = FrameWriter(out)
             while first is not None:

@@ -12,13 +12,15 @@ with the marks of special tokens are cut at white space only, in their own case.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of each of two generations of a cache, and the longest that is kept: the bound of a worker's memory.
-CACHE_ENTRIES = 250_000
+#: Entries of each of the cache's two generations, and the longest that is kept: the bound of a worker's memory.
+CACHE_ENTRIES = 400_000
 CACHE_BYTES_AN_ENTRY = 48
 #: Bytes of unknown pieces that are encoded in one call.
 CHUNK = 1 << 16
@@ -32,34 +34,31 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Cache:
-    """Two generations: when the younger is full it becomes the older one, whose
-    entries come back as they are asked for."""
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this process: a Python worker runs many tasks, and the
+    pieces that one has met serve the next."""
+    return WordEncoder(path)
 
-    def __init__(self):
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
 
-    def put(self, key: bytes, value: bytes) -> None:
-        if len(key) <= CACHE_BYTES_AN_ENTRY:
-            if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
-
-    def older(self, key: bytes) -> bytes | None:
-        value = self.old.get(key)
-        if value is not None:
-            self.put(key, value)
-        return value
+def _ends_in_letter(word: bytes) -> bool:
+    """Whether a lower-cased word ends in a letter of ASCII or Latin-1."""
+    last = word[-1]
+    return 97 <= last <= 122 or len(word) > 1 and word[-2] == 0xC3 and 0x80 <= last <= 0xBF \
+        and last != 0x97 and last != 0xB7
 
 
 class WordEncoder:
-    """text -> ids as little-endian unsigned 32-bit integers."""
+    """text -> ids as little-endian unsigned 32-bit integers.
+
+    The cache has two generations: when the younger is full it becomes the older
+    one, whose entries come back as they are asked for."""
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
-        self._words = Cache()
-        self._pieces = Cache()
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self._marks = {44: self._ids(","), 46: self._ids(".")}
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -67,39 +66,45 @@ class WordEncoder:
         raw = text.encode("utf-8", "replace")
         special = b"<|" in raw
         words = (raw if special else raw.lower()).split()
-        got = list(map(self._words.young.get, words))
+        get, marks = self._young.get, self._marks
+        got = list(map(get, words))
         if None in got:
-            found = self._unknown({w for w, x in zip(words, got) if x is None}, special)
-            got = [found[w] if x is None else x for w, x in zip(words, got)]
+            unknown: dict[bytes, list[int]] = {}
+            for i, x in enumerate(got):
+                if x is None:
+                    w = words[i]
+                    if w[-1] in marks and len(w) > 1 and not special and _ends_in_letter(w[:-1]):
+                        x = get(w[:-1])
+                        if x is not None:
+                            got[i] = x + marks[w[-1]]
+                            continue
+                    unknown.setdefault(w, []).append(i)
+            for w, x in self._unknown(unknown, special):
+                for i in unknown[w]:
+                    got[i] = x
         return b"".join(got)
 
-    def _unknown(self, words: set[bytes], special: bool) -> dict[bytes, bytes]:
-        found: dict[bytes, bytes] = {}
-        pieces: dict[bytes, list[bytes]] = {}
+    def _unknown(self, words: Iterable[bytes], special: bool) -> Iterator[tuple[bytes, bytes]]:
         known: dict[bytes, bytes] = {}
+        cut: dict[bytes, list[bytes]] = {}
         ask = set()
         for w in words:
-            x = self._words.older(w) if not special else None
-            if x is not None:
-                found[w] = x
-                continue
-            pieces[w] = [w] if b"<|" in w else _LETTER_THEN_MARK.sub(b" ", w).split(b" ")
-            for p in pieces[w]:
+            cut[w] = [w] if special or w.isalpha() else _LETTER_THEN_MARK.sub(b" ", w).split(b" ")
+            for p in cut[w]:
                 if p not in known:
-                    x = self._pieces.young.get(p) or self._pieces.older(p)
-                    if x is None:
+                    x = self._young.get(p)
+                    if x is None and (x := self._old.get(p)) is None:
                         ask.add(p)
                     else:
                         known[p] = x
-        for p, x in self._encode_pieces(ask):
-            known[p] = x
-            if b"<|" not in p:
-                self._pieces.put(p, x)
-        for w, parts in pieces.items():
-            found[w] = x = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-            if not special:
-                self._words.put(w, x)
-        return found
+        known.update(self._encode_pieces(ask))
+        for p, x in known.items():
+            if len(p) <= CACHE_BYTES_AN_ENTRY and not special:
+                self._young[p] = x
+        if len(self._young) >= CACHE_ENTRIES:
+            self._old, self._young = self._young, {}
+        for w, parts in cut.items():
+            yield w, known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
     def _encode_pieces(self, pieces: set[bytes]) -> list[tuple[bytes, bytes]]:
         out, plain, size = [], [], 0
