@@ -66,11 +66,15 @@ def repeated_words(words: list[str], n: int = SHINGLE) -> int:
 
 
 @F.pandas_udf(_METRICS)
-def _measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _measure_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([metrics_of(t) for t in texts], columns=_METRICS.fieldNames())
 
 
+#: Declared so, the planner does not measure a text again to filter early by a part of the result.
+_measure = _measure_texts.asNondeterministic()
+
+
 def base_failed(m: Column) -> Column:
     """Too few words, or over a fifth of them in repeated windows."""
     return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
@@ -163,14 +167,16 @@ def report(docs: DataFrame) -> DataFrame:
 #: The rows of :func:`report` over ``documents``, in DuckDB's SQL.
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT rid, regexp_extract_all(t, '[^ 	-]+') AS ws FROM d),
+w AS (SELECT rid, regexp_extract_all(t, '[^ 	-
+]+') AS ws FROM d),
 g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS gram
       FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
 p AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid),
 l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
 c AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM l
-      WHERE regexp_matches(line, '[^ 	-]') GROUP BY rid),
+      WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY rid),
 m AS (SELECT d.rid, doc_id, source, len(ws)::BIGINT AS n_words,
              len(array_to_string(ws, ''))::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
