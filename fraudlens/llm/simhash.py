@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fraudlens.functions.joins import MAX_BROADCAST_ROWS
 from fraudlens.llm.common import bounded_batches, free_name, row_hash, staged
 
 SHINGLE = 3
@@ -341,21 +342,26 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each component, with its own columns: the one with the
     smallest id (nulls last), then the smallest row hash. Equal rows are one.
 
-    Ids and fingerprints decide; texts move once, to meet the decision."""
+    Ids and fingerprints decide. Texts stay where they are while the keys of the
+    dropped rows are few enough to broadcast, and move once beyond that (or where
+    whole rows are repeated)."""
     bounded_batches(docs.sparkSession)
     cols = docs.columns
     rows = docs.select(F.col(id_col).alias("id"), row_hash(cols).alias("h"),
                        fingerprints(shingle)(F.col(text_col)).alias("fp"))
     # pre-aggregated: copies of a row, then rows of a fingerprint
-    rows = rows.groupBy("fp", "id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    rows = staged(rows.groupBy("fp", "id", "h").agg(F.count(F.lit(1)).alias("copies")), "rows")
     by_fp = staged(rows.groupBy("fp").agg(
         F.min("id").alias("least"),
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h", "copies")).alias("first")), "fingerprints")
+    kept = staged(groups(by_fp, bits).select("first.h", "first.copies").distinct(), "kept")
     key = free_name(docs, "row_key")
-    kept = staged(groups(by_fp, bits).select("first.h", "first.copies").distinct().withColumnRenamed("h", key), "kept")
-    out = docs.withColumn(key, row_hash(cols)).join(kept.select(key), key, "left_semi")
+    dropped = staged(rows.select("h").distinct().join(kept, "h", "left_anti").withColumnRenamed("h", key), "dropped")
+    if dropped.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    out = docs.withColumn(key, row_hash(cols)).join(dropped, key, "left_anti")
     if kept.filter("copies > 1").limit(1).count():
-        out = out.dropDuplicates([key])  # on the join's key: no further shuffle
+        out = out.dropDuplicates([key])
     return out.select(*cols)
 
 
