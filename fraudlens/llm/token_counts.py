@@ -24,7 +24,7 @@ from fraudlens.llm.common import bounded_batches, staged
 from fraudlens.llm.tokenize import shared_encoder, tokenizer_path
 
 #: Lengths of one block of the running sums: a block is summed in one task.
-BLOCK = 4096
+BLOCK = 256
 
 
 def token_length(tokenizer: str | None = None):
