@@ -10,16 +10,26 @@ and words repeat what the dictionary or the surroundings hold and cost little;
 keys do not compress. A string that costs ``MIN_NOVELTY`` of its length or more
 and mixes letters and digits is reported as kind ``novel``.
 
+Random text over a small alphabet costs less than its length once a Huffman table
+pays off, so this alone would lose long keys, hexadecimal ones most of all. Other
+strings are judged in pieces of ``PIECE`` characters against what random strings of
+the same length and alphabet cost; one piece that costs as much makes the string
+``novel``. Pieces need no digits, but no piece counts whose letter pairs are mostly
+those of words, which are too short to compress by themselves.
+
 Defined results: null and empty texts have no spans; spans of one kind never
-overlap; a candidate that overlaps a base span is not reported again; repeated
+overlap; what base spans cover of a string is not reported again, and what they leave
+of it, in stretches of 16 characters or more, is judged like a string; repeated
 documents each get their row. Offsets are code points, ends exclusive. Texts
 are scanned whole, one at a time; there is no shuffle.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from bisect import bisect_left
+import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -42,6 +52,18 @@ CANDIDATE_LEN = 16
 CONTEXT = 48
 SURROUND = 256
 MIN_NOVELTY = 0.95
+#: Characters judged at once, and random strings whose cheapest is their reference.
+PIECE = 32
+REFERENCES = 32
+#: Share of usual letter pairs from which a piece is made of words; random letters have about 0.3.
+WORDY = 0.6
+_USUAL_PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le si ar ve ra ld "
+    "ur me ne ro co li io ic la el ce ch ll ho be ma ri us ut ta om pr tr em ec ac un ns ot il ss ge ad pe ol no ee "
+    "ie fi ai wi ul tu ca po mo pl ct id wa na so di ir ni su up sh ag vi ig im am ab ay ex ap op pa ke ev ck rs ts "
+    "ry ly rd rt rc sc sp gr br cl fr ue ub ow os ov oo ob od mp mi nc ef ep ff fo ga ia if ip iv ls lt nu og pi pt "
+    "qu rm rn ru tt ty um va vo we wo au av da do du ey fe gi go gn lo lu my oc rv rg sa cr cu bl bo ui uc ud ug "
+    "fa dr ks ki nf ba".split())
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE_LEN)
 # Words that make a context sensitive.
 _SENSITIVE = re.compile(
@@ -70,12 +92,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def alphabet_of(own: str) -> str:
+    """The characters a string of this kind draws from: whole groups of digits, hexadecimal or
+    all letters of a case, and the marks that it holds."""
+    out = string.digits if any(c.isdigit() for c in own) else ""
+    letters = {c for c in own if c.isalpha()}
+    hexadecimal = bool(out) and letters <= set("abcdefABCDEF")
+    for all_of, first in ((string.ascii_uppercase, "ABCDEF"), (string.ascii_lowercase, "abcdef")):
+        if letters & set(all_of):
+            out += first if hexadecimal else all_of
+    return out + "".join(sorted({c for c in own if not c.isalnum()}))
+
+
+def wordy(own: str) -> bool:
+    """Most neighbouring letters are pairs that words have; hexadecimal strings hold no words."""
+    low = own.lower()
+    if not set(low) - set("0123456789abcdef"):
+        return False
+    pairs = [low[i:i + 2] for i in range(len(low) - 1) if low[i:i + 2].isalpha()]
+    return len(pairs) >= 4 and sum(p in _USUAL_PAIRS for p in pairs) >= WORDY * len(pairs)
+
+
 class Novelty:
     """Marginal compressed size under identifiers and surroundings."""
 
     def __init__(self, identifiers: bytes = IDENTIFIERS):
         self._identifiers = identifiers
         self._frame = len(self._compress(b"", b""))
+        self._references: dict[tuple[str, int], float] = {}
 
     def _compress(self, surroundings: bytes, own: bytes) -> bytes:
         primer = zstandard.ZstdCompressionDict(self._identifiers + b"\n" + surroundings,
@@ -90,26 +134,54 @@ class Novelty:
         own = text[start:end].encode()
         return (len(self._compress(around.encode("utf-8", "replace"), own)) - self._frame) / len(own)
 
+    def reference(self, alphabet: str, n: int) -> float:
+        """The least that random strings of ``n`` characters of the alphabet cost per byte."""
+        key = alphabet, n
+        if key not in self._references:
+            rng = random.Random(f"{alphabet} {n}")
+            keys = ("".join(rng.choices(alphabet, k=n)) for _ in range(REFERENCES))
+            self._references[key] = min(self.of(k, 0, n) for k in keys)
+        return self._references[key]
+
+    def random_like(self, text: str, start: int, end: int) -> bool:
+        """A piece of text[start:end] that is not made of words costs what a random string does."""
+        n = min(PIECE, end - start)
+        for a in [*range(start, end - n, n), end - n]:  # the last piece is whole too
+            own = text[a:a + n]
+            if len(set(own)) > n // 6 and 2 * sum(map(str.isalnum, own)) >= n and not wordy(own) and \
+                    self.of(text, a, a + n) >= MIN_NOVELTY * self.reference(alphabet_of(own), n):
+                return True
+        return False
+
+
+def stretches(start: int, end: int, taken: list[tuple[int, int]], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave of [start, end), where it is long enough; ``ends``: their running greatest ends."""
+    for i in range(bisect_right(ends, start), len(taken)):
+        a, b = taken[i]
+        if a >= end:
+            break
+        if a - start >= CANDIDATE_LEN:
+            yield start, a
+        start = max(start, b)
+    if end - start >= CANDIDATE_LEN:
+        yield start, end
+
 
 def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: Novelty) -> list[tuple[str, int, int]]:
-    """Incompressible strings in a sensitive context that no base span touches."""
+    """Incompressible strings in a sensitive context, without what base spans cover."""
     out = []
     if not _SENSITIVE.search(text):
         return out
     base = sorted((a, b) for _, a, b in taken)
     ends = list(accumulate((b for _, b in base), max))
     for m in _CANDIDATE.finditer(text):
-        s, e = m.span()
-        own = m.group()
-        if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
-            continue
-        if not _SENSITIVE.search(text, max(0, s - CONTEXT), s):
-            continue
-        before = bisect_left(base, (e, 0))  # base spans that start before this string ends
-        if before and ends[before - 1] > s:
+        if not _SENSITIVE.search(text, max(0, m.start() - CONTEXT), m.start()):
             continue
-        if novelty.of(text, s, e) >= MIN_NOVELTY:
-            out.append(("novel", s, e))
+        for s, e in stretches(*m.span(), base, ends):
+            own = text[s:e]
+            mixed = any(c.isdigit() for c in own) and any(c.isalpha() for c in own)
+            if mixed and novelty.of(text, s, e) >= MIN_NOVELTY or novelty.random_like(text, s, e):
+                out.append(("novel", s, e))
     return out
 
 

@@ -44,6 +44,39 @@ def test_novelty_reports_keys_and_spares_names():
     assert S.scan_text(plain, novelty) == []
 
 
+def test_long_keys_and_small_alphabets_are_found():
+    rng = random.Random(12)
+    novelty = S.Novelty()
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    alphabets = {"base64": upper + lower + string.digits + "+/", "base64url": upper + lower + string.digits + "-_",
+                 "base32": upper + "234567", "HEX": "0123456789ABCDEF", "hex": "0123456789abcdef",
+                 "letters": upper + lower, "lower": lower, "upper": upper}
+    for name, alphabet in alphabets.items():
+        for n in (64, 128, 172, 200, 512, 2000):
+            for _ in range(10):
+                key = random_key(rng, n, alphabet)
+                if name != "hex" and S.base_spans(key):  # by chance, as AKIA...: reported as such, with the rest beside it
+                    continue
+                text = f"the private key of this service is {key} and should stay private"
+                at = text.index(key)
+                assert (("hex" if name == "hex" else "novel"), at, at + n) in S.scan_text(text, novelty), (name, key)
+    head, tail = (random_key(rng, 100, alphabets["base64"]) for _ in range(2))
+    text = f"the private key is {head}0123456789abcdef{tail}"
+    a = text.index(head)
+    for x in (("novel", a, a + 100), ("hex", a + 100, a + 116), ("novel", a + 116, a + 216)):
+        assert x in S.scan_text(text, novelty)
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + ".".join(random_key(rng, n, alphabets["base64url"]) for n in (300, 43))
+    assert S.scan_text(f"Authorization: Bearer {jwt}", novelty) == [("novel", 22, 22 + len(jwt))]
+
+
+def test_words_without_digits_and_repetitions_are_spared():
+    novelty = S.Novelty()
+    for name in ("internationalization", "AuthenticationServiceFactory", "get_authentication_token_for_current_user_session",
+                 "usr/local/lib/python3.11/site-packages/requests/adapters/http_client", "X" * 300, "=" * 80, "ABCDEF01" * 40,
+                 "com.example.project.security.oauth2.config.ResourceServerConfiguration", "abcdefghijklmnopqrstuvwxyz"):
+        assert not [s for s in S.scan_text(f"the client credential for {name} is kept", novelty) if s[0] == "novel"], name
+
+
 def test_report(spark):
     rng = random.Random(9)
     key = random_key(rng, 40)
