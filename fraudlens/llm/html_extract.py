@@ -2,20 +2,25 @@
 
 1. Pages become lines with zones (``html_lines``): inside an article, inside
    elements that are not the article, undecided.
-2. Pages are sorted by host and URL path and numbered by range partitions and
-   running totals, so a host with most pages is spread like any other; a page's
-   neighbours by number are the nearest by path. Only line hashes move.
-3. A page is aligned with the nearer neighbour of its host (longer common path
-   prefix, the earlier one on ties) by the longest common subsequence of their
-   lines. A neighbour that shares nearly all of the page is a copy, which tells
-   nothing about templates; then the other neighbour is taken, if it is none.
+2. Pages of a host with equal lines and zones are one page, under their first path,
+   and get one verdict. Pages are sorted by host and URL path and numbered by range
+   partitions and running totals, so a host with most pages is spread like any other.
+   Only line hashes move.
+3. Neighbours by number that share ``COPY_SHARE`` of the characters of both are copies,
+   which tell nothing about templates; they form runs. A page is aligned with the page
+   before its run and the one after it by the longest common subsequence of their lines.
+   The nearer one (longer common path prefix, the earlier one on ties) of which the page
+   shares less than ``COPY_SHARE`` of itself decides. A short page may share more with
+   every other one: then what it shares with both decides. If neither says anything and
+   one is a copy after all, the page beyond that one's run is taken, and so on.
 4. Shared lines are template lines and are deleted, unless the markup places them
    in an article: articles of one host quote and repeat each other. What neighbours
    do not share but the markup places in menus, footers, adverts etc. goes as well.
 
 Defined results: a null or empty html has the empty text; pages without a host
-(null urls included) have no neighbour; equal rows are one page for the pairing
-and each get a row; an empty table gives no rows; only the named columns are read.
+(null urls included) have no neighbour, and pages without lines are none; a host of
+copies only keeps its undecided lines; equal rows are one page for the pairing and each
+get a row; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import types as T
 from fraudlens.llm.common import bounded_batches, staged
 from fraudlens.llm.html_lines import ARTICLE, UNDECIDED, lines
 
-#: Share of a page's characters in lines shared with a neighbour from which that neighbour is a copy.
+#: Share of characters in shared lines from which two pages are copies, each of the other.
 COPY_SHARE = 0.8
 #: Cells of an alignment table that is kept whole; larger ones are halved first.
 TABLE_CELLS = 1 << 28
@@ -39,6 +44,8 @@ TABLE_CELLS = 1 << 28
 _LINES = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType())),
                        T.StructField("chars", T.ArrayType(T.IntegerType())),
                        T.StructField("open", T.ArrayType(T.IntegerType()))])
+_VERDICT = T.StructType([T.StructField("template", T.ArrayType(T.IntegerType())),
+                         T.StructField("on_before", T.BooleanType()), T.StructField("on_after", T.BooleanType())])
 
 
 # ---- alignment ------------------------------------------------------------------------------------------------
@@ -138,26 +145,52 @@ def common_prefix(a: str, b: str) -> int:
     return n
 
 
-def template_lines(own: list[int], chars: list[int], path: str, neighbours: list[tuple[str, list[int]]]) -> list[int]:
-    """Positions of lines shared with the nearest neighbour that is no copy;
-    ``neighbours``: (path, line hashes), the earlier one first."""
-    for _, other in sorted(neighbours, key=lambda x: -common_prefix(path, x[0])):
+def is_copy(own: list[int], chars: list[int], other: list[int], other_chars: int) -> bool:
+    """The lines that both pages have, in order, make up most of each."""
+    least = COPY_SHARE * max(sum(chars), other_chars)
+    there = set(other)
+    if sum(c for h, c in zip(own, chars) if h in there) < least:
+        return False
+    return sum(chars[i] for i in common_subsequence(own, other)) >= least
+
+
+def template_lines(own: list[int], chars: list[int], path: str,
+                   neighbours: list[tuple[str, list[int], int] | None]) -> tuple[list[int], list[bool]]:
+    """Positions of template lines, and for each neighbour whether to look on beyond it;
+    ``neighbours``: (path, line hashes, characters) or nothing, the earlier one first."""
+    size = sum(chars)
+    there = [i for i, x in enumerate(neighbours) if x is not None]
+    on, most = [False] * len(neighbours), []
+    for i in sorted(there, key=lambda i: -common_prefix(path, neighbours[i][0])):
+        _, other, other_chars = neighbours[i]
         shared = common_subsequence(own, other)
-        if sum(chars[i] for i in shared) < COPY_SHARE * sum(chars):
-            return shared
-    return []
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _template(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    for own, chars, open_, path, before_path, before, after_path, after in batches:
+        n = sum(chars[k] for k in shared)
+        if n < COPY_SHARE * size:
+            return shared, [False] * len(neighbours)
+        on[i] = n >= COPY_SHARE * max(size, other_chars)
+        most.append(shared)
+    if any(on) or len(there) < 2:
+        return [], on
+    return sorted(set(most[0]).intersection(*most[1:])), on
+
+
+@F.pandas_udf(T.BooleanType())
+def _is_copy(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for own, chars, other, other_chars in batches:
+        yield pd.Series([x is not None and is_copy(list(h), list(c), list(x), int(n))
+                         for h, c, x, n in zip(own, chars, other, other_chars)], dtype=bool)
+
+
+@F.pandas_udf(_VERDICT)
+def _template(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    for own, chars, open_, path, *near in batches:
         out = []
-        for h, c, u, p, bp, b, ap, a in zip(own, chars, open_, path, before_path, before, after_path, after):
-            near = [(q, list(x)) for q, x in ((bp, b), (ap, a)) if q is not None and x is not None]
+        for h, c, u, p, *x in zip(own, chars, open_, path, *near):
+            sides = [None if lines_ is None else (q, list(lines_), int(n)) for q, lines_, n in (x[:3], x[3:])]
             open_lines = set(u)
-            out.append([int(i) for i in template_lines(list(h), list(c), p, near) if i in open_lines]
-                       if open_lines and near else [])
-        yield pd.Series(out, dtype=object)
+            found, on = template_lines(list(h), list(c), p, sides) if open_lines else ([], [False, False])
+            out.append(([int(i) for i in found if i in open_lines], *on))
+        yield pd.DataFrame(out, columns=_VERDICT.fieldNames())
 
 
 def main_text(html: str | None, template: list[int]) -> str:
@@ -181,33 +214,84 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_replace(F.regexp_extract(rest, r"^//([^/?#]*)([^?#]*)", 2), r"/+$", "")
 
 
+def runs(ranked: DataFrame) -> DataFrame:
+    """(rank, before, after): the ranks before and after the run of copies that a rank is in.
+
+    Runs end where a page and the one before it are no copies; running extremes inside
+    the range partitions, and over one row a partition, carry the ends."""
+    pair = ranked.join(_beside(ranked, "before").withColumn("rank", F.col("before") + 1), "rank", "left")
+    known = F.col("before_host") == F.col("host")
+    starts = staged(pair.select("part", "rank", (~_is_copy(
+        "hashes", "chars", F.when(known, F.col("before_hashes")),
+        F.when(known, F.col("before_size")).otherwise(0))).alias("first")), "runs")
+    first = F.when(F.col("first"), F.col("rank"))
+    # frames that grow row by row, backwards too: Spark computes frames up to the end anew for every row
+    ahead = (Window.unboundedPreceding, -1)
+    # one row a partition: at most spark.sql.shuffle.partitions
+    carried = starts.groupBy("part").agg(F.min(first).alias("low"), F.max(first).alias("high")).select(
+        "part", F.max("high").over(Window.orderBy("part").rowsBetween(*ahead)).alias("start"),
+        F.min("low").over(Window.orderBy(F.desc("part")).rowsBetween(*ahead)).alias("next"))
+    inside = Window.partitionBy("part")
+    own = starts.withColumn("s", F.max(first).over(inside.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("n", F.min(first).over(inside.orderBy(F.desc("rank")).rowsBetween(*ahead)))
+    return own.join(F.broadcast(carried), "part").select(
+        "rank", (F.coalesce("s", "start") - 1).alias("before"), F.coalesce("n", "next").alias("after"))
+
+
+def _beside(ranked: DataFrame, name: str) -> DataFrame:
+    return ranked.select(F.col("rank").alias(name), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"),
+                         F.col("hashes").alias(f"{name}_hashes"), F.col("size").alias(f"{name}_size"))
+
+
+def verdicts(ranked: DataFrame) -> DataFrame:
+    """(c1, c2, template) of the pages of ``ranked``, in as many passes as copies beyond
+    a run make necessary; passes after the first only read the undecided pages' rows."""
+    ends = staged(runs(ranked), "run-ends")
+    before, after = _beside(ranked, "before"), _beside(ranked, "after")
+
+    def same_host(name: str, what: str) -> Column:
+        return F.when(F.col(f"{name}_host") == F.col("host"), F.col(f"{name}_{what}"))
+
+    out, todo = None, ends
+    while True:
+        near = ranked.join(todo, "rank").join(before, "before", "left").join(after, "after", "left")
+        judged = staged(near.select("c1", "c2", "rank", "before", "after", _template(
+            "hashes", "chars", "open", "path", *[same_host(n, w) for n in ("before", "after")
+                                                 for w in ("path", "hashes", "size")]).alias("v"))
+            .select("c1", "c2", "rank", "before", "after", "v.*"), "verdicts")
+        look_on = F.col("on_before") | F.col("on_after")
+        done = judged.filter(~look_on).select("c1", "c2", "template")
+        out = done if out is None else out.union(done)
+        rest = judged.filter(look_on)
+        if not rest.limit(1).count():
+            return out
+        further = [ends.select(F.col("rank").alias(n), F.col(n).alias(f"next_{n}")) for n in ("before", "after")]
+        todo = rest.join(further[0], "before", "left").join(further[1], "after", "left").select(
+            "rank", *[F.when(F.col(f"on_{n}"), F.col(f"next_{n}")).otherwise(F.col(n)).alias(n)
+                      for n in ("before", "after")])
+
+
 def templates(pages: DataFrame, page_key: list[str]) -> DataFrame:
     """(k1, k2, template) of the pages (host, path, html, and the key) with template lines to delete."""
-    slim = pages.filter("host IS NOT NULL").select("host", "path", *page_key, _line_hashes("html").alias("l")) \
-        .select("host", "path", *page_key, "l.*").dropDuplicates(page_key)
-    parts = staged(slim.repartitionByRange("host", "path", *page_key)
+    content = [F.col("host"), F.col("l.hashes"), F.col("l.open")]
+    slim = staged(pages.filter("host IS NOT NULL").select("host", "path", *page_key, _line_hashes("html").alias("l"))
+                  .filter(F.size("l.hashes") > 0)
+                  .withColumn("c1", F.xxhash64(F.lit(1), *content)).withColumn("c2", F.xxhash64(F.lit(2), *content))
+                  .select("host", "path", *page_key, "c1", "c2", "l.*"), "pages-lines")
+    one = slim.groupBy("c1", "c2").agg(F.min("path").alias("path"),
+                                       *[F.first(c).alias(c) for c in ("host", "hashes", "chars", "open")])
+    parts = staged(one.repartitionByRange("host", "path", "c1", "c2")
                    .withColumn("part", F.spark_partition_id()), "pages-by-url")
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
         "part", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")).alias("offset"))
-    inside = Window.partitionBy("part").orderBy("host", "path", *page_key)
+    inside = Window.partitionBy("part").orderBy("host", "path", "c1", "c2")
     # one row a partition: at most spark.sql.shuffle.partitions
+    size = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
     ranked = parts.withColumn("k", F.row_number().over(inside)).join(F.broadcast(offsets), "part") \
-        .withColumn("rank", F.col("offset") + F.col("k")).drop("part", "k", "offset")
-    ranked = staged(ranked, "pages-ranked")
-
-    def neighbour(name: str, step: int) -> DataFrame:
-        return ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"),
-                             F.col("path").alias(f"{name}_path"), F.col("hashes").alias(f"{name}_hashes"))
-
-    def same_host(name: str, what: str) -> Column:
-        return F.when(F.col(f"{name}_host") == F.col("host"), F.col(f"{name}_{what}"))
-
-    near = ranked.join(neighbour("before", 1), "rank", "left") \
-        .join(neighbour("after", -1), "rank", "left")
-    return near.select(*page_key, _template(
-        "hashes", "chars", "open", "path", same_host("before", "path"), same_host("before", "hashes"),
-        same_host("after", "path"), same_host("after", "hashes")).alias("template")).filter(F.size("template") > 0)
+        .withColumn("rank", F.col("offset") + F.col("k")).withColumn("size", size).drop("k", "offset")
+    found = verdicts(staged(ranked, "pages-ranked")).filter(F.size("template") > 0)
+    return slim.select(*page_key, "c1", "c2").distinct().join(found, ["c1", "c2"]).select(*page_key, "template")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -88,6 +88,48 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert H.report(df.limit(0)).collect() == []
 
 
+def test_runs_of_copies_lose_their_template_lines_alike(spark):
+    def told(i):
+        return template(f"<p>Story {i} begins here and is told at length, as stories of this host are.</p><p>More of {i}.</p>")
+
+    def near(k):
+        return told(7).replace("</p><p>", f"</p><p>Seen {k}.</p><p>")
+    rows = [page(f"/n/{i}", told(i), n=i) for i in (5, 6, 8, 9)]
+    rows += [page(f"/n/7?x={k}", told(7), n=100 + k) for k in range(5)]  # copies, side by side
+    rows += [page(f"/n/7a/{k}", near(k), n=200 + k) for k in range(6)]  # near copies, side by side
+    rows += [page("/n/7a/2x", None, n=300)]  # no lines: no neighbour
+    # a short page: what it shares is most of it, with either side
+    rows += [page("/n/8a", template("<p>Tiny.</p>"), n=400)]
+    by = {r.page_id: r for r in H.report(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert len(by) == len(rows)
+    start = "Story 7 begins here and is told at length, as stories of this host are."
+    assert {by[100 + k].text for k in range(5)} == {f"{start} More of 7."}
+    for k in range(6):
+        assert by[200 + k].text == f"{start} Seen {k}. More of 7." and by[200 + k].n_template == 2
+    assert by[400].text == "Tiny." and by[300].text == ""
+
+
+def test_a_copy_beyond_the_run_is_passed_over():
+    chars = [10] * 10
+    own = list(range(10))
+    copy, other = [*range(9), 99], [0, *range(100, 109)]
+    assert H.template_lines(own, chars, "/b", [("/a", copy, 100), None]) == ([], [True, False])
+    assert H.template_lines(own, chars, "/b", [("/a", copy, 100), ("/c", other, 100)]) == ([0], [False, False])
+    long = [*range(9), *range(100, 200)]
+    assert H.template_lines(own, chars, "/b", [("/a", long, 1090), ("/c", long[1:], 1080)])[0] == list(range(1, 9))
+    assert H.template_lines(own, chars, "/b", [("/a", long, 1090), None]) == ([], [False, False])
+
+
+def test_pages_beyond_a_copy_are_reached_in_a_second_pass(spark):
+    def of(*ids):
+        return "".join(f"<p>line number {i}.</p>" for i in ids)
+    rows = [page("/a", of(14, *range(40, 49)), n=1), page("/b", of(30, 31, *range(12, 20)), n=2),
+            page("/c", of(*range(10, 18), 32, 33), n=3), page("/d", of(*range(10, 20)), n=4)]
+    by = {r.page_id: r for r in H.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # /c is a copy of /d and ends the run towards /b, which is a copy of /d but none of /c
+    assert by[4].n_template == 1 and "number 14." not in by[4].text and "number 15." in by[4].text
+
+
 def test_articles_may_repeat_each_other(spark):
     same = "<p>A passage that many articles of this host quote in full.</p>"
     rows = [page(f"/a/{i}", f"<nav>m</nav><article><p>own {i} {i}{' and on' * 20}</p>{same}</article><footer>f</footer>", n=i) for i in range(6)]
