@@ -34,11 +34,12 @@ _CHROME_WORDS = frozenset(
 # Beside these words the others describe a layout around the article, not a part to drop.
 _LAYOUT_WORDS = frozenset("with has no without content main article post page wrapper layout container".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>""")
-_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-#: Characters of a tag within which its quotes are heeded: bounds the work on broken markup.
-MAX_TAG = 4096
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What a tag's end is looked for by: its mark, or an equals sign, which a quoted value may follow.
+_MARK = re.compile(r"[>=]")
+_VALUE = re.compile(r"""\s*+(["'])""")
+_ATTRIBUTE = re.compile(r"""([^\s/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]*+)))?""")
+_READ = frozenset(("class", "id", "role"))
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -47,11 +48,13 @@ def _names_chrome(tag: str, attributes: str) -> bool | None:
     main = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name not in _READ:
+            continue
         if name == "role":
             if value in _CHROME_ROLES:
                 return True
             main = main or value in ("main", "article")
-        elif name in ("class", "id"):
+        else:
             for one in value.split():  # each class by itself
                 words = set(_WORDS.findall(one))
                 if words & _CHROME_WORDS and not words & _LAYOUT_WORDS and tag not in ("html", "body", "main"):
@@ -59,6 +62,35 @@ def _names_chrome(tag: str, attributes: str) -> bool | None:
     return None if main else False
 
 
+class _Tags:
+    """Ends of tags, quoted values of any length heeded, in time linear in the page.
+
+    A quote after an equals sign opens a value if one like it follows to close it. A search
+    that finds no end leaves the equals signs it passed, from which none is found later either."""
+
+    def __init__(self, html: str):
+        self._html = html
+        self._last = {q: html.rfind(q) for q in "\"'"}
+        self._endless: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Position of the mark that ends a tag whose attributes begin at ``at``: the
+        first one outside values, or the first one where values hold all of them; -1: none."""
+        html, passed, first = self._html, [], at
+        while m := _MARK.search(html, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self._endless:
+                break
+            passed.append(m.start())
+            value = _VALUE.match(html, at)
+            if value and self._last[value[1]] >= value.end():
+                at = html.find(value[1], value.end()) + 1
+        self._endless.update(passed)
+        return html.find(">", first)
+
+
 def lines(html: str | None) -> list[tuple[str, str]]:
     """(text, zone) of every line that is not empty, in page order."""
     return [(text, CHROME if zone == _FORM else zone) for text, zone in _lines(html)] if html else []
@@ -69,6 +101,7 @@ def _lines(html: str) -> Iterator[tuple[str, str]]:
     stack: list[tuple[str, str]] = []  # open elements, and the zone outside each
     opened: Counter = Counter()
     held: list[str] = []
+    tags = _Tags(html)
     at, end, last_tag_end = 0, len(html), html.rfind(">")
 
     def line() -> str:
@@ -99,17 +132,17 @@ def _lines(html: str) -> Iterator[tuple[str, str]]:
         if lt > last_tag_end:  # no tag ends any more
             held.append(unescape(html[lt:]))
             break
-        # Quotes may hold the tag's end mark; where they are too long or never close, the next mark is the end.
-        m = _TAG.match(html, lt, lt + MAX_TAG) or _OPEN_TAG.match(html, lt)
-        if not m:
+        m = _TAG_NAME.match(html, lt)
+        stop = tags.end(m.end()) if m else -1
+        if stop < 0:
             if html[lt + 1:lt + 2] in ("!", "?", "/"):  # a declaration, or an end tag without a name
                 at = html.find(">", lt) + 1
             else:
                 held.append("<")
                 at = lt + 1
             continue
-        at = m.end()
-        closing, tag, attributes = m[1], m[2].lower(), m[3]
+        at = stop + 1
+        closing, tag, attributes = m[1], m[2].lower(), html[m.end():stop]
         inline = tag in _INLINE
         if closing:
             if not inline and (text := line()):

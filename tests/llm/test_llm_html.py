@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -40,6 +41,23 @@ def test_hostile_markup_is_read_in_linear_time():
     assert len(lines("<p>x</p>" * 20_000)) == 20_000
 
 
+@pytest.mark.parametrize("n", [10, 5_000, 300_000])
+def test_quoted_values_of_any_length_belong_to_their_tag(n):
+    props = "<p>x > y</p> class='x' " * (n // 10)
+    assert text(f'<div data-props="{props}" class="ad"><p>buy</p></div><p>t</p>') == "t"
+    assert text(f"<div srcdoc='{'<a href=x>' * n}' id=text><p>t</p></div>") == "t"
+    assert text(f"""<div data-props="<div class='ad' id='menu'>{'.' * n}"><p>t</p></div>""") == "t"  # values hold no attributes
+    assert text("<p>" + "<a b='>" + "x" * n + "<i>t</i>") == "x" * n + "t"  # no quote closes this value
+
+
+def test_hostile_quotes_are_read_in_linear_time():
+    for piece in ('<a b=">" ', "<a b='>\" ", "<a b=\">' =", "<a =\"'>", "<a b=", "<a b= ' > \" =", "=\"><a ='>", "<a\t=\"'"):
+        for tail in ("", ">", "\">", "'", "\"", "'>\""):
+            start = time.process_time()
+            lines(piece * 60_000 + tail)
+            assert time.process_time() - start < 5, (piece, tail)
+
+
 def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
