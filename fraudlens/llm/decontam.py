@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraudlens.llm.common import bounded_batches, free_name
+from fraudlens.llm.common import bounded_batches, free_name, shared_folder
 
 WINDOW = 13
 #: Bytes of item text that one scan's tables are built from; a larger benchmark takes more scan steps.
 STEP_BYTES = 8_000_000
+#: Texts with hits of earlier steps up to which their table is broadcast; beyond, the planner decides.
+MAX_BROADCAST_HITS = 100_000
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 _RESULT = T.StructType([
@@ -42,6 +44,12 @@ _RESULT = T.StructType([
     T.StructField("items", T.ArrayType(T.StringType())),
 ])
 
+#: Hits of a text, by its hash.
+_HITS = T.StructType([
+    T.StructField("key", T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])),
+    *_RESULT.fields[1:],
+])
+
 
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words. On UTF-8 bytes: ``bytes.lower`` changes A-Z only, and
@@ -154,17 +162,45 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     """``docs`` with a struct column ``result``: n_words, hits (flat word
     intervals [start, end, start, end, ...]) and items (sorted ids).
 
-    No shuffle: the benchmark goes to the executors in steps of bounded size,
-    each a projection over the same scan; documents are never joined or grouped.
+    The benchmark goes to the executors in steps of bounded size. The hits of every
+    step but the last are written to the shared folder, and its broadcast is destroyed,
+    before the next one; the last step is a projection that adds them by the text's
+    hash. So no task holds more than one step's tables, and with one step nothing moves.
     """
     bounded_batches(docs.sparkSession)
-    out = docs.withColumn(result, F.struct(F.lit(0).cast("long").alias("n_words"),
-                                           F.lit(None).cast("array<bigint>").alias("hits"),
-                                           F.lit(None).cast("array<string>").alias("items")))
-    for items in steps_of(benchmark, item_id, item_text, step_bytes):
-        scan = _scan_udf(docs.sparkSession.sparkContext.broadcast(items), window)
-        out = out.withColumn(result, scan(F.col(text_col), F.col(f"{result}.hits"), F.col(f"{result}.items")))
-    return out
+    spark = docs.sparkSession
+    steps = steps_of(benchmark, item_id, item_text, step_bytes)
+    items, path = next(steps), None
+    for following in steps:
+        path = path or f"{shared_folder(spark, 'hits')}/table"
+        _write_hits(docs, text_col, items, window, path)
+        items = following
+    out, hits = docs, (F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<string>"))
+    key, before = free_name(docs, "text_key"), free_name(docs, "earlier_hits")
+    if path:
+        earlier = spark.read.schema(_HITS).parquet(path).groupBy(F.col("key").alias(key)).agg(F.struct(
+            F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items")).alias(before))
+        if earlier.limit(MAX_BROADCAST_HITS + 1).count() <= MAX_BROADCAST_HITS:
+            earlier = F.broadcast(earlier)
+        out = docs.withColumn(key, _text_key(text_col)).join(earlier, key, "left")
+        hits = F.col(before)["hits"], F.col(before)["items"]
+    scan = _scan_udf(spark.sparkContext.broadcast(items), window)
+    return out.withColumn(result, scan(F.col(text_col), *hits)).drop(key, before)
+
+
+def _text_key(text_col: str) -> Column:
+    return F.struct(F.xxhash64(F.lit(1), text_col).alias("a"), F.xxhash64(F.lit(2), text_col).alias("b"))
+
+
+def _write_hits(docs: DataFrame, text_col: str, items: list[tuple[str, str | None]], window: int, path: str) -> None:
+    """Append (key, hits, items) of the texts that one step's items occur in; equal texts have one row."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+    scan = _scan_udf(sent, window)
+    found = docs.select(_text_key(text_col).alias("key"), scan(
+        F.col(text_col), F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<string>")).alias("r"))
+    found.filter(F.size("r.hits") > 0).select("key", "r.hits", "r.items").dropDuplicates(["key"]) \
+        .write.mode("append").parquet(path)
+    sent.destroy()
 
 
 def n_hit(found: Column) -> Column:

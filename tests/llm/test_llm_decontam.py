@@ -55,6 +55,17 @@ def test_decontaminate_keeps_clean_documents_and_their_columns(spark):
     assert not left & (bad - {7})
 
 
+def test_tasks_hold_one_step_of_the_benchmark(spark):
+    rng = random.Random(6)
+    bench = items(rng)
+    df, items_df = clashing(docs(spark, documents(rng, bench))), spark.createDataFrame(bench, ITEMS)
+    many = D.search_benchmark(df, items_df, step_bytes=300, result="result")
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and len(list(D.steps_of(items_df, "item_id", "text", 300))) > 1
+    assert many.columns == [*df.columns, "result"]
+    assert Counter(map(str, many.collect())) == Counter(map(str, D.search_benchmark(df, items_df, result="result").collect()))
+
+
 def test_empty_sides(spark):
     none = spark.createDataFrame([], ITEMS)
     got = D.report(docs(spark), none).collect()
