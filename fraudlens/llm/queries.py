@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fraudlens.llm import (decontam, html_extract, mixing, quality, secret_scan, sharding, simhash, token_counts,
-                           token_output, warc)
+from fraudlens.llm import (decontam, html_extract, mixing, neighbours, quality, secret_scan, sharding, simhash, spelling,
+                           token_counts, token_output, warc, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": lambda spark, sf_dir: decontam.report(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
     "op10_token_files": _over(token_output.report, "documents"),
+    "op11_whitening": _over(whitening.report, "embeddings"),
+    "op12_nearest_neighbours": _over(neighbours.report, "embeddings"),
+    "op13_spelling_variants": _over(spelling.report, "documents"),
 }
 
 ORACLE_SQL: dict[str, str] = {
