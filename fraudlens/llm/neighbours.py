@@ -331,7 +331,7 @@ def candidates(vectors: DataFrame, where: Directory, top: float, tables: int, r:
                     for t in range(tables):
                         cell = numbers[t, d][tuple(cells[i][t][:w.m])]
                         g = w.at[t, d] + cell
-                        split = int(keys[i] * 2654435761 % 4294967291 % w.splits[g])
+                        split = int(keys[i]) * 2654435761 % 4294967291 % int(w.splits[g])
                         for block in range(blocks):
                             rows.append((int(w.tile[g]), split, block, False, i, [cell]))
                             if len(rows) == 4096:
@@ -348,7 +348,7 @@ def candidates(vectors: DataFrame, where: Directory, top: float, tables: int, r:
                             tiles = w.tile[w.at[t, d] + probed]
                             by = np.argsort(tiles, kind="stable")
                             cuts = np.flatnonzero(np.diff(tiles[by])) + 1
-                            block = int(keys[i] * 2246822519 % 4294967291 % blocks)
+                            block = int(keys[i]) * 2246822519 % 4294967291 % blocks
                             for mine in np.split(probed[by], cuts):
                                 g = w.at[t, d] + mine[0]
                                 for split in range(int(w.splits[g])):
