@@ -13,6 +13,8 @@ from fraudlens.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch; texts can be long, and a batch is held whole by a Python worker.
 BATCH_ROWS = 256
+#: Hashed before a row's values, it makes another hash of them.
+_SECOND_HASH = 0x5EED
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -49,8 +51,10 @@ def text_or_empty(col: str | Column) -> Column:
 
 
 def row_hash(columns: list[str]) -> Column:
-    """64-bit hash of the named columns, nulls and their positions included."""
-    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+    """128-bit hash (two independent 64-bit ones) of the named columns, nulls and their positions included: it stands
+    for the row, which 64 bits cannot do over 10^9 rows."""
+    values = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(_SECOND_HASH), *values).alias("b"))
 
 
 def free_name(df: DataFrame, name: str) -> str:

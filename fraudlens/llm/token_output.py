@@ -127,7 +127,9 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     ordered = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
                .withColumn("h", F.xxhash64("text")).withColumn("r", F.rand(7))
                .repartitionByRange(F.col("id").asc_nulls_last(), "h", "r")
-               .sortWithinPartitions(F.col("id").asc_nulls_last(), "h").select("id", "text"))
+               .sortWithinPartitions(F.col("id").asc_nulls_last(), "h")
+               # as text, so that ids of any size pass Python unchanged where others of their batch are null
+               .select(F.col("id").cast("string").alias("id"), "text"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batches = (b for b in batches if len(b))
@@ -142,7 +144,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             while first is not None:
                 for doc_id, text in zip(first["id"].tolist(), first["text"].tolist()):
                     content = encoder.encode(text) + end
-                    frames.add(None if pd.isna(doc_id) else int(doc_id), content)
+                    frames.add(None if doc_id is None else int(doc_id), content)
                     n_docs += 1
                     n_tokens += len(content) // 4
                 first = next(batches, None)
@@ -166,13 +168,13 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     rows = []
                     for i, doc_id in enumerate(reader.doc_ids):
                         data = reader.content(i)
-                        rows.append((doc_id, start, len(data) // 4, zlib.crc32(data)))
+                        rows.append((None if doc_id is None else str(doc_id), start, len(data) // 4, zlib.crc32(data)))
                         start += len(data) // 4
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype(
-                        {"doc_id": "Int64"})
+                    yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "start").repartition(max(1, n), "file").mapInPandas(
-        read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = manifest.select("file", "start").repartition(max(1, n), "file").mapInPandas(
+        read, "doc_id string, start long, n_tokens long, ids_crc32 long")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def documents_in(manifest: DataFrame, wanted: list[int]) -> DataFrame:

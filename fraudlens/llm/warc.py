@@ -149,8 +149,9 @@ def records_of(f) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_leaders(pages: DataFrame, id_col: str, html_col: str, url_col: str | None) -> DataFrame:
-    """(page_id, url, html, digest, leader): leader is the largest page id of a
-    group of equal payloads of REVISIT_BYTES or more, null elsewhere."""
+    """(page_id, url, html, digest, refers_to), ids as text: refers_to is the largest page id of a group of equal
+    payloads of REVISIT_BYTES or more for the other pages of it, null elsewhere. (As text, ids of any size pass Python
+    unchanged where others of their batch are null.)"""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"),
                         (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("url"),
@@ -158,7 +159,10 @@ def with_leaders(pages: DataFrame, id_col: str, html_col: str, url_col: str | No
                         F.octet_length(html).alias("bytes"))
     leaders = staged(rows.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest", "bytes").agg(
         F.max("page_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "leaders")
-    return rows.join(leaders, ["digest", "bytes"], "left").drop("bytes")
+    revisit = F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader"))
+    return rows.join(leaders, ["digest", "bytes"], "left").select(
+        F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest",
+        F.when(revisit, F.col("leader").cast("string")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str | None = "url",
@@ -167,18 +171,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     or, with ``index``, one row a record (file, page_id, offset, length)."""
     bounded_batches(pages.sparkSession)
 
-    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, bytes]]:
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, bytes]]:
         for b in batches:
-            for page_id, url, html, digest, leader in zip(b["page_id"], b["url"], b["html"], b["digest"], b["leader"]):
-                page_id = None if pd.isna(page_id) else int(page_id)
-                revisit = not pd.isna(leader) and page_id != int(leader)
-                yield page_id, record(page_id, url, html.encode("utf-8", "replace"), digest,
-                                      int(leader) if revisit else None)
+            for page_id, url, html, digest, other in zip(b["page_id"], b["url"], b["html"], b["digest"], b["refers_to"]):
+                yield page_id, record(_number(page_id), url, html.encode("utf-8", "replace"), digest, _number(other))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = rows_of(batches)
         part, number = partition_id(), 0
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[str | None, bytes]] = []
         more = True
         while more:
             size = 0
@@ -203,13 +204,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                         break
             number += 1
             if index:
-                yield pd.DataFrame(found, columns=["file", "page_id", "offset", "length"]).astype({"page_id": "Int64"})
+                yield pd.DataFrame(found, columns=["file", "page_id", "offset", "length"])
             else:
                 yield pd.DataFrame({"file": [file], "n_records": [len(found)], "bytes": [archive.offset]})
 
-    schema = "file string, page_id long, offset long, length long" if index \
+    schema = "file string, page_id string, offset long, length long" if index \
         else "file string, n_records long, bytes long"
-    return staged(with_leaders(pages, id_col, html_col, url_col).mapInPandas(write, schema), "archives")
+    written = with_leaders(pages, id_col, html_col, url_col).mapInPandas(write, schema)
+    return staged(written.withColumn("page_id", F.col("page_id").cast("long")) if index else written, "archives")
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -230,17 +232,17 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         kind = fields["warc-type"]
                         if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
                             raise ValueError(f"{file}: payload does not match its digest")
-                        rows.append((_number(fields.get("page-id")), size, digest, kind,
-                                     _number(fields.get("refers-to-page-id"))))
-                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type",
-                                                  "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        rows.append((fields.get("page-id"), size, digest, kind, fields.get("refers-to-page-id")))
+                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return files.repartition(n, "file").mapInPandas(
-        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = files.repartition(n, "file").mapInPandas(
+        read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def _number(value: str | None) -> int | None:
-    return None if value is None else int(value)
+    return None if pd.isna(value) else int(value)
 
 
 def report(pages: DataFrame) -> DataFrame:

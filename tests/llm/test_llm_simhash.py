@@ -116,3 +116,14 @@ def test_shingles():
     long = sentence(rng, 20_000)
     h = simhash.shingle_hashes(long)
     assert simhash.fingerprint(h) == simhash.fingerprint(h, step=777)
+
+
+def test_rows_with_an_equal_64_bit_hash_stay_apart(spark, monkeypatch):
+    """Either half of a row's hash alone tells rows apart."""
+    from pyspark.sql import functions as F
+    from fraudlens.llm import common
+    want = sorted(map(str, simhash.deduplicate(docs(spark)).collect()))
+    for half in ("a", "b"):
+        monkeypatch.setattr(simhash, "row_hash", lambda cols, half=half: F.struct(
+            *[F.lit(7).cast("long").alias(h) if h == half else common.row_hash(cols)[h].alias(h) for h in ("a", "b")]))
+        assert sorted(map(str, simhash.deduplicate(docs(spark)).collect())) == want

@@ -90,3 +90,17 @@ def test_files_appear_only_when_complete(tmp_path):
             out.write(b"half")
             raise RuntimeError
     assert list(tmp_path.iterdir()) == []
+
+
+def test_large_ids_beside_null_ids(spark):
+    ids = [2 ** 53 + 1, 2 ** 53 - 1, 2 ** 63 - 1, -2 ** 63, None, None, 5, 2 ** 62 + 1]
+    rows = [(i, f"text number {k}", None, None, None) for k, i in enumerate(ids)]
+    own = Tokenizer.from_file(tokenizer_path())
+    want = Counter((i, zlib.crc32(np.array([*own.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()))
+                   for i, t, *_ in rows)
+    for parts in (1, 4):
+        got = token_output.report(docs(spark, rows).repartition(parts)).collect()
+        assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    manifest = token_output.write_token_files(docs(spark, rows).coalesce(1), shared_folder(spark, "tokens-test"))
+    assert {r.doc_id for r in token_output.documents_in(manifest, [2 ** 53 + 1, 2 ** 63 - 1]).collect()} == {
+        2 ** 53 + 1, 2 ** 63 - 1}

@@ -21,6 +21,9 @@ def pages():
              (400, "u", "é" * 500), (401, "u", "é" * 500), (402, "u", "x" * 999), (403, "u", "x" * 999),
              (500, "long", sentence(rng, 60_000)), (100, "https://repeated.example.org", big[0]),
              (124, "https://tie.example.org", big[0])]
+    # ids that a double cannot hold, beside null ids
+    rows += [(2 ** 53 + 1, "u", big[2]), (2 ** 53 - 1, "u", big[2]), (2 ** 63 - 1, "u", big[3]), (2 ** 63 - 2, "u", big[3]),
+             (-2 ** 63, "u", big[3]), (2 ** 63 - 3, "u", "alone" * 300)]
     return rows
 
 
@@ -86,3 +89,23 @@ def test_dictionary_without_enough_samples():
 def test_urls_cannot_break_headers():
     rec = warc.record(1, "http://x/\r\nWARC-Type: evil y", b"p", "d", None)
     assert b"WARC-Target-URI: http://x/%0D%0AWARC-Type:%20evil%20y\r\n" in rec
+
+
+def test_large_ids_equal_the_sql(spark):
+    import duckdb
+    df = spark.createDataFrame(pages(), SCHEMA).repartition(2)
+    got = sorted(map(tuple, warc.report(df).collect()), key=str)
+    frame = __import__("pandas").DataFrame({"page_id": [None if r[0] is None else str(r[0]) for r in pages()],
+                                            "html": [r[2] for r in pages()]})
+    con = duckdb.connect()
+    con.register("raw", frame)
+    con.execute("CREATE TABLE pages AS SELECT CAST(page_id AS BIGINT) AS page_id, html FROM raw")
+    assert sorted(con.execute(warc.ORACLE).fetchall(), key=str) == got
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame(pages(), SCHEMA)
+    for name in ("digest", "leader", "bytes", "n", "refers_to"):
+        df = df.withColumn(name, F.lit(name))
+    assert sorted(map(tuple, warc.report(df).collect()), key=str) == expected(pages())
