@@ -348,6 +348,28 @@ class TreeModel:
         if group:
             yield self.trees(self.nodes.where(F.col("tree").isin(group)).collect())
 
+    def importances(self) -> DataFrame:
+        """(feature, importance): weighted impurity that a feature's splits remove, a share within each tree, the mean of
+        the trees. From the nodes' table: an inner node meets its children by their names."""
+        w = F.array(*[F.lit(x) for x in self.class_weights])
+        mass = F.zip_with("counts", w, lambda n, x: n * x)
+        total = F.aggregate("mass", F.lit(0.0), lambda a, x: a + x)
+        squares = F.aggregate("mass", F.lit(0.0), lambda a, x: a + x * x)
+        nodes = self.nodes.withColumn("mass", mass).withColumn("impure", total - squares / total)
+        inner = nodes.where("feature >= 0").select("tree", "node", "feature", "impure")
+        below = nodes.where("node != ''").select("tree", F.expr("left(node, length(node) - 1)").alias("node"), "impure") \
+            .groupBy("tree", "node").agg(F.sum("impure").alias("left_over"))
+        gains = inner.join(below, ["tree", "node"]).groupBy("tree", "feature").agg(
+            F.sum(F.col("impure") - F.col("left_over")).alias("gain"))
+        whole = gains.groupBy("tree").agg(F.sum("gain").alias("whole"), F.lit(1).alias("one"))
+        trees = self.nodes.where("node = ''").count()
+        names = F.array(*[F.lit(c) for c in self.bins.columns])
+        mean = gains.join(whole, "tree").groupBy("feature").agg(
+            F.sum(F.coalesce(F.try_divide("gain", "whole"), F.lit(0.0)) / F.lit(float(max(1, trees)))).alias("importance"))
+        every = self.nodes.sparkSession.range(len(self.bins.columns)).select(F.col("id").cast("int").alias("feature"))
+        return every.join(mean, "feature", "left").select(
+            F.get(names, F.col("feature")).alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
     def probabilities(self, df: DataFrame) -> DataFrame:
         """``df`` with the mean of the trees' class shares in PROBABILITIES."""
         out, total = df, 0
@@ -712,8 +734,7 @@ def search_boosting(folded: DataFrame, columns: list[str], grid: dict[str, list]
 
 # ---- artefacts ------------------------------------------------------------------------------------------------
 
-def save_model(path: str, model: TreeModel | Boosted) -> None:
-    spark = SparkSession.getActiveSession()
+def save_model(spark: SparkSession, path: str, model: TreeModel | Boosted) -> None:
     doc = {"columns": model.bins.columns, "cuts": model.bins.cuts, "params": model.params}
     if isinstance(model, TreeModel):
         model.nodes.write.mode("overwrite").parquet(f"{path}/nodes")

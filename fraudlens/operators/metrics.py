@@ -173,9 +173,9 @@ def roc_curve(df: DataFrame, score: str = "p_fraud", label: str = "target") -> D
 def roc_auc(df: DataFrame, score: str = "p_fraud", label: str = "target") -> DataFrame:
     """Trapezoidal area under the ROC curve (ties form one segment)."""
     ct = curve_table(df, score, label)
-    seg = F.col("neg") * (2 * (F.col("tp") - F.col("pos")) + F.col("pos"))
-    return ct.agg(r6(F.try_divide(F.sum(seg.cast("double")),
-                                  (2 * F.first("P") * F.first("N")).cast("double"))).alias("auc"))
+    # in doubles: products of counts leave the range of a long from 2e9 positives and negatives on
+    seg = F.col("neg").cast("double") * (2.0 * (F.col("tp") - F.col("pos")) + F.col("pos"))
+    return ct.agg(r6(F.try_divide(F.sum(seg), 2.0 * F.first("P") * F.first("N"))).alias("auc"))
 
 
 def best_f1_threshold(df: DataFrame, score: str = "p_fraud", label: str = "target",

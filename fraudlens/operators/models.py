@@ -1,4 +1,4 @@
-"""Scaling and supervised models (Spark MLlib).
+"""Scaling and supervised models: logistic regression of Spark MLlib, trees of ``histtrees``.
 
 Weighted fit, unweighted evaluation: every estimator gets the balanced class
 weight column; metrics are computed on the untouched test rows.
@@ -7,23 +7,22 @@ weight column; metrics are computed on the untouched test rows.
 from __future__ import annotations
 
 import json
-import logging
-import time
+import uuid
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fraudlens.functions.scores import verdict
+from fraudlens.operators import histtrees as ht
 from fraudlens.operators.features import Vocabulary, enrich, feature_matrix, label_index
 from fraudlens.operators.split import stratified_folds, stratified_split, with_class_weights
 from fraudlens.schema import LABEL_ORDER
@@ -60,7 +59,7 @@ def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
 
 
 MODEL_NAMES = ["logistic_regression", "decision_tree", "random_forest", "gradient_boosting"]
-MAX_TREE_DEPTH = 30  # deepest tree MLlib builds; stands in for "unlimited"
+OVR_BOOSTING = "gradient_boosting_ovr"  # MLlib's binary boosting, one class against the rest
 
 
 @dataclass
@@ -100,13 +99,11 @@ def _assembler_stages(cols: list[str], invalid: str = "error"):
             StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True)]
 
 
-# Split candidates of a continuous feature: far above MLlib's 32, which would leave
-# amounts and client counts 31 cut points.
-MAX_BINS = 256
+Model = PipelineModel | ht.TreeModel | ht.Boosted
 
 
 def make_estimator(name: str, n_train: int | None = None, seed: int = 42, **params):
-    """Weighted MLlib estimator standing in for each compared model."""
+    """Weighted MLlib estimator of a model that MLlib has."""
     if name == "logistic_regression":
         c = params.get("C", 1.0)
         # sklearn minimises C * sum(w * loss) + |b|^2 / 2; MLlib minimises
@@ -116,29 +113,28 @@ def make_estimator(name: str, n_train: int | None = None, seed: int = 42, **para
         return LogisticRegression(family="multinomial", maxIter=params.get("maxIter", 5000), regParam=reg,
                                   elasticNetParam=0.0, standardization=False, weightCol="weight",
                                   tol=params.get("tol", 1e-4))
-    if name == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=params.get("maxDepth", MAX_TREE_DEPTH), seed=seed, weightCol="weight",
-                                      minInstancesPerNode=params.get("minInstancesPerNode", 1),
-                                      maxBins=MAX_BINS, cacheNodeIds=True)
-    if name == "random_forest":
-        return RandomForestClassifier(numTrees=params.get("numTrees", 100), maxDepth=params.get("maxDepth", MAX_TREE_DEPTH),
-                                      seed=seed, weightCol="weight", featureSubsetStrategy="sqrt", maxBins=MAX_BINS,
-                                      minInstancesPerNode=params.get("minInstancesPerNode", 1),
-                                      # deep trees: keep node ids with the cached data (the
-                                      # split-statistics buffer stays at the MLlib default,
-                                      # which fits a small executor heap)
-                                      cacheNodeIds=True, checkpointInterval=10)
-    if name == "gradient_boosting":
+    if name == OVR_BOOSTING:
         # MLlib GBT is binary only: one-vs-rest over the 3 classes.
         gbt = GBTClassifier(maxIter=params.get("maxIter", 100), maxDepth=params.get("maxDepth", 3),
-                            stepSize=params.get("stepSize", 0.1), seed=seed, weightCol="weight", maxBins=MAX_BINS)
+                            stepSize=params.get("stepSize", 0.1), seed=seed, weightCol="weight", maxBins=ht.MAX_BINS)
         # the three binary problems are independent: fit them concurrently
         return OneVsRest(classifier=gbt, weightCol="weight", parallelism=len(LABEL_ORDER))
     raise ValueError(f"unknown model {name}")
 
 
-def fit_model(data: TrainingData, name: str, **params) -> PipelineModel:
+def fit_model(data: TrainingData, name: str, **params) -> Model:
+    """Fit a model on the train rows with balanced weights. Trees take n_estimators, max_depth (None: no limit),
+    min_samples_split, min_samples_leaf, learning_rate, as far as they have them."""
     n_train = params.pop("n_train", None)
+    cols, trees = data.feature_columns, params.pop("n_estimators", 100)
+    if name == "decision_tree":
+        return ht.fit_tree(data.train, cols, ht.TreeParams(**params))
+    if name == "random_forest":
+        return ht.fit_forest(data.train, cols, trees, ht.TreeParams(max_features=max(1, int(len(cols) ** 0.5)), **params))
+    if name == "gradient_boosting":
+        rows, bins = ht.binned_training(data.train, cols)
+        rate = params.pop("learning_rate", 0.1)
+        return ht.fit_boosting(rows, bins, ht.class_weights(data.train), trees, rate=rate, **params)
     if name == "logistic_regression" and n_train is None:
         n_train = data.train.count()
     est = make_estimator(name, n_train=n_train, **params)
@@ -152,6 +148,8 @@ def _classifier(model: PipelineModel):
 def class_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds p_fraude, p_normal, p_suspect (by label code, never by position of
     a display order) and ``prediction_status`` (arg-max class)."""
+    if not isinstance(model, PipelineModel):
+        return _with_status(model.probabilities(df), df.columns, [F.col(c) for c in ht.PROBABILITIES])
     clf = _classifier(model)
     feats = df
     for stage in model.stages[:-1]:
@@ -169,11 +167,14 @@ def class_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
     else:
         out = clf.transform(feats).withColumn("__arr", vector_to_array(F.col("probability")))
         probs = [F.col("__arr")[i] for i in range(len(LABEL_ORDER))]
+    return _with_status(out, df.columns, probs)
+
+
+def _with_status(out: DataFrame, columns: list[str], probs: list[Column]) -> DataFrame:
     best = F.greatest(*probs)
     pred = F.when(probs[0] == best, LABEL_ORDER[0]).when(probs[1] == best, LABEL_ORDER[1]).otherwise(LABEL_ORDER[2])
-    out = out.withColumns({"p_fraude": probs[0], "p_normal": probs[1], "p_suspect": probs[2]})
-    out = out.withColumn("prediction_status", pred)
-    return out.select(*df.columns, "p_fraude", "p_normal", "p_suspect", "prediction_status")
+    out = out.withColumns({"p_fraude": probs[0], "p_normal": probs[1], "p_suspect": probs[2], "prediction_status": pred})
+    return out.select(*columns, "p_fraude", "p_normal", "p_suspect", "prediction_status")
 
 
 def score_with_threshold(model: PipelineModel, df: DataFrame, threshold: float) -> DataFrame:
@@ -235,50 +236,57 @@ class MacroRecallEvaluator(Evaluator):
         return True
 
 
-# Hyper-parameter grids, under MLlib's parameter names. The axis that sets the least rows of a
-# node to split has no MLlib parameter; trees search without it (see the README).
+# Hyper-parameter grids (None: no limit of depth).
 FULL_GRIDS = {
     "logistic_regression": {"C": [0.01, 0.1, 1, 10]},
-    "decision_tree": {"maxDepth": [MAX_TREE_DEPTH, 5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]},
-    "random_forest": {"numTrees": [100, 200, 300], "maxDepth": [MAX_TREE_DEPTH, 8, 12, 20]},
-    "gradient_boosting": {"maxIter": [100, 200, 300], "maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1, 0.2]},
+    "decision_tree": {"max_depth": [None, 5, 10, 15, 20], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4]},
+    "random_forest": {"n_estimators": [100, 200, 300], "max_depth": [None, 8, 12, 20], "min_samples_split": [2, 5, 10]},
+    "gradient_boosting": {"n_estimators": [100, 200, 300], "max_depth": [2, 3, 4], "learning_rate": [0.05, 0.1, 0.2]},
 }
 
 
-def grid_search(data: TrainingData, name: str, grid: dict | None = None, folds: int = 5, parallelism: int = 2):
+def search_table(data: TrainingData, name: str, grid: dict | None = None, folds: int = 5,
+                 parallelism: int = 2) -> tuple[list[dict], DataFrame]:
     """k-fold CV on the train rows in class-stratified folds, scored by macro
-    recall (weighted fit, unweighted score); returns (model refitted on all train
-    rows at the best point, table of grid results)."""
+    recall (weighted fit, unweighted score); returns (grid points, table of results)."""
     grid = grid if grid is not None else FULL_GRIDS[name]
-    n_train = data.train.count()
-    # what a fold's fit sees: the penalty of a given C depends on its weight sum
-    n_fold = n_train * (folds - 1) // folds
     train = written_once(stratified_folds(data.train, folds), "folds")
-    stages = _assembler_stages(data.feature_columns)
-    points = [dict(zip(grid, values)) for values in product(*grid.values())]
-    est = make_estimator(name, n_train=n_fold)
-    clf = est.getClassifier() if isinstance(est, OneVsRest) else est
+    if name == "logistic_regression":
+        points, metrics = _search_regression(data, train, grid, folds, parallelism)
+    elif name == "gradient_boosting":
+        points, metrics = ht.search_boosting(train, data.feature_columns, grid, folds)
+    else:
+        points, metrics = ht.search_trees(train, data.feature_columns, grid, folds, forest=name == "random_forest")
+    rows = [{"grid_point": i, "params": json.dumps(p, sort_keys=True), "macro_recall_cv": m}
+            for i, (p, m) in enumerate(zip(points, metrics))]
+    return points, train.sparkSession.createDataFrame(rows)
 
-    def param_map(point: dict) -> dict:
-        if name == "logistic_regression":
-            return {est.regParam: 1.0 / (point["C"] * max(1, n_fold))}
-        return {clf.getParam(p): v for p, v in point.items()}
 
-    # Grid maps refer to the classifier inside the pipeline; CrossValidator
-    # applies them to the pipeline copy.
-    cv = CrossValidator(estimator=Pipeline(stages=stages + [est]), estimatorParamMaps=[param_map(p) for p in points],
+def _search_regression(data: TrainingData, train: DataFrame, grid: dict, folds: int,
+                       parallelism: int) -> tuple[list[dict], list[float]]:
+    n_fold = train.count() * (folds - 1) // folds  # what a fold's fit sees: the penalty of a given C depends on it
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    est = make_estimator("logistic_regression", n_train=n_fold)
+    maps = [{est.regParam: 1.0 / (p["C"] * max(1, n_fold))} for p in points]
+    cv = CrossValidator(estimator=Pipeline(stages=_assembler_stages(data.feature_columns) + [est]), estimatorParamMaps=maps,
                         evaluator=MacroRecallEvaluator(), foldCol="fold", numFolds=folds, parallelism=parallelism,
                         seed=42)
-    metrics = [float(m) for m in cv.fit(train).avgMetrics]
-    rows = [{"grid_point": i, "params": json.dumps(p, sort_keys=True), "macro_recall_cv": m}
-            for i, (p, m) in enumerate(zip(points, metrics))]
-    best = max(range(len(points)), key=lambda i: (metrics[i], -i))
-    return fit_model(data, name, n_train=n_train, **points[best]), data.train.sparkSession.createDataFrame(rows)
+    return points, [float(m) for m in cv.fit(train).avgMetrics]
+
+
+def grid_search(data: TrainingData, name: str, grid: dict | None = None, folds: int = 5,
+                parallelism: int = 2) -> tuple[Model, DataFrame]:
+    """(model refitted on all train rows at the best point, the first of equal ones; table of grid results)."""
+    points, table = search_table(data, name, grid, folds, parallelism)
+    best = table.orderBy(F.desc("macro_recall_cv"), F.asc("grid_point")).first()
+    return fit_model(data, name, **points[best["grid_point"]]), table
 
 
 def feature_importances(model: PipelineModel, feature_columns: list[str], top: int = 12) -> DataFrame | None:
     """Top feature importances of a tree model; None when the model has none."""
-    clf = _classifier(model)
+    if isinstance(model, ht.TreeModel):
+        return model.importances().orderBy(F.desc("importance"), F.asc("feature")).limit(top)
+    clf = _classifier(model) if isinstance(model, PipelineModel) else None
     if not hasattr(clf, "featureImportances"):
         return None
     imp = clf.featureImportances.toArray().tolist()
@@ -293,40 +301,120 @@ def _active_spark() -> SparkSession:
 
 
 # --------------------------------------------------------------------------- artefacts
-def save_artefacts(path: str, model: PipelineModel, vocab: Vocabulary, meta: dict) -> None:
-    """PipelineModel + fitted vocabulary + metadata (JSON text table)."""
-    model.write().overwrite().save(f"{path}/model")
-    spark = _active_spark()
-    doc = json.dumps({"vocab": vocab.to_dict(), "meta": meta}, sort_keys=True)
-    spark.createDataFrame([(doc,)], "doc string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+# Every save is a folder of its own below ``versions``. It is published by the rename of a written file to a name of
+# its own below ``published``, of which the last in the order of names counts. So no file is ever replaced: a reader sees
+# the old model or the new one, whole, and of racing writers one is current and the others' versions are whole too.
+PUBLISHED = "published"
+
 
+class BrokenArtefacts(ValueError):
+    """No artefacts were published, or the published ones are damaged."""
 
-def load_artefacts(path: str) -> tuple[PipelineModel, Vocabulary, dict]:
+
+def _files(path: str) -> tuple:
+    """(Hadoop file system, path) of a text path."""
     spark = _active_spark()
-    model = PipelineModel.load(f"{path}/model")
-    doc = json.loads(spark.read.text(f"{path}/meta").collect()[0][0])
-    return model, Vocabulary.from_dict(doc["vocab"]), doc["meta"]
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _listing(path: str) -> dict[str, int]:
+    """Lengths of the files below a folder, by relative path; checksums and markers apart."""
+    fs, root = _files(path)
+    root = fs.makeQualified(root)
+    found, it = {}, fs.listFiles(root, True)
+    while it.hasNext():
+        f = it.next()
+        name = f.getPath().toString()[len(root.toString()) + 1:]
+        if not name.rsplit("/", 1)[-1].startswith((".", "_")):
+            found[name] = f.getLen()
+    return found
+
+
+def _write_text(path: str, text: str) -> None:
+    fs, p = _files(path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _read_text(path: str) -> str:
+    fs, p = _files(path)
+    stream = fs.open(p)
+    try:
+        return _active_spark()._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _published(path: str) -> list[str]:
+    """Names (number-version) of the published versions, the current one last."""
+    fs, folder = _files(f"{path}/{PUBLISHED}")
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def _publish(path: str, version: str) -> None:
+    fs, folder = _files(f"{path}/{PUBLISHED}")
+    fs.mkdirs(folder)
+    names = _published(path)
+    number = int(names[-1].split("-")[0]) + 1 if names else 0
+    if not fs.rename(_files(f"{path}/versions/{version}/pointer")[1], _files(f"{path}/{PUBLISHED}/{number:012d}-{version}")[1]):
+        raise OSError(f"cannot publish {version} in {path}")
+
+
+def save_artefacts(path: str, model: Model, vocab: Vocabulary, meta: dict) -> None:
+    """Write model, fitted vocabulary and metadata as a new version and publish it."""
+    version = uuid.uuid4().hex
+    folder = f"{path}/versions/{version}"
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(f"{folder}/model")
+    else:
+        ht.save_model(_active_spark(), f"{folder}/model", model)
+    doc = {"kind": "pipeline" if isinstance(model, PipelineModel) else "hist", "vocab": vocab.to_dict(), "meta": meta,
+           "files": _listing(f"{folder}/model")}
+    _write_text(f"{folder}/meta.json", json.dumps(doc, sort_keys=True))
+    _write_text(f"{folder}/pointer", version)
+    _publish(path, version)
 
 
 def artefacts_exist(path: str) -> bool:
-    spark = _active_spark()
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
-def fit_or_load(path: str, tx: DataFrame, name: str = "random_forest") -> tuple[PipelineModel, Vocabulary, dict]:
-    """Load the saved artefacts, or train and save them where they are absent or
-    incomplete. Any other error (access, a failing store) is the caller's."""
-    if artefacts_exist(path):
-        try:
-            return load_artefacts(path)
-        except (ValueError, KeyError, AnalysisException) as e:
-            logging.getLogger(__name__).warning("artefacts in %s are incomplete, training again: %s", path, e)
-    t0 = time.time()
-    data = prepare_training(tx)
-    model = fit_model(data, name)
-    meta = {"model_nom": name, "feature_columns": data.feature_columns, "train_seconds": round(time.time() - t0, 1)}
-    save_artefacts(path, model, data.vocab, meta)
-    return model, data.vocab, meta
+    return bool(_published(path))
+
+
+def load_artefacts(path: str) -> tuple[Model, Vocabulary, dict]:
+    """The published version. Raises BrokenArtefacts where there is none, a file of it is missing or has another
+    length, or its content cannot be read as a model; other errors (access, a failing store) are the caller's."""
+    names = _published(path)
+    if not names:
+        raise BrokenArtefacts(f"no artefacts in {path}")
+    folder = f"{path}/versions/{names[-1].split('-', 1)[1]}"
+    fs, meta = _files(f"{folder}/meta.json")
+    if not fs.exists(meta):
+        raise BrokenArtefacts(f"{folder} is incomplete")
+    try:
+        doc = json.loads(_read_text(f"{folder}/meta.json"))
+        vocab, listed = Vocabulary.from_dict(doc["vocab"]), doc["files"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise BrokenArtefacts(f"{folder}: {e}") from e
+    if not fs.exists(_files(f"{folder}/model")[1]) or _listing(f"{folder}/model") != listed:
+        raise BrokenArtefacts(f"{folder}: files are missing or changed")
+    try:
+        model = PipelineModel.load(f"{folder}/model") if doc["kind"] == "pipeline" \
+            else ht.load_model(_active_spark(), f"{folder}/model")
+    except (ValueError, KeyError, TypeError, AnalysisException) as e:
+        raise BrokenArtefacts(f"{folder}: {e}") from e
+    return model, vocab, doc["meta"]
+
+
+def drop_old_versions(path: str) -> int:
+    """Delete the versions that are not current (of readers none may still hold one); how many."""
+    fs, versions = _files(f"{path}/versions")
+    names = _published(path)
+    for name in names[:-1]:
+        fs.delete(_files(f"{path}/{PUBLISHED}/{name}")[1], False)
+    old = [s.getPath() for s in fs.listStatus(versions) if s.getPath().getName() != names[-1].split("-", 1)[1]]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)

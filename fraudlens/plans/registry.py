@@ -625,9 +625,33 @@ def q_train_rf(spark, sf_dir):
 
 @query("train_gbt_ovr")
 def q_train_gbt_ovr(spark, sf_dir):
+    """One binary boosting model a class, renormalised."""
+    from fraudlens.operators.models import OVR_BOOSTING
+    return _test_predictions(spark, sf_dir, OVR_BOOSTING)
+
+
+@query("train_gbt_multinomial")
+def q_train_gbt_multinomial(spark, sf_dir):
+    """Softmax boosting: one tree for every class and round."""
     return _test_predictions(spark, sf_dir, "gradient_boosting")
 
 
+@query("train_dt_hist")
+def q_train_dt_hist(spark, sf_dir):
+    """The nodes of the decision tree, which has no limit of depth: path, split, rows of each class."""
+    m = _fitted(spark, sf_dir, "decision_tree")
+    names = F.array(*[F.lit(c) for c in m.bins.columns])
+    return m.nodes.select("node", F.length("node").alias("depth"), F.get(names, F.col("feature")).alias("feature"), "bin",
+                          *[F.col("counts")[i].alias(f"n_{c.lower()}") for i, c in enumerate(LABEL_ORDER)])
+
+
+@query("tree_grid_search")
+def q_tree_grid_search(spark, sf_dir):
+    """The decision tree's whole grid: three fits a fold, the other axes are cuts of these trees."""
+    from fraudlens.operators.models import search_table
+    return search_table(_training(spark, sf_dir), "decision_tree")[1]
+
+
 @query("model_comparison")
 def q_model_comparison(spark, sf_dir):
     from fraudlens.operators.models import MODEL_NAMES, RANK_DECIMALS
@@ -645,9 +669,12 @@ def q_model_comparison(spark, sf_dir):
 
 @query("grid_search")
 def q_grid_search(spark, sf_dir):
-    from fraudlens.operators.models import FULL_GRIDS, grid_search
-    _, table = grid_search(_training(spark, sf_dir), "logistic_regression", FULL_GRIDS["logistic_regression"])
-    return table
+    """The whole grid of the model that wins the comparison."""
+    from fraudlens.operators.models import RANK_DECIMALS, search_table
+    rows = _comparison_rows(spark, sf_dir)
+    winner = min(rows, key=lambda r: (-round(r["recall_fraude"], RANK_DECIMALS), r["fit_order"]))["model"]
+    table = search_table(_training(spark, sf_dir), winner)[1]
+    return table.select(F.lit(winner).alias("model"), "*")
 
 
 @query("feature_importance")

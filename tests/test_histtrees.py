@@ -241,7 +241,7 @@ def test_whole_grids_and_artefacts(spark, tmp_path):
     assert len(bp) == 4 and min(br) > 0.4
     for k, model in enumerate((ht.fit_forest(folded, COLUMNS, 3), ht.fit_boosting(
             *ht.binned_training(folded, COLUMNS), ht.class_weights(folded), rounds=2))):
-        ht.save_model(f"{tmp_path}/{k}", model)
+        ht.save_model(spark, f"{tmp_path}/{k}", model)
         back = ht.load_model(spark, f"{tmp_path}/{k}")
         one, two = (sorted(map(tuple, m.probabilities(folded.select("operation_id", *COLUMNS)).collect()))
                     for m in (model, back))

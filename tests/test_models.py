@@ -3,12 +3,14 @@ artefacts round-trip, fit-or-load reuses saved artefacts, export writes CSV."""
 import glob
 import os
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pytest
 
 from conftest import SF0001
 from fraudlens.operators import models as M
+from fraudlens.plans import training as T
 from fraudlens.sources import files
 from fraudlens.sources.tables import transactions
 
@@ -55,12 +57,91 @@ def test_artefacts_round_trip(spark, lr, data):
     assert a["p_fraude"].to_numpy() == pytest.approx(b["p_fraude"].to_numpy())
 
 
-def test_fit_or_load(spark):
+SHORT = {"names": ["decision_tree"], "grids": {"decision_tree": {"max_depth": [3, 6], "min_samples_split": [2]}}}
+
+
+def test_fit_or_load_trains_in_full_once(spark, data):
     path = tempfile.mkdtemp(prefix="fraudlens-fol-")
+    assert T.fit_or_load(path, None) is None
     tx = transactions(spark, SF0001)
-    _, _, meta1 = M.fit_or_load(path, tx, "decision_tree")
-    _, _, meta2 = M.fit_or_load(path, tx, "decision_tree")
+    model, _, meta1 = T.fit_or_load(path, tx, data=data, **SHORT)
+    again, _, meta2 = T.fit_or_load(path, tx, data=data, **SHORT)
     assert meta1 == meta2 and meta1["model_nom"] == "decision_tree"
+    # comparison, grid and threshold took place
+    assert meta1["grid_search_best_params"] in ({"max_depth": d, "min_samples_split": 2} for d in (3, 6))
+    assert 0 <= meta1["best_threshold_f1"] <= 1 and len(meta1["comparaison_modeles"]) == 1
+    assert files.load_runs(spark, f"{path}/runs").count() == 1
+    a, b = (sorted(map(str, M.class_probabilities(m, data.test).select("operation_id", "p_fraude").collect()))
+            for m in (model, again))
+    assert a == b
+
+
+def test_damaged_artefacts_are_trained_again(spark, data):
+    path = tempfile.mkdtemp(prefix="fraudlens-fol-")
+    tx = transactions(spark, SF0001)
+    model = M.fit_model(data, "decision_tree", max_depth=2)
+
+    def part(pattern):
+        version = sorted(os.listdir(f"{path}/published"))[-1].split("-", 1)[1]
+        return sorted(glob.glob(f"{path}/versions/{version}/{pattern}", recursive=True))
+
+    def cut(f):
+        content = open(f, "rb").read()
+        os.remove(f)
+        open(f, "wb").write(content[:-3])
+
+    for damage in (lambda: open(f"{path}/published/000000000099-none", "w").close(),
+                   lambda: open(part("meta.json")[0], "w").write("{}"),
+                   lambda: cut(part("model/nodes/*.parquet")[0]),
+                   lambda: os.remove(part("model/hist/part-*")[0])):
+        M.save_artefacts(path, model, data.vocab, {"model_nom": "old"})
+        assert T.fit_or_load(path, None)[2] == {"model_nom": "old"}
+        for crc in glob.glob(f"{path}/versions/*/.*.crc") + glob.glob(f"{path}/versions/*/model/*/.*.crc"):
+            os.remove(crc)
+        damage()
+        with pytest.raises(M.BrokenArtefacts):
+            M.load_artefacts(path)
+    assert T.fit_or_load(path, tx, data=data, **SHORT)[2]["model_nom"] == "decision_tree"
+
+
+def test_racing_writers_leave_one_whole_model(spark, data):
+    path = tempfile.mkdtemp(prefix="fraudlens-race-")
+    models = [M.fit_model(data, "decision_tree", max_depth=d) for d in (1, 2, 3)]
+
+    def write(i):
+        for _ in range(2):
+            M.save_artefacts(path, models[i], data.vocab, {"depth": i + 1})
+            model, _, meta = M.load_artefacts(path)  # another writer's, maybe, but whole
+            assert model.nodes.selectExpr("max(length(node))").first()[0] == meta["depth"]
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    assert M.drop_old_versions(path) == 5
+    model, _, meta = M.load_artefacts(path)
+    assert model.nodes.selectExpr("max(length(node))").first()[0] == meta["depth"]
+
+
+def test_tree_importances_and_grid(spark, data):
+    model, table = M.grid_search(data, "decision_tree", {"max_depth": [2, 4], "min_samples_leaf": [1, 5]}, folds=3)
+    assert table.count() == 4
+    imp = {r.feature: r.importance for r in M.feature_importances(model, data.feature_columns, 50).collect()}
+    assert set(imp) == set(data.feature_columns) and sum(imp.values()) == pytest.approx(1)
+    used = {model.bins.columns[r.feature] for r in model.nodes.where("feature >= 0").collect()}
+    assert {f for f, v in imp.items() if v > 0} <= used
+
+
+def test_roc_auc_of_large_counts(spark):
+    """Three thousand million rows of each class, as counts."""
+    from pyspark.sql import functions as F
+    from fraudlens.operators import metrics as mt
+    ct = spark.createDataFrame([(0.9, 2 * 10 ** 9, 10 ** 9), (0.1, 10 ** 9, 2 * 10 ** 9)], "score double, pos long, neg long") \
+        .withColumns({"tp": F.expr("sum(pos) over (order by score desc)"), "P": F.lit(3 * 10 ** 9), "N": F.lit(3 * 10 ** 9)})
+    plain = mt.curve_table
+    mt.curve_table = lambda *a: ct
+    try:
+        assert mt.roc_auc(None).first()[0] == pytest.approx(2 / 3, abs=1e-6)
+    finally:
+        mt.curve_table = plain
 
 
 def test_export_csv(spark):
@@ -71,14 +152,6 @@ def test_export_csv(spark):
     assert list(df.columns) == ["operation_id", "amount"] and len(df) == transactions(spark, SF0001).count()
 
 
-def test_fit_or_load_trains_again_only_when_artefacts_are_incomplete(spark, lr, data):
-    path = tempfile.mkdtemp(prefix="fraudlens-fol-")
-    M.save_artefacts(path, lr, data.vocab, {"model_nom": "logistic_regression"})
-    spark.createDataFrame([("{}",)], "doc string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-    _, _, meta = M.fit_or_load(path, transactions(spark, SF0001), "decision_tree")
-    assert meta["model_nom"] == "decision_tree"
-
-
 def test_folds_are_stratified_and_whole(data):
     from fraudlens.operators.split import stratified_folds
     pdf = stratified_folds(data.train).select("operation_id", "target", "fold").toPandas()
