@@ -647,6 +647,20 @@ _reg("streaming_daily_trend", with_tx("""
 SELECT CAST(tx_ts AS DATE) AS jour, target, CAST(count(*) AS BIGINT) AS nombre
 FROM transactions GROUP BY CAST(tx_ts AS DATE), target"""))
 
+_reg("streaming_journal", with_tx("""
+SELECT operation_id, tx_type, op_status, location, tx_ts, amount,
+       CAST(greatest(coalesce(h.n, 0) + row_number() OVER (PARTITION BY s.client_id ORDER BY tx_ts, operation_id) - 1, 1)
+            AS BIGINT) AS client_tx_count, threshold, predicted_status,
+       CAST(round(CAST(s10k AS DECIMAL(18,4)) / 100, 2) AS DOUBLE) AS p_fraude,
+       CAST(round(CAST(CAST((10000 - s10k) * (100 - k) AS DECIMAL(18,4)) * 0.0001 AS DECIMAL(18,4)), 2) AS DOUBLE) AS p_normal,
+       CAST(round(CAST(CAST((10000 - s10k) * k AS DECIMAL(18,4)) * 0.0001 AS DECIMAL(18,4)), 2) AS DOUBLE) AS p_suspect,
+       true AS scored_now
+FROM (SELECT *, CAST(0.5 AS DOUBLE) AS threshold,
+             CASE WHEN p_fraud >= 0.5 THEN 'Fraude' WHEN p_normal >= p_suspect THEN 'Normal' ELSE 'Suspect' END
+               AS predicted_status FROM scored WHERE tx_ts >= TIMESTAMP '2024-01-15 00:00:00') s
+LEFT JOIN (SELECT client_id, count(operation_id) AS n FROM transactions
+           WHERE client_id IS NOT NULL AND tx_ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY client_id) h USING (client_id)"""))
+
 _reg("streaming_dedup", with_tx("SELECT DISTINCT operation_id, tx_ts, amount, target FROM transactions"))
 
 

@@ -532,6 +532,14 @@ def q_streaming_daily_trend(spark, sf_dir):
     return st.streaming_daily_trend(spark, sf_dir)
 
 
+@query("streaming_journal")
+def q_streaming_journal(spark, sf_dir):
+    """The journal that a stream wrote; when it was scored is told by a flag."""
+    j = st.streaming_journal(spark, sf_dir, JOURNAL_CUTOFF, THRESHOLD)
+    now = F.col("scored_at").between(F.current_timestamp() - F.expr("interval 1 day"), F.current_timestamp())
+    return j.select(*[f.name for f in JOURNAL_SCHEMA.fields if f.name != "scored_at"], now.alias("scored_now"))
+
+
 @query("streaming_dedup")
 def q_streaming_dedup(spark, sf_dir):
     return st.streaming_dedup(spark, sf_dir)

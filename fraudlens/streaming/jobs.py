@@ -18,7 +18,9 @@ from fraudlens.functions.scores import pseudo_probabilities
 from fraudlens.operators.eda import client_counts
 from fraudlens.operators.journal import journal_from_scored
 from fraudlens.session import scratch_path, written_once
+from fraudlens.sources.files import load_journal
 from fraudlens.sources.tables import _EVENT_COLS, client_locations, read_table, transactions, transactions_from_events
+from fraudlens.streaming.journal_sink import Scratch, drop_replays, record_ids, run_into_journal, stream_id
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 64) -> DataFrame:
@@ -133,11 +135,36 @@ def streaming_daily_trend(spark: SparkSession, sf_dir: str, lateness: str = "1 d
     return out.select(F.to_date("jour").alias("jour"), "target", "nombre")
 
 
-def streaming_dedup(spark: SparkSession, sf_dir: str, lateness: str = "1 day") -> DataFrame:
-    """ST5: a replayed source (the same events delivered twice) deduplicated
-    on operation_id within the watermark before the sink."""
-    a = stream_transactions(spark, sf_dir)
-    b = stream_transactions(spark, sf_dir)
-    s = a.unionByName(b).select("operation_id", "tx_ts", "amount", "target")
-    s = s.withWatermark("tx_ts", lateness).dropDuplicatesWithinWatermark(["operation_id"])
-    return run_available(s, "dedup")
+def streaming_journal(spark: SparkSession, sf_dir: str, cutoff: str, threshold: float = 0.5) -> DataFrame:
+    """ST1 and ST2: transactions from ``cutoff`` on stream into the journal, scored as batch runs are, each with its
+    client's count (history before the cutoff and earlier rows of the stream). Returns the loaded journal."""
+    run = scratch_path(spark, "streams/journal")
+    past = transactions(spark, sf_dir).where(F.col("tx_ts") < F.lit(cutoff).cast("timestamp"))
+    history = static_table(client_counts(past), "client_history")
+    stream = stream_transactions(spark, sf_dir).where(F.col("tx_ts") >= F.lit(cutoff).cast("timestamp"))
+    run_into_journal(stream, f"{run}/journal", f"{run}/checkpoint", history, pseudo_probabilities, threshold)
+    return load_journal(spark, f"{run}/journal")
+
+
+def streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5: the same events delivered twice by one stream, and all of them again by a later one: a transaction
+    reaches the table once, however late its replay comes."""
+    run = scratch_path(spark, "streams/dedup")
+    columns = ["operation_id", "tx_ts", "amount", "target"]
+
+    def deliver(stream: DataFrame, checkpoint: str) -> None:
+        def sink(batch: DataFrame, number: int) -> None:
+            scratch, own = Scratch(spark), stream_id(spark, checkpoint)
+            try:
+                fresh = scratch.once(drop_replays(batch, f"{run}/ledger", own, number, scratch))
+                fresh.write.mode("overwrite").parquet(f"{run}/data/run={own}-{number}")
+                record_ids(fresh, f"{run}/ledger", own, number)
+            finally:
+                scratch.close()
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink) \
+            .start().awaitTermination()
+
+    one = stream_transactions(spark, sf_dir).select(*columns)
+    deliver(one.unionByName(stream_transactions(spark, sf_dir).select(*columns)), f"{run}/first")
+    deliver(stream_transactions(spark, sf_dir).select(*columns), f"{run}/second")
+    return spark.read.schema(one.schema).parquet(f"{run}/data").select(*columns)
