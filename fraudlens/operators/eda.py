@@ -11,16 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import (clipped_log_amount, hour_of, is_fraud, is_suspect_or_fraud,
                                          r6, safe_ratio, weekday_label, weekday_of, weekend_flag)
-from fraudlens.functions.joins import broadcast_if_small
-from fraudlens.operators.cumulative import exact_quantiles
+from fraudlens.operators.selection import order_statistics
 from fraudlens.schema import (FRAUD, HIGH_CARDINALITY, NORMAL, SUSPECT, TARGET_CLASSES, TRANSACTION_SCHEMA,
                               UNIVARIATE_TOP)
+from fraudlens.session import written_once
 
 TX_COLUMNS = [f.name for f in TRANSACTION_SCHEMA.fields]
 
@@ -116,10 +115,9 @@ def location_status_rate(tx: DataFrame, nb_top: int = 10) -> DataFrame:
 
 def location_type_volume(tx: DataFrame, nb_top: int = 10) -> DataFrame:
     """Volume per (location, type) for the nb_top busiest locations (one scan)."""
-    # one row per (location, type): cached, read by the top-N and the result
-    pair = (tx.where(F.col("location").isNotNull())
-            .groupBy("location", "tx_type").agg(F.count(F.lit(1)).alias("nombre"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    # one row per (location, type): written, read by the top-N and the result
+    pair = written_once(tx.where(F.col("location").isNotNull())
+                        .groupBy("location", "tx_type").agg(F.count(F.lit(1)).alias("nombre")), "location_types")
     vol = pair.groupBy("location").agg(F.sum("nombre").alias("__vol"))
     top = _top_by_volume(vol, nb_top).select("location")
     # top holds at most nb_top rows: broadcast size is bounded by the parameter.
@@ -333,9 +331,9 @@ def describe(tx: DataFrame, col: str = "amount", exact: bool = True, accuracy: i
                  F.max(col).cast("double").alias("max"))
     moments = m.unpivot([], ["count", "mean", "std", "min", "max"], "statistique", "valeur")
     # a row for each quartile, also of an empty column
-    q = exact_quantiles(base, col, DESCRIBE_PROBS).agg(
-        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"{int(p * 100)}%") for p in DESCRIBE_PROBS])
-    q = q.unpivot([], [f"{int(p * 100)}%" for p in DESCRIBE_PROBS], "statistique", "valeur")
+    _, values = order_statistics(base, col, DESCRIBE_PROBS).get("", (0, [None] * len(DESCRIBE_PROBS)))
+    q = tx.sparkSession.createDataFrame([(f"{int(p * 100)}%", v) for p, v in zip(DESCRIBE_PROBS, values)],
+                                        "statistique string, valeur double")
     return moments.unionByName(q).select("statistique", r6(F.col("valeur")).alias("valeur"))
 
 
@@ -355,9 +353,9 @@ def value_frequency(tx: DataFrame, top: int | None = UNIVARIATE_TOP, columns: li
     freq = long.groupBy("colonne", "valeur").agg(F.count(F.lit(1)).alias("nombre"))
     if not top:
         return freq.orderBy("colonne", F.desc("nombre"), F.asc("valeur"))
-    # one row per distinct (column, value): cached so every per-column top-k
+    # one row per distinct (column, value): written so every per-column top-k
     # reads it instead of rescanning the input
-    freq = freq.persist(StorageLevel.MEMORY_AND_DISK)
+    freq = written_once(freq, "frequencies")
     parts = []
     for c in cols:
         k = freq.where(F.col("colonne") == c).orderBy(F.desc("nombre"), F.asc("valeur")).limit(top)
@@ -389,18 +387,13 @@ def amount_box_by_target(tx: DataFrame, col: str = "amount") -> DataFrame:
     """Box-plot statistics per target: quartiles (linear interpolation) and
     whiskers at the most extreme values within 1.5 IQR of the box."""
     base = tx.where(F.col(col).isNotNull() & F.col("target").isNotNull())
-    q = exact_quantiles(base, col, DESCRIBE_PROBS, ["target"])
-    wide = q.groupBy("target").agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("mediane"),
-        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-    # One row per target: broadcast after a size check.
+    # a row for each target
+    rows = [(t, *v) for t, (_, v) in sorted(order_statistics(base, col, DESCRIBE_PROBS, "target").items())]
+    wide = tx.sparkSession.createDataFrame(rows, "target string, q1 double, mediane double, q3 double")
     fences = wide.withColumns({"__lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
                                "__hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     v = F.col(col)
-    # cached once (one row per target): read by the whisker join and the output
-    fences = broadcast_if_small(fences)
-    wh = (base.join(fences.select("target", "__lo", "__hi"), "target")
+    wh = (base.join(F.broadcast(fences.select("target", "__lo", "__hi")), "target")
           .groupBy("target").agg(F.min(F.when(v >= F.col("__lo"), v)).alias("moustache_basse"),
                                  F.max(F.when(v <= F.col("__hi"), v)).alias("moustache_haute")))
     return fences.join(wh, "target").select(

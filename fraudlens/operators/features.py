@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from fraudlens.functions.columns import (hour_of, log_amount, night_flag, normal
                                          weekend_flag)
 from fraudlens.operators.eda import client_counts
 from fraudlens.schema import CATEGORICAL_FEATURES, LABEL_ORDER, NUMERIC_FEATURES, OTHER_LOCATION, TOP_LOCATIONS
+from fraudlens.session import written_once
 
 
 def base_features(tx: DataFrame) -> DataFrame:
@@ -97,16 +97,14 @@ def fit_vocabulary(tx: DataFrame, nb_locations: int = TOP_LOCATIONS) -> Vocabula
     categorical columns reach the driver, as each of them is a model column."""
     feat = base_features(tx)
     raw_cols = [c for c in CATEGORICAL_FEATURES if c != "location_grp"] + ["location"]
-    counts = (feat.select(*raw_cols).unpivot([], raw_cols, "col", "level")
-              .groupBy("col", "level").agg(F.count(F.lit(1)).alias("n"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = written_once(feat.select(*raw_cols).unpivot([], raw_cols, "col", "level")
+                          .groupBy("col", "level").agg(F.count(F.lit(1)).alias("n")), "levels")
     loc = counts.where(F.col("col") == "location")
     top_rows = (loc.where(F.col("level").isNotNull()).orderBy(F.desc("n"), F.asc("level"))
                 .limit(nb_locations).collect())
     top = [r["level"] for r in top_rows]
     loc_total = loc.agg(F.sum("n")).collect()[0][0] or 0
     rows = counts.where((F.col("col") != "location") & F.col("level").isNotNull()).select("col", "level").collect()
-    counts.unpersist()
     levels = {c: sorted(r["level"] for r in rows if r["col"] == c) for c in CATEGORICAL_FEATURES if c != "location_grp"}
     # grouped levels: the top locations, plus the fallback when any row falls outside them
     grp = list(top) + ([OTHER_LOCATION] if loc_total > sum(r["n"] for r in top_rows) else [])

@@ -7,13 +7,13 @@ threshold from per-score counts followed by a distributed running sum.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlens.functions.columns import r6
 from fraudlens.operators.cumulative import running_sum
 from fraudlens.schema import FRAUD, LABEL_ORDER
+from fraudlens.session import written_once
 
 
 def _cnt(cond: Column) -> Column:
@@ -136,9 +136,9 @@ def curve_table(df: DataFrame, score: str = "p_fraud", label: str = "target") ->
     """Per distinct score s: tp / fp = positives / negatives with score >= s,
     plus the totals P and N (scalar subqueries, evaluated once)."""
     # The per-score table (one row per distinct score) feeds the cut points,
-    # the bucket totals, the running sums and P / N: cached once instead of
+    # the bucket totals, the running sums and P / N: written once instead of
     # rescanning the input for each.
-    sc = score_counts(df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
+    sc = written_once(score_counts(df, score, label), "score_counts")
     cum = running_sum(sc, "score", ["pos", "neg"], descending=True)
     tot_p = sc.select(F.sum("pos")).scalar()
     tot_n = sc.select(F.sum("neg")).scalar()
@@ -170,6 +170,30 @@ def roc_curve(df: DataFrame, score: str = "p_fraud", label: str = "target") -> D
     return pts.unionByName(start)
 
 
+def roc_corners(df: DataFrame, score: str = "p_fraud", label: str = "target") -> DataFrame:
+    """The ROC curve without the points inside its straight runs: what it bounds, and its AUC, stay the same.
+
+    A point goes if the step to it and the step from it have one direction. The step from the last point of a score
+    range is the first step of the next range: one row a range is exchanged, no window spans the table."""
+    ct = curve_table(df, score, label).select("score", "pos", "neg", "tp", "fp", "P", "N")
+    # the ranges of the running sums again, from the written table of points
+    points = written_once(ct.repartitionByRange(F.desc("score")).withColumn("__part", F.spark_partition_id()), "curve")
+    inside = Window.partitionBy("__part").orderBy(F.desc("score"))
+    firsts = points.groupBy("__part").agg(F.max_by(F.struct("pos", "neg"), "score").alias("__first"))
+    after = firsts.select("__part", F.lead("__first").over(Window.orderBy("__part")).alias("__after"))  # a row a range
+    step = F.coalesce(F.lead(F.struct("pos", "neg")).over(inside), F.col("__after"))
+    kept = points.join(F.broadcast(after), "__part").withColumn("__next", step)
+    wide = "decimal(19,0)"
+    straight = F.col("pos").cast(wide) * F.col("__next.neg").cast(wide) == F.col("neg").cast(wide) * F.col("__next.pos").cast(wide)
+    kept = kept.where(F.col("__next").isNull() | ~straight)
+    pts = kept.select(F.col("score").alias("seuil"),
+                      r6(F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double"))).alias("fpr"),
+                      r6(F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double"))).alias("tpr"))
+    start = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("seuil"), F.lit(0.0).alias("fpr"),
+                                            F.lit(0.0).alias("tpr"))
+    return pts.unionByName(start)
+
+
 def roc_auc(df: DataFrame, score: str = "p_fraud", label: str = "target") -> DataFrame:
     """Trapezoidal area under the ROC curve (ties form one segment)."""
     ct = curve_table(df, score, label)

@@ -482,6 +482,32 @@ SELECT score AS seuil, round(CASE WHEN N > 0 THEN CAST(fp AS DOUBLE) / N END, 6)
        round(CASE WHEN P > 0 THEN CAST(tp AS DOUBLE) / P END, 6) AS tpr FROM cum
 UNION ALL SELECT NULL, 0.0, 0.0""", _CURVE))
 
+# a point goes if the steps to it and from it (in falling order of score) have one direction
+_reg("roc_corners", with_tx("""
+SELECT score AS seuil, round(CASE WHEN N > 0 THEN CAST(fp AS DOUBLE) / N END, 6) AS fpr,
+       round(CASE WHEN P > 0 THEN CAST(tp AS DOUBLE) / P END, 6) AS tpr
+FROM (SELECT *, lead(pos) OVER w AS pos2, lead(neg) OVER w AS neg2 FROM cum WINDOW w AS (ORDER BY score DESC))
+WHERE pos2 IS NULL OR CAST(pos AS HUGEINT) * neg2 <> CAST(neg AS HUGEINT) * pos2
+UNION ALL SELECT NULL, 0.0, 0.0""", _CURVE))
+
+_reg("top_values_high_cardinality", with_tx("""
+SELECT colonne, valeur, nombre, CAST(rang AS BIGINT) AS rang
+FROM (SELECT *, row_number() OVER (PARTITION BY colonne ORDER BY nombre DESC, valeur) AS rang
+      FROM (SELECT 'account_no' AS colonne, CAST(account_no AS VARCHAR) AS valeur, count(*) AS nombre
+            FROM transactions WHERE account_no IS NOT NULL GROUP BY account_no
+            UNION ALL SELECT 'operation_id', operation_id, count(*) FROM transactions
+            WHERE operation_id IS NOT NULL GROUP BY operation_id))
+WHERE rang <= 30"""))
+
+_reg("rollup_kpis", with_tx("""
+SELECT CAST(count(*) AS BIGINT) AS n_transactions,
+       round(coalesce(avg(CASE WHEN target IS NOT DISTINCT FROM 'Fraude' THEN 1 ELSE 0 END) * 100, 0), 6) AS taux_fraude,
+       round(coalesce(avg(CASE WHEN target IS NOT DISTINCT FROM 'Suspect' THEN 1 ELSE 0 END) * 100, 0), 6) AS taux_suspect,
+       round(coalesce(sum(amount), 0), 6) AS montant_total, round(avg(amount), 6) AS montant_moyen, true AS clients_dans_erreur
+FROM transactions
+WHERE CAST(tx_ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND tx_type IN ('click', 'purchase', 'view')
+  AND target IN ('Fraude', 'Suspect', 'Normal')"""))
+
 _reg("roc_auc", with_tx("""
 SELECT round(sum(CAST(neg * (2 * (tp - pos) + pos) AS DOUBLE)) / (2.0 * max(P) * max(N)), 6) AS auc FROM cum""", _CURVE))
 

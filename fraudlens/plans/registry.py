@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +19,11 @@ from fraudlens.operators import eda
 from fraudlens.operators import features as feats
 from fraudlens.operators import journal as jr
 from fraudlens.operators import metrics as mt
+from fraudlens.operators import rollup
 from fraudlens.operators import split as sp
 from fraudlens.operators.eda import TX_COLUMNS, FilterSpec
 from fraudlens.schema import JOURNAL_SCHEMA, LABEL_ORDER, NUMERIC_FEATURES, RAW_TO_COLUMN
-from fraudlens.session import files_identity, scratch_path, session_key
+from fraudlens.session import files_identity, scratch_path, session_key, written_once
 from fraudlens.sources import files
 from fraudlens.sources.tables import scored, transactions
 from fraudlens.streaming import jobs as st
@@ -34,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DEFAULT_FILTER = FilterSpec(date_from=date(2024, 1, 5), date_to=date(2024, 1, 25), amount_min=5.0,
                             amount_max=400.0, tx_types=["click", "purchase", "view"],
                             targets=["Fraude", "Suspect", "Normal"])
+ROLLUP_FILTER = FilterSpec(date_from=date(2024, 1, 5), date_to=date(2024, 1, 20), tx_types=["click", "purchase", "view"],
+                           targets=["Fraude", "Suspect", "Normal"])
 
 
 def query(name: str):
@@ -352,6 +354,37 @@ def q_roc_curve(spark, sf_dir):
     return mt.roc_curve(_scored(spark, sf_dir))
 
 
+@query("roc_corners")
+def q_roc_corners(spark, sf_dir):
+    return mt.roc_corners(_scored(spark, sf_dir))
+
+
+@query("top_values_high_cardinality")
+def q_top_values_high_cardinality(spark, sf_dir):
+    """The explorer's top 30 of the columns that it leaves out for their cardinality."""
+    from fraudlens.operators.selection import top_values
+    return top_values(_tx(spark, sf_dir), ["account_no", "operation_id"])
+
+
+def _rollup(spark, sf_dir):
+    return written_once(rollup.build(_tx(spark, sf_dir)), "rollup")
+
+
+@query("rollup_kpis")
+def q_rollup_kpis(spark, sf_dir):
+    """KPIs of a filtered view from the roll-up; whether the estimate of distinct clients is within three errors."""
+    view = rollup.selected(_rollup(spark, sf_dir), ROLLUP_FILTER)
+    exact = eda.filtered_transactions(_tx(spark, sf_dir), ROLLUP_FILTER).agg(F.countDistinct("client_id").alias("c"))
+    near = F.abs(F.col("clients_estimes") - F.col("c")) <= F.greatest(F.lit(1.0), 3 * 1.04 / 64 * F.col("c"))
+    return rollup.kpis(view).join(F.broadcast(exact)).withColumn("clients_dans_erreur", near).drop("clients_estimes", "c")
+
+
+@query("rollup_quartiles")
+def q_rollup_quartiles(spark, sf_dir):
+    """Quartiles of the amount by target, from merged sketches."""
+    return rollup.quantiles(_rollup(spark, sf_dir), [0.25, 0.5, 0.75], ["target"])
+
+
 @query("roc_auc")
 def q_roc_auc(spark, sf_dir):
     return mt.roc_auc(_scored(spark, sf_dir))
@@ -405,7 +438,7 @@ def q_standardized_features(spark, sf_dir):
     tx = sp.stratified_split(_tx(spark, sf_dir), classes=LABEL_ORDER)
     f = feats.with_client_tx_count(feats.base_features(tx), history=_tx(spark, sf_dir))
     # the split feature frame feeds the fit and the transform: computed once
-    f = f.select("operation_id", "is_test", *NUMERIC_FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    f = written_once(f.select("operation_id", "is_test", *NUMERIC_FEATURES), "split_features")
     scaler = fit_scaler(f.where(~F.col("is_test")), NUMERIC_FEATURES)
     z = apply_scaler(f, scaler)
     return z.select("operation_id", *[r6(F.col(c)).alias(c) for c in NUMERIC_FEATURES])
