@@ -214,6 +214,10 @@ def with_client_count(tx: DataFrame, count_col: str = "operation_id",
 
 CORR_FEATURES = ["montant", "montant_log", "heure", "jour_semaine", "est_weekend",
                  "nb_transactions_client", "est_fraude", "est_suspect_ou_fraude"]
+# The column that is null in the same rows; None: never null.
+CORR_MASK = {"montant": "montant", "montant_log": "montant", "heure": "heure", "jour_semaine": "heure",
+             "nb_transactions_client": "nb_transactions_client", "est_weekend": None, "est_fraude": None,
+             "est_suspect_ou_fraude": None}
 
 
 def correlation_matrix(tx: DataFrame) -> DataFrame:
@@ -229,17 +233,22 @@ def correlation_matrix(tx: DataFrame) -> DataFrame:
         is_fraud(F.col("target")).cast("double").alias("est_fraude"),
         is_suspect_or_fraud(F.col("target")).cast("double").alias("est_suspect_ou_fraude"),
     )
-    # One global aggregate of the pairs' statistics; a pair uses the rows where both values are present. The
-    # matrix is unfolded from the single aggregated row.
+    # One global aggregate; a pair uses the rows where both values are present. Columns of one mask are null in the
+    # same rows, so a column needs one deviation for each other mask, not one for each other column. The matrix is
+    # unfolded from the single aggregated row.
     names = CORR_FEATURES
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in pairs}
 
-    def spread(p, c):
-        return F.stddev_pop(F.when(both[p], F.col(c)))
+    def spread(c: str, other: str) -> str:
+        """Name of the deviation of c over the rows where ``other`` is present too."""
+        mask = CORR_MASK[other]
+        return f"{c}~" if mask in (None, CORR_MASK[c]) else f"{c}~{mask}"
 
-    one = num.agg(*[F.try_divide(F.covar_pop(a, b), spread((a, b), a) * spread((a, b), b)).alias(f"{a}|{b}")
-                    for a, b in pairs])
+    spreads = {spread(c, o): F.stddev_pop(c if spread(c, o) == f"{c}~" else F.when(F.col(CORR_MASK[o]).isNotNull(), F.col(c)))
+               for p in pairs for c, o in (p, p[::-1])}
+    one = num.agg(*[v.alias(k) for k, v in spreads.items()], *[F.covar_pop(a, b).alias(f"{a}*{b}") for a, b in pairs])
+    one = one.select(*[F.try_divide(F.col(f"{a}*{b}"), F.col(spread(a, b)) * F.col(spread(b, a))).alias(f"{a}|{b}")
+                       for a, b in pairs])
     cells = F.array(*[F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), r6(F.col(f"{a}|{b}")).alias("r"))
                       for a, b in pairs for x, y in dict.fromkeys([(a, b), (b, a)])])
     return one.select(F.inline(cells))

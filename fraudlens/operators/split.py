@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from fraudlens.functions.columns import r6
 from fraudlens.functions.joins import broadcast_if_small
 from fraudlens.schema import FRAUD
+from fraudlens.session import written_once
 
 HASH_PREFIX_HEX = 4     # 65,536 buckets per class and level
 ORDER = ["__h", "__k", "__r"]  # hash, key, hash of the whole row
@@ -52,23 +53,27 @@ def _bucket(level: int) -> Column:
     return F.conv(digits, 16, 10).cast("int")
 
 
-def _crossing(counts: DataFrame, label: str, order: list[str], quotas: dict[str, int]) -> dict[str, dict]:
-    """Per class: the first entry of ``counts`` (label, *order, n) whose running
-    count reaches the quota, as a dict with ``before``, the count up to it."""
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(label).orderBy(*order)
+def _crossing(counts: DataFrame, group: list[str], order: list[str], wanted: dict[tuple, tuple[tuple, int]]) -> dict[tuple, dict]:
+    """``wanted`` is name -> (group, quota). Per name: the first entry of ``counts`` (*group, *order, n) of its group
+    whose running count reaches the quota, as a dict with ``before``, the count up to it."""
+    spark, names = counts.sparkSession, sorted(wanted)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy(*order)
                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = F.create_map(*[x for c, q in quotas.items() for x in (F.lit(c), F.lit(q))])[F.col(label)]
-    rows = (counts.withColumn("before", before).withColumn("quota", quota)
-            .where((F.col("before") < F.col("quota")) & (F.col("before") + F.col("n") >= F.col("quota"))).collect())
-    return {r[label]: r.asDict() for r in rows}  # at most one row per class
+    fields = [f"{g} {counts.schema[g].dataType.simpleString()}" for g in group]
+    # a row a class and quota
+    quotas = spark.createDataFrame([(*wanted[x][0], i, wanted[x][1]) for i, x in enumerate(names)],
+                                   ", ".join([*fields, "__name int", "__quota long"]))
+    rows = counts.withColumn("before", before).join(F.broadcast(quotas), group).where(
+        (F.col("before") < F.col("__quota")) & (F.col("before") + F.col("n") >= F.col("__quota"))).collect()
+    return {names[r["__name"]]: r.asDict() for r in rows}  # at most one row a name
 
 
-def _in_cells(label: str, cells: dict[str, tuple]) -> Column:
-    """Rows whose buckets are their class's cell."""
+def _in_cells(label: str, cells: set[tuple]) -> Column:
+    """Rows of the cells (class, bucket, ...)."""
     cond = F.lit(False)
-    for c, cell in cells.items():
+    for c, *buckets in sorted(cells):
         here = F.col(label) == c
-        for level, b in enumerate(cell):
+        for level, b in enumerate(buckets):
             here = here & (_bucket(level) == b)
         cond = cond | here
     return cond
@@ -81,24 +86,31 @@ def _ordered(df: DataFrame, key: str, seed: int) -> DataFrame:
             .withColumn("__r", F.xxhash64(*[F.col(c) for c in df.columns])))
 
 
+def _bucket_counts(work: DataFrame, label: str) -> DataFrame:
+    """(label, __b0, n), written: at most classes x 65,536 rows."""
+    return written_once(work.groupBy(label, _bucket(0).alias("__b0")).agg(F.count(F.lit(1)).alias("n")), "bucket_counts")
+
+
 def _class_counts(c1: DataFrame, label: str) -> dict[str, int]:
     return {r[label]: r["n"] for r in c1.groupBy(label).agg(F.sum("n").alias("n")).collect()}  # one row per class
 
 
-def _cut_points(work: DataFrame, c1: DataFrame, label: str, quotas: dict[str, int]) -> tuple[dict, dict]:
-    """Per class: the entry of the order at which its quota is reached, and the
-    rows of the quota that its last cell has to give."""
-    at = _crossing(c1, label, ["b"], quotas)
-    cells = {c: (r["b"],) for c, r in at.items()}
-    left = {c: quotas[c] - r["before"] for c, r in at.items()}
-    c2 = (work.where(_in_cells(label, cells)).groupBy(label, _bucket(1).alias("b"))
-          .agg(F.count(F.lit(1)).alias("n")))
-    at = _crossing(c2, label, ["b"], left)
-    cells = {c: (*cells[c], r["b"]) for c, r in at.items()}
-    left = {c: left[c] - r["before"] for c, r in at.items()}
+def _cut_points(work: DataFrame, c1: DataFrame, label: str, quotas: dict[tuple, int]) -> tuple[dict, dict]:
+    """``quotas`` is (class, number) -> rows. For each: the entry of the order at which it is reached, and the rows of
+    the quota that its last cell has to give. All of them from two scans besides the one of ``c1``."""
+    at = _crossing(c1, [label], ["__b0"], {x: ((x[0],), q) for x, q in quotas.items()})
+    cells = {x: (x[0], r["__b0"]) for x, r in at.items()}
+    left = {x: quotas[x] - r["before"] for x, r in at.items()}
+    buckets = ["__b0", "__b1"]
+    c2 = work.where(_in_cells(label, set(cells.values()))).groupBy(
+        label, *[_bucket(i).alias(b) for i, b in enumerate(buckets)]).agg(F.count(F.lit(1)).alias("n"))
+    at = _crossing(c2, [label, "__b0"], ["__b1"], {x: (cells[x], left[x]) for x in at})
+    cells = {x: (*cells[x], r["__b1"]) for x, r in at.items()}
+    left = {x: left[x] - r["before"] for x, r in at.items()}
     # copies of a row are one entry; copies of a key with other values differ in the row's hash
-    c3 = work.where(_in_cells(label, cells)).groupBy(label, *ORDER).agg(F.count(F.lit(1)).alias("n"))
-    return _crossing(c3, label, ORDER, left), left
+    c3 = work.where(_in_cells(label, set(cells.values()))).groupBy(
+        label, *[_bucket(i).alias(b) for i, b in enumerate(buckets)], *ORDER).agg(F.count(F.lit(1)).alias("n"))
+    return _crossing(c3, [label, *buckets], ORDER, {x: (cells[x], left[x]) for x in at}), left
 
 
 def stratified_folds(df: DataFrame, folds: int = 5, key: str = "operation_id", label: str = "target", seed: int = 42,
@@ -106,21 +118,16 @@ def stratified_folds(df: DataFrame, folds: int = 5, key: str = "operation_id", l
     """Add ``fold`` 0..folds-1: every class is cut into equal parts of its hash
     order (equal rows stay together)."""
     work = _ordered(df.where(F.col(label).isNotNull()), key, seed + 1)
-    c1 = work.groupBy(label, _bucket(0).alias("b")).agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        counts = _class_counts(c1, label)
-        fold = F.lit(0)
-        for i in range(1, folds):
-            quotas = {c: n * i // folds for c, n in counts.items() if n * i // folds}
-            beyond = {c: F.lit(True) for c in counts if c not in quotas}
-            for c, r in (_cut_points(work, c1, label, quotas)[0] if quotas else {}).items():
-                beyond[c] = F.struct(*ORDER) > F.struct(*[F.lit(r[o]).alias(o) for o in ORDER])
-            after = F.lit(False)
-            for c, cond in beyond.items():
-                after = after | ((F.col(label) == c) & cond)
-            fold = fold + after.cast("int")
-    finally:
-        c1.unpersist()
+    c1 = _bucket_counts(work, label)
+    counts = _class_counts(c1, label)
+    quotas = {(c, i): n * i // folds for c, n in counts.items() for i in range(1, folds)}
+    cuts = _cut_points(work, c1, label, {x: q for x, q in quotas.items() if q})[0] if any(quotas.values()) else {}
+    fold = F.lit(0)
+    for (c, i), q in quotas.items():
+        after = F.lit(True)
+        if q:
+            after = F.struct(*ORDER) > F.struct(*[F.lit(cuts[c, i][o]).alias(o) for o in ORDER])
+        fold = fold + ((F.col(label) == c) & after).cast("int")
     return work.withColumn(out_col, fold).select(*df.columns, out_col)
 
 
@@ -130,18 +137,16 @@ def stratified_split(df: DataFrame, key: str = "operation_id", label: str = "tar
     be learned from). With ``classes`` (the label vocabulary) a row with another
     label raises, as the label encoder of a model would."""
     work = _ordered(df.where(F.col(label).isNotNull()), key, seed)
-    c1 = work.groupBy(label, _bucket(0).alias("b")).agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        counts = _class_counts(c1, label)
-        unknown = {c: n for c, n in counts.items() if classes is not None and c not in classes}
-        if unknown:
-            raise UnknownLabelError(f"labels outside the vocabulary: {unknown}")
-        quotas = {c: q for c, q in class_quotas(counts, test_fraction).items() if q > 0}
-        if not quotas:
-            return df.where(F.col(label).isNotNull()).withColumn(out_col, F.lit(False))
-        cuts, left = _cut_points(work, c1, label, quotas)
-    finally:
-        c1.unpersist()
+    c1 = _bucket_counts(work, label)
+    counts = _class_counts(c1, label)
+    unknown = {c: n for c, n in counts.items() if classes is not None and c not in classes}
+    if unknown:
+        raise UnknownLabelError(f"labels outside the vocabulary: {unknown}")
+    quotas = {(c, 0): q for c, q in class_quotas(counts, test_fraction).items() if q > 0}
+    if not quotas:
+        return df.where(F.col(label).isNotNull()).withColumn(out_col, F.lit(False))
+    found, rest = _cut_points(work, c1, label, quotas)
+    cuts, left = {c: r for (c, _), r in found.items()}, {c: n for (c, _), n in rest.items()}
 
     is_test, straddles = F.lit(False), F.lit(False)
     for c, r in cuts.items():

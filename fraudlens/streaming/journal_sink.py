@@ -126,7 +126,8 @@ def record_ids(fresh: DataFrame, ledger: str, stream: str, number: int, blocks:
     """Enter a batch's rows in the ledger."""
     ids = fresh.where(F.col("operation_id").isNotNull()).select(day_of(F.col("tx_ts")).alias("day"), "operation_id")
     for name, table in (("ids", ids), ("filters", bloom_rows(ids, blocks))):
-        table.write.mode("overwrite").partitionBy("day").parquet(f"{ledger}/{name}/stream={stream}/batch={number}")
+        # a file a day, but several for a large one
+        table.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{ledger}/{name}/stream={stream}/batch={number}")
 
 
 # ---- running counts -------------------------------------------------------------------------------------------

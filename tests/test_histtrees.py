@@ -220,18 +220,18 @@ def test_whole_grids_and_artefacts(spark, tmp_path):
     # a point's value by fits of its own
     i = points.index({"max_depth": 5, "min_samples_split": 40, "min_samples_leaf": 6})
     bins = ht.fit_bins(folded, COLUMNS)
-    total = 0.0
+    w, total = np.array(ht.class_weights(folded)), 0.0
+    folds = {r.operation_id: r.fold for r in folded.select("operation_id", "fold").collect()}
     for fold in range(3):
         x, y = codes(bins, [r for r in data]), np.array([r[5] for r in data])
-        folds = {r.operation_id: r.fold for r in folded.select("operation_id", "fold").collect()}
         inside = np.array([folds[r[0]] != fold for r in data])
-        tree = brute_tree(x[inside], y[inside], np.array(ht.class_weights(folded)), 0, ht.TreeParams(5, 40, 6))
+        tree = brute_tree(x[inside], y[inside], w, 0, ht.TreeParams(5, 40, 6))
         hit = {c: [] for c in range(3)}
         for code, label in zip(x[~inside], y[~inside]):
             path = ""
             while tree[path][0] >= 0:
                 path += "0" if code[tree[path][0]] <= tree[path][1] else "1"
-            hit[label].append(int(np.argmax(np.array(tree[path][2]) * ht.class_weights(folded)) == label))
+            hit[label].append(int(np.argmax(np.array(tree[path][2]) * w) == label))
         total += np.mean([np.mean(v) for v in hit.values() if v])
     assert recalls[i] == pytest.approx(total / 3)
     fp, fr = ht.search_trees(folded, COLUMNS, {"n_estimators": [2, 5], "max_depth": [None, 3], "min_samples_split": [2]},
