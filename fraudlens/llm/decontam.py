@@ -11,11 +11,10 @@ end sooner; a shift of zero selects the *suffix bucket* of the windows that end
 in this block; each of them is compared word by word. A document of n words
 without benchmark text costs about n / (window - 1) table look-ups.
 
-Defined results: null and empty texts have no words and no hits; items without
-words (null included) occur nowhere; repeated items count once per item id;
-repeated documents each get their row; a null item id is written as an empty
-string; an empty benchmark leaves every document clean. Columns the operator
-adds live in one struct column, so clashing names of other columns do no harm.
+Defined results: texts have no length limit; null and empty texts have no words and no hits; items without words (null
+included) occur nowhere; repeated items count once per item id; repeated documents each get their row; a null item id
+is written as an empty string; an empty benchmark leaves every document clean. Columns the operator adds live in one
+struct column, so clashing names of other columns do no harm.
 """
 
 from __future__ import annotations

@@ -17,10 +17,9 @@
    in an article: articles of one host quote and repeat each other. What neighbours
    do not share but the markup places in menus, footers, adverts etc. goes as well.
 
-Defined results: a null or empty html has the empty text; pages without a host
-(null urls included) have no neighbour, and pages without lines are none; a host of
-copies only keeps its undecided lines; equal rows are one page for the pairing and each
-get a row; an empty table gives no rows; only the named columns are read.
+Defined results: pages have no length limit; a null or empty html has the empty text; pages without a host (null urls
+included) have no neighbour, and pages without lines are none; a host of copies only keeps its undecided lines; equal
+rows are one page for the pairing and each get a row; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations

@@ -23,10 +23,9 @@ DataFrame functions only; no Python runs on the executors.
 
 Everything follows from hashes of the data and the seed; reruns agree.
 
-Defined results: null and empty texts have size zero and take nothing; a null
-source is a source; a source without words has target zero; rows with the same
-doc_id are different rows; an empty table gives no rows; columns other than the
-named ones are carried along by :func:`mixed_documents`, whatever their names.
+Defined results: texts have no length limit; null and empty texts have size zero and take nothing; a null source is a
+source; a source without words has target zero; rows with the same doc_id are different rows; an empty table gives no
+rows; columns other than the named ones are carried along by :func:`mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations

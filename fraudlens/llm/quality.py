@@ -8,10 +8,9 @@ A host whose shrunk rate exceeds ``max_rate`` is *strict*: its documents with a
 soft failure go. Elsewhere a soft failure alone is tolerated, and a document
 without failures is kept whatever its host.
 
-Defined results: null and empty texts have no words and fail (``n_words < 10``);
-a null host is a host of its own; repeated rows count as often as they occur;
-an empty table gives an empty result. What the operator adds is one struct
-column under a free name, so other columns may have any name.
+Defined results: texts have no length limit; null and empty texts have no words and fail (``n_words < 10``); a null
+host is a host of its own; repeated rows count as often as they occur; an empty table gives an empty result. What the
+operator adds is one struct column under a free name, so other columns may have any name.
 """
 
 from __future__ import annotations

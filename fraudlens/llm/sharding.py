@@ -8,8 +8,8 @@ byte line is cut into ``shards`` equal parts, and a row belongs to the part that
 holds its middle byte: shards are contiguous, and differ from the target by less
 than the largest row.
 
-Defined results: a null text has no bytes (a row still counts one); null doc_ids
-come first; repeated rows stand next to each other and may be cut apart;
+Defined results: texts have no length limit; other columns, whatever their names, are not read; a null text has no
+bytes (a row still counts one); null doc_ids come first; repeated rows stand next to each other and may be cut apart;
 an empty table gives no rows. Only the id, size and checksum of a row are moved.
 """
 

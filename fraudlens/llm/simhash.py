@@ -22,10 +22,9 @@
 Every fingerprint is indexed and every pair within the distance is found: the
 sample only shapes the tree.
 
-Defined results: null and empty texts have fingerprint zero and link like any
-other; rows with a null doc_id take part, and a component id is the smallest
-non-null doc_id of its rows (null if there is none); repeated rows share a
-fingerprint; an empty table gives an empty result.
+Defined results: texts have no length limit; columns may have any names; null and empty texts have fingerprint zero
+and link like any other; rows with a null doc_id take part, and a component id is the smallest non-null doc_id of its
+rows (null if there is none); repeated rows share a fingerprint; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,9 +6,9 @@ answer, for each limit: how many documents are longer, how many tokens there are
 in all, how many remain when documents are truncated to the limit, and which
 length is a quantile.
 
-Defined results: null and empty texts have length zero (and count as documents);
-repeated documents count as often as they occur; an empty table has an empty
-histogram. Lengths do not include an end id.
+Defined results: texts have no length limit; other columns, whatever their names, are not read; null and empty texts
+have length zero (and count as documents); repeated documents count as often as they occur; an empty table has an
+empty histogram. Lengths do not include an end id.
 """
 
 from __future__ import annotations

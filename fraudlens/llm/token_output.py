@@ -18,10 +18,9 @@ partition writes one file; a file appears only when complete. The manifest
 (file, documents, tokens) is written as a table; its running sum, one row a
 file, gives each file's first token number.
 
-Defined results: null and empty texts are a document of the end id alone; null
-doc_ids come last; repeated doc_ids stand next to each other, ordered by text
-hash; an empty table gives no rows. The text column alone is encoded; other
-columns are not read.
+Defined results: texts have no length limit; null and empty texts are a document of the end id alone; null doc_ids
+come last; repeated doc_ids stand next to each other, ordered by text hash; an empty table gives no rows. The text
+column alone is encoded; other columns are not read.
 """
 
 from __future__ import annotations

@@ -15,10 +15,10 @@ join back splits it.
 Each partition writes archives of at most ``ARCHIVE_BYTES`` of records; a file
 appears only when complete, and the manifest of files is written as a table.
 
-Defined results: a null html is an empty payload; a null url leaves the target
-URI out; null page ids never lead a group unless all are null, and then all of
-the group are responses; repeated rows with the largest page id of their group
-are all responses; an empty table writes nothing and returns no rows.
+Defined results: payloads have no length limit; other columns, whatever their names, are not read; a null html is an
+empty payload; a null url leaves the target URI out; null page ids never lead a group unless all are null, and then
+all of the group are responses; repeated rows with the largest page id of their group are all responses; an empty
+table writes nothing and returns no rows.
 """
 
 from __future__ import annotations
