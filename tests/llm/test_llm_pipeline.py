@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_stage_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontaminate", "mix", "token_files"]
     names = [k for k in entry.queries() if k.startswith("op") or k == "pipeline"]
-    assert names[0] == "pipeline" and [int(k[2:].split("_")[0]) for k in names[1:]] == list(range(1, 11))
+    assert names[0] == "pipeline" and [int(k[2:].split("_")[0]) for k in names[1:]] == list(range(1, 14))
 
 
 def test_filters_equal_brute_force(spark, tmp_path):
