@@ -9,7 +9,9 @@ DataFrame functions only; no Python runs on the executors.
    of ``block`` words; the last block of a source may be shorter. A document's
    place in its stream comes from sums per (source, hash bucket) and a running
    sum inside a bucket; there are about as many buckets as rows in one, the square
-   root of the rows, so a source that holds most rows is in no task whole.
+   root of the rows, so a source that holds most rows is in no task whole. Equal rows
+   of a scan task count as one entry up to here and are unfolded, spread by entry,
+   once their places are known: a row that makes up half the table fills no bucket.
 3. *Drawing.* A source gets as many slots as its target needs. Every output shard
    of ``shard_blocks`` slots draws its source counts: each slot draws a source with
    probability proportional to its slots (a multinomial draw per shard). What a
@@ -86,17 +88,28 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 # ---- 2. packing -----------------------------------------------------------------------------------------------
 
+def bucketed(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Entries with their bucket. It follows from the row and the number of rows alone, not from the scan's tasks."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(max(1, isqrt(n_rows)))).cast("int"))
+
+
 def placed(rows: DataFrame, n_rows: int) -> DataFrame:
-    """``rows`` (rank, doc, row, size, ...) with ``start``, the words before it in its source."""
-    buckets = max(1, isqrt(n_rows))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    """Entries (rank, doc, row, part, size, copies, ...) as one row a copy, with ``copy``, its number in the entry, and
+    ``start``, the words before it in its source. Entries of equal rows stand together, so which of them a
+    copy belongs to changes nothing."""
+    rows, words = bucketed(rows, n_rows), F.col("size") * F.col("copies")
     ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words")).select(
+    sums = rows.groupBy("rank", "bucket").agg(F.sum(words).alias("words")).select(
         "rank", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0).cast("long")).alias("offset"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("doc", "row").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))) \
+    inside = Window.partitionBy("rank", "bucket").orderBy("doc", "row", "part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    entries = rows.withColumn("inside", F.coalesce(F.sum(words).over(inside), F.lit(0).cast("long"))) \
         .join(sums, ["rank", "bucket"]).withColumn("start", F.col("offset") + F.col("inside")) \
         .drop("bucket", "offset", "inside")
+    # an entry has at most the rows of one scan task; spread before they are unfolded
+    return entries.repartition("row", "part") \
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))) \
+        .withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("copies")
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -202,10 +215,12 @@ def slots(q: DataFrame, total: int, block: int = BLOCK, shard_blocks: int = SHAR
 # ---- 5. the mix -----------------------------------------------------------------------------------------------
 
 def sizes(docs: DataFrame, text_col: str, source_col: str, id_col: str) -> DataFrame:
-    """(source, doc, size, row, number): a row's hash and a number of its own, written once."""
+    """Entries (source, doc, size, row, part, copies): a row's hash, the scan task that read it and how many
+    equal rows that task read, written once."""
     return staged(docs.select(
         F.col(source_col).alias("source"), F.col(id_col).alias("doc"), word_count(text_col).alias("size"),
-        row_hash(docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "sizes")
+        row_hash(docs.columns).alias("row"), F.spark_partition_id().alias("part"))
+        .groupBy("source", "doc", "size", "row", "part").agg(F.count(F.lit(1)).alias("copies")), "sizes")
 
 
 def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS,
@@ -213,18 +228,23 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED, shard_blocks: int
     """(pieces, slots) of a table of :func:`sizes`: what each block holds, with the
     source's size and target, and which blocks the mix takes, where. They meet on
     (rank, block)."""
-    t = staged(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **options), "targets")
+    per_source = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
+    t = staged(targets(per_source, **options), "targets")
     q = staged(quotas(t, block, seed), "quotas")
     total = q.agg(F.sum("slots").alias("n")).first()["n"] or 0
     of = t.select(F.struct("source").alias("s"), "rank", "source_size", "target")
     named = rows.withColumn("s", F.struct("source")).join(of, "s").drop("s", "source")
-    held = pieces(placed(named, rows.count()), block)
+    held = pieces(placed(named, n_rows(rows)), block)
     if total == 0:
         return held, q.limit(0).select("rank", *[F.lit(0).cast("long").alias(c) for c in (
             "shard", "slot", "block", "epoch", "words")])
     return held, slots(q, total, block, shard_blocks, seed)
 
 
+def n_rows(entries: DataFrame) -> int:
+    return entries.agg(F.sum("copies").alias("n")).first()["n"] or 0
+
+
 def overlap(words: Column) -> Column:
     """Words of a piece that a slot of so many words takes."""
     return F.greatest(F.least(F.col("high"), words) - F.col("low"), F.lit(0).cast("long"))
@@ -238,7 +258,7 @@ def report(docs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     taken = F.coalesce(F.aggregate("uses", zero, lambda a, w: a + overlap(w)), zero)
     return held.join(uses, ["rank", "block"], "left").withColumn("taken", taken) \
-        .groupBy("number", "doc", "size", "source_size", "target").agg(F.sum("taken").alias("taken")) \
+        .groupBy("row", "part", "copy", "doc", "size", "source_size", "target").agg(F.sum("taken").alias("taken")) \
         .select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
@@ -255,11 +275,11 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     held, drawn_slots = mix(rows, **options)
     n = overlap(F.col("words"))
     takes = staged(held.filter("block IS NOT NULL").join(drawn_slots, ["rank", "block"])
-                   .select("number", "row", "epoch", "at", n.alias("n")).filter("n > 0")
-                   .groupBy("number", "row", "epoch").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias(spans))
+                   .select("row", "part", "copy", "epoch", "at", n.alias("n")).filter("n > 0")
+                   .groupBy("row", "part", "copy", "epoch").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias(spans))
                    .select(F.col("row").alias(key), spans), "takes")
     texts = docs.withColumn(key, row_hash(cols))
-    if rows.count() > rows.select("row").distinct().count():
+    if n_rows(rows) > rows.select("row").distinct().count():
         texts = texts.dropDuplicates([key])  # equal rows: one text, a row of ``takes`` for each
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
     # the words as a lambda's argument: split once a text, not once a span

@@ -69,6 +69,23 @@ def test_slots_are_permutations_and_shards_are_full(spark):
     assert all(n == 16 for (rank, b), n in held_words.items() if b != last[rank])
 
 
+def test_a_row_that_most_rows_equal_fills_no_bucket(spark):
+    from pyspark.sql import functions as F
+    n = 4000
+    rows = [(i, f"row {i} has some words of its own", "en", "hot", 1) for i in range(n // 4)]
+    rows += [(9, "the same seven words over and over", "en", "hot", 1)] * (n - len(rows))
+    df = docs(spark, rows).repartition(8)
+    entries = mixing.sizes(df.select("doc_id", "text", "source"), "text", "source", "doc_id")
+    assert mixing.n_rows(entries) == n and entries.count() <= n // 4 + 8
+    largest = mixing.bucketed(entries, n).groupBy("source", "bucket").count().agg(F.max("count")).first()[0]
+    assert largest < 4 * n ** 0.5
+    got = Counter(map(tuple, mixing.report(df).collect()))
+    assert sum(got.values()) == n and sum(k[4] * v for k, v in got.items()) == round(1.5 * (8 * n // 4 + 7 * 3 * n // 4))
+    assert got == Counter(map(tuple, mixing.report(df.coalesce(2)).collect()))
+    out = Counter(r.doc_id for r in mixing.mixed_documents(df, block=16, shard_blocks=64).select("doc_id").collect())
+    assert out[9] >= 3 * n // 4
+
+
 def test_multinomial_draw_follows_the_weights(spark):
     q = spark.createDataFrame([("a", 0, 1, 500, 6000, 64), ("b", 1, 2, 500, 3000, 64), ("c", 2, 3, 500, 1000, 64)],
                               "source string, rank int, key long, blocks long, slots long, last_words long")
