@@ -1,16 +1,21 @@
 """Quality rules of documents and of their hosts.
 
 Every document is measured and judged by hard rules (``base_failed``) and by
-soft rules. Soft failures are aggregated by host; the host's failure rate is
-shrunk towards the corpus by a beta prior that is fitted to all hosts (method
-of moments), so that a host with few documents is not condemned by one of them.
-A host whose shrunk rate exceeds ``max_rate`` is *strict*: its documents with a
-soft failure go. Elsewhere a soft failure alone is tolerated, and a document
-without failures is kept whatever its host.
+soft rules, each a share or a mean with a limit. Soft failures are aggregated by
+host; the host's failure rate is shrunk towards the corpus by a beta prior that is
+fitted to all hosts (method of moments), so that a host with few documents is not
+condemned by one of them.
+
+The shrunk rate p sets how far past a limit the host's documents may be: by a factor
+of ``1 + headroom * (1 - p)``. In a host where everything fails no excess is
+tolerated; in a host without failures a document may be twice past a rule
+(``headroom`` 1), and what is further past it goes in any host. A document without
+failures is kept whatever its host.
 
 Defined results: texts have no length limit; null and empty texts have no words and fail (``n_words < 10``); a null
-host is a host of its own; repeated rows count as often as they occur; an empty table gives an empty result. What the
-operator adds is one struct column under a free name, so other columns may have any name.
+host is a host of its own; a document just at its host's factor stays; repeated rows count as often as they occur; an
+empty table gives an empty result. What the operator adds is one struct column under a free name, so other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from pyspark.sql import types as T
 
 from fraudlens.llm.common import WORD, bounded_batches, free_name, staged
 
-#: Largest shrunk failure rate of a host whose soft failures are tolerated.
-MAX_RATE = 0.3
+#: How far past a limit, as a part of it, a document of a host without any failure may be.
+HEADROOM = 1.0
 #: Bounds of the prior's weight in documents: at least one, and at most what hosts without any spread give.
 PRIOR_WEIGHT = (1.0, 1000.0)
 #: Hosts up to which their table is broadcast; beyond, the planner shuffles both sides.
@@ -79,12 +84,17 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
+def past_rules(m: Column, factor: Column | float = 1.0) -> Column:
+    """Further past a rule than ``factor`` times its limit: many symbols (a tenth of the words' characters), many
+    repeated lines (three tenths), words of an implausible mean length (under 2, over 20)."""
+    f = F.lit(factor) if isinstance(factor, float) else factor
+    return ((100 * m["n_symbols"] > f * (10 * m["word_chars"])) | (100 * m["n_dup_lines"] > f * (30 * m["n_lines"]))
+            | (2 * m["n_words"] > f * m["word_chars"]) | (m["word_chars"] > f * (20 * m["n_words"])))
+
+
 def soft_failed(m: Column) -> Column:
-    """Base failures, and texts with many symbols, many repeated lines, or words
-    of an implausible mean length."""
-    return (base_failed(m) | (100 * m["n_symbols"] > 10 * m["word_chars"])
-            | (100 * m["n_dup_lines"] > 30 * m["n_lines"])
-            | (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"]))
+    """Base failures, and texts past a soft rule."""
+    return base_failed(m) | past_rules(m)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -104,20 +114,20 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
-def host_verdicts(judged: DataFrame, host: str, failed: str, max_rate: float = MAX_RATE) -> DataFrame:
-    """Per host: documents, failures, shrunk rate and verdict. Counts are
+def host_verdicts(judged: DataFrame, host: str, failed: str, headroom: float = HEADROOM) -> DataFrame:
+    """Per host: documents, failures, shrunk rate and the factor that its documents may be past a limit. Counts are
     pre-aggregated in every task, so a host with most rows costs a row a task."""
     hosts = staged(judged.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("failed")), "hosts")
     alpha, beta = beta_prior(hosts)
     rate = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return hosts.withColumn("rate", rate).withColumn("strict", rate > max_rate)
+    return hosts.withColumn("rate", rate).withColumn("factor", 1 + headroom * (1 - F.col("rate")))
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE,
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", headroom: float = HEADROOM,
           result: str = "quality") -> DataFrame:
     """``docs`` with a struct column ``result``: the metrics, base_failed,
-    soft_failed, host_strict and kept. Texts are read twice (once for the hosts)
+    soft_failed, host_rejected and kept. Texts are read twice (once for the hosts)
     and never shuffled."""
     bounded_batches(docs.sparkSession)
 
@@ -126,22 +136,23 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", max
 
     slim = measured(docs.select(text_col, host_col) if text_col != host_col else docs.select(text_col))
     hosts = host_verdicts(slim.select(F.col(host_col).alias("host"), soft_failed(F.col(result)).alias("failed")),
-                          "host", "failed", max_rate)
+                          "host", "failed", headroom)
     return _with_verdicts(measured(docs), hosts, host_col, result)
 
 
 def _with_verdicts(measured: DataFrame, hosts: DataFrame, host_col: str, result: str) -> DataFrame:
-    mark = free_name(measured, "strict_host")
-    strict = hosts.filter("strict").select(F.struct("host").alias(mark))
-    if strict.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS:
-        strict = F.broadcast(strict)
-    m, is_strict = F.col(result), F.col(mark).isNotNull()
+    mark = free_name(measured, "host_verdict")
+    verdicts = hosts.select(F.struct(F.struct("host").alias("key"), "factor").alias(mark))
+    if hosts.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS:
+        verdicts = F.broadcast(verdicts)
+    m = F.col(result)
     # the host inside a struct: a null host is a value like any other
-    joined = measured.join(strict, F.struct(F.col(host_col).alias("host")).eqNullSafe(F.col(mark)), "left")
+    joined = measured.join(verdicts, F.struct(F.col(host_col).alias("host")) == F.col(mark)["key"], "left")
+    rejected = ~base_failed(m) & past_rules(m, F.col(mark)["factor"])
     return joined.withColumn(result, F.struct(
         *[m[n].alias(n) for n in _METRICS.fieldNames()], base_failed(m).alias("base_failed"),
-        soft_failed(m).alias("soft_failed"), is_strict.alias("host_strict"),
-        (~base_failed(m) & ~(is_strict & soft_failed(m))).alias("kept"))).drop(mark)
+        soft_failed(m).alias("soft_failed"), rejected.alias("host_rejected"),
+        (~base_failed(m) & ~rejected).alias("kept"))).drop(mark)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
@@ -160,7 +171,7 @@ def report(docs: DataFrame) -> DataFrame:
     q = _with_verdicts(measured, hosts, "source", "quality")
     return q.select("doc_id", *[F.col("quality")[n].alias(n) for n in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_lines", "soft_failed", "host_strict")])
+        "n_lines", "soft_failed", "host_rejected")])
 
 
 #: The rows of :func:`report` over ``documents``, in DuckDB's SQL.
@@ -191,8 +202,12 @@ a AS (SELECT sum(f) / sum(n) AS mean, sum(f) / sum(n) * (1 - sum(f) / sum(n)) AS
              - sum(f) / sum(n) * (1 - sum(f) / sum(n)) * count(*) / sum(n) AS between_hosts FROM h),
 k AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(1000.0, greatest(1.0, noise / between_hosts - 1))
                         ELSE 1000.0 END AS weight FROM a),
-v AS (SELECT source, (f + mean * weight) / (n + weight) > 0.3 AS host_strict FROM h, k)
+v AS (SELECT source, 1 + 1.0::DOUBLE * (1 - (f + mean * weight) / (n + weight)) AS factor FROM h, k),
+j AS (SELECT s.*, NOT base_failed AND (100 * n_symbols > factor * (10 * word_chars)
+             OR 100 * n_dup_lines > factor * (30 * n_lines) OR 2 * n_words > factor * word_chars
+             OR word_chars > factor * (20 * n_words)) AS host_rejected
+      FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (host_strict AND soft_failed) AS kept, n_lines, soft_failed, host_strict
-FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source
+       NOT base_failed AND NOT host_rejected AS kept, n_lines, soft_failed, host_rejected
+FROM j
 """

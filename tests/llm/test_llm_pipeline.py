@@ -4,11 +4,12 @@ from collections import Counter
 import duckdb
 import numpy as np
 from llm_data import awkward_rows, clashing, docs
+from test_llm_quality import brute_kept
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from fraudlens.llm import decontam, quality, simhash
+from fraudlens.llm import decontam, simhash
 from fraudlens.llm.tokenize import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -26,12 +27,7 @@ def test_filters_equal_brute_force(spark, tmp_path):
     bench = duckdb.sql(f"SELECT CAST(item_id AS VARCHAR), text FROM '{SF}/benchmark.parquet'").fetchall()
     df = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, df, SF)
-    strict = {r.doc_id for r in quality.report(df).filter("host_strict AND soft_failed").collect()}
-    good = []
-    for r in rows:
-        m = quality.metrics_of(r[1])
-        if not (m[0] < 10 or 100 * m[5] > 20 * m[0]) and r[0] not in strict:
-            good.append(r)
+    good = [r for r, k in zip(rows, brute_kept(rows)) if k]
     assert sorted(map(tuple, kept.collect())) == sorted(good)
 
     unique = corpus_pipeline.near_dedup(spark, kept, SF)
