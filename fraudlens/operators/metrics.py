@@ -81,19 +81,53 @@ def classification_report(df: DataFrame, actual: str = "target", predicted: str
     return out.select("label", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1_score", "support")])
 
 
-def model_metrics(df: DataFrame, actual: str = "target", predicted: str = "predicted_status") -> DataFrame:
-    """accuracy, macro precision / recall / F1 and fraud recall, one row."""
-    cc = confusion_counts(df, actual, predicted)
+def _model_metric_columns() -> list[Column]:
+    """The five comparison metrics of a confusion_counts row."""
     pc = _per_class_exprs()
     k = len(LABEL_ORDER)
     total = sum((pc[c][3] for c in LABEL_ORDER), F.lit(0))
     correct = sum((F.col(_key(c, c)) for c in LABEL_ORDER), F.lit(0))
-    return cc.select(
+    return [
         r6(F.coalesce(F.try_divide(correct.cast("double"), total.cast("double")), F.lit(0.0))).alias("accuracy"),
         r6(sum((pc[c][0] for c in LABEL_ORDER), F.lit(0.0)) / k).alias("precision_macro"),
         r6(sum((pc[c][1] for c in LABEL_ORDER), F.lit(0.0)) / k).alias("recall_macro"),
         r6(sum((pc[c][2] for c in LABEL_ORDER), F.lit(0.0)) / k).alias("f1_macro"),
-        r6(pc[FRAUD][1]).alias("recall_fraude"))
+        r6(pc[FRAUD][1]).alias("recall_fraude")]
+
+
+def model_metrics(df: DataFrame, actual: str = "target", predicted: str = "predicted_status") -> DataFrame:
+    """accuracy, macro precision / recall / F1 and fraud recall, one row."""
+    return confusion_counts(df, actual, predicted).select(*_model_metric_columns())
+
+
+def compare_verdicts(df: DataFrame, candidates: dict[str, Column], actual: str = "target") -> DataFrame:
+    """The comparison table (model, fit_order, metrics) of verdict columns over the
+    same rows, named in fit order. One scan: a row becomes one small pair per
+    candidate, and partial aggregation leaves a row a candidate and task."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("fit_order"), c.alias("verdict"))
+                      for i, (n, c) in enumerate(candidates.items())])
+    each = df.select(F.col(actual).alias("actual"), F.explode(pairs).alias("x")).select("actual", "x.*")
+    return confusion_counts(each.groupBy("model", "fit_order"), "actual", "verdict").select(
+        "model", "fit_order", *_model_metric_columns())
+
+
+COMPARISON_METRICS = ["accuracy", "precision_macro", "recall_macro", "f1_macro", "recall_fraude"]
+#: Metrics are compared at this precision, so near-ties keep the fit order.
+RANK_DECIMALS = 4
+
+
+def comparison_view(table: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """A comparison table as it is shown: ranked by fraud recall at four decimals
+    (ties keep fit order), metrics also in percent at one decimal (half up), and how
+    many models were compared. ``models`` chooses rows (none or empty: all); ranks and
+    the number of models are those of the whole table, which has one row a model."""
+    w = Window.orderBy(F.round("recall_fraude", RANK_DECIMALS).desc(), F.asc("fit_order"))
+    whole = Window.partitionBy(F.lit(0))
+    shown = table.withColumn("rang", F.row_number().over(w)) \
+        .withColumn("n_modeles", F.count(F.lit(1)).over(whole)) \
+        .withColumns({f"{m}_pct": F.round((F.col(m) * 100).cast("decimal(12,4)"), 1).cast("double")
+                      for m in COMPARISON_METRICS})
+    return shown.where(F.col("model").isin(models)) if models else shown
 
 
 # --------------------------------------------------------------------------- binary, threshold based

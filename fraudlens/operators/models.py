@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from fraudlens.functions.scores import verdict
 from fraudlens.operators import histtrees as ht
 from fraudlens.operators.features import Vocabulary, enrich, feature_matrix, label_index
+from fraudlens.operators.metrics import RANK_DECIMALS
 from fraudlens.operators.split import stratified_folds, stratified_split, with_class_weights
 from fraudlens.schema import LABEL_ORDER
 from fraudlens.session import written_once
@@ -189,10 +190,6 @@ def evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
     return model_metrics(class_probabilities(model, test), "target", "prediction_status")
 
 
-#: Metrics are compared at this precision, so near-ties keep the fit order.
-RANK_DECIMALS = 4
-
-
 def compare_models(data: TrainingData, names: list[str] | None = None, params: dict | None = None,
                    keep_models: bool = False) -> tuple[DataFrame, dict]:
     """Fit every model with balanced weights and rank them by fraud recall at

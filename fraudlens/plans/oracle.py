@@ -444,6 +444,35 @@ SELECT round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy, round(avg(p
        round(avg(r), 6) AS recall_macro, round(avg(f), 6) AS f1_macro,
        round(max(CASE WHEN label = 'Fraude' THEN r END), 6) AS recall_fraude FROM pcf""", _PRED + "," + _PER_CLASS))
 
+_COMPARISON = """
+rules AS (SELECT * FROM (VALUES (0, 'seuil_0.2', 0.2), (1, 'seuil_0.35', 0.35), (2, 'seuil_0.5', 0.5),
+                                (3, 'seuil_0.65', 0.65), (4, 'seuil_0.8', 0.8)) r(fit_order, model, seuil)),
+judged AS (SELECT model, fit_order, target, CASE WHEN p_fraud >= CAST(seuil AS DOUBLE) THEN 'Fraude'
+                  WHEN p_normal >= p_suspect THEN 'Normal' ELSE 'Suspect' END AS v FROM scored CROSS JOIN rules),
+cell AS (SELECT model, fit_order, target, v, count(*) AS n FROM judged
+         WHERE target IN ('Fraude', 'Normal', 'Suspect') GROUP BY ALL),
+per AS (SELECT model, fit_order, c.c AS label, coalesce(sum(n) FILTER (WHERE target = c.c AND v = c.c), 0) AS tp,
+               coalesce(sum(n) FILTER (WHERE target = c.c), 0) AS support,
+               coalesce(sum(n) FILTER (WHERE v = c.c), 0) AS npred
+        FROM cell CROSS JOIN (VALUES ('Fraude'), ('Normal'), ('Suspect')) c(c) GROUP BY model, fit_order, c.c),
+pr AS (SELECT *, CASE WHEN npred > 0 THEN CAST(tp AS DOUBLE) / npred ELSE 0 END AS p,
+              CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS r FROM per),
+met AS (SELECT model, fit_order, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy,
+               round(avg(p), 6) AS precision_macro, round(avg(r), 6) AS recall_macro,
+               round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1_macro,
+               round(max(CASE WHEN label = 'Fraude' THEN r END), 6) AS recall_fraude FROM pr GROUP BY model, fit_order),
+shown AS (SELECT *, CAST(row_number() OVER (ORDER BY round(recall_fraude, 4) DESC, fit_order) AS INTEGER) AS rang,
+                 CAST(count(*) OVER () AS BIGINT) AS n_modeles,
+                 CAST(round(CAST(accuracy * 100 AS DECIMAL(12,4)), 1) AS DOUBLE) AS accuracy_pct,
+                 CAST(round(CAST(precision_macro * 100 AS DECIMAL(12,4)), 1) AS DOUBLE) AS precision_macro_pct,
+                 CAST(round(CAST(recall_macro * 100 AS DECIMAL(12,4)), 1) AS DOUBLE) AS recall_macro_pct,
+                 CAST(round(CAST(f1_macro * 100 AS DECIMAL(12,4)), 1) AS DOUBLE) AS f1_macro_pct,
+                 CAST(round(CAST(recall_fraude * 100 AS DECIMAL(12,4)), 1) AS DOUBLE) AS recall_fraude_pct FROM met)"""
+
+_reg("comparison_all", with_tx("SELECT * FROM shown", _COMPARISON))
+
+_reg("comparison_subset", with_tx("SELECT * FROM shown WHERE model IN ('seuil_0.35', 'seuil_0.8')", _COMPARISON))
+
 _BIN = """
 bin AS (SELECT count(*) FILTER (WHERE target = 'Fraude' AND p_fraud >= 0.5) AS tp,
                count(*) FILTER (WHERE target IS DISTINCT FROM 'Fraude' AND p_fraud >= 0.5) AS fp,

@@ -334,6 +334,23 @@ def q_model_metrics(spark, sf_dir):
     return mt.model_metrics(_predicted(spark, sf_dir))
 
 
+def _verdicts_at(*thresholds: float) -> dict:
+    return {f"seuil_{t}": verdict(F.col("p_fraud"), F.col("p_normal"), F.col("p_suspect"), t) for t in thresholds}
+
+
+@query("comparison_all")
+def q_comparison_all(spark, sf_dir):
+    """Verdicts at five thresholds compared like models; no subset chosen shows them all."""
+    return mt.comparison_view(mt.compare_verdicts(_scored(spark, sf_dir), _verdicts_at(0.2, 0.35, 0.5, 0.65, 0.8)), [])
+
+
+@query("comparison_subset")
+def q_comparison_subset(spark, sf_dir):
+    """The same comparison with two of the candidates chosen."""
+    table = mt.compare_verdicts(_scored(spark, sf_dir), _verdicts_at(0.2, 0.35, 0.5, 0.65, 0.8))
+    return mt.comparison_view(table, ["seuil_0.35", "seuil_0.8"])
+
+
 @query("threshold_metrics")
 def q_threshold_metrics(spark, sf_dir):
     return mt.threshold_metrics(_scored(spark, sf_dir), THRESHOLD)
@@ -695,7 +712,8 @@ def q_tree_grid_search(spark, sf_dir):
 
 @query("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    from fraudlens.operators.models import MODEL_NAMES, RANK_DECIMALS
+    """The four models, ranked; metrics also in percent, with the number of models."""
+    from fraudlens.operators.models import MODEL_NAMES
     parts = []
     for order, name in enumerate(MODEL_NAMES):
         m = mt.model_metrics(_predictions_table(spark, sf_dir, name), "target", "prediction_status")
@@ -703,9 +721,7 @@ def q_model_comparison(spark, sf_dir):
     table = parts[0]
     for p in parts[1:]:
         table = table.unionByName(p)
-    from pyspark.sql import Window
-    w = Window.orderBy(F.round("recall_fraude", RANK_DECIMALS).desc(), F.asc("fit_order"))  # 4 rows
-    return table.withColumn("rang", F.row_number().over(w))
+    return mt.comparison_view(table)
 
 
 @query("grid_search")
