@@ -8,8 +8,9 @@ The search runs over words, not characters. All windows of one length share a
 table set: the *shift table* says, for a block of two words (one word where
 the windows are that short), how far the search may jump because no window can
 end sooner; a shift of zero selects the *suffix bucket* of the windows that end
-in this block; each of them is compared word by word. A document of n words
-without benchmark text costs about n / (window - 1) table look-ups.
+in this block; those of the bucket that may be equal are compared with the text.
+A document of n words without benchmark text costs about n / (window - 1)
+table look-ups. A worker process builds a step's tables once and keeps them.
 
 Defined results: texts have no length limit; null and empty texts have no words and no hits; items without words (null
 included) occur nowhere; repeated items count once per item id; repeated documents each get their row; a null item id
@@ -21,8 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+from array import array
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,51 +59,110 @@ _HITS = T.StructType([
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words. On UTF-8 bytes: ``bytes.lower`` changes A-Z only, and
     every byte of a non-ASCII character is 0x80 or above."""
-    return _WORDS.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
+    return _WORDS.findall(_normal(text))
+
+
+def _normal(text: str | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
 class WuManber:
-    """Shift table, suffix buckets and patterns of equal length over words."""
+    """Shift table, suffix buckets and windows of equal length, over the words of items.
+
+    The items' words lie in one byte string with a space after each; a window is the number of
+    its first word, so tables take some tens of bytes a word. Hashes only choose the shift, the
+    bucket and the place in it: occurrences are confirmed by comparing bytes. Equal windows are
+    one entry with the items that hold it."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]], length: int):
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], length: int):
         self.length = length
         self.block = min(2, length)
-        self.default = length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = {}
-        for p, items in patterns.items():
-            for end in range(self.block, length + 1):
-                block = p[end - self.block:end]
-                self.shift[block] = min(self.shift.get(block, self.default), length - end)
-            self.bucket.setdefault(p[-self.block:], {}).setdefault(p[0], []).append((p, items))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """(start, items) of every occurrence."""
+        self.names: list[str] = []
+        held, counts, word_bytes, suffixes = [], [], array("q"), array("q")
+        for name, words in items:
+            self.names.append(name)
+            held.append(b" ".join(words) + b" ")
+            counts.append(len(words))
+            word_bytes.extend(map(len, words))
+            # one suffix hash a word; the first word of a longer block ends none
+            suffixes.extend([0] * (self.block - 1))
+            suffixes.extend(hash(tuple(words[e - self.block:e])) for e in range(self.block, len(words) + 1))
+        self.text = b"".join(held)
+        del held
+        stops = np.cumsum(np.frombuffer(word_bytes, np.int64) + 1) - 1
+        begins = stops - np.frombuffer(word_bytes, np.int64)
+        self.mask = (1 << max(8, (2 * len(stops)).bit_length())) - 1
+        buckets = np.frombuffer(suffixes, np.int64) & self.mask
+        sizes = np.array(counts, np.int64)
+        # place of each word in its item: a block there ends a window, or could after so many more words
+        place = np.arange(len(stops)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        shift = np.full(self.mask + 1, min(255, length - self.block + 1), np.uint8)
+        ends_block = place >= self.block - 1
+        np.minimum.at(shift, buckets[ends_block], np.minimum(255, np.maximum(0, length - 1 - place[ends_block])).astype(np.uint8))
+        self.shift = shift.tobytes()
+        self._windows(begins, stops, buckets, np.flatnonzero(place >= length - 1), np.repeat(np.arange(len(sizes)), sizes))
+
+    def _windows(self, begins, stops, buckets, last, item) -> None:
+        """Sort windows (given by their last words) by bucket and hash, and fold equal ones."""
+        text, first = self.text, last - self.length + 1
+        at, to = begins[first], stops[last]
+        hashes = np.fromiter((hash(text[i:j]) for i, j in zip(at.tolist(), to.tolist())), np.int64, len(at))
+        order = np.lexsort((at, hashes, buckets[last]))
+        at, to, hashes, bucket, item = at[order], to[order], hashes[order], buckets[last][order], item[last][order]
+        new = np.ones(len(at), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (bucket[1:] != bucket[:-1])
+        for k in np.flatnonzero(~new).tolist():  # equal hashes: the texts decide
+            new[k] = text[at[k]:to[k]] != text[at[k - 1]:to[k - 1]]
+        one = np.flatnonzero(new)
+        self.at, self.to, self.hashes = (array("q", x[one].tobytes()) for x in (at, to, hashes))
+        self.items, self.items_from = array("q", item.tobytes()), array("q", np.append(one, len(at)).astype(np.int64).tobytes())
+        starts = np.zeros(self.mask + 2, np.int32)
+        np.cumsum(np.bincount(bucket[one], minlength=self.mask + 1), out=starts[1:])
+        self.starts = array("i", starts.tobytes())
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(start, window number) of every occurrence."""
         m, b, n = self.length, self.block, len(words)
-        shift, default = self.shift, self.default
+        shift, mask = self.shift, self.mask
         end = m
         while end <= n:
-            block = tuple(words[end - b:end])
-            jump = shift.get(block, default)
+            bucket = hash(tuple(words[end - b:end])) & mask
+            jump = shift[bucket]
             if jump:
                 end += jump
                 continue
-            start = end - m
-            for pattern, items in self.bucket.get(block, {}).get(words[start], ()):
-                if tuple(words[start:end]) == pattern:
-                    yield start, items
+            here, stop = self.starts[bucket], self.starts[bucket + 1]
+            if here < stop:
+                text = b" ".join(words[end - m:end])
+                wanted = hash(text)
+                k = bisect_left(self.hashes, wanted, here, stop)
+                while k < stop and self.hashes[k] == wanted:
+                    if self.text[self.at[k]:self.to[k]] == text:
+                        yield end - m, k
+                        break
+                    k += 1
             end += 1
 
+    def items_of(self, window: int) -> set[str]:
+        return {self.names[i] for i in self.items[self.items_from[window]:self.items_from[window + 1]]}
+
 
 def build_tables(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[WuManber]:
     """One search table for each window length that the items have."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item_id, text in items:
-        words = words_of(text)
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(words[i:i + m]), set()).add(item_id)
-    return [WuManber(p, m) for m, p in sorted(by_length.items())]
+    lengths = [min(window, sum(1 for _ in _WORDS.finditer(_normal(text)))) for _, text in items]
+    return [WuManber(((name, words_of(text)) for (name, text), n in zip(items, lengths) if n == m), m)
+            for m in sorted(set(lengths) - {0})]
+
+
+#: The tables that this worker process searched with last, by the name of their step.
+_KEPT: dict[str, list[WuManber]] = {}
+
+
+def _tables_of(step: str, items_broadcast, window: int) -> list[WuManber]:
+    if step not in _KEPT:
+        _KEPT.clear()
+        _KEPT[step] = build_tables(items_broadcast.value, window)
+    return _KEPT[step]
 
 
 def find(text: str | None, tables: list[WuManber]) -> tuple[int, list[int], set[str]]:
@@ -105,9 +170,11 @@ def find(text: str | None, tables: list[WuManber]) -> tuple[int, list[int], set[
     words = words_of(text)
     spans, found = [], set()
     for table in tables:
-        for start, items in table.search(words):
+        windows = set()
+        for start, window in table.search(words):
             spans.append((start, start + table.length))
-            found |= items
+            windows.add(window)
+        found.update(*map(table.items_of, windows))
     return len(words), merged(spans), found
 
 
@@ -124,9 +191,11 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 def _scan_udf(items_broadcast, window: int):
     """UDF (text, hits so far, items so far) -> result with this step's items added."""
 
+    step = uuid.uuid4().hex
+
     @F.pandas_udf(_RESULT)
     def scan(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        tables = build_tables(items_broadcast.value, window)
+        tables = _tables_of(step, items_broadcast, window)
         for texts, hits, seen in batches:
             rows = []
             for text, before, names in zip(texts, hits, seen):
@@ -140,18 +209,39 @@ def _scan_udf(items_broadcast, window: int):
     return scan.asNondeterministic()  # so that no filter makes the planner search a text twice
 
 
-def steps_of(benchmark: DataFrame, id_col: str, text_col: str, step_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in lists of at most ``step_bytes`` (or one longer item)."""
+def pieces(text: str | None, size: int, window: int = WINDOW) -> Iterator[str | None]:
+    """``text``, or where it is longer than ``size`` bytes its pieces of about that size. Neighbours
+    share ``window - 1`` words, so each window lies in one of them, and no piece has fewer words."""
+    if len(text or "") * 4 <= size or len(data := _normal(text)) <= size:
+        yield text
+        return
+    begins: deque[int] = deque(maxlen=window)  # of the last words
+    begin = end = n = 0  # of the piece, and its words
+    whole = True
+    for m in _WORDS.finditer(data):
+        if n >= window and m.end() - begin > size:
+            yield data[begin:end].decode("utf-8", "surrogatepass")
+            whole, n = False, window - 1
+            begin = begins[1] if window > 1 else m.start()
+        begins.append(m.start())
+        n, end = n + 1, m.end()
+    yield text if whole else data[begin:end].decode("utf-8", "surrogatepass")
+
+
+def steps_of(benchmark: DataFrame, id_col: str, text_col: str, step_bytes: int,
+             window: int = WINDOW) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark in lists of at most about ``step_bytes``; longer items in pieces."""
     held: list[tuple[str, str | None]] = []
     size = 0
     # one partition's rows at a time reach the driver; only the current step is kept
     for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        more = len((r["t"] or "").encode("utf-8", "surrogatepass")) + 64
-        if held and size + more > step_bytes:
-            yield held
-            held, size = [], 0
-        held.append((r["i"] or "", r["t"]))
-        size += more
+        for piece in pieces(r["t"], step_bytes, window):
+            more = len(_normal(piece)) + 64
+            if held and size + more > step_bytes:
+                yield held
+                held, size = [], 0
+            held.append((r["i"] or "", piece))
+            size += more
     yield held
 
 
@@ -168,7 +258,7 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    steps = steps_of(benchmark, item_id, item_text, step_bytes)
+    steps = steps_of(benchmark, item_id, item_text, step_bytes, window)
     items, path = next(steps), None
     for following in steps:
         path = path or f"{shared_folder(spark, 'hits')}/table"
