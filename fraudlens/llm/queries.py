@@ -37,5 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_host_quality": quality.ORACLE,
+    "op4_byte_shards": sharding.ORACLE,
     "op7_warc_archive": warc.ORACLE,
 }

@@ -64,3 +64,29 @@ def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return assign(docs, shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The rows of :func:`report` over ``documents``. CRC-32 goes byte by byte through its table, which the
+#: reversed polynomial 0xEDB88320 gives; rows equal in id, checksum and size may stand in any order.
+ORACLE = f"""
+WITH RECURSIVE steps(byte, c, k) AS (
+    SELECT b, b, 0 FROM range(256) r(b)
+    UNION ALL
+    SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+slim AS (
+    SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, xor(list_reduce(
+        list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+        lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+    FROM texts, crc_table),
+line AS (
+    SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before,
+        sum(size) OVER () AS total
+    FROM slim),
+cut AS (SELECT *, CAST({SHARDS} * (2 * before + size) // (2 * total) AS INTEGER) AS shard FROM line)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+    CAST(row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS BIGINT) AS slot,
+    CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""

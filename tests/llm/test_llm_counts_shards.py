@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 from llm_data import awkward_rows, clashing, docs
 from tokenizers import Tokenizer
@@ -71,3 +72,14 @@ def test_shards_are_contiguous_and_balanced(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * 38
     assert sharding.report(docs(spark, [])).collect() == []
     assert [(r.shard, r.slot) for r in sharding.report(docs(spark, [(1, None, None, None, None)])).collect()] == [(8, 0)]
+
+
+def test_shards_equal_their_sql(spark):
+    rows = [r for r in awkward_rows() if r[0] != 303] + [(7, "the same id, another text", "xx", None, None)] * 3
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    for some in ([], rows):
+        con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in some]) if some else None
+        want = con.execute(f"SELECT doc_id, size, text_crc32, law, shard, slot, grown_shard FROM ({sharding.ORACLE})")
+        got = sharding.report(clashing(docs(spark, some))).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+        assert Counter(want.fetchall()) == Counter(map(tuple, got.collect()))
