@@ -14,14 +14,16 @@ Random text over a small alphabet costs less than its length once a Huffman tabl
 pays off, so this alone would lose long keys, hexadecimal ones most of all. Other
 strings are judged in pieces of ``PIECE`` characters against what random strings of
 the same length and alphabet cost; one piece that costs as much makes the string
-``novel``. Pieces need no digits, but no piece counts whose letter pairs are mostly
-those of words, which are too short to compress by themselves.
+``novel``. Pieces need no digits, but no piece counts whose letter pairs are likelier
+in words, which are too short to compress by themselves, than in random letters. How
+often pairs follow each other in words is counted over all texts, whatever their
+languages, and over the identifiers.
 
 Defined results: null and empty texts have no spans; spans of one kind never
 overlap; what base spans cover of a string is not reported again, and what they leave
 of it, in stretches of 16 characters or more, is judged like a string; repeated
 documents each get their row. Offsets are code points, ends exclusive. Texts
-are scanned whole, one at a time; there is no shuffle.
+are scanned whole, one at a time, and not moved; without any text the identifiers alone say what words are.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ import random
 import re
 import string
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -55,15 +58,9 @@ MIN_NOVELTY = 0.95
 #: Characters judged at once, and random strings whose cheapest is their reference.
 PIECE = 32
 REFERENCES = 32
-#: Share of usual letter pairs from which a piece is made of words; random letters have about 0.3.
-WORDY = 0.6
-_USUAL_PAIRS = frozenset(
-    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le si ar ve ra ld "
-    "ur me ne ro co li io ic la el ce ch ll ho be ma ri us ut ta om pr tr em ec ac un ns ot il ss ge ad pe ol no ee "
-    "ie fi ai wi ul tu ca po mo pl ct id wa na so di ir ni su up sh ag vi ig im am ab ay ex ap op pa ke ev ck rs ts "
-    "ry ly rd rt rc sc sp gr br cl fr ue ub ow os ov oo ob od mp mi nc ef ep ff fo ga ia if ip iv ls lt nu og pi pt "
-    "qu rm rn ru tt ty um va vo we wo au av da do du ey fe gi go gn lo lu my oc rv rg sa cr cu bl bo ui uc ud ug "
-    "fa dr ks ki nf ba".split())
+#: Neighbouring letters from which a piece tells whether it is made of words.
+LEAST_PAIRS = 4
+_LETTERS = len(string.ascii_lowercase)
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % CANDIDATE_LEN)
 # Words that make a context sensitive.
 _SENSITIVE = re.compile(
@@ -104,20 +101,53 @@ def alphabet_of(own: str) -> str:
     return out + "".join(sorted({c for c in own if not c.isalnum()}))
 
 
-def wordy(own: str) -> bool:
-    """Most neighbouring letters are pairs that words have; hexadecimal strings hold no words."""
-    low = own.lower()
-    if not set(low) - set("0123456789abcdef"):
-        return False
-    pairs = [low[i:i + 2] for i in range(len(low) - 1) if low[i:i + 2].isalpha()]
-    return len(pairs) >= 4 and sum(p in _USUAL_PAIRS for p in pairs) >= WORDY * len(pairs)
+def letter_pairs(data: bytes) -> np.ndarray:
+    """Counts of neighbouring ASCII letters, either case, at 26 * first + second. Runs as long as a
+    candidate do not count: they may be keys."""
+    codes = np.frombuffer(data.lower(), np.uint8).astype(np.int64) - ord("a")
+    inside = (codes >= 0) & (codes < _LETTERS)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    for a, b in edges.reshape(-1, 2)[np.diff(edges)[::2] >= CANDIDATE_LEN]:
+        inside[a:b] = False
+    pairs = inside[:-1] & inside[1:]
+    return np.bincount(codes[:-1][pairs] * _LETTERS + codes[1:][pairs], minlength=_LETTERS ** 2)
+
+
+def corpus_pairs(docs: DataFrame, text_col: str = "text") -> list[int]:
+    """:func:`letter_pairs` over all texts: one row a task and pair is shuffled, and 676 sums reach the driver."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(_LETTERS ** 2, np.int64)
+        for b in batches:
+            for text in b["text"]:
+                if text:
+                    total += letter_pairs(text.encode("utf-8", "replace"))
+        yield pd.DataFrame({"pair": np.arange(len(total)), "n": total})
+
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "pair int, n long") \
+        .groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    out = [0] * _LETTERS ** 2
+    for r in found:
+        out[r["pair"]] = r["n"]
+    return out
+
+
+def pair_bits(identifiers: bytes, corpus: Sequence[int] | None = None) -> list[float]:
+    """For each pair of letters, how many bits likelier it is in words than in random letters. Words
+    are half those of the identifiers and half the corpus's."""
+    shares = []
+    for counts in (letter_pairs(identifiers), np.array(corpus if corpus is not None else [0])):
+        if counts.sum():
+            n = counts + 0.5
+            shares.append(n / n.sum())
+    return np.log2(np.mean(shares, axis=0) * _LETTERS ** 2).tolist()
 
 
 class Novelty:
     """Marginal compressed size under identifiers and surroundings."""
 
-    def __init__(self, identifiers: bytes = IDENTIFIERS):
+    def __init__(self, identifiers: bytes = IDENTIFIERS, corpus: Sequence[int] | None = None):
         self._identifiers = identifiers
+        self._bits = pair_bits(identifiers, corpus)
         self._frame = len(self._compress(b"", b""))
         self._references: dict[tuple[str, int], float] = {}
 
@@ -143,12 +173,20 @@ class Novelty:
             self._references[key] = min(self.of(k, 0, n) for k in keys)
         return self._references[key]
 
+    def wordy(self, own: str) -> bool:
+        """Its neighbouring letters are likelier in words than in random letters; hexadecimal strings hold no words."""
+        low = own.lower()
+        if not set(low) - set("0123456789abcdef"):
+            return False
+        pairs = [(ord(x) - 97) * _LETTERS + ord(y) - 97 for x, y in zip(low, low[1:]) if x.isalpha() and y.isalpha()]
+        return len(pairs) >= LEAST_PAIRS and sum(self._bits[p] for p in pairs) > 0
+
     def random_like(self, text: str, start: int, end: int) -> bool:
         """A piece of text[start:end] that is not made of words costs what a random string does."""
         n = min(PIECE, end - start)
         for a in [*range(start, end - n, n), end - n]:  # the last piece is whole too
             own = text[a:a + n]
-            if len(set(own)) > n // 6 and 2 * sum(map(str.isalnum, own)) >= n and not wordy(own) and \
+            if len(set(own)) > n // 6 and 2 * sum(map(str.isalnum, own)) >= n and not self.wordy(own) and \
                     self.of(text, a, a + n) >= MIN_NOVELTY * self.reference(alphabet_of(own), n):
                 return True
         return False
@@ -194,18 +232,22 @@ def scan_text(text: str | None, novelty: Novelty) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-@F.pandas_udf(_SPANS)
-def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    novelty = Novelty()
-    for texts in batches:
-        yield pd.Series([[dict(zip(("kind", "start", "end"), x)) for x in scan_text(t, novelty)] for t in texts],
-                        dtype=object)
+def _scan_udf(corpus: list[int]):
+    @F.pandas_udf(_SPANS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        novelty = Novelty(corpus=corpus)
+        for texts in batches:
+            yield pd.Series([[dict(zip(("kind", "start", "end"), x)) for x in scan_text(t, novelty)] for t in texts],
+                            dtype=object)
+
+    return run
 
 
 def scan(docs: DataFrame, text_col: str = "text", result: str = "secrets") -> DataFrame:
-    """``docs`` with a column ``result``: array of (kind, start, end)."""
+    """``docs`` with a column ``result``: array of (kind, start, end). The texts are read twice, first for
+    their letter pairs."""
     bounded_batches(docs.sparkSession)
-    return docs.withColumn(result, _scan(F.col(text_col)))
+    return docs.withColumn(result, _scan_udf(corpus_pairs(docs, text_col))(F.col(text_col)))
 
 
 def report(docs: DataFrame) -> DataFrame:

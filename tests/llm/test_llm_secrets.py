@@ -1,8 +1,10 @@
 import hashlib
 import random
+import re
 import string
+from collections import Counter
 
-from llm_data import clashing, docs
+from llm_data import awkward_rows, clashing, docs
 
 from fraudlens.llm import secret_scan as S
 
@@ -91,3 +93,49 @@ def test_report(spark):
     assert got[5].spans == "assign:1000000:1000022"
     assert S.report(docs(spark, rows * 2)).count() == 10
     assert S.report(docs(spark, [])).collect() == []
+
+
+def plain_pairs(texts):
+    out = Counter()
+    for t in texts:
+        for run in re.findall("[a-z]+", (t or "").replace("\u212a", "?").replace("\u0130", "?").lower()):
+            out.update(run[i:i + 2] for i in range(len(run) - 1) if len(run) < S.CANDIDATE_LEN)
+    return [out[a + b] for a in string.ascii_lowercase for b in string.ascii_lowercase]
+
+
+def test_letter_pairs_are_counted_over_all_texts(spark):
+    rows = awkward_rows() + [(900, "ab" * 7 + " " + "ab" * 8 + " a b aB-cd\u212aef", None, None, None)]
+    want = plain_pairs(r[1] for r in rows)
+    assert S.corpus_pairs(clashing(docs(spark, rows)).repartition(3)) == want and sum(want) > 1000
+    assert S.corpus_pairs(docs(spark, [])) == [0] * 676
+    assert S.pair_bits(S.IDENTIFIERS, [0] * 676) == S.pair_bits(S.IDENTIFIERS)
+
+
+def test_the_corpus_tells_what_words_are(spark):
+    rng = random.Random(8)
+    # words of a language that the identifiers do not resemble
+    syllables = ["szcz", "wyk", "prz", "ywo", "kla", "dzie", "trzy", "mow", "bry", "jak", "ych", "zeg"]
+
+    def word(n):
+        return "".join(rng.choice(syllables) for _ in range(n))
+    corpus = [" ".join(word(rng.randint(1, 4))[:12] for _ in range(200)) for _ in range(40)]
+    learned, bare = S.Novelty(corpus=plain_pairs(corpus)), S.Novelty()
+    seen = Counter()
+    for _ in range(200):
+        for name, own in (("words", word(8)), ("key", random_key(rng, 32, string.ascii_lowercase))):
+            text = f"the client credential for {own} is kept"
+            for model, novelty in (("learned", learned), ("bare", bare)):
+                seen[name, model] += any(s[0] == "novel" for s in S.scan_text(text, novelty))
+    assert seen["words", "learned"] <= 2 < 50 < seen["words", "bare"], seen
+    assert seen["key", "learned"] >= 194, seen
+
+
+def test_report_equals_a_scan_of_each_text(spark):
+    rng = random.Random(10)
+    rows = awkward_rows() + [(700 + i, f"the secret of {i}: {random_key(rng, 10 + i)} or {'unbelievable' * (i % 3)} ",
+                              None, None, None) for i in range(30)]
+    novelty = S.Novelty(corpus=plain_pairs(r[1] for r in rows))
+    want = Counter((r[0], ",".join(f"{k}:{a}:{b}" for k, a, b in S.scan_text(r[1], novelty))) for r in rows)
+    got = S.report(clashing(docs(spark, rows)).repartition(4)).collect()
+    assert Counter((r.doc_id, r.spans) for r in got) == want
+    assert sum(r.n_novel for r in got) > 20
