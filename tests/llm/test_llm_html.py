@@ -163,3 +163,77 @@ def test_url_parts(spark):
     got = [tuple(r) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host, path).collect()]
     assert got[:3] == [("host.example.org:80", "/a/b"), ("h", "/a.html"), ("h", "/p")]
     assert all(h is None for h, _ in got[3:])
+
+
+def told_plainly(pages):
+    """{page_id: (text, n_template)} of pages (id, host, path, [(line, zone)]) whose lines are each
+    once in a page and in the same order in all, so that what two pages share is one sequence."""
+    def size(ls):
+        return sum(len(t) for t, _ in ls)
+
+    def shared(p, q):
+        there = {t for t, _ in q[3]}
+        return [i for i, (t, _) in enumerate(p[3]) if t in there]
+
+    def chars(p, at):
+        return sum(len(p[3][i][0]) for i in at)
+    firsts = {}
+    for p in sorted((p for p in pages if p[3]), key=lambda p: p[2]):
+        firsts.setdefault((p[1], tuple((t, z == "A") for t, z in p[3])), p)
+    order = sorted(firsts.values(), key=lambda p: (p[1], p[2]))
+    begins = [i == 0 or order[i - 1][1] != p[1] or
+              chars(p, shared(p, order[i - 1])) < 0.8 * max(size(p[3]), size(order[i - 1][3])) for i, p in enumerate(order)]
+
+    def before(i):
+        while i > 0 and not begins[i]:
+            i -= 1
+        return i - 1
+
+    def after(i):
+        i += 1
+        while i < len(order) and not begins[i]:
+            i += 1
+        return i
+    found = {}
+    for i, p in enumerate(order):
+        sides = [before(i), after(i)]
+        while True:
+            near = [k for k in sides if 0 <= k < len(order) and order[k][1] == p[1]]
+            prefix = {k: len([1 for n in range(min(len(p[2]), len(order[k][2]))) if p[2][:n + 1] == order[k][2][:n + 1]]) for k in near}
+            small = [k for k in sorted(near, key=lambda k: (-prefix[k], k)) if chars(p, shared(p, order[k])) < 0.8 * size(p[3])]
+            copies = [k for k in near if chars(p, shared(p, order[k])) >= 0.8 * max(size(p[3]), size(order[k][3]))]
+            if small or not copies:
+                break
+            sides = [step(k) if k in copies else k for k, step in zip(sides, (before, after))]
+        if small:
+            found[i] = set(shared(p, order[small[0]]))
+        else:
+            found[i] = set(shared(p, order[near[0]])) & set(shared(p, order[near[1]])) if len(near) == 2 else set()
+    number = {(p[1], tuple((t, z == "A") for t, z in p[3])): i for i, p in enumerate(order)}
+    out = {}
+    for n, host, _, ls in pages:
+        drop = found[number[host, tuple((t, z == "A") for t, z in ls)]] if ls else set()
+        out[n] = (" ".join(t for i, (t, z) in enumerate(ls) if z == "A" or z == "U" and i not in drop),
+                  sum(ls[i][1] != "A" for i in drop))
+    return out
+
+
+def test_report_equals_plain_pairing(spark):
+    rng = random.Random(21)
+    around = {"A": "<article><p>%s</p></article>", "C": "<nav><p>%s</p></nav>", "U": "<div>%s</div>"}
+    pages, last = [], {}
+    for n in range(400):
+        host = rng.choice(["a.example.org", "a.example.org", "b.example.org", f"lone{n}.example.org"])
+        pool = [(k, f"{host} line {k} {'word ' * (k % 9)}".strip(), "UUUCA"[k % 5]) for k in range(30)]
+        if host in last and rng.random() < 0.4:  # a copy, whole or but for a line
+            chosen = [x for x in last[host] if rng.random() < rng.choice([1, 0.95])]
+        else:
+            chosen = [x for x in pool if rng.random() < rng.choice([0.2, 0.6, 0.8])]
+            chosen += [(rng.random() * 30, f"own {n} {k} {'text ' * rng.randint(1, 8)}".strip(), rng.choice("UUA")) for k in range(rng.randint(0, 8))]
+        last[host] = chosen = sorted(chosen)
+        pages.append((n, host, f"/{n // 20:03d}/{rng.choice('xyz')}{n:04d}", [(t, z) for _, t, z in chosen]))
+    want = told_plainly(pages)
+    rows = [page(path, "".join(around[z] % t for t, z in ls), host, n) for n, host, path, ls in pages]
+    got = {r.page_id: (r.text, r.n_template) for r in H.report(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    assert {n: (got[n], want[n]) for n in want if got[n] != want[n]} == {}
+    assert sum(k for _, k in want.values()) > 500 and sum(not k for _, k in want.values()) > 50
