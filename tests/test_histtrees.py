@@ -246,3 +246,73 @@ def test_whole_grids_and_artefacts(spark, tmp_path):
         one, two = (sorted(map(tuple, m.probabilities(folded.select("operation_id", *COLUMNS)).collect()))
                     for m in (model, back))
         assert one == two
+
+
+def test_large_trees_are_scored_by_parts(spark, monkeypatch):
+    """No whole tree reaches the driver or a task, and every probability is that of the whole model."""
+    data = rows(900, 11)
+    train = frame(spark, data)
+    for model in (ht.fit_tree(train, COLUMNS, max_bins=32), ht.fit_forest(train, COLUMNS, trees=5, max_bins=32)):
+        whole = {r.operation_id: r for r in model.probabilities(train).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(ht, "SCORING_NODES", 10)
+            m.setattr(ht, "PART_ROWS", 120)
+            m.setattr(ht.TreeModel, "groups", lambda self: pytest.fail("the whole model was collected"))
+            got = model.probabilities(train).collect()
+        assert len(got) == len(whole) == 900
+        for r in got:
+            assert [r[c] for c in COLUMNS] == [whole[r.operation_id][c] for c in COLUMNS]
+            assert [r[c] for c in ht.PROBABILITIES] == pytest.approx([whole[r.operation_id][c] for c in ht.PROBABILITIES],
+                                                                     abs=1e-12)
+
+
+def test_tree_grid_by_parts(spark, monkeypatch):
+    """Cuts above a part, at its root and below it; all fits of the grid are grown together."""
+    data = rows(700, 12)
+    folded = frame(spark, data).withColumn("fold", F.pmod(F.xxhash64("operation_id"), F.lit(3)).cast("int"))
+    grid = {"max_depth": [None, 1, 3, 6], "min_samples_split": [2, 30, 200], "min_samples_leaf": [1, 5]}
+    grown, plain = [], ht.grow
+    monkeypatch.setattr(ht, "grow", lambda *a, **k: grown.append(1) or plain(*a, **k))
+    points, whole = ht.search_trees(folded, COLUMNS, grid, folds=3)
+    assert len(grown) == 1
+    monkeypatch.setattr(ht, "PART_ROWS", 60)
+    assert ht.search_trees(folded, COLUMNS, grid, folds=3) == (points, pytest.approx(whole))
+    rows_of, bins = ht.binned_training(folded, COLUMNS, {"operation_id": "string", "fold": "int"})
+    w = ht.class_weights(folded)
+    mine = [i for i, p in enumerate(points) if p["min_samples_leaf"] == 5]
+    copies = rows_of.withColumn("m", F.lit(1)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("tree != fold")
+    own = ht.TreeModel(plain(copies, 4, bins.count, w, dict.fromkeys(range(3), ht.TreeParams(None, 2, 5))), bins, w)
+    want = ht._cut_scores(own, rows_of, 4, [points[i] for i in mine], mine, 1, w)
+    assert [whole[i] for i in mine] == pytest.approx([want[i] for i in mine])
+
+
+def test_rows_are_stored_anew_once_in_several_levels(spark, monkeypatch):
+    """A chain of splits: levels cost a pass over the rows, not a written copy of them each."""
+    data = [(str(i), float(i), 0.0, 0.0, 0.0, (0, 1)[i % 2]) for i in range(60) for _ in range(3)]
+    written, plain = [], ht.written_once
+    monkeypatch.setattr(ht, "written_once", lambda df, name: written.append(name) or plain(df, name))
+    model = ht.fit_tree(frame(spark, data), COLUMNS, ht.TreeParams(), 90)
+    assert model.nodes.count() == 119
+    levels = model.nodes.where("feature >= 0 and aggregate(counts, 0L, (a, x) -> a + x) > 90").selectExpr(
+        "max(length(node)) + 1").first()[0]
+    assert levels > ht.STORED_LEVELS and 0 < written.count("tree_rows") <= -(-levels // ht.STORED_LEVELS)
+
+
+@pytest.mark.parametrize("params", [dict(), dict(max_features=2), dict(max_features=1, min_samples_leaf=3, min_samples_split=9)])
+def test_levels_at_once_equal_a_node_at_a_time(params):
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.integers(0, 200, 900), rng.integers(0, 5, 900), rng.integers(0, 2, 900), np.zeros(900, int),
+                  rng.integers(0, 60, 900)], axis=1).astype(np.int16)
+    y, m, w, p = rng.choice(3, 900, p=[.1, .6, .3]), rng.integers(1, 4, 900), np.array([3.3, .6, 1.1]), ht.TreeParams(**params)
+    want, todo = {}, [("01", np.arange(900))]
+    while todo:
+        path, at = todo.pop()
+        hist = np.zeros((1, 5, 200, 3), np.int64)
+        ht.add_histogram(hist, np.zeros(len(at), np.int64), x[at], y[at], m[at])
+        counts = np.bincount(y[at], m[at], 3).astype(int)
+        f, b = ht.best_split(hist[0], w, p, ht.feature_order(5, p, 3, path)) if ht.splittable(counts, len(path), p) else (-1, -1)
+        want[path] = (f, b, counts.tolist())
+        if f >= 0:
+            todo += [(path + "0", at[x[at, f] <= b]), (path + "1", at[x[at, f] > b])]
+    got = ht.grow_locally(x, y, m, 200, w, p, 3, "01")
+    assert {r["node"]: (r["feature"], r["bin"], r["counts"]) for r in got.to_pylist()} == want and len(want) > 50
