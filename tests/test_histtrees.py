@@ -316,3 +316,12 @@ def test_levels_at_once_equal_a_node_at_a_time(params):
             todo += [(path + "0", at[x[at, f] <= b]), (path + "1", at[x[at, f] > b])]
     got = ht.grow_locally(x, y, m, 200, w, p, 3, "01")
     assert {r["node"]: (r["feature"], r["bin"], r["counts"]) for r in got.to_pylist()} == want and len(want) > 50
+
+
+def test_passes_of_boosting_read_blocks(spark, monkeypatch):
+    """A pass over the training rows reads a few arrays a block, not a field for every bin of every row."""
+    table, bins = ht.binned_training(frame(spark, rows(400)), COLUMNS, max_bins=8)
+    seen, plain = [], ht._gradient_histograms
+    monkeypatch.setattr(ht, "_gradient_histograms", lambda r, *a: seen.append((r.columns, r.count())) or plain(r, *a))
+    ht.fit_boosting(table, bins, [1.0] * 3, rounds=3, max_depth=1, refresh=2)
+    assert len(seen) == 3 and all(c == ["x", "y", "s"] and n <= 4 for c, n in seen)
