@@ -425,7 +425,8 @@ def q_stratified_split(spark, sf_dir):
 @query("cv_folds")
 def q_cv_folds(spark, sf_dir):
     """Class-stratified folds of the train rows."""
-    train = _split(spark, sf_dir).where(~F.col("is_test"))
+    # the folds scan the train rows four times: the split before them is computed once
+    train = written_once(_split(spark, sf_dir).where(~F.col("is_test")), "train_rows")
     return sp.stratified_folds(train).select("operation_id", "target", "fold")
 
 
