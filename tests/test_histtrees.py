@@ -325,3 +325,47 @@ def test_passes_of_boosting_read_blocks(spark, monkeypatch):
     monkeypatch.setattr(ht, "_gradient_histograms", lambda r, *a: seen.append((r.columns, r.count())) or plain(r, *a))
     ht.fit_boosting(table, bins, [1.0] * 3, rounds=3, max_depth=1, refresh=2)
     assert len(seen) == 3 and all(c == ["x", "y", "s"] and n <= 4 for c, n in seen)
+
+
+def test_bootstrap_draws_are_blocks_and_those_of_the_hash(spark):
+    """Draws equal Spark's hash of key, row and tree; a task gives a block a tree, not a row for every draw."""
+    data = rows(400, 6)
+    table, _ = ht.binned_training(frame(spark, data, 2), COLUMNS, {"operation_id": "string"}, 16)
+    blocks, sizes = ht.bootstrapped(table, 4, 5, 42, "operation_id")
+    got = blocks.collect()
+    assert blocks.columns == ["node", "x", "y", "m", "at"] and len(got) <= 5 * table.rdd.getNumPartitions()
+    row_hash = F.xxhash64(F.lit(42), *[F.col(c) for c in table.columns])
+    u = F.pmod(F.xxhash64(row_hash, F.col("operation_id"), F.col("tree")), F.lit(1 << 53)) / float(1 << 53)
+    chances = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(i + 1)) for i in range(12)]
+    want = table.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
+        "tree", sum(((u > c).cast("int") for c in chances), F.lit(0)).alias("m"), "y", *[f"b{i}" for i in range(4)])
+    want = sorted(tuple(r) for r in want.where("m > 0").collect())
+    found = []
+    for r in got:
+        y, m, at = (np.frombuffer(r[c], ht.KINDS[c]) for c in ("y", "m", "at"))
+        found += zip(at.tolist(), m.tolist(), y.tolist(), *np.frombuffer(r.x, np.int16).reshape(4, -1).tolist())
+    assert sorted(found) == want
+    assert sizes == {t: sum(w[1] for w in want if w[0] == t) for t in range(5)}
+
+
+def test_rows_meet_a_part_in_blocks(spark, monkeypatch):
+    """Scoring by parts sends arrays of rows to a part, not a row for every tree."""
+    train = frame(spark, rows(500, 9))
+    model = ht.fit_forest(train, COLUMNS, trees=4, max_bins=16)
+    seen, plain = [], ht._Parts.meet
+    monkeypatch.setattr(ht, "SCORING_NODES", 10)
+    monkeypatch.setattr(ht._Parts, "meet", lambda self, m, sent, *a: seen.append(
+        (sent.columns, sent.count())) or plain(self, m, sent, *a))
+    assert model.probabilities(train).count() == 500
+    assert seen[0][0] == ["part", "x", "at"] and seen[0][1] <= 4 * 8
+
+
+def test_packed_and_plain_order_agree():
+    rng = np.random.default_rng(2)
+    key, y, m = rng.integers(0, 50, 300), rng.integers(0, 3, 300), rng.integers(1, 9, 300).astype(float)
+    sums = []
+    for shift in (0, 57):  # the latter leaves no room for y and m
+        k, a, b = ht._in_order(key << shift, y, m)
+        assert (np.diff(k) >= 0).all()
+        sums.append(np.bincount((k >> shift) * 3 + a, b, 150).tolist())
+    assert sums[0] == sums[1] == np.bincount(key * 3 + y, m, 150).tolist()
