@@ -13,7 +13,7 @@ from itertools import product
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -60,7 +60,7 @@ def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
 
 
 MODEL_NAMES = ["logistic_regression", "decision_tree", "random_forest", "gradient_boosting"]
-OVR_BOOSTING = "gradient_boosting_ovr"  # MLlib's binary boosting, one class against the rest
+OVR_BOOSTING = "gradient_boosting_ovr"  # binary boosting as MLlib's, one class against the rest
 
 
 @dataclass
@@ -114,12 +114,6 @@ def make_estimator(name: str, n_train: int | None = None, seed: int = 42, **para
         return LogisticRegression(family="multinomial", maxIter=params.get("maxIter", 5000), regParam=reg,
                                   elasticNetParam=0.0, standardization=False, weightCol="weight",
                                   tol=params.get("tol", 1e-4))
-    if name == OVR_BOOSTING:
-        # MLlib GBT is binary only: one-vs-rest over the 3 classes.
-        gbt = GBTClassifier(maxIter=params.get("maxIter", 100), maxDepth=params.get("maxDepth", 3),
-                            stepSize=params.get("stepSize", 0.1), seed=seed, weightCol="weight", maxBins=ht.MAX_BINS)
-        # the three binary problems are independent: fit them concurrently
-        return OneVsRest(classifier=gbt, weightCol="weight", parallelism=len(LABEL_ORDER))
     raise ValueError(f"unknown model {name}")
 
 
@@ -132,10 +126,11 @@ def fit_model(data: TrainingData, name: str, **params) -> Model:
         return ht.fit_tree(data.train, cols, ht.TreeParams(**params))
     if name == "random_forest":
         return ht.fit_forest(data.train, cols, trees, ht.TreeParams(max_features=max(1, int(len(cols) ** 0.5)), **params))
-    if name == "gradient_boosting":
+    if name in ("gradient_boosting", OVR_BOOSTING):
         rows, bins = ht.binned_training(data.train, cols)
         rate = params.pop("learning_rate", 0.1)
-        return ht.fit_boosting(rows, bins, ht.class_weights(data.train), trees, rate=rate, **params)
+        return ht.fit_boosting(rows, bins, ht.class_weights(data.train), trees, rate=rate,
+                               one_vs_rest=name == OVR_BOOSTING, **params)
     if name == "logistic_regression" and n_train is None:
         n_train = data.train.count()
     est = make_estimator(name, n_train=n_train, **params)

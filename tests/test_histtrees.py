@@ -369,3 +369,32 @@ def test_packed_and_plain_order_agree():
         assert (np.diff(k) >= 0).all()
         sums.append(np.bincount((k >> shift) * 3 + a, b, 150).tolist())
     assert sums[0] == sums[1] == np.bincount(key * 3 + y, m, 150).tolist()
+
+
+def test_one_vs_rest_is_mllibs_boosting_in_common_passes(spark, monkeypatch):
+    """The probabilities are those of MLlib's OneVsRest(GBTClassifier); the classes' trees share the passes."""
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    # few values, so that both cut the features at the same places
+    train = frame(spark, rows(600, 21)).withColumns(
+        {c: F.greatest(F.lit(-1.5), F.least(F.lit(9.0), F.floor(F.col(c) * 2) / 2)) for c in COLUMNS}).withColumn(
+        "a", F.least("a", F.lit(1.5))).cache()
+    w = ht.class_weights(train)
+    table, bins = ht.binned_training(train, COLUMNS)
+    passes, plain = [], ht._gradient_histograms
+    monkeypatch.setattr(ht, "_gradient_histograms", lambda *a: passes.append(1) or plain(*a))
+    model = ht.fit_boosting(table, bins, w, rounds=4, max_depth=2, rate=0.3, refresh=2, one_vs_rest=True)
+    assert 4 <= len(passes) <= 8
+    weighted = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(train.withColumns(
+        {"weight": F.array(*[F.lit(v) for v in w])[F.col("label").cast("int")], "label": F.col("label").cast("double")}))
+    gbt = GBTClassifier(maxIter=4, maxDepth=2, stepSize=0.3, weightCol="weight", maxBins=256)
+    out = weighted
+    for i, m in enumerate(OneVsRest(classifier=gbt, weightCol="weight").fit(weighted).models):
+        out = m.copy().setProbabilityCol(f"q{i}").setRawPredictionCol(f"r{i}").setPredictionCol(f"c{i}").transform(out) \
+            .withColumn(f"q{i}", vector_to_array(f"q{i}")[1])
+    want = {r.operation_id: np.array([r.q0, r.q1, r.q2]) / (r.q0 + r.q1 + r.q2) for r in out.collect()}
+    got = model.probabilities(train).collect()
+    assert len(got) == 600
+    for r in got:
+        assert [r[c] for c in ht.PROBABILITIES] == pytest.approx(want[r.operation_id].tolist(), abs=1e-7)
