@@ -398,3 +398,37 @@ def test_one_vs_rest_is_mllibs_boosting_in_common_passes(spark, monkeypatch):
     assert len(got) == 600
     for r in got:
         assert [r[c] for c in ht.PROBABILITIES] == pytest.approx(want[r.operation_id].tolist(), abs=1e-7)
+
+
+def test_rows_are_stored_once_whatever_the_number_of_trees(spark, monkeypatch):
+    """Copies for trees and folds are unfolded by the tasks; a model is a row a subtree, not one a node."""
+    data = rows(700, 5)
+    stored, plain = [], ht.written_once
+
+    def kept(df, name):
+        out = plain(df, name)
+        if name == "tree_blocks":
+            stored.append(out.agg(F.sum("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(ht, "written_once", kept)
+    model = ht.fit_forest(frame(spark, data), COLUMNS, trees=6, local_rows=200, max_bins=16)
+    folded = frame(spark, data).withColumn("fold", F.pmod(F.xxhash64("operation_id"), F.lit(3)).cast("int"))
+    points, cut = ht.search_trees(folded, COLUMNS, {"max_depth": [None, 2], "min_samples_leaf": [1, 4]}, 3, local_rows=150)
+    assert stored == [700, 700]
+    monkeypatch.undo()
+    assert cut == pytest.approx(ht.search_trees(folded, COLUMNS, {"max_depth": [None, 2], "min_samples_leaf": [1, 4]}, 3)[1])
+    rows_of, nodes = model.table.count(), model.nodes.count()
+    assert rows_of < nodes / 2 and model.table.agg(F.sum("n")).first()[0] == nodes
+
+
+def test_large_binary_values_are_read_in_small_groups(spark):
+    """Spark decodes a row group of up to 4,096 rows at once, whatever the length of its values."""
+    import pyarrow.parquet as pq
+    from fraudlens.session import written_once
+    df = spark.range(0, 600, 1, 1).select(F.expr("cast(repeat(sha2(string(id), 512), 800) as binary)").alias("data"))  # 60 MB
+    out = written_once(df, "blocks")
+    assert out.selectExpr("sum(length(data))").first()[0] == 600 * 128 * 800
+    groups = [m.row_group(i) for f in out.inputFiles() for m in [pq.read_metadata(f.replace("file:", "").replace("//", "", 1))]
+              for i in range(m.num_row_groups)]
+    assert max(g.num_rows for g in groups) <= 256 and max(g.total_byte_size for g in groups) < 32 << 20
