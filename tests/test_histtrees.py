@@ -432,3 +432,43 @@ def test_large_binary_values_are_read_in_small_groups(spark):
     groups = [m.row_group(i) for f in out.inputFiles() for m in [pq.read_metadata(f.replace("file:", "").replace("//", "", 1))]
               for i in range(m.num_row_groups)]
     assert max(g.num_rows for g in groups) <= 256 and max(g.total_byte_size for g in groups) < 32 << 20
+
+
+def test_one_task_boosts_like_the_passes(spark, monkeypatch):
+    """Few rows: the same trees, to the last bit, without a job for every level of every round."""
+    train = frame(spark, rows(1200, 31))
+    table, bins = ht.binned_training(train, COLUMNS, max_bins=40)
+    w = ht.class_weights(train)
+    plain = ht.fit_boosting
+    for one_vs_rest in (False, True):
+        want = plain(table, bins, w, 7, 3, 0.2, refresh=3, one_vs_rest=one_vs_rest)
+        with monkeypatch.context() as m:
+            m.setattr(ht, "fit_boosting", lambda *a, **k: pytest.fail("a job for every level"))
+            got = ht.boosted(table, bins, w, 7, 3, 0.2, one_vs_rest)
+        assert got == want and any(len(t["feature"]) > 9 for ts in got.trees for t in ts)
+
+
+def test_fits_of_a_boosting_grid_run_side_by_side(spark, monkeypatch):
+    folded = frame(spark, rows(700, 33)).withColumn("fold", F.pmod(F.xxhash64("operation_id"), F.lit(3)).cast("int"))
+    grid = {"n_estimators": [2, 5], "max_depth": [1, 3], "learning_rate": [0.1, 0.4]}
+    with monkeypatch.context() as m:
+        m.setattr(ht, "fit_boosting", lambda *a, **k: pytest.fail("a job for every level"))
+        points, recalls = ht.search_boosting(folded, COLUMNS, grid, 3)
+    monkeypatch.setattr(ht, "BOOST_ROWS", 0)
+    assert (points, recalls) == ht.search_boosting(folded, COLUMNS, grid, 3) and len(set(recalls)) > 3
+
+
+def test_joint_codes_tell_every_bin():
+    rng = np.random.default_rng(7)
+    x = np.stack([rng.integers(0, k, 500) for k in (90, 7, 2, 30, 2, 1)]).astype(np.uint8)
+    groups = ht.joint_codes(x, 64)
+    assert sorted(f for g in groups for f in g[0]) == list(range(6)) and len(groups) < 6
+    for features, code, bins in groups:
+        assert len(features) == 1 or bins.shape[1] <= 64
+        assert all((bins[i][code] == x[f]).all() for i, f in enumerate(features))
+
+
+def test_keys_are_dealt_one_to_a_partition(spark):
+    keys = ht._side_by_side(spark, 9)
+    found = spark.createDataFrame([(k,) for k in keys], "k int").repartition(9, "k").select("k", F.spark_partition_id().alias("p"))
+    assert {r.p: r.k for r in found.collect()} == dict(enumerate(keys))
