@@ -454,7 +454,7 @@ def test_fits_of_a_boosting_grid_run_side_by_side(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(ht, "fit_boosting", lambda *a, **k: pytest.fail("a job for every level"))
         points, recalls = ht.search_boosting(folded, COLUMNS, grid, 3)
-    monkeypatch.setattr(ht, "BOOST_ROWS", 0)
+    monkeypatch.setattr(ht, "TASK_ROWS", 0)
     assert (points, recalls) == ht.search_boosting(folded, COLUMNS, grid, 3) and len(set(recalls)) > 3
 
 
@@ -472,3 +472,26 @@ def test_keys_are_dealt_one_to_a_partition(spark):
     keys = ht._side_by_side(spark, 9)
     found = spark.createDataFrame([(k,) for k in keys], "k int").repartition(9, "k").select("k", F.spark_partition_id().alias("p"))
     assert {r.p: r.k for r in found.collect()} == dict(enumerate(keys))
+
+
+def test_a_forests_grid_is_scored_where_its_trees_grow(spark, monkeypatch):
+    """No tree reaches the driver or a table, no copies of rows are shuffled; the recalls are those of the stored trees."""
+    folded = frame(spark, rows(700, 35)).withColumn("fold", F.pmod(F.xxhash64("operation_id"), F.lit(3)).cast("int"))
+    grid = {"n_estimators": [3, 8], "max_depth": [None, 2, 5], "min_samples_split": [2, 30], "min_samples_leaf": [1, 4]}
+    with monkeypatch.context() as m:
+        m.setattr(ht, "grow", lambda *a, **k: pytest.fail("stored trees"))
+        m.setattr(ht, "TASK_TREES", 2)
+        points, recalls = ht.search_trees(folded, COLUMNS, grid, 3, forest=True)
+    monkeypatch.setattr(ht, "TASK_ROWS", 0)
+    assert (points, pytest.approx(recalls)) == ht.search_trees(folded, COLUMNS, grid, 3, forest=True)
+    assert len(points) == 24 and len(set(recalls)) > 6
+
+
+def test_ends_of_cuts_are_those_of_walks():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 40, (600, 3)).astype(np.uint8), rng.integers(0, 3, 600)
+    tree = ht.Tree(*ht.grown_subtree(x, y, np.ones(600, int), 40, np.ones(3), ht.TreeParams(), 0, ""))
+    cuts = [(None, 2), (3, 2), (None, 25), (6, 60), (0, 2)]
+    want = tree.leaves(x, cuts)
+    last = tree.leaves(x, [(None, 0)])[0]
+    assert (tree.ends(cuts)[:, last] == want).all() and len(set(want[1].tolist())) > 4
